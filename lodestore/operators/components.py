@@ -32,16 +32,24 @@ def _forest(batches):
         yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64())], names=["u", "v"])
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+#: Edges that one task may join by union-find (about 100 MB of nodes); more go through star rounds.
+ONE_TASK = 400_000
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """(node, component) for every node of an edge whose component has two nodes or more, itself its smallest.
 
     Self-loops and null ends are ignored; an empty table gives an empty result. Each partition first contracts its
-    edges to a forest by union-find (memory: the partition's nodes), then large-star and small-star rounds run until
-    the edges stay as they are: O(log n) rounds, each two aggregations with map-side combine and two joins that AQE
+    edges to a forest by union-find (memory: the partition's nodes). Forests of at most `one_task` edges in all are joined
+    by one more union-find; beyond that bound large-star and small-star rounds run until the edges stay as they are: O(log n) rounds, each two aggregations with map-side combine and two joins that AQE
     may split, so a hub node is never gathered in one task. The driver sees a count and a checksum a round.
     """
     pairs = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     now, before = stage(pairs.mapInArrow(_forest, "u long, v long"), "forest"), None
+    if now.limit(one_task + 1).count() <= one_task:
+        done = stage(now.coalesce(1).mapInArrow(_forest, "u long, v long"), "stars")
+        unstage(now)
+        return done.select(F.col("u").alias("node"), F.col("v").alias("component")).union(done.select("v", "v").distinct())
     for _ in range(max_rounds):
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).union(now.select("v", "u"))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
