@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from lodestore.llm.text import GOLDEN, U, keyed_texts, longs, mix, shingle_sets, slices
 from lodestore.operators.components import connected_components
-from lodestore.plans.staging import stage, unstage
+from lodestore.plans.staging import stage
 
 SHINGLE_WORDS, THRESHOLD = 5, 75
 #: Bands of rows: a pair at similarity 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6.
 BANDS, ROWS = 32, 4
+#: Texts of a block; a task holds two.
+BLOCK = 1500
 
 
 def superminhash(sets: list[np.ndarray], m: int) -> np.ndarray:
@@ -107,10 +109,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nothing. Rows of a null id link with nothing and are kept with a null component. Rows that share an id are one
     document: their links are pooled. Other columns, whatever their names, aren't read.
 
-    Equal sets first become one class, so exact copies cost one sketch each and no pairs. In each band bucket one
-    leader at first, then four times as many a round, is compared with those members that aren't yet in its component,
-    until a bucket holds one component or every cross-component pair has been compared: a group of copies costs a star,
-    and no link that could join two components is skipped.
+    Equal sets first become one class, so exact copies cost one sketch each and no pairs. In each band bucket the
+    smallest id is then compared with the other members: a group of near copies costs a star. Buckets that still hold
+    several components are compared in blocks of at most BLOCK texts, pair of blocks by pair of blocks, where a task
+    tries every pair that shares a bucket and isn't joined yet, and returns the links that join. So no link that could
+    join two components is skipped, and no table of pairs grows with the square of a group.
     """
     lowered = _chain(_lowered, _sketch(words, bands, rows))
     sk = stage(keyed_texts(docs, id_col, text_col).mapInArrow(lowered, sketch_schema()), "sketch")
@@ -128,26 +131,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = stage(texts.mapInArrow(_chain(_lowered, _sets(words)), "node long, items array<long>"), "sets")
     signs = reps.select(F.col("cls").alias("node"), "signature")
 
-    links, label, leaders_each = None, None, 1
-    while True:
-        at = members if label is None else members.join(label, F.col("cls") == F.col("node"), "left").drop("node")
-        at = at.withColumn("part", F.col("cls") if label is None else F.coalesce("component", "cls")).select("bucket", "cls", "n", "part")
-        open_ = at.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("bucket")
-        at = stage(at.join(open_, "bucket", "left_semi"), "open")
-        if at.isEmpty():
-            break
-        lead = at.groupBy("bucket", F.pmod(F.xxhash64("cls"), F.lit(leaders_each)).alias("salt")).agg(F.min(F.struct("cls", "n", "part")).alias("l"))
-        lead = stage(lead.select("bucket", F.col("l.cls").alias("lead"), F.col("l.n").alias("lead_n"), F.col("l.part").alias("lead_part")), "leaders")
-        near_size = (F.col("n") * 100 >= F.col("lead_n") * threshold) & (F.col("lead_n") * 100 >= F.col("n") * threshold)
-        pairs = at.join(lead, "bucket").where((F.col("part") != F.col("lead_part")) & near_size).select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
-        found = stage(_verified(pairs, signs, sets, threshold), "links")
-        links = found if links is None else links.union(found)
-        label = connected_components(links)
-        members = stage(at.join(lead, (at.bucket == lead.bucket) & (at.cls == lead.lead), "left_anti").select("bucket", "cls", "n"), "rest")
-        leaders_each *= 4
-
-    edges = copies if links is None else copies.union(links)
-    label = connected_components(edges)
+    # first, one leader a bucket against the other members: a star of pairs
+    lead = members.groupBy("bucket").agg(F.min(F.struct("cls", "n")).alias("l")).select("bucket", F.col("l.cls").alias("lead"), F.col("l.n").alias("lead_n"))
+    near_size = (F.col("n") * 100 >= F.col("lead_n") * threshold) & (F.col("lead_n") * 100 >= F.col("n") * threshold)
+    pairs = members.join(lead, "bucket").where((F.col("cls") > F.col("lead")) & near_size).select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct()
+    links = stage(_verified(pairs, signs, sets, threshold), "links")
+    label = connected_components(links)
+
+    # then, what shares a bucket and isn't joined yet, in blocks
+    at = members.join(label, F.col("cls") == F.col("node"), "left").select("bucket", "cls", F.coalesce("component", "cls").alias("part"))
+    open_ = at.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("bucket")
+    at = stage(at.join(open_, "bucket", "left_semi"), "open")
+    near = connected_components(at.join(at.groupBy("bucket").agg(F.min("cls").alias("least")), "bucket").select("cls", "least").distinct(), "cls", "least")
+    more = _blocks(at.select("cls", "part").distinct(), near, reps, sets, threshold)
+    links = links.union(stage(more, "block-links"))
+
+    label = connected_components(copies.union(links))
     out = sk.select("doc_id", "n_shingles").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -170,6 +169,74 @@ def _verified(pairs: DataFrame, signs: DataFrame, sets: DataFrame, threshold: in
     return both.where(F.col("common") * 100 >= union * threshold).select("a", "b").distinct()
 
 
+def _blocks(open_: DataFrame, near: DataFrame, reps: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) that join components among texts whose buckets chain them together.
+
+    open_: (cls, part), part the component so far; near: (node, component) of those chains. A part of many texts has
+    blocks of its own, which needn't be compared with each other.
+    """
+    t = open_.join(near.withColumnsRenamed({"node": "cls", "component": "chain"}), "cls")
+    size = t.groupBy("chain", "part").count().withColumn("solo", F.col("count") * 4 >= BLOCK)
+    own = F.when(F.col("solo"), F.col("part"))
+    room = size.groupBy("chain", own.alias("own")).agg(F.sum("count").alias("texts")).withColumn("parts", F.ceil(F.col("texts") / BLOCK))
+    t = t.join(size.select("chain", "part", own.alias("own")), ["chain", "part"])
+    t = t.join(room.withColumnsRenamed({"chain": "rc", "own": "ro"}), (F.col("chain") == F.col("rc")) & F.col("own").eqNullSafe(F.col("ro")))
+    t = stage(t.select("cls", "part", "chain", "own", F.pmod(F.xxhash64("cls"), F.col("parts")).alias("k")), "blocks")
+    blocks = t.groupBy("chain", "own", "k").count().select("chain", "own", "k", F.xxhash64("chain", "own", "k").alias("block"))
+    a, b = blocks.select("chain", F.col("own").alias("oa"), F.col("block").alias("ba")), blocks.select("chain", F.col("own").alias("ob"), F.col("block").alias("bb"))
+    twos = a.join(b, "chain").where("ba <= bb and not coalesce(oa = ob, false)").withColumn("pair", F.xxhash64("ba", "bb"))
+    sides = twos.select("chain", F.col("ba").alias("block"), "pair", F.lit(0).alias("side")).union(twos.where("ba < bb").select("chain", F.col("bb").alias("block"), "pair", F.lit(1).alias("side")))
+    t = t.withColumn("block", F.xxhash64("chain", "own", "k")).join(sides, ["chain", "block"]).select("pair", "side", "cls", "part")
+    t = t.join(reps.select("cls", "bands", "signature"), "cls").join(sets.withColumnRenamed("node", "cls"), "cls")
+    return t.groupBy("pair").applyInArrow(_compared(threshold), "a long, b long")
+
+
+def _compared(threshold: int):
+    def run(table: pa.Table) -> pa.Table:
+        t = table.combine_chunks()
+        t = t.take(pa.array(np.lexsort((t.column("cls").to_numpy(), t.column("side").to_numpy())))).combine_chunks()
+        t = t.filter(pa.array(np.concatenate([[True], (np.diff(t.column("cls").to_numpy()) != 0) | (np.diff(t.column("side").to_numpy()) != 0)]))).combine_chunks()
+        side, ids, part = (t.column(c).to_numpy() for c in ("side", "cls", "part"))
+        sign = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
+        bands = np.array(t.column("bands").to_pylist(), np.int64)
+        sets = [np.asarray(x) for x in (r.values.to_numpy(zero_copy_only=False).view(U) for r in t.column("items").chunk(0))]
+        return _join_links(ids, part.copy(), side, bands, sign, sets, threshold)
+
+    return run
+
+
+def _join_links(ids: np.ndarray, part: np.ndarray, side: np.ndarray, bands: np.ndarray, sign: np.ndarray, sets: list[np.ndarray], threshold: int) -> pa.Table:
+    """Links between texts that share a band and are in different parts, which merge as links are found."""
+    n = np.array([len(s) for s in sets])
+    flat, at = np.concatenate(sets), np.concatenate([[0], np.cumsum(n)])
+    value, holder = bands.ravel(), np.repeat(np.arange(len(ids)), bands.shape[1])
+    order = np.argsort(value, kind="stable")
+    value, holder = value[order], holder[order]
+    lo, hi = np.searchsorted(value, bands, "left"), np.searchsorted(value, bands, "right")
+    two = bool(side.any())
+    found: list[tuple[int, int]] = []
+    for i in range(int((side == 0).sum()) if two else len(ids)):
+        some = np.flatnonzero(hi[i] - lo[i] > 1)
+        if not len(some):
+            continue
+        j = np.unique(np.concatenate([holder[lo[i, k] : hi[i, k]] for k in some]))
+        j = j[(side[j] == 1) if two else (j > i)]
+        j = j[(part[j] != part[i]) & (n[j] * 100 >= n[i] * threshold) & (n[i] * 100 >= n[j] * threshold)]
+        j = j[(sign[j] == sign[i]).sum(axis=1) * 100 >= (threshold - 25) * sign.shape[1]]
+        if not len(j):
+            continue
+        each = n[j]
+        begin = np.cumsum(each) - each
+        items = flat[np.repeat(at[j] - begin, each) + np.arange(int(each.sum()))]
+        mine = sets[i]
+        common = np.add.reduceat((mine[np.minimum(np.searchsorted(mine, items), len(mine) - 1)] == items).astype(np.int64), begin)
+        for k in j[common * 100 >= (n[i] + each - common) * threshold]:
+            if part[k] != part[i]:
+                found.append((int(ids[i]), int(ids[k])))
+                part[part == part[k]] = part[i]
+    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+
 def op8_minhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
-from lodestore.llm import minhash
+import corpus_pipeline
+from lodestore.llm import bpe, covertree, lm, minhash, packing, quality, rules, substring, toxicity, warc
 
-QUERIES = {"op8_minhash": minhash.op8_minhash}
-ORACLE = {"op8_minhash": minhash.OP8_SQL}
+QUERIES = {
+    "pipeline": corpus_pipeline.run,
+    "op1_covertree": covertree.op1_covertree,
+    "op2_warc": warc.op2_warc,
+    "op3_bpe": bpe.op3_bpe,
+    "op4_quality": quality.op4_quality,
+    "op5_lm": lm.op5_lm,
+    "op6_rules": rules.op6_rules,
+    "op7_packing": packing.op7_packing,
+    "op8_minhash": minhash.op8_minhash,
+    "op9_toxicity": toxicity.op9_toxicity,
+    "op10_substring": substring.op10_substring,
+}
+ORACLE = {"op1_covertree": covertree.OP1_SQL, "op2_warc": warc.OP2_SQL, "op6_rules": rules.OP6_SQL, "op8_minhash": minhash.OP8_SQL, "op10_substring": substring.OP10_SQL}
 
 
 def queries() -> dict:
