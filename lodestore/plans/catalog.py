@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list = []
+from lodestore.plans import graphs, ledgers, relations, rules, search, texts
+
+MODULES = [search, texts, relations, graphs, ledgers, rules]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
