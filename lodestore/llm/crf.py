@@ -97,6 +97,14 @@ class Crf:
         return messages(score, at, np.exp(self.transitions))[2]
 
 
+def emissions(w: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """The score of each place: the sum of its features' weights, a feature at a time to spare memory."""
+    out = np.zeros(len(features))
+    for k in range(features.shape[1]):
+        out += w[features[:, k]]
+    return out
+
+
 def fit(features: np.ndarray, labels: np.ndarray, at: np.ndarray, size: int, steps: int = 60, rate: float = 0.25, decay: float = 1e-3) -> Crf:
     """Maximise the conditional log-likelihood by Adam on whole-sample gradients.
 
@@ -109,11 +117,11 @@ def fit(features: np.ndarray, labels: np.ndarray, at: np.ndarray, size: int, ste
     seen = np.bincount((labels[:-1] * 2 + labels[1:])[joint], minlength=4).reshape(2, 2).astype(float)
     m = [np.zeros_like(w), np.zeros_like(tr)]
     v = [np.zeros_like(w), np.zeros_like(tr)]
-    flat, width = features.ravel(), features.shape[1]
     for t in range(1, steps + 1):
         a = np.exp(tr)
-        f, b, p = messages(w[features].sum(axis=1), at, a)
-        grad_w = np.bincount(flat, np.repeat(y - p, width), minlength=size) / len(y) - decay * w / size
+        f, b, p = messages(emissions(w, features), at, a)
+        off = y - p
+        grad_w = sum(np.bincount(features[:, k], off, minlength=size) for k in range(features.shape[1])) / len(y) - decay * w / size
         x = np.stack([1 - f[:-1], f[:-1]])[:, None] * a[:, :, None] * np.stack([1 - b[1:], b[1:]])[None]
         x = (x / x.sum(axis=(0, 1)))[:, :, joint].sum(axis=2)
         grad_t = (seen - x) / len(y) - decay * tr / 4

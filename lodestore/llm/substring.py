@@ -17,8 +17,8 @@ from lodestore.plans.staging import stage
 WINDOW, PREFIX = 35, 8
 #: Suffixes of one subtree group (about 12 MB), and distinct runs from which a prefix is grown to the whole window.
 GROUP_SUFFIXES, HEAVY = 150_000, 3_000
-#: A table of requests or ranges is broadcast up to this many rows (about 32 MB); beyond it the texts are shuffled.
-BROADCAST_ROWS = 500_000
+#: The table of removed ranges is broadcast up to this many bytes; beyond it the texts are shuffled.
+BROADCAST_BYTES = 16 << 20
 #: Words of one edge of a subtree; 35 is seven edges.
 EDGE = 5
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -125,13 +125,30 @@ def _grown(window: int):
     return run
 
 
-def _few(df: DataFrame, rows: int) -> DataFrame:
-    """The table, to be broadcast if it is small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _few(spans: DataFrame) -> DataFrame:
+    """The table of spans, to be broadcast if its bytes and 16 more a row are within the bound."""
+    size = spans.agg(F.sum(F.octet_length("gone") + 16)).first()[0] or 0
+    return F.broadcast(spans) if size <= BROADCAST_BYTES else spans
+
+
+def _merged(window: int):
+    def run(batches):
+        """Each text's repeated windows as the word ranges that they cover: int32 pairs, apart and in order."""
+        for b in batches:
+            out = []
+            for spans in b.column(1).to_pylist():
+                begin = sorted(s["start"] + i for s in spans for i in range(s["count"]) if s["bits"] >> i & 1)
+                x = np.array(begin, np.int64)
+                cut = np.flatnonzero(np.diff(x) > window) + 1
+                ends = np.append(x[cut - 1], x[-1]) + window
+                out.append(np.stack([x[np.append(0, cut)], ends], axis=1).astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc", "gone"])
+
+    return run
 
 
 def repeats(docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, prefix: int = PREFIX, heavy: int = HEAVY) -> DataFrame:
-    """(doc, spans): for each text with repeated windows, its runs (start, count, bits) of which bit i is window start + i.
+    """(doc, gone): for each text with repeated windows, the ranges of words that they cover, as int32 pairs.
 
     `doc` is a hash of id and text. Windows are compared as 64-bit word and path hashes.
     """
@@ -144,7 +161,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, p
     many = each.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     asked = each.join(many, "key").select("at.doc", F.struct("at.start", "at.count", "at.offset", "key", "content", "m").alias("r"))
     asked = stage(asked.groupBy("doc").agg(F.collect_list("r").alias("runs")), "asked")
-    body = stage(texts.join(_few(asked, BROADCAST_ROWS), "doc").select("doc", "text", "runs").mapInArrow(_payload(window, heavy), "key long, content long, offset int, count int, heavy boolean, words array<long>"), "payload")
+    body = stage(texts.join(asked, "doc").select("doc", "text", "runs").mapInArrow(_payload(window, heavy), "key long, content long, offset int, count int, heavy boolean, words array<long>"), "payload")
     light = body.where("not heavy")
     groups = 1 + (light.agg(F.sum("count")).first()[0] or 0) // GROUP_SUFFIXES
     tree = light.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups))).groupBy("group").applyInArrow(_grown(window), "key long, content long, bits long")
@@ -156,18 +173,16 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, p
     single = each.where("n = 1").select("key", "content").join(found, ["key", "content"], "left").select("key", "content", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
     full = F.expr("shiftleft(1L, count) - 1")
     spans = live.join(single, ["key", "content"], "left").select("doc", "start", "count", F.coalesce("bits", full).alias("bits")).where("bits <> 0")
-    return stage(spans.groupBy("doc").agg(F.collect_set(F.struct("start", "count", "bits")).alias("spans")), "spans")
+    spans = spans.groupBy("doc").agg(F.collect_set(F.struct("start", "count", "bits")).alias("spans"))
+    return stage(spans.mapInArrow(_merged(window), "doc long, gone binary"), "spans")
 
 
-def gone_words(n: int, spans: list[dict], window: int) -> np.ndarray:
-    """Which of a text's n words a repeated window covers."""
-    edge = np.zeros(n + 1, np.int64)
-    for s in spans:
-        for i in range(s["count"]):
-            if s["bits"] >> i & 1:
-                edge[s["start"] + i] += 1
-                edge[s["start"] + i + window] -= 1
-    return np.cumsum(edge[:-1]) > 0
+def gone_words(n: int, gone: bytes) -> np.ndarray:
+    """Which of a text's n words the ranges cover."""
+    out = np.zeros(n, bool)
+    for a, b in np.frombuffer(gone, "<i4").reshape(-1, 2).tolist():
+        out[a:b] = True
+    return out
 
 
 def without(text: bytes, gone: np.ndarray) -> bytes:
@@ -184,38 +199,35 @@ def without(text: bytes, gone: np.ndarray) -> bytes:
     return b"".join([*parts, b"" if last else text[at:]]).strip(b" \t\n\x0b\x0c\r")
 
 
-def _cut(window: int):
-    def run(batches):
-        for part in slices(batches):
-            n_words, n_removed, digest, left = [], [], [], []
-            for text, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                words = kept = text.split()
-                if spans:
-                    gone = gone_words(len(words), spans, window)
-                    kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                    text = without(text, gone)
-                n_words.append(len(words))
-                n_removed.append(len(words) - len(kept))
-                digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-                left.append(text)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest), pa.array(left, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
-
-    return run
+def _cut(batches):
+    for part in slices(batches):
+        n_words, n_removed, digest, left = [], [], [], []
+        for text, ranges in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+            words = kept = text.split()
+            if ranges:
+                gone = gone_words(len(words), ranges)
+                kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                text = without(text, gone)
+            n_words.append(len(words))
+            n_removed.append(len(words) - len(kept))
+            digest.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+            left.append(text)
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest), pa.array(left, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """The table itself with the repeated words cut from its texts; documents that lose all their words go."""
-    spans = repeats(docs, id_col, text_col, window).withColumnsRenamed({"doc": "__doc", "spans": "__spans"})
+    spans = repeats(docs, id_col, text_col, window).withColumnsRenamed({"doc": "__doc", "gone": "__gone"})
 
     @F.arrow_udf("string")
     def trim(texts: pa.Array, found: pa.Array) -> pa.Array:
         out = []
         for text, s in zip(texts.to_pylist(), found.to_pylist(), strict=True):
-            out.append(without(text, gone_words(len(text.split()), s, window)))
+            out.append(without(text, gone_words(len(text.split()), s)))
         return pa.array(out, pa.binary()).cast(pa.string())
 
-    t = docs.withColumn("__doc", F.xxhash64(F.col(id_col), as_bytes(text_col))).join(_few(spans, BROADCAST_ROWS), "__doc", "left")
-    t = t.withColumn("__cut", F.when(F.col("__spans").isNotNull(), trim(as_bytes(text_col), F.coalesce("__spans", F.array().cast("array<struct<start: int, count: int, bits: long>>")))))
+    t = docs.withColumn("__doc", F.xxhash64(F.col(id_col), as_bytes(text_col))).join(_few(spans), "__doc", "left")
+    t = t.withColumn("__cut", F.when(F.col("__gone").isNotNull(), trim(as_bytes(text_col), F.coalesce("__gone", F.lit(b"")))))
     t = t.where("__cut is null or __cut <> ''").withColumn(text_col, F.coalesce("__cut", text_col))
     return t.select(*docs.columns)
 
@@ -230,8 +242,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spans = repeats(docs, id_col, text_col, window, prefix, heavy)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("text"), F.col(id_col).alias("own")).withColumn("doc", F.xxhash64("own", "text"))
-    joined = texts.join(_few(spans, BROADCAST_ROWS), "doc", "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    joined = texts.join(_few(spans), "doc", "left").select("doc_id", "text", "gone")
+    return joined.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
 def op10_substring(spark, sf_dir: str) -> DataFrame:

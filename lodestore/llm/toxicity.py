@@ -17,7 +17,7 @@ from lodestore.llm.labelled import held_out, sample
 from lodestore.llm.text import keyed_texts, slices
 
 #: Documents labelled 0 and 1 that the model is fitted on at most.
-TRAIN_EACH = (3000, 1500)
+TRAIN_EACH = (2000, 1200)
 THRESHOLD = 0.7
 #: Hashed features; prefixes of these lengths in bytes stand for a word's stem.
 BITS, PREFIXES = 17, (3, 4, 5, 6)
