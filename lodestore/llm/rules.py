@@ -25,21 +25,25 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, "[\\x20\\x09-\\x0D]+"), "")
 
 
-def line_passes(line: Column) -> Column:
-    """True for a line that breaks no rule.
+def _measured(line: Column) -> Column:
+    return F.struct(line.alias("line"), F.size(_words(line)).alias("n"), _ink(line).alias("ink"))
+
+
+def line_passes(x: Column) -> Column:
+    """True for a line (measured: line, n words, ink) that breaks no rule.
 
     navigation: three bars or more, and one for four words at least; symbols: over a tenth of its characters are of
     #*$%&|<>; shouting: three words or more, two capital letters at least and no small one; boilerplate: a short line
     with a furniture phrase; punctuation: a line of over six words ends as a sentence does.
     """
-    n = F.size(_words(line))
+    line, n = x["line"], x["n"]
     bars = F.length(line) - F.length(F.translate(line, "|", ""))
     marks = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
     navigation = (bars >= 3) & (bars * 4 >= n)
-    shouting = (n >= 3) & line.rlike("(?s)\\p{Lu}.*\\p{Lu}") & ~line.rlike("\\p{Ll}")
+    shouting = (n >= 3) & ~line.rlike("\\p{Ll}") & line.rlike("(?s)\\p{Lu}.*\\p{Lu}")
     furniture = (n <= BOILERPLATE_WORDS) & line.rlike(f"(?i)({BOILERPLATE})")
     unended = (n > 6) & ~F.rtrim(F.translate(line, BLANKS, " ")).rlike(TERMINAL)
-    return ~(navigation | (marks * 10 > _ink(line)) | shouting | furniture | unended)
+    return ~((marks * 10 > x["ink"]) | navigation | unended | furniture | shouting)
 
 
 def _windows(words: Column) -> Column:
@@ -70,7 +74,7 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _windows(F.col("words")).alias("spans"),
-        F.filter(F.array_distinct("lines"), line_passes).alias("good"),
+        F.filter(F.transform(F.array_distinct("lines"), _measured), line_passes).alias("good"),
     )
     # positions of windows that repeat: sorted by (hash, place), those with an equal neighbour
     pairs = F.when(F.size("spans") > F.size(F.array_distinct("spans")), F.sort_array(F.transform("spans", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
@@ -80,10 +84,10 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     t = t.withColumn("hits", hits).drop("pairs")
     covered = F.aggregate("hits", F.struct(F.lit(0).alias("n"), F.lit(-5).alias("end")), lambda a, i: F.struct((a["n"] + F.least(F.lit(5), i - a["end"])).alias("n"), i.alias("end")), lambda a: a["n"])
     t = t.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("hits")
-    ink = F.aggregate("good", F.lit(0), lambda a, x: a + _ink(x))
+    ink = F.aggregate("good", F.lit(0), lambda a, x: a + x["ink"])
     t = t.withColumn("base_failed", (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20))
     t = t.withColumn("kept", ~F.col("base_failed") & (ink * 100 >= F.col("word_chars") * LEAST_KEPT))
-    return t.withColumn("cleaned", F.array_join("good", "\n")).drop("good")
+    return t.withColumn("cleaned", F.array_join(F.transform("good", lambda x: x["line"]), "\n")).drop("good")
 
 
 def op6_rules(spark, sf_dir: str) -> DataFrame:
