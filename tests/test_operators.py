@@ -80,3 +80,41 @@ def test_mirror_generations(spark, tmp_path):
     state, rows = mirror.read_mirror(spark, path, "id long, x string", 1)
     assert state == "fresh" and rows.count() == 2
     assert mirror.read_mirror(spark, str(tmp_path / "none"), "id long")[0] == "missing"
+
+
+def test_segments_fit_and_keep_all_words():
+    from lodestore.functions.segments import count_tokens, segments
+
+    text = "One two three. Four five six!\n\n" + "word " * 40 + "\n\nEnd."
+    parts = segments(text, 10)
+    assert all(count_tokens(p) <= 10 for p in parts) and " ".join(parts).split() == text.split()
+    assert segments(text, None) == [text.strip()] and segments(" ", 5) == [] and segments("x" * 30, 1, len) == ["x"] * 30
+
+
+def test_lifecycle_changes(spark):
+    from lodestore.operators import lifecycle
+
+    obs = spark.createDataFrame([(1, "A", " b ", 5), (2, "A", "a", 3), (3, "A", "b", 7), (4, "B", "x", 1)], "observation_id long, concept_id string, content string, created_at long")
+    body = {r.concept_id: (r.body, r.title) for r in lifecycle.synthesis(obs).collect()}
+    assert body == {"A": ("a\nb", "a"), "B": ("x", "x")}
+    moved, refused = lifecycle.detach(obs, spark.createDataFrame([(1, "C"), (4, "C")], "observation_id long, to_concept string"))
+    assert {r.observation_id: r.concept_id for r in moved.collect()} == {1: "C", 2: "A", 3: "A", 4: "B"} and refused.first().observation_id == 4
+    rat = spark.createDataFrame([(1, "s", "approve", 1), (2, "s", "retire", 2), (3, "s", "approve", 3), (4, "t", "retire", 1)], "id long, subject_concept_id string, verdict string, created_at long")
+    assert {r.id for r in lifecycle.illegal_verdicts(rat).collect()} == {3, 4}
+    con = spark.createDataFrame([("s", "active", "*"), ("t", "active", "c")], "concept_id string, status string, circle string")
+    assert [r.concept_id for r in lifecycle.skeleton(con, rat, "c").collect()] == ["s"]
+    ws = spark.createDataFrame([("w", 1, "i", "open"), ("w", 2, "i", "done"), ("v", 1, "j", "open")], "slug string, at long, item string, state string")
+    assert {r.slug: (r.open_items, r.may_close) for r in lifecycle.workstreams(ws).collect()} == {"w": ([], True), "v": (["j"], False)}
+
+
+def test_export_and_manifest(spark, tmp_path):
+    from lodestore.sources import export
+
+    con = spark.createDataFrame([(1, "Beta", "mail x@y.org now. More."), (1, "Alpha", "first. second."), (2, "Solo", None)], "component long, title string, body string")
+    t = export.topics(con)
+    assert {r.topic for r in t.collect()} == {"alpha-1", "solo-2"}
+    assert export.chunks(t).where("topic = 'alpha-1'").count() == 2 and t.where("markdown like '%redacted-email%'").count() == 1
+    export.write(t, str(tmp_path / "md"))
+    m = export.manifest(spark, str(tmp_path / "md" / "topics"))
+    assert export.unverified(spark, str(tmp_path / "md" / "topics"), m).count() == 0
+    assert export.unverified(spark, str(tmp_path / "md" / "topics"), m.selectExpr("file", "'0' as sha256", "bytes")).count() == m.count()
