@@ -246,7 +246,7 @@ def _pairs(classes: DataFrame, cosine: float, block: int) -> DataFrame:
     some = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("x").toArrow().column(0).combine_chunks()
     some = some.chunk(0) if isinstance(some, pa.ChunkedArray) else some
     centres, entered = nested_centres(unit(some.flatten().to_numpy(zero_copy_only=False), len(some)), max(1, min(CELLS, -(-n // block))))
-    placed = stage(classes.mapInArrow(_cells(centres), "id long, w long, x array<float>, cell int, far double"), "cells")
+    placed = stage(classes.mapInArrow(_cells(centres), f"id long, w long, x {classes.schema['x'].dataType.simpleString()}, cell int, far double"), "cells")
     size = {r[0]: (r[1], r[2]) for r in placed.groupBy("cell").agg(F.count("*"), F.max("far")).collect()}
     radius = np.array([size[c][1] if c in size else 0.0 for c in range(len(centres))])
     pairs = [(a, b) for a, b in _upper_pairs(centres, entered, radius, chord(cosine)) if a in size and b in size]
