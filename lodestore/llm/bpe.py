@@ -6,25 +6,25 @@ import base64
 import hashlib
 import re
 from functools import lru_cache
-from heapq import heappop, heappush
 from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestore.llm.text import slices
+from lodestore.llm.text import Memory, slices
 
-#: Encoded pieces of text that a worker keeps at most; beyond it the memory of them starts anew.
-CACHE = 150_000
+#: Pieces of text of a generation that a worker remembers at most, and token pairs.
+CACHE, PAIRS = 150_000, 500_000
 #: A blank next to a space: only there may a pre-token depend on more than the text from one space to the next.
-_TANGLED = re.compile(r"\s |[ ]\s")
+_TANGLED = re.compile(r"\s[ ]|[ ]\s")
 
 
 class RankQueue:
-    """Buckets by rank, and three levels of 64-bit words that tell which buckets hold something."""
+    """Buckets of positions by rank, and three levels of 64-bit words that tell which buckets hold something."""
 
     def __init__(self, ranks: int):
         self.buckets: dict[int, list[int]] = {}
@@ -35,16 +35,20 @@ class RankQueue:
     def push(self, rank: int, position: int) -> None:
         held = self.buckets.get(rank)
         if held is not None:
-            heappush(held, position)
-            return
-        self.buckets[rank] = [position]
+            held.append(position)
+        else:
+            self.fill(rank, [position])
+
+    def fill(self, rank: int, positions: list[int]) -> None:
+        """Put positions into an empty bucket."""
+        self.buckets[rank] = positions
         a, b = rank >> 6, rank >> 12
         self.low[a] |= 1 << (rank & 63)
         self.mid[b] |= 1 << (a & 63)
         self.top |= 1 << b
 
-    def pop(self) -> tuple[int, int] | None:
-        """The least rank and its leftmost position."""
+    def pop(self) -> tuple[int, list[int]] | None:
+        """The least rank and all its positions from the left."""
         if not self.top:
             return None
         b = (self.top & -self.top).bit_length() - 1
@@ -52,20 +56,18 @@ class RankQueue:
         a = b << 6 | (word & -word).bit_length() - 1
         word = self.low[a]
         rank = a << 6 | (word & -word).bit_length() - 1
-        held = self.buckets[rank]
-        position = heappop(held)
-        if not held:
-            del self.buckets[rank]
-            self.low[a] &= self.low[a] - 1
-            if not self.low[a]:
-                self.mid[b] &= self.mid[b] - 1
-                if not self.mid[b]:
-                    self.top &= self.top - 1
-        return rank, position
+        self.low[a] = word & (word - 1)
+        if not self.low[a]:
+            self.mid[b] &= self.mid[b] - 1
+            if not self.mid[b]:
+                self.top &= self.top - 1
+        held = self.buckets.pop(rank)
+        held.sort()
+        return rank, held
 
 
 class Bpe:
-    """The merges of a rank file; encode() and decode() take and give whole texts."""
+    """The merges of a rank file; encode_all() and decode() take and give whole texts."""
 
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
@@ -74,42 +76,77 @@ class Bpe:
         self.bytes_of: list[bytes] = [b""] * self.size
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
+        self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)])
+        self.first_pairs = np.array([[self.ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)])
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.parts, self.pieces = Memory(CACHE), Memory(CACHE)
+        self.pairs: dict[int, int] = {}
+
+    def _pair(self, key: int) -> int:
+        """The rank of two tokens (left << 16 | right) put together, or -1."""
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
+        rank = self.pairs[key] = self.ranks.get(self.bytes_of[key >> 16] + self.bytes_of[key & 65535], -1)
+        return rank
 
     def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """The ids of each piece. All pieces lie in one linked list, parted by gaps that no pair spans; a queue entry is stale if its position no longer starts a pair of its rank."""
-        get, name, queue = self.ranks.get, self.bytes_of, RankQueue(self.size)
-        ids: list[int] = []
-        starts: list[int] = []
-        for piece in pieces:
-            starts.append(len(ids))
-            ids.extend(self.ranks[piece[i : i + 1]] for i in range(len(piece)))
-            ids.append(-1)
-        n = len(ids)
+        """The ids of each piece.
+
+        All pieces lie in one linked list, parted by gaps that no pair spans. The queue gives the least rank with its
+        positions; one is stale if it no longer starts a pair of that rank. If a merge makes a pair of a lower rank,
+        the bucket's rest goes back and that rank is next: so every piece merges in the order that it would alone.
+        """
+        if not pieces:
+            return []
+        lens = np.array([len(p) for p in pieces])
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        place = np.arange(len(data)) + np.repeat(np.arange(len(pieces)), lens)
+        n = len(data) + len(pieces)
+        ids, pair = np.full(n, -1), np.full(n, -1)
+        ids[place] = self.byte_id[data]
+        inner = np.flatnonzero(np.diff(place) == 1)
+        pair[place[inner]] = self.first_pairs[data[inner], data[inner + 1]]
+        order = np.argsort(pair, kind="stable")
+        order = order[np.searchsorted(pair[order], 0) :]
+        kinds, begin = np.unique(pair[order], return_index=True)
+        queue = RankQueue(self.size)
+        for rank, part in zip(kinds.tolist(), np.split(order, begin[1:]), strict=True):
+            queue.fill(rank, part.tolist())
+        starts = (np.cumsum(lens + 1) - lens - 1).tolist()
+        ids, pair = ids.tolist(), pair.tolist()
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [-1] * n
-        for i in range(n - 1):
-            if ids[i] >= 0 and ids[i + 1] >= 0 and (rank := get(name[ids[i]] + name[ids[i + 1]])) is not None:
-                pair[i] = rank
-                queue.push(rank, i)
+        known, seek, push = self.pairs.get, self._pair, queue.push
         while (entry := queue.pop()) is not None:
-            rank, i = entry
-            if pair[i] != rank:
-                continue
-            j = after[i]
-            k = after[j]
-            ids[i], ids[j], pair[i], pair[j] = rank, -2, -1, -1
-            after[i], before[k] = k, i
-            if ids[k] >= 0 and (new := get(name[rank] + name[ids[k]])) is not None:
+            rank, held = entry
+            for at, i in enumerate(held):
+                if pair[i] != rank:
+                    continue
+                j = after[i]
+                k = after[j]
+                ids[i], pair[j], after[i], before[k] = rank, -1, k, i
+                lower, new = False, -1
+                if ids[k] >= 0:
+                    key = rank << 16 | ids[k]
+                    new = known(key)
+                    if new is None:
+                        new = seek(key)
+                    if new >= 0:
+                        push(new, i)
+                        lower = new < rank
                 pair[i] = new
-                queue.push(new, i)
-            h = before[i]
-            if h >= 0 and ids[h] >= 0:
-                pair[h] = -1
-                if (new := get(name[ids[h]] + name[rank])) is not None:
+                h = before[i]
+                if h >= 0 and ids[h] >= 0:
+                    key = ids[h] << 16 | rank
+                    new = known(key)
+                    if new is None:
+                        new = seek(key)
                     pair[h] = new
-                    queue.push(new, h)
+                    if new >= 0:
+                        push(new, h)
+                        lower = lower or new < rank
+                if lower and at + 1 < len(held):
+                    queue.fill(rank, held[at + 1 :])
+                    break
         out = []
         for i in starts:
             got = []
@@ -121,19 +158,20 @@ class Bpe:
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
         """The ids of each text. A text is looked up from space to space where that can't change its pre-tokens, else by pre-token; what isn't known yet is merged in one queue."""
-        parts = [self._parts(t) for t in texts]
-        new = {p for row in parts for p in row if p not in self.known}
+        rows = [self._parts(t) for t in texts]
+        known, new = self.parts.recall(set(chain.from_iterable(rows)))
         if new:
-            if len(self.known) + len(new) > CACHE:
-                self.known = {}
-                new = {p for row in parts for p in row}
             tokens = {p: [t.encode() for t in self.split(p)] for p in new}
-            pieces = list({t for row in tokens.values() for t in row})
-            whole = {t: (self.ranks[t],) for t in pieces if t in self.ranks}
-            rest = [t for t in pieces if t not in whole]
-            whole.update(zip(rest, self.merge(rest), strict=True))
-            self.known.update((p, tuple(chain.from_iterable(map(whole.__getitem__, row)))) for p, row in tokens.items())
-        return [list(chain.from_iterable(map(self.known.__getitem__, row))) for row in parts]
+            ids, missing = self.pieces.recall(set(chain.from_iterable(tokens.values())))
+            made = {t: (self.ranks[t],) for t in missing if t in self.ranks}
+            rest = [t for t in missing if t not in made]
+            made.update(zip(rest, self.merge(rest), strict=True))
+            self.pieces.keep(made)
+            ids.update(made)
+            found = {p: tuple(chain.from_iterable(map(ids.__getitem__, row))) for p, row in tokens.items()}
+            self.parts.keep(found)
+            known.update(found)
+        return [list(chain.from_iterable(map(known.__getitem__, row))) for row in rows]
 
     def _parts(self, text: str) -> list[str]:
         if _TANGLED.search(text):

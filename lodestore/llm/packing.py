@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import json
 import random
-import re
 import zlib
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,9 +24,6 @@ BLOCK_PIECES = 4000
 ISLANDS, EPOCHS, POPULATION, CHILDREN = 2, 2, 4, 8
 #: A bin with this many free tokens at most is final; the others' pieces meet again in the next round's blocks.
 SPARE = 0
-#: Pieces of text known to a worker at most.
-CACHE = 150_000
-_TANGLED = re.compile(r"\s[ ]|[ ]\s")
 
 
 @lru_cache(maxsize=2)
@@ -40,29 +35,13 @@ def _encoder(path: str):
     letters = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in letters} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in letters)}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in made["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, {}
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
-    """The ids of each whole text; looked up from space to space where the text has no blank beside a space."""
-    encode, known = _encoder(path)
-    out = []
-    for text in texts:
-        if _TANGLED.search(text):
-            out.append(np.array(encode(text), np.uint32))
-            continue
-        first, *rest = text.split(" ")
-        parts = ([first] if first else []) + [" " + x for x in rest]
-        new = [p for p in parts if p not in known]
-        if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = parts
-            for p in new:
-                if p not in known:
-                    known[p] = encode(p)
-        out.append(np.fromiter(chain.from_iterable(map(known.__getitem__, parts)), np.uint32))
-    return out
+    """The ids of each whole text."""
+    encode = _encoder(path).encode_to_numpy
+    return [np.asarray(encode(t, disallowed_special=()), np.uint32) for t in texts]
 
 
 def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

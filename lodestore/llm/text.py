@@ -6,7 +6,7 @@ exactly A-Z, so UTF-8 texts are handled as bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,32 @@ def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = SLICE
             start = stop
 
 
+class Memory:
+    """What a worker remembers of pieces of text: two generations of at most `most` entries, so that what recurs stays."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def recall(self, keys: Iterable) -> tuple[dict, list]:
+        """What is known of the keys, and those that aren't known."""
+        young, old, found, missing = self.young, self.old, {}, []
+        for k in keys:
+            v = young.get(k)
+            if v is None and (v := old.get(k)) is not None:
+                young[k] = v
+            if v is None:
+                missing.append(k)
+            else:
+                found[k] = v
+        return found, missing
+
+    def keep(self, new: dict) -> None:
+        if len(self.young) + len(new) > self.most:
+            self.old, self.young = self.young, {}
+        if len(new) <= self.most:
+            self.young.update(new)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of SplitMix64."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)

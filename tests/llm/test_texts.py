@@ -52,7 +52,24 @@ def test_rank_queue_pops_in_order():
     q = bpe.RankQueue(50256)
     for r, p in items:
         q.push(r, p)
-    assert [q.pop() for _ in items] == sorted(items) and q.pop() is None
+    got = []
+    while (entry := q.pop()) is not None:
+        got += [(entry[0], p) for p in entry[1]]
+    assert got == sorted(items)
+
+
+def test_lower_ranks_come_first(tmp_path):
+    """Merging b and c makes a pair of a lower rank with a, which must come before what is left of the bucket."""
+    import base64
+
+    tokens = [bytes([i]) for i in range(256)] + [b"abc", b"cb", b"bc", b"bcbc"]
+    path = tmp_path / "ranks"
+    path.write_bytes(b"\n".join(base64.b64encode(t) + b" " + str(i).encode() for i, t in enumerate(tokens)))
+    enc = tiktoken.Encoding("x", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    own = bpe.Bpe(str(path), P.PATTERN)
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 40))) for _ in range(300)]
+    assert own.encode_all(texts) == [enc.encode_ordinary(t) for t in texts]
 
 
 def test_packing_is_whole_and_tight(spark):
