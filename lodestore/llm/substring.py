@@ -125,9 +125,9 @@ def _grown(window: int):
     return run
 
 
-def _few(spans: DataFrame) -> DataFrame:
+def _few(spans: DataFrame, column: str = "gone") -> DataFrame:
     """The table of spans, to be broadcast if its bytes and 16 more a row are within the bound."""
-    size = spans.agg(F.sum(F.octet_length("gone") + 16)).first()[0] or 0
+    size = spans.agg(F.sum(F.octet_length(column) + 16)).first()[0] or 0
     return F.broadcast(spans) if size <= BROADCAST_BYTES else spans
 
 
@@ -226,7 +226,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out.append(without(text, gone_words(len(text.split()), s)))
         return pa.array(out, pa.binary()).cast(pa.string())
 
-    t = docs.withColumn("__doc", F.xxhash64(F.col(id_col), as_bytes(text_col))).join(_few(spans), "__doc", "left")
+    t = docs.withColumn("__doc", F.xxhash64(F.col(id_col), as_bytes(text_col))).join(_few(spans, "__gone"), "__doc", "left")
     t = t.withColumn("__cut", F.when(F.col("__gone").isNotNull(), trim(as_bytes(text_col), F.coalesce("__gone", F.lit(b"")))))
     t = t.where("__cut is null or __cut <> ''").withColumn(text_col, F.coalesce("__cut", text_col))
     return t.select(*docs.columns)
