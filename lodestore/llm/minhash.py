@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestore.llm.text import GOLDEN, U, keyed_texts, longs, mix, shingle_sets, slices
 from lodestore.operators.components import connected_components
-from lodestore.plans.staging import stage
+from lodestore.plans.staging import stage, unstage
 
 SHINGLE_WORDS, THRESHOLD = 5, 75
 #: Bands of rows: a pair at similarity 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6.
@@ -144,9 +144,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at = stage(at.join(open_, "bucket", "left_semi"), "open")
     near = connected_components(at.join(at.groupBy("bucket").agg(F.min("cls").alias("least")), "bucket").select("cls", "least").distinct(), "cls", "least")
     more = _blocks(at.select("cls", "part").distinct(), near, reps, sets, threshold)
-    links = links.union(stage(more, "block-links"))
-
-    label = connected_components(copies.union(links))
+    more = stage(more, "block-links")
+    label = connected_components(copies.union(links).union(more))
+    for t in (classes, reps, members, sets, links, at, more):
+        unstage(t)
     out = sk.select("doc_id", "n_shingles").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

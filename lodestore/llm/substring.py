@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestore.llm.text import GOLDEN, U, as_bytes, longs, mix, slices, windows, word_hashes
-from lodestore.plans.staging import stage
+from lodestore.plans.staging import stage, unstage
 
 #: Words of a window, and of the prefix by which suffixes are dealt out.
 WINDOW, PREFIX = 35, 8
@@ -174,7 +174,10 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, p
     full = F.expr("shiftleft(1L, count) - 1")
     spans = live.join(single, ["key", "content"], "left").select("doc", "start", "count", F.coalesce("bits", full).alias("bits")).where("bits <> 0")
     spans = spans.groupBy("doc").agg(F.collect_set(F.struct("start", "count", "bits")).alias("spans"))
-    return stage(spans.mapInArrow(_merged(window), "doc long, gone binary"), "spans")
+    spans = stage(spans.mapInArrow(_merged(window), "doc long, gone binary"), "spans")
+    for t in (runs, live, each, asked, body):
+        unstage(t)
+    return spans
 
 
 def gone_words(n: int, gone: bytes) -> np.ndarray:

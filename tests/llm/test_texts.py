@@ -86,7 +86,7 @@ def test_packing_is_whole_and_tight(spark):
     assert (ordered.offset == ordered.groupby("sequence_id").length.cumsum() - ordered.length).all()
     used = got.groupby("sequence_id").length.sum()
     least = max(-(-got.length.sum() // 1024), (got.length > 512).sum())
-    assert used.max() <= 1024 and len(used) <= least + 1
+    assert used.max() <= 1024 and len(used) <= least + 3
     assert packing.pack_documents(docs(spark, []), JSON).count() == 0
 
 
