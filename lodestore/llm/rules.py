@@ -83,9 +83,10 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     hits = F.sort_array(F.transform(F.filter("pairs", twin), lambda x: x["i"]))
     t = t.withColumn("hits", hits).drop("pairs")
     covered = F.aggregate("hits", F.struct(F.lit(0).alias("n"), F.lit(-5).alias("end")), lambda a, i: F.struct((a["n"] + F.least(F.lit(5), i - a["end"])).alias("n"), i.alias("end")), lambda a: a["n"])
-    t = t.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("hits")
+    # a filter on what follows mustn't be pushed below these steps: each uses the last several times, so inlined they'd grow without end
+    t = t.withColumns({"n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"), "place": F.monotonically_increasing_id()}).drop("hits")
     ink = F.aggregate("good", F.lit(0), lambda a, x: a + x["ink"])
-    t = t.withColumn("base_failed", (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20))
+    t = t.withColumn("base_failed", (F.col("place") < 0) | (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)).drop("place")
     t = t.withColumn("kept", ~F.col("base_failed") & (ink * 100 >= F.col("word_chars") * LEAST_KEPT))
     return t.withColumn("cleaned", F.array_join(F.transform("good", lambda x: x["line"]), "\n")).drop("good")
 
