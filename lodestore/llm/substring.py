@@ -17,7 +17,7 @@ from lodestore.plans.staging import stage, unstage
 WINDOW, PREFIX = 35, 8
 #: Suffixes of one subtree group (about 12 MB), and distinct runs from which a prefix is grown to the whole window.
 GROUP_SUFFIXES, HEAVY = 150_000, 3_000
-#: The table of removed ranges is broadcast up to this many bytes; beyond it the texts are shuffled.
+#: The table of removed ranges is broadcast up to this many bytes (summed first); beyond it the texts are shuffled.
 BROADCAST_BYTES = 16 << 20
 #: Words of one edge of a subtree; 35 is seven edges.
 EDGE = 5
