@@ -1,8 +1,13 @@
-"""Language-model scores from a log-frequency Bloom filter of n-gram counts, beside an exact unigram base."""
+"""Language-model scores from a log-frequency Bloom filter of n-gram counts, beside an exact unigram base.
+
+The filter has as many segments as its entries need. The most frequent n-grams stand in a part of fixed size that each
+worker holds; all others, down to those seen once, in far segments, to which the probes are shuffled.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import gc
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -12,16 +17,18 @@ from pyspark.sql import functions as F
 
 from lodestore.llm.labelled import held_out
 from lodestore.llm.text import GOLDEN, U, keyed_texts, longs, mix, slices
-from lodestore.plans.staging import stage
+from lodestore.plans.staging import stage, unstage
 
-#: The filter that each worker holds: 64 segments of 2^22 bits (32 MiB in all), and probes of one membership test.
+#: The part of the filter that each worker holds: 64 segments of 2^22 bits (32 MiB in all), and probes of one membership test.
 SEGMENTS, SEGMENT_BITS, PROBES = 64, 1 << 22, 9
-#: Bits to an entry at least; if more n-grams than then fit, the count that an n-gram needs to be entered rises.
+#: Bits to an entry at least; n-grams below the least count at which those above it fit that part go to far segments.
 BITS_EACH = 14
 #: Counts are quantised to powers of this.
 BASE = 1.6
 #: Exact counts of at most this many frequent tokens are broadcast (16 MiB); the others' are joined.
 FREQUENT = 1 << 20
+#: Probes of one far segment that a task takes at once; more are dealt over copies of the segment.
+FAR_PROBES = 1 << 20
 #: Training documents from which the mixture weights are fitted.
 MIXTURE_DOCS = 400
 #: The end of a text, as a token that no word equals.
@@ -52,6 +59,25 @@ def level(n: np.ndarray) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / np.log(BASE) + 1e-9).astype(np.int64)
 
 
+def quantised(lev: np.ndarray) -> np.ndarray:
+    """Counts as the filter has them, by level: 0 below level 0."""
+    return np.where(lev < 0, 0.0, np.where(lev == 0, 1.0, BASE ** (lev + 0.5)))
+
+
+def levels(bits: np.ndarray, base: np.ndarray, h: np.ndarray, cut: int) -> np.ndarray:
+    """The level of each n-gram, -1 for what isn't entered: levels are probed upwards from the cut until one isn't a member."""
+    lev, here, at = np.full(len(h), -1), np.arange(len(h)), cut
+    while len(here):
+        a, s = _places(h[here], at)
+        for i in range(PROBES):
+            b = (a + s * U(i)) & U(SEGMENT_BITS - 1)
+            hit = (bits[base[here] + (b >> U(3)).astype(np.int64)] >> (b & U(7)).astype(np.uint8)) & 1 > 0
+            here, a, s = here[hit], a[hit], s[hit]
+        lev[here] = at
+        at += 1
+    return lev
+
+
 def _counted(batches):
     """Distinct tokens and pairs of a slice with their counts."""
     for part in slices(batches, most=1 << 22):
@@ -85,7 +111,10 @@ def _segment(cut: int):
 
 @dataclass
 class Model:
-    """Filter, frequent tokens' exact counts, totals, and the weight of the pair estimate by the context's level."""
+    """Filter, frequent tokens' exact counts, totals, and the weight of the pair estimate by the context's level.
+
+    Pairs below the cut are in `far`, a table (segment, bits) of `segments` rows that isn't sent with the model.
+    """
 
     bits: np.ndarray
     cut: int
@@ -94,22 +123,18 @@ class Model:
     total: int
     kinds: int
     weight: np.ndarray
+    segments: int = 0
+    far: DataFrame | None = field(default=None, repr=False)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"far": None}
+
+    def level_of(self, h: np.ndarray) -> np.ndarray:
+        return levels(self.bits, (h >> U(58)).astype(np.int64) * (SEGMENT_BITS // 8), h, self.cut)
 
     def count(self, h: np.ndarray) -> np.ndarray:
-        """Counts as the filter has them, 0 for what isn't entered: levels are probed upwards until one isn't a member."""
-        lev = np.full(len(h), self.cut - 1)
-        base = (h >> U(58)).astype(np.int64) * (SEGMENT_BITS // 8)
-        here = np.arange(len(h))
-        at = self.cut
-        while len(here):
-            a, s = _places(h[here], at)
-            for i in range(PROBES):
-                b = (a + s * U(i)) & U(SEGMENT_BITS - 1)
-                hit = (self.bits[base[here] + (b >> U(3)).astype(np.int64)] >> (b & U(7)).astype(np.uint8)) & 1 > 0
-                here, a, s = here[hit], a[hit], s[hit]
-            lev[here] = at
-            at += 1
-        return np.where(lev < self.cut, 0.0, np.where(lev == 0, 1.0, BASE ** (lev + 0.5)))
+        """Counts as the worker's part of the filter has them, 0 for what isn't entered there."""
+        return quantised(self.level_of(h))
 
     def exact(self, h: np.ndarray) -> np.ndarray:
         """Exact counts of frequent tokens, 0 for others."""
@@ -118,27 +143,23 @@ class Model:
         i = np.minimum(np.searchsorted(self.tokens, h), len(self.tokens) - 1)
         return np.where(self.tokens[i] == h, self.counts[i], 0)
 
-    def parts(self, one: np.ndarray, two: np.ndarray, leave: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Single and pair estimates of each token, and the context's level; `leave` is taken from each count (leave-one-out)."""
-        kinds, back = np.unique(one, return_inverse=True)
-        own = self.count(kinds)[back]
-        context = before(own)
-        context[0] = self.count(np.full(1, U(_END)))[0]
-        single = (np.maximum(own - leave, 0) + 1) / (self.total + self.kinds + 1)
-        pair = np.minimum(np.maximum(np.minimum(self.count(two), context) - leave, 0) / np.maximum(context - leave, 1), 1.0)
-        return np.minimum(single, 1.0), pair, np.where(context > 0, level(context) + 1, 0)
-
-    def log10(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        single, pair, lev = self.parts(one, two)
+    def parts(self, own: np.ndarray, context: np.ndarray, both: np.ndarray, leave: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Single and pair estimates of tokens, and the contexts' levels, from the levels of the token, its context and their pair; `leave` is taken from each count (leave-one-out)."""
+        n, c = quantised(own), quantised(context)
+        single = (np.maximum(n - leave, 0) + 1) / (self.total + self.kinds + 1)
+        pair = np.minimum(np.maximum(np.minimum(quantised(both), c) - leave, 0) / np.maximum(c - leave, 1), 1.0)
+        return np.minimum(single, 1.0), pair, np.where(context < 0, 0, level(c) + 1)
+
+    def log10(self, own: np.ndarray, context: np.ndarray, both: np.ndarray) -> np.ndarray:
+        single, pair, lev = self.parts(own, context, both)
         w = self.weight[np.minimum(lev, len(self.weight) - 1)]
         return np.log10(w * pair + (1 - w) * single)
 
-    def fit_weights(self, texts: list[bytes]) -> None:
+    def fit_weights(self, own: np.ndarray, context: np.ndarray, both: np.ndarray) -> None:
         """Weights by expectation-maximisation, each token predicted with itself taken out of the counts."""
-        if not texts or not self.total:
+        if not len(own) or not self.total:
             return
-        one, two, _ = grams(texts)
-        single, pair, lev = self.parts(one, two, 1.0)
+        single, pair, lev = self.parts(own, context, both, 1.0)
         lev = np.minimum(lev, len(self.weight) - 1)
         n = np.bincount(lev, minlength=len(self.weight))[: len(self.weight)]
         for _ in range(25):
@@ -147,24 +168,36 @@ class Model:
             self.weight = (np.bincount(lev, share, minlength=len(self.weight))[: len(n)] + 0.05) / (n + 1)
 
 
+def _log_level(n: str):
+    return F.floor(F.log(F.col(n).cast("double")) / float(np.log(BASE)) + 1e-9)
+
+
+def _far_segment(h: str, segments: int):
+    return F.pmod(F.shiftrightunsigned(h, 20), F.lit(segments)).cast("int")
+
+
+def _filter(entered: DataFrame, cut: int) -> DataFrame:
+    return entered.groupBy("segment").applyInArrow(_segment(cut), "segment int, bits binary")
+
+
 def train(docs: DataFrame, modulus: int = 7, remainder: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
     """The model of the documents that aren't held out, and the table (h, n) of all their tokens' exact counts.
 
-    All tokens and pairs are counted exactly, with a combine on the map side. Pairs seen once aren't entered in the
-    filter; if what is left doesn't fit at BITS_EACH, the least count rises by levels until it does.
+    All tokens and pairs are counted exactly, with a combine on the map side, and all are entered in the filter. If
+    they don't fit the worker's part at BITS_EACH, those below a level go to as many far segments as they need.
     """
     kept = docs.where(~held_out(id_col, modulus, remainder))
     texts = keyed_texts(kept, id_col, text_col)
     counted = texts.mapInArrow(_counted, "gram byte, h long, n long").groupBy("gram", "h").agg(F.sum("n").alias("n"))
-    counted = stage(counted.where("gram = 1 or n > 1"), "grams")
-    lev = F.floor(F.log(F.col("n").cast("double")) / float(np.log(BASE)) + 1e-9)
+    counted = stage(counted, "grams")
+    lev = _log_level("n")
     spread = sorted((int(r[0]), int(r[1]), int(r[2])) for r in counted.groupBy("gram", lev).count().collect())
-    single = counted.where("gram = 1").select("h", "n")
+    single = stage(counted.where("gram = 1").select("h", "n"), "tokens")
     total, kinds = single.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = max((x[1] for x in spread), default=0)
     cut = next(c for c in range(top + 2) if sum((x - c + 1) * n for _, x, n in spread if x >= c) * BITS_EACH <= SEGMENTS * SEGMENT_BITS)
     entered = counted.where(lev >= cut).select("h", "n", F.shiftrightunsigned("h", 58).cast("int").alias("segment"))
-    made = entered.groupBy("segment").applyInArrow(_segment(cut), "segment int, bits binary").toArrow()
+    made = _filter(entered, cut).toArrow()
     bits = np.zeros((SEGMENTS, SEGMENT_BITS // 8), np.uint8)
     for s, b in zip(made.column(0).to_pylist(), made.column(1), strict=True):
         bits[s] = np.frombuffer(b.as_buffer(), np.uint8)
@@ -173,16 +206,74 @@ def train(docs: DataFrame, modulus: int = 7, remainder: int = 2, id_col: str = "
     tokens = exact.column(0).to_numpy().view(U)
     order = np.argsort(tokens)
     model = Model(bits.reshape(-1), cut, tokens[order], exact.column(1).to_numpy()[order], int(total), int(kinds), np.full(top + 3, 0.5))
+    below = None
+    if cut:
+        model.segments = -(-sum((x + 1) * n for g, x, n in spread if g == 2 and x < cut) * BITS_EACH // SEGMENT_BITS) or 1
+        below = counted.where((F.col("gram") == 2) & (lev < cut)).select("h", "n", _far_segment("h", model.segments).alias("segment"))
+        model.far = stage(_filter(below, 0), "segments")
     some = texts.where(F.length("text") <= 100_000).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MIXTURE_DOCS).select("text").toArrow()
-    model.fit_weights(some.column(0).to_pylist())
+    one, two, _ = grams(some.column(0).to_pylist())
+    asked = docs.sparkSession.createDataFrame(pa.table({"h": np.unique(np.concatenate([one, two])).view(np.int64)}), "h long")
+    known = counted.join(F.broadcast(asked), "h").select("h", "n").toArrow()
+    h = known.column(0).to_numpy().view(U)
+    order = np.argsort(h)
+    h, n = h[order], level(known.column(1).to_numpy()[order])
+    if len(h):
+        model.fit_weights(*(n[np.searchsorted(h, x)] for x in (one, before(one), two)))
+    unstage(counted)
+    # the shuffles of the counts aren't read again: Spark deletes their files once the driver has collected their plans
+    del kept, texts, counted, entered, below, some, known
+    gc.collect()
+    docs.sparkSession.sparkContext._jvm.System.gc()
     return model, single
 
 
+def _lists(x: np.ndarray, at: np.ndarray, chosen: np.ndarray, kind: type) -> pa.Array:
+    """Of each text the chosen tokens' values, as a list."""
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(chosen)])[at]
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x[chosen].astype(kind)))
+
+
+def _far_scores(held):
+    def run(probes: pa.Table, segment: pa.Table) -> pa.Table:
+        """The score of the tokens whose pairs belong to one far segment, summed by text."""
+        uid = probes.column("uid").to_numpy()
+        h, packed = probes.column("h").to_numpy().view(U), probes.column("lev").to_numpy()
+        both = np.full(len(h), -1)
+        if segment.num_rows:
+            both = levels(np.frombuffer(segment.column("bits")[0].as_buffer(), np.uint8), np.zeros(len(h), np.int64), h, 0)
+        kinds, back = np.unique(uid, return_inverse=True)
+        part = np.bincount(back, held.value.log10((packed >> 8) - 1, (packed & 255) - 1, both), minlength=len(kinds))
+        return pa.table({"uid": pa.array(kinds, pa.int64()), "part": pa.array(part, pa.float64())})
+
+    return run
+
+
+def _far_parts(rows: DataFrame, model: Model, counts: DataFrame, held) -> DataFrame:
+    """(uid, part): what the tokens that the worker's part of the filter doesn't settle add to the texts' scores.
+
+    A rare token's level is looked up among the exact counts, a pair's in its far segment. What needs no look-up is
+    keyed by its pair, which equals no token, so it is spread too.
+    """
+    far = rows.select("uid", F.inline(F.arrays_zip(F.col("far").alias("h"), F.col("far_lev").alias("lev"))))
+    odd = rows.select("uid", F.inline(F.arrays_zip(F.col("odd").alias("h"), F.col("odd_lev").alias("lev"), F.col("odd_own").alias("own"), F.col("odd_context").alias("context"))))
+    for name, step in (("own", 256), ("context", 1)):
+        found = counts.select(F.col("h").alias(name), ((_log_level("n").cast("int") + 1) * step).alias("more"))
+        odd = odd.join(found, name, "left").select("uid", "h", (F.col("lev") + F.coalesce("more", F.lit(0))).alias("lev"), *(["context"] if name == "own" else []))
+    most = rows.agg(F.sum((F.size("far") + F.size("odd")).cast("long"))).first()[0] or 0
+    copies = -(-most // (model.segments * FAR_PROBES)) or 1
+    probes = far.union(odd).withColumns({"segment": _far_segment("h", model.segments), "copy": F.pmod("uid", F.lit(copies)).cast("int")})
+    bits = model.far.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    both = probes.groupBy("segment", "copy").cogroup(bits.groupBy("segment", "copy"))
+    return both.applyInArrow(_far_scores(held), "uid long, part double").groupBy("uid").agg(F.sum("part").alias("part"))
+
+
 def score_documents(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     base_score is exact: frequent tokens are looked up in the broadcast table, the others' (text, token) rows are
-    joined with `counts` and summed. score mixes the pair's and the token's estimates from the filter. Null and empty
+    joined with `counts` and summed. score mixes the pair's and the token's estimates from the filter: tokens that the
+    worker's part of it settles are summed at once, the others' by the far segments. Null and empty
     texts are their end token. Repeated rows and null ids are rows of their own; other columns aren't read.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -190,20 +281,34 @@ def score_documents(docs: DataFrame, model: Model, counts: DataFrame, id_col: st
 
     def run(batches):
         m = held.value
+        end = np.full(1, U(_END))
         for part in slices(batches):
             one, two, at = grams(part.column(1).to_pylist())
-            kinds, back = np.unique(one, return_inverse=True)
-            c = m.exact(kinds)[back]
+            kinds, back = np.unique(np.concatenate([end, one]), return_inverse=True)
+            n = m.exact(kinds)
+            lev = np.where(n > 0, level(n), -1)
+            lev[n == 0] = m.level_of(kinds[n == 0])
+            c, own, both = n[back[1:]], lev[back[1:]], m.level_of(two)
+            context = np.concatenate([lev[back[:1]], own[:-1]])
             logs = np.where(c > 0, np.log10((c + 1.0) / floor), 0.0)
-            columns = [np.add.reduceat(x, at[:-1]) for x in ((c > 0).astype(np.int64), logs, m.log10(one, two))]
+            odd = (own < 0) | (context < 0) if m.cut else np.zeros(len(one), bool)
+            far = (both < 0) & ~odd if m.cut else odd
+            score = np.where(far | odd, 0.0, m.log10(own, context, both))
+            columns = [np.add.reduceat(x, at[:-1]) for x in ((c > 0).astype(np.int64), logs, score)]
             rare = [one[a:b][c[a:b] == 0] for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), *map(pa.array, columns), longs(rare)], names=["doc_id", "n_tokens", "known", "base", "score", "rare"])
+            packed = (own + 1) * 256 + context + 1
+            keys = (two, np.where(own < 0, one, two), np.where(context < 0, before(one), two))
+            lists = [_lists(two.view(np.int64), at, far, np.int64), _lists(packed, at, far, np.int32), _lists(packed, at, odd, np.int32), *(_lists(x.view(np.int64), at, odd, np.int64) for x in keys)]
+            names = ["doc_id", "n_tokens", "known", "base", "score", "rare", "far", "far_lev", "odd_lev", "odd", "odd_own", "odd_context"]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), *map(pa.array, columns), longs(rare), *lists], names=names)
 
-    schema = "doc_id long, n_tokens long, known long, base double, score double, rare array<long>"
+    schema = "doc_id long, n_tokens long, known long, base double, score double, rare array<long>, far array<long>, far_lev array<int>, odd_lev array<int>, odd array<long>, odd_own array<long>, odd_context array<long>"
     rows = stage(keyed_texts(docs, id_col, text_col).mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id()), "scored")
     rare = rows.select("uid", F.explode("rare").alias("h")).join(counts, "h").groupBy("uid")
     rare = rare.agg(F.count("*").alias("more"), F.sum(F.log10((F.col("n") + 1) / F.lit(floor)) - F.lit(float(-np.log10(floor)))).alias("gain"))
-    out = rows.withColumn("absent", F.size("rare")).drop("rare").join(rare, "uid", "left")
+    out = rows.withColumn("absent", F.size("rare")).drop("rare", "far", "far_lev", "odd_lev", "odd", "odd_own", "odd_context").join(rare, "uid", "left")
+    if model.far is not None:
+        out = out.join(_far_parts(rows, model, counts, held), "uid", "left").withColumn("score", F.col("score") + F.coalesce("part", F.lit(0.0)))
     base = F.col("base") + F.col("absent") * F.lit(float(-np.log10(floor))) + F.coalesce("gain", F.lit(0.0))
     return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 

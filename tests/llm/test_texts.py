@@ -191,6 +191,22 @@ def test_bloom_counts_never_fall_short(spark):
         assert (lm.level(model.count(kinds)) >= lm.level(n)).all()
 
 
+def test_lm_scores_are_the_same_where_the_filter_outgrows_a_worker(spark, monkeypatch):
+    rng = random.Random(8)
+    table = docs(spark, [" ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(40)) for _ in range(60)] + ["once only here", None])
+    whole, counts = lm.train(table)
+    want = {r.doc_id: r.score for r in lm.score_documents(table, whole, counts).collect()}
+    one, two, _ = lm.grams([b"once only here"])
+    assert whole.cut == 0 and (whole.count(two) >= 1).all()
+    monkeypatch.setattr(lm, "BITS_EACH", 1 << 20)
+    monkeypatch.setattr(lm, "FREQUENT", 20)
+    monkeypatch.setattr(lm, "FAR_PROBES", 3)
+    small, counts = lm.train(table)
+    assert small.cut > 0 and small.segments > 1
+    got = {r.doc_id: r.score for r in lm.score_documents(table, small, counts).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
+
+
 def rule_counts(text):
     w = brute.words(text)
     win = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
