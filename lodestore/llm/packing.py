@@ -24,6 +24,8 @@ BLOCK_PIECES = 4000
 ISLANDS, EPOCHS, POPULATION, CHILDREN = 2, 2, 4, 8
 #: A bin with this many free tokens at most is final; the others' pieces meet again in the next round's blocks.
 SPARE = 0
+#: A round that places less than one in so many of its pieces is the last, however many blocks it has.
+WORTHWHILE = 4
 
 
 @lru_cache(maxsize=2)
@@ -183,10 +185,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK_PIECES)
 
     Pieces fall into blocks of about `block` by a hash of their uid. Each block evolves on ISLANDS islands, which are
     Spark groups of their own; between epochs each island's elite also goes to its neighbour. Full bins are final; the
-    pieces of the others are dealt into fewer, new blocks until one block is left.
+    pieces of the others are dealt into new blocks of the same size, as many as they need, until one block is left or
+    a round fills hardly any bin: then all bins of the next round are final, in each of its blocks, at the cost of one
+    bin a block that may stay open.
     """
     size, rest, done, turn = "block long, island int, uid long, length long, bin long", pieces.select("uid", "length"), [], 0
-    n = rest.count()
+    n, last = rest.count(), False
     while True:
         blocks = max(1, round(n / block))
         t = rest.withColumn("block", F.pmod(F.xxhash64("uid", F.lit(turn)), F.lit(blocks))).withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])))
@@ -196,7 +200,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK_PIECES)
             then = stage(guests.groupBy("block", "island").applyInPandas(_again(capacity), size), "island")
             unstage(now)
             now = then
-        last = blocks == 1
+        last = last or blocks == 1
         out = stage(now.groupBy("block").applyInPandas(_settled(capacity, last), "uid long, length long, sequence_id long, offset long"), "packed")
         unstage(now)
         done.append(out.where("sequence_id is not null").select("uid", "sequence_id", "offset"))
@@ -206,7 +210,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK_PIECES)
         left = rest.count()
         if not left:
             break
-        n = min(left, n * 3 // 4)
+        n, last = left, (n - left) * WORTHWHILE < n
     union = done[0]
     for d in done[1:]:
         union = union.union(d)

@@ -90,6 +90,28 @@ def test_packing_is_whole_and_tight(spark):
     assert packing.pack_documents(docs(spark, []), JSON).count() == 0
 
 
+def test_packing_blocks_stay_small_where_no_bin_fills(spark, monkeypatch):
+    dealt = []
+    taken = packing.stage
+
+    def watched(df, name):
+        out = taken(df, name)
+        if name == "island":
+            dealt.append(out.groupBy("block", "island").count().agg({"count": "max"}).first()[0])
+        return out
+
+    monkeypatch.setattr(packing, "stage", watched)
+    for size in ([600] * 3000, [600] * 2600 + [400] * 400, [300] * 3000, [random.Random(i).randrange(1, 1024) for i in range(3000)]):
+        dealt.clear()
+        pieces = spark.createDataFrame([(i, x) for i, x in enumerate(size)], "uid long, length long")
+        got = packing.pack(pieces, 1024, 100).toPandas()
+        assert sorted(got.uid) == list(range(len(size))) and max(dealt) < 200
+        got["length"] = [size[i] for i in got.uid]
+        used = got.groupby("sequence_id").length.sum()
+        least = max(-(-sum(size) // 1024), sum(x > 512 for x in size), -(-sum(x == 300 for x in size) // 3))
+        assert used.max() <= 1024 and len(used) <= least * 1.02 + 3 * len(size) / 100
+
+
 def test_crossover_keeps_every_piece():
     rng = random.Random(5)
     size = [rng.randrange(1, 1024) for _ in range(300)]
