@@ -43,6 +43,17 @@ def component_sizes(spark, sf):
     return session_components(spark, sf).groupBy("component").agg(F.count("*").alias("members"))
 
 
+def trade_components(spark, sf):
+    """Components of suppliers and customers over every order line."""
+    o, li = read(spark, sf, "orders", "lineitem")
+    e = li.join(o, li.l_orderkey == o.o_orderkey).select((F.col("l_suppkey") * 2).alias("a"), (F.col("o_custkey") * 2 + 1).alias("b")).distinct()
+    return connected_components(e)
+
+
+def trade_component_sizes(spark, sf):
+    return trade_components(spark, sf).groupBy("component").agg(F.count("*").alias("members"))
+
+
 def two_hop_reach(spark, sf):
     """Parts reached from every fiftieth part over follow edges seen at least once, in at most two hops."""
     e = graph.follows(visits(spark, sf)).select("src", "dst")
@@ -64,6 +75,12 @@ def unsupported_edges(spark, sf):
     return graph.without_support(e, memberships(spark, sf).where("kind <> 'noun'"))
 
 
+def unsupported_edges_all(spark, sf):
+    """Co-occurrences in all orders whose parts share neither brand and size, brand, nor a word of their names."""
+    e = graph.co_occurrences(visits(spark, sf)).select("a", "b")
+    return graph.without_support(e, memberships(spark, sf).where("kind <> 'noun'"))
+
+
 def undirected_counts(spark, sf):
     e = graph.follows(visits(spark, sf))
     return e.groupBy((F.col("times") > 1).alias("repeated")).agg(F.count_distinct(F.least("src", "dst"), F.greatest("src", "dst")).alias("edges"))
@@ -84,7 +101,7 @@ _FO = f"{_VISIT}, l as (select lag(p) over (partition by s, c order by n, k, p)
 _MEM = "m as (select p_partkey as c, 'id' as kind, p_brand || '-' || p_size as key, 3 as weight from part union all select p_partkey, 'lib', p_brand, 2 from part union all select distinct p_partkey, 'noun', unnest(string_split(p_name, ' ')), 1 from part)"
 _COMP = "e as (select distinct l_suppkey * 2 as a, o_custkey * 2 + 1 as b from lineitem join orders on l_orderkey = o_orderkey where l_quantity >= 50 and l_discount >= 0.09), s as (select a, b from e union select b, a from e), reach as (select a as node, a as root from s union select s.b, r.root from reach r join s on s.a = r.node), comp as (select node, min(root) as component from reach group by 1)"
 
-QUERIES = {f.__name__: f for f in (co_occurrence_edges, follow_edges, about_edges, entity_hubs, concept_degrees, session_components, component_sizes, two_hop_reach, alias_chains, unsupported_edges, undirected_counts, dangling_edges)}
+QUERIES = {f.__name__: f for f in (co_occurrence_edges, follow_edges, about_edges, entity_hubs, concept_degrees, session_components, component_sizes, trade_components, trade_component_sizes, two_hop_reach, alias_chains, unsupported_edges, unsupported_edges_all, undirected_counts, dangling_edges)}
 ORACLE = {
     "co_occurrence_edges": f"with {_CO} select * from co",
     "follow_edges": f"with {_FO} select * from fo",

@@ -1,7 +1,10 @@
+from collections import Counter, defaultdict
+
 from pyspark.sql import functions as F
 
 from lodestore.operators import gates, graph, ledger, resolution, sync
 from lodestore.operators.components import connected_components
+from lodestore.plans import graphs
 from lodestore.sources import mirror
 from lodestore.streaming import spool
 
@@ -15,6 +18,40 @@ def test_components_small_and_star_rounds_agree(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_all_order_lines_equal_brute_force(spark, tmp_path):
+    lines = [(o, s, p, n, 1.0, 0.0) for o, parts in ((1, [(1, 10), (2, 11)]), (2, [(2, 12)]), (3, [(3, 13), (4, 14)]), (4, [(9, 10)])) for n, (s, p) in enumerate(parts)]
+    orders = [(1, 7, "1-URGENT"), (2, 8, "5-LOW"), (3, 9, "2-HIGH"), (4, 6, "5-LOW")]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_partkey long, l_linenumber int, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    customer = {o: c for o, c, _ in orders}
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for o, s, *_ in lines:
+        a, b = find(s * 2), find(customer[o] * 2 + 1)
+        root[max(a, b)] = min(a, b)
+    got = {r.node: r.component for r in graphs.trade_components(spark, str(tmp_path)).collect()}
+    assert got == {x: find(x) for x in root} and len(set(got.values())) == 3
+    sizes = {r.component: r.members for r in graphs.trade_component_sizes(spark, str(tmp_path)).collect()}
+    assert sizes == Counter(got.values())
+
+
+def test_unsupported_edges_of_all_orders_equal_brute_force(spark, sf):
+    li, o, part = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("lineitem", "orders", "part"))
+    brand = {r.p_partkey: r.p_brand for r in part.collect()}
+    known, held = {r.o_orderkey for r in o.collect()}, defaultdict(set)
+    for r in li.collect():
+        if r.l_orderkey in known:
+            held[r.l_orderkey].add(r.l_partkey)
+    want = {(a, b) for x in held.values() for a in x for b in x if a < b and (a not in brand or b not in brand or brand[a] != brand[b])}
+    got = [(r.a, r.b) for r in graphs.unsupported_edges_all(spark, sf).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_gaps_worked_example(spark):
     df = spark.createDataFrame([("r", s) for s in (0, 1, 2, 6, 7, 7)], "run_id string, seq long")
     assert [tuple(r) for r in ledger.gaps(df).collect()] == [("r", 3, 5)]
