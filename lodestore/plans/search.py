@@ -24,6 +24,13 @@ def search_topk(spark, sf):
     return retrieval.top_k(best, 5).select("query_id", "concept_id", "observation_id", F.round("score", 6).alias("score"), "place")
 
 
+def search_topk_stated(spark, sf):
+    """The five best concepts of every stated query."""
+    v = vectors(spark, sf)
+    best = retrieval.best_observations(v, _queries(v))
+    return retrieval.top_k(best, 5).select("query_id", "concept_id", "observation_id", F.round("score", 6).alias("score"), "place")
+
+
 def _replayed(spark, sf):
     v = vectors(spark, sf)
     q = _queries(v)
@@ -156,12 +163,17 @@ _RES = f"""{_BEST}, {_MEAN}, cs as (
   select query_id, case mode when 'attach' then 'attached' when 'new' then 'created' else 'ambiguous' end as action, mode,
     round(case when mode in ('fork-signal', 'ambiguous-fork') then o when mode = 'blur-duplicate' then top end, 6) as weight from d)"""
 
-QUERIES = {f.__name__: f for f in (search_topk, nominate_loo, search_recall_loo, tau_sweep, concept_centroids, resolution_bands, resolution_stats, nomination_auc, score_quantiles, related_edges, lexical_rank, bm25_top, embedding_population)}
+QUERIES = {f.__name__: f for f in (search_topk, search_topk_stated, nominate_loo, search_recall_loo, tau_sweep, concept_centroids, resolution_bands, resolution_stats, nomination_auc, score_quantiles, related_edges, lexical_rank, bm25_top, embedding_population)}
 ORACLE = {
     "search_topk": f"""with {_V}, s as (
   select q.o as query_id, v.c as concept_id, v.o as observation_id, list_dot_product(q.x, v.x) as score from v q, v where q.o < 5
 ), best as (select * from (select *, row_number() over (partition by query_id, concept_id order by score desc, observation_id) as r from s where score > 0) where r = 1
 ), k as (select *, row_number() over (partition by query_id order by round(score, 9) desc, concept_id) as place from best where score >= 0.12)
+select query_id, concept_id, observation_id, round(score, 6) as score, place::int as place from k where place <= 5""",
+    "search_topk_stated": f"""with {_V}, s as (
+  select q.o as query_id, v.c as concept_id, v.o as observation_id, list_dot_product(q.x, v.x) as score from v q, v where q.o % 50 = 0
+), best as (select * from (select *, row_number() over (partition by query_id, concept_id order by score desc, observation_id) as r from s where score > 0) where r = 1
+), k as (select *, row_number() over (partition by query_id order by round(score, 9) desc, concept_id) as place from best where score >= 0.12)
 select query_id, concept_id, observation_id, round(score, 6) as score, place::int as place from k where place <= 5""",
     "nominate_loo": f"with {_BEST} select query_id, concept_id, observation_id, round(score, 6) as score, concept_id = home as correct from nom",
     "search_recall_loo": f"""with {_BEST}, k as (select *, row_number() over (partition by query_id order by score desc, concept_id) as p from best), f as (
