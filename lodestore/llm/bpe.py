@@ -21,6 +21,8 @@ from lodestore.llm.text import Memory, slices
 
 #: Pieces of text of a generation that a worker remembers at most, and token pairs.
 CACHE, PAIRS = 300_000, 1_000_000
+#: Bytes of text that are encoded at once.
+SLICE = 1 << 21
 #: A blank next to a space: only there may a pre-token depend on more than the text from one space to the next.
 _TANGLED = re.compile(r"\s[ ]|[ ]\s")
 
@@ -81,6 +83,10 @@ class Bpe:
         self.byte_id = np.array([self.ranks[bytes([b])] for b in range(256)])
         self.first_pairs = np.array([[self.ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)])
         self.split = regex.compile(pattern).findall
+        self.spaced = pattern == public_tokenizers.PATTERN
+        self.id_bytes = [np.int32(i).tobytes() for i in range(self.size)]
+        self.token_array = pa.array(self.bytes_of, pa.large_binary())
+        self.digit_array = pa.array([b"%d," % i for i in range(self.size)], pa.large_binary())
         self.parts, self.pieces = Memory(CACHE), Memory(CACHE)
         self.pairs: dict[int, int] = {}
 
@@ -91,8 +97,8 @@ class Bpe:
         rank = self.pairs[key] = self.ranks.get(self.bytes_of[key >> 16] + self.bytes_of[key & 65535], -1)
         return rank
 
-    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """The ids of each piece.
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece as little-endian int32 bytes.
 
         All pieces lie in one linked list, parted by gaps that no pair spans. The queue gives the least rank with its
         positions; one is stale if it no longer starts a pair of that rank. If a merge makes a pair of a lower rank,
@@ -112,26 +118,25 @@ class Bpe:
         order = order[np.searchsorted(pair[order], 0) :]
         kinds, begin = np.unique(pair[order], return_index=True)
         queue = RankQueue(self.size)
-        for rank, part in zip(kinds.tolist(), np.split(order, begin[1:]), strict=True):
-            queue.fill(rank, part.tolist())
-        starts = (np.cumsum(lens + 1) - lens - 1).tolist()
+        for rank, start, stop in zip(kinds.tolist(), begin.tolist(), [*begin[1:].tolist(), len(order)], strict=False):
+            queue.fill(rank, order[start:stop].tolist())
         ids, pair = ids.tolist(), pair.tolist()
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         known, seek, bucket, fill = self.pairs.get, self._pair, queue.buckets.get, queue.fill
         while (entry := queue.pop()) is not None:
             rank, held = entry
+            above = rank << 16
             for at, i in enumerate(held):
                 if pair[i] != rank:
                     continue
                 j = after[i]
                 k = after[j]
-                ids[i], pair[j], after[i], before[k] = rank, -1, k, i
+                ids[i], ids[j], pair[j], after[i], before[k] = rank, -1, -1, k, i
                 lower, new = False, -1
-                if ids[k] >= 0:
-                    key = rank << 16 | ids[k]
-                    new = known(key)
+                if (follower := ids[k]) >= 0:
+                    new = known(above | follower)
                     if new is None:
-                        new = seek(key)
+                        new = seek(above | follower)
                     if new >= 0:
                         if (its := bucket(new)) is not None:
                             its.append(i)
@@ -140,11 +145,10 @@ class Bpe:
                         lower = new < rank
                 pair[i] = new
                 h = before[i]
-                if h >= 0 and ids[h] >= 0:
-                    key = ids[h] << 16 | rank
-                    new = known(key)
+                if h >= 0 and (leader := ids[h]) >= 0:
+                    new = known(leader << 16 | rank)
                     if new is None:
-                        new = seek(key)
+                        new = seek(leader << 16 | rank)
                     pair[h] = new
                     if new >= 0:
                         if (its := bucket(new)) is not None:
@@ -155,42 +159,56 @@ class Bpe:
                 if lower and at + 1 < len(held):
                     fill(rank, held[at + 1 :])
                     break
-        out = []
-        for i in starts:
-            got = []
-            while ids[i] >= 0:
-                got.append(ids[i])
-                i = after[i]
-            out.append(tuple(got))
-        return out
-
-    def encode_all(self, texts: list[str] | pa.Array) -> list[list[int]]:
-        """The ids of each text. A text is looked up from space to space where that can't change its pre-tokens, else by pre-token; what isn't known yet is merged in one queue."""
+        left = np.array(ids, np.int32)
+        ends = 4 * np.cumsum(left >= 0)[np.cumsum(lens + 1) - 1]
+        flat = left[left >= 0].tobytes()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def encode_all(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in order, and where each text's begin (one more at the end).
+
+        A text is looked up from space to space where that can't change its pre-tokens, else by pre-token; what isn't
+        known yet is merged in one queue.
+        """
         parts, codes, at = self._parts(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
-        known, new = self.parts.recall(set(parts))
+        each = self.parts.recall(parts)
+        new = list(dict.fromkeys(p for p, v in zip(parts, each, strict=True) if v is None))
         if new:
-            tokens = {p: [t.encode() for t in self.split(p)] for p in new}
-            ids, missing = self.pieces.recall(set(chain.from_iterable(tokens.values())))
-            made = {t: (self.ranks[t],) for t in missing if t in self.ranks}
-            rest = [t for t in missing if t not in made]
-            made.update(zip(rest, self.merge(rest), strict=True))
-            self.pieces.keep(made)
-            ids.update(made)
-            found = {p: tuple(chain.from_iterable(map(ids.__getitem__, row))) for p, row in tokens.items()}
+            found = self._encoded(new)
             self.parts.keep(found)
-            known.update(found)
-        each = [known[p] for p in parts]
-        flat = np.fromiter(chain.from_iterable(each), np.int64)
-        lens = np.fromiter(map(len, each), np.int64, len(each))
+            each = [found[p] if v is None else v for p, v in zip(parts, each, strict=True)]
+        flat = np.frombuffer(b"".join(each), np.int32)
+        lens = np.fromiter(map(len, each), np.int64, len(each)) >> 2
         begin, n = np.cumsum(lens) - lens, lens[codes]
         ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
-        ids = flat[np.repeat(begin[codes] - ends[:-1], n) + np.arange(ends[-1])].tolist()
-        bounds = ends[at].tolist()
-        return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        return flat[np.repeat(begin[codes] - ends[:-1], n) + np.arange(ends[-1])], ends[at]
+
+    def _encoded(self, parts: list[str]) -> dict[str, bytes]:
+        """The ids of each new part. A part of one pre-token is merged at once, those of others are remembered as well."""
+        one: dict[str, bytes] = {}
+        several: dict[str, list[bytes]] = {}
+        for p in parts:
+            if self.spaced and p.isascii() and p[p[:1] == " " :].isalpha():
+                one[p] = p.encode()
+            else:
+                several[p] = [t.encode() for t in self.split(p)]
+        pieces = list(dict.fromkeys(chain.from_iterable(several.values())))
+        ids = dict(zip(pieces, self.pieces.recall(pieces), strict=True))
+        missing = [t for t, v in ids.items() if v is None]
+        known = self.ranks.get
+        made = {t: self.id_bytes[known(t)] for t in chain(missing, one.values()) if t in self.ranks}
+        rest = list(dict.fromkeys(t for t in chain(missing, one.values()) if t not in made))
+        made.update(zip(rest, self.merge(rest), strict=True))
+        self.pieces.keep({t: made[t] for t in missing})
+        ids.update((t, made[t]) for t in missing)
+        return {p: made[t] for p, t in one.items()} | {p: b"".join(map(ids.__getitem__, row)) for p, row in several.items()}
 
     def _parts(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Distinct parts, the texts' parts as places in them, and where each text's parts begin (one more at the end)."""
-        plain = pa.array([not _TANGLED.search(t) for t in texts.to_pylist()], pa.bool_())
+        """Distinct parts, the texts' parts as places in them, and where each text's parts begin (one more at the end).
+
+        Texts are cut at spaces only under the pattern for which that is known to keep all pre-tokens.
+        """
+        plain = pa.array([self.spaced and not _TANGLED.search(t) for t in texts.to_pylist()], pa.bool_())
         cut = pc.split_pattern(texts.filter(plain), " ")
         words = cut.flatten().dictionary_encode()
         heads = np.diff(cut.offsets.to_numpy()).astype(np.int64)
@@ -213,6 +231,15 @@ class Bpe:
         both[of_plain], both[~of_plain] = codes, [own[t] for t in chain.from_iterable(tangled)]
         return parts, both, np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
 
+    def strings(self, ids: np.ndarray, ends: np.ndarray, of: pa.Array) -> list[memoryview]:
+        """What stands for each text's ids in a binary array by id, put together."""
+        taken = of.take(pa.array(ids))
+        if not len(ids):
+            return [memoryview(b"")] * (len(ends) - 1)
+        at = np.frombuffer(taken.buffers()[1], np.int64)[: len(ids) + 1][ends].tolist()
+        data = memoryview(taken.buffers()[2] or b"")
+        return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -224,8 +251,15 @@ def loaded(path: str, pattern: str) -> Bpe:
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, ids array<int>. Special tokens are ordinary text; a null or empty text has no ids."""
-    return _mapped(docs, id_col, text_col, lambda b, ids, _: pa.array(ids, pa.list_(pa.int32())), path, pattern, "ids array<int>")
+    """One row per document: doc_id, ids array<int>. Special tokens are ordinary text; a null or empty text has no ids.
+
+    Any pattern whose matches cover the text will do; texts are cut at spaces first under public_tokenizers.PATTERN only.
+    """
+
+    def lists(bpe: Bpe, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()))
+
+    return _mapped(docs, id_col, text_col, lists, path, pattern, "ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -246,12 +280,13 @@ def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATT
     aren't read. No shuffle; a worker holds one slice of texts and a bounded memory of pieces.
     """
 
-    def digest(text: str) -> str:
-        return hashlib.sha256(text if isinstance(text, bytes) else text.encode()).hexdigest()
+    def digests(texts: list[memoryview]) -> pa.Array:
+        return pa.array([hashlib.sha256(t).hexdigest() for t in texts])
 
-    def run(bpe: Bpe, rows: list[list[int]], names: list[str]):
-        joined = [digest(",".join(map(names.__getitem__, ids))) for ids in rows]
-        return pa.StructArray.from_arrays([pa.array([len(r) for r in rows], pa.int64()), pa.array(joined), pa.array([digest(bpe.decode(r)) for r in rows])], ["n_tokens", "ids_sha256", "decoded_sha256"])
+    def run(bpe: Bpe, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        listed = [t[:-1] for t in bpe.strings(ids, ends, bpe.digit_array)]
+        decoded = bpe.strings(ids, ends, bpe.token_array)
+        return pa.StructArray.from_arrays([pa.array(np.diff(ends)), digests(listed), digests(decoded)], ["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _mapped(docs, id_col, text_col, run, path, pattern, "x struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>").select("doc_id", "x.*")
 
@@ -261,11 +296,14 @@ def _mapped(docs: DataFrame, id_col: str, text_col: str, of, path: str, pattern:
 
     def run(batches):
         bpe = loaded(path, pattern)
-        names = [str(i) for i in range(bpe.size)]
+        collecting = gc.isenabled()
         gc.disable()  # nothing here makes cycles, and walking the memory of pieces costs a tenth of the time
-        for part in slices(batches):
-            ids = bpe.encode_all(part.column(1))
-            yield pa.RecordBatch.from_arrays([part.column(0), of(bpe, ids, names)], names=["doc_id", name])
+        try:
+            for part in slices(batches, most=SLICE):
+                yield pa.RecordBatch.from_arrays([part.column(0), of(bpe, *bpe.encode_all(part.column(1)))], names=["doc_id", name])
+        finally:
+            if collecting:
+                gc.enable()
 
     t = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return t.mapInArrow(run, f"doc_id long, {schema}")

@@ -6,7 +6,7 @@ exactly A-Z, so UTF-8 texts are handled as bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,9 @@ def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = SLICE
     for batch in batches:
         if not batch.num_rows:
             continue
-        ends = np.frombuffer(batch.column(column).buffers()[1], np.int32)[batch.column(column).offset :][: batch.num_rows + 1].astype(np.int64)
+        held = batch.column(column)
+        wide = pa.types.is_large_string(held.type) or pa.types.is_large_binary(held.type)
+        ends = np.frombuffer(held.buffers()[1], np.int64 if wide else np.int32)[held.offset :][: batch.num_rows + 1].astype(np.int64)
         start = 0
         while start < batch.num_rows:
             stop = max(start + 1, int(np.searchsorted(ends, ends[start] + most, "right")) - 1)
@@ -49,18 +51,15 @@ class Memory:
     def __init__(self, most: int):
         self.most, self.young, self.old = most, {}, {}
 
-    def recall(self, keys: Iterable) -> tuple[dict, list]:
-        """What is known of the keys, and those that aren't known."""
-        young, old, found, missing = self.young, self.old, {}, []
-        for k in keys:
-            v = young.get(k)
-            if v is None and (v := old.get(k)) is not None:
-                young[k] = v
-            if v is None:
-                missing.append(k)
-            else:
-                found[k] = v
-        return found, missing
+    def recall(self, keys: list) -> list:
+        """What is known of each key, None for the others."""
+        out = list(map(self.young.get, keys))
+        if self.old:
+            old = self.old
+            for i, v in enumerate(out):
+                if v is None and (v := old.get(keys[i])) is not None:
+                    out[i] = self.young[keys[i]] = v
+        return out
 
     def keep(self, new: dict) -> None:
         if len(self.young) + len(new) > self.most:

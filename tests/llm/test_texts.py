@@ -69,7 +69,47 @@ def test_lower_ranks_come_first(tmp_path):
     own = bpe.Bpe(str(path), P.PATTERN)
     rng = random.Random(1)
     texts = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 40))) for _ in range(300)]
-    assert own.encode_all(texts) == [enc.encode_ordinary(t) for t in texts]
+    assert encoded(own, texts) == [enc.encode_ordinary(t) for t in texts]
+
+
+def encoded(bpe_, texts):
+    ids, ends = bpe_.encode_all(texts)
+    return [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+@pytest.mark.parametrize("text", ["\x00\x01", "\U0001e900", "\U00010d50", "\x7f", "", " "])
+def test_bpe_without_a_mergeable_pair(text):
+    assert encoded(bpe.Bpe(MULTI, P.PATTERN), [text]) == [reference().encode_ordinary(text)]
+
+
+def test_bpe_on_rare_characters_and_long_texts():
+    rng = random.Random(3)
+    pool = [chr(c) for c in [*range(300), 0x1E900, 0x10D50, 0x1F600, 0x4E00, 0x3042, 0x301, 0x200B, 0x2003]] + [" "] * 60 + list("etaoin shrdlu") * 8
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(25))) for _ in range(1500)] + ["".join(rng.choice("ab c") for _ in range(2_000_000))]
+    own, enc = bpe.Bpe(MULTI, P.PATTERN), reference()
+    for i in range(0, len(texts), 5):
+        assert encoded(own, texts[i : i + 5]) == [enc.encode_ordinary(t) for t in texts[i : i + 5]]
+
+
+def test_bpe_keeps_another_patterns_pre_tokens():
+    import base64
+
+    with open(MULTI, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    pattern = r"\S+ \S+|\S+|\s+"
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    texts = ["two words go together here", "one", "a  b c"]
+    assert encoded(bpe.Bpe(MULTI, pattern), texts) == [enc.encode_ordinary(t) for t in texts]
+
+
+def test_slices_follow_the_offsets_own_type():
+    import pyarrow as pa
+
+    from lodestore.llm.text import slices
+
+    for kind in (pa.string(), pa.large_string(), pa.binary(), pa.large_binary()):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(["x" * 400] * 5).cast(kind)], names=["i", "t"])
+        assert [b.num_rows for b in slices(iter([batch.slice(1)]), most=900)] == [2, 2]
 
 
 def test_packing_is_whole_and_tight(spark):
