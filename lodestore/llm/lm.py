@@ -1,7 +1,8 @@
 """Language-model scores from a log-frequency Bloom filter of n-gram counts, beside an exact unigram base.
 
-The filter has as many segments as its entries need. The most frequent n-grams stand in a part of fixed size that each
-worker holds; all others, down to those seen once, in far segments, to which the probes are shuffled.
+All pairs and triples of tokens enter the filter, those seen once too; it has as many segments as its entries need.
+The most frequent n-grams also stand in a near part of fixed size that is broadcast; probes that it doesn't settle go
+to their segments, and the levels found come back to the texts.
 """
 
 from __future__ import annotations
@@ -12,31 +13,55 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestore.llm.labelled import held_out
-from lodestore.llm.text import GOLDEN, U, keyed_texts, longs, mix, slices
+from lodestore.llm.text import GOLDEN, U, keyed_texts, mix, slices
 from lodestore.plans.staging import stage, unstage
 
-#: The part of the filter that each worker holds: 64 segments of 2^22 bits (32 MiB in all), and probes of one membership test.
-SEGMENTS, SEGMENT_BITS, PROBES = 64, 1 << 22, 9
-#: Bits to an entry at least; n-grams below the least count at which those above it fit that part go to far segments.
-BITS_EACH = 14
-#: Counts are quantised to powers of this.
-BASE = 1.6
-#: Exact counts of at most this many frequent tokens are broadcast (16 MiB); the others' are joined.
+#: Bits of a segment and of the near part, probes of one membership test, and bits to an entry at least.
+SEGMENT_BITS, NEAR_BITS, PROBES, BITS_EACH = 1 << 24, 1 << 26, 7, 10
+#: Level from which an n-gram may stand in the near part, and the parts in which that is built.
+NEAR_LEVEL, NEAR_PARTS = 5, 16
+#: Exact counts of at most this many frequent tokens are broadcast (16 MiB); the others' are looked up by segment.
 FREQUENT = 1 << 20
-#: Probes of one far segment that a task takes at once; more are dealt over copies of the segment.
-FAR_PROBES = 1 << 20
-#: Training documents from which the mixture weights are fitted.
-MIXTURE_DOCS = 400
-#: The end of a text, as a token that no word equals.
-_END = xxhash.xxh3_64_intdigest(b"\n")
+#: Bytes of text that are taken together, and of text whose probes one copy of a segment answers.
+SLICE, ANSWERED = 1 << 22, 1 << 23
+#: What an n-gram's context counts for the next lower order, as if so many tokens had followed it in that order's shares.
+TRUST = 16.0
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of each token and of each pair of the token before and it, and where texts begin. Each text ends with the end token, which also stands before its first word."""
+def _edges() -> np.ndarray:
+    out = [1]
+    while out[-1] < 1 << 50:
+        out.append(max(out[-1] + 1, out[-1] * 7 // 5))
+    return np.array(out, np.int64)
+
+
+#: Least count of each level: 1, 2, 3, 4, 5, 7, 9, 12, ... A level holds counts within a factor of 1.4, and a count's level is below it, so the entries (one a level) are never more than the tokens.
+EDGES = _edges()
+#: The end of a text, as a token that no word equals, and what stands before a text's first token in triples.
+_END, _START = xxhash.xxh3_64_intdigest(b"\n"), xxhash.xxh3_64_intdigest(b"\n\n")
+
+
+def level(n: np.ndarray) -> np.ndarray:
+    """The level of each count, -1 for 0."""
+    return np.searchsorted(EDGES, n, "right") - 1
+
+
+def least(lev: np.ndarray) -> np.ndarray:
+    """The least count of each level, 0 for -1."""
+    return np.where(lev < 0, 0, EDGES[np.maximum(lev, 0)])
+
+
+def most(lev: np.ndarray) -> np.ndarray:
+    """The largest count of each level, 0 for -1."""
+    return EDGES[lev + 1] - 1
+
+
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' tokens, each text's last being the end token, and where texts begin (one more at the end)."""
     words = [t.lower().split() for t in texts]
     at = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(w) + 1 for w in words], out=at[1:])
@@ -44,33 +69,49 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inner = np.ones(len(h), bool)
     inner[at[1:] - 1] = False
     h[inner] = np.fromiter((x for w in words for x in map(xxhash.xxh3_64_intdigest, w)), U, int(inner.sum()))
-    return h, pairs(h), at
+    return h, at
 
 
-def before(h: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.full(1, U(_END)), h[:-1]])
+def _shifted(x: np.ndarray, first: int) -> np.ndarray:
+    return np.concatenate([np.full(1, first, x.dtype), x[:-1]])
 
 
-def pairs(h: np.ndarray) -> np.ndarray:
-    return mix(h * U(GOLDEN) ^ mix(before(h) + U(1)))
+def grams(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the pair and of the triple that end at each token. The end token stands before a text's first token."""
+    two = mix(h * U(GOLDEN) ^ mix(_shifted(h, _END) + U(1)))
+    context = _shifted(two, _START)
+    context[at[:-1]] = U(_START)
+    return two, mix(h * U(GOLDEN) ^ mix(context + U(2)))
 
 
-def level(n: np.ndarray) -> np.ndarray:
-    return np.floor(np.log(np.maximum(n, 1)) / np.log(BASE) + 1e-9).astype(np.int64)
+def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
+    return (((h >> U(32)) * U(segments)) >> U(32)).astype(np.int32)
 
 
-def quantised(lev: np.ndarray) -> np.ndarray:
-    """Counts as the filter has them, by level: 0 below level 0."""
-    return np.where(lev < 0, 0.0, np.where(lev == 0, 1.0, BASE ** (lev + 0.5)))
+def _places(key: np.ndarray, lev: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """First bit and stride of an entry: an n-gram at one level of its unary count."""
+    e = mix(key.astype(U) ^ U((lev + 1) * GOLDEN % 2**64))
+    return e & U(bits - 1), (e >> U(32)) | U(1)
+
+
+def filter_bits(key: np.ndarray, lev: np.ndarray, cut: int, size: int) -> np.ndarray:
+    """A filter of `size` bits, packed, that holds each key at every level from the cut to its own."""
+    flags = np.zeros(size, bool)
+    for at in range(cut, int(lev.max(initial=cut - 1)) + 1):
+        a, s = _places(key[lev >= at], at, size)
+        for i in range(PROBES):
+            flags[(a + s * U(i)) & U(size - 1)] = True
+    return np.packbits(flags, bitorder="little")
 
 
-def levels(bits: np.ndarray, base: np.ndarray, h: np.ndarray, cut: int) -> np.ndarray:
-    """The level of each n-gram, -1 for what isn't entered: levels are probed upwards from the cut until one isn't a member."""
-    lev, here, at = np.full(len(h), -1), np.arange(len(h)), cut
-    while len(here):
-        a, s = _places(h[here], at)
+def probe(bits: np.ndarray, key: np.ndarray, cut: int, size: int, part: np.ndarray | int = 0) -> np.ndarray:
+    """The level of each key, -1 for what isn't entered: levels are probed upwards from the cut until one isn't a member of its part (of `size` bits)."""
+    lev, here, at = np.full(len(key), -1), np.arange(len(key)), cut
+    base = np.broadcast_to(np.asarray(part, np.int64) * (size // 8), len(key))
+    while len(here) and at < len(EDGES) - 1:
+        a, s = _places(key[here], at, size)
         for i in range(PROBES):
-            b = (a + s * U(i)) & U(SEGMENT_BITS - 1)
+            b = (a + s * U(i)) & U(size - 1)
             hit = (bits[base[here] + (b >> U(3)).astype(np.int64)] >> (b & U(7)).astype(np.uint8)) & 1 > 0
             here, a, s = here[hit], a[hit], s[hit]
         lev[here] = at
@@ -78,43 +119,9 @@ def levels(bits: np.ndarray, base: np.ndarray, h: np.ndarray, cut: int) -> np.nd
     return lev
 
 
-def _counted(batches):
-    """Distinct tokens and pairs of a slice with their counts."""
-    for part in slices(batches, most=1 << 22):
-        one, two, _ = grams(part.column(1).to_pylist())
-        for order, h in ((1, one), (2, two)):
-            x, n = np.unique(h, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), order, np.int8)), pa.array(x.view(np.int64)), pa.array(n)], names=["gram", "h", "n"])
-
-
-def _places(h: np.ndarray, lev: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
-    """First bit and stride of an entry: an n-gram at one level of its unary count."""
-    e = mix(h ^ mix(np.asarray(lev).astype(U) + U(0x51ED270B)))
-    return e & U(SEGMENT_BITS - 1), (e >> U(32)) | U(1)
-
-
-def _segment(cut: int):
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        """One segment of the filter: every n-gram at each level from the cut to its own."""
-        h = table.column("h").to_numpy().view(U)
-        top = level(table.column("n").to_numpy())
-        bits = np.zeros(SEGMENT_BITS // 8, np.uint8)
-        for lev in range(cut, int(top.max(initial=cut - 1)) + 1):
-            a, s = _places(h[top >= lev], lev)
-            for i in range(PROBES):
-                b = (a + s * U(i)) & U(SEGMENT_BITS - 1)
-                np.bitwise_or.at(bits, (b >> U(3)).astype(np.int64), (U(1) << (b & U(7))).astype(np.uint8))
-        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
-
-    return run
-
-
 @dataclass
 class Model:
-    """Filter, frequent tokens' exact counts, totals, and the weight of the pair estimate by the context's level.
-
-    Pairs below the cut are in `far`, a table (segment, bits) of `segments` rows that isn't sent with the model.
-    """
+    """The near part, frequent tokens' exact counts and totals; `far` is the table of segments, not sent with the model."""
 
     bits: np.ndarray
     cut: int
@@ -122,20 +129,13 @@ class Model:
     counts: np.ndarray
     total: int
     kinds: int
-    weight: np.ndarray
-    segments: int = 0
+    starts: int
+    segments: int
     far: DataFrame | None = field(default=None, repr=False)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"far": None}
 
-    def level_of(self, h: np.ndarray) -> np.ndarray:
-        return levels(self.bits, (h >> U(58)).astype(np.int64) * (SEGMENT_BITS // 8), h, self.cut)
-
-    def count(self, h: np.ndarray) -> np.ndarray:
-        """Counts as the worker's part of the filter has them, 0 for what isn't entered there."""
-        return quantised(self.level_of(h))
-
     def exact(self, h: np.ndarray) -> np.ndarray:
         """Exact counts of frequent tokens, 0 for others."""
         if not len(self.tokens):
@@ -143,177 +143,235 @@ class Model:
         i = np.minimum(np.searchsorted(self.tokens, h), len(self.tokens) - 1)
         return np.where(self.tokens[i] == h, self.counts[i], 0)
 
-    def parts(self, own: np.ndarray, context: np.ndarray, both: np.ndarray, leave: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Single and pair estimates of tokens, and the contexts' levels, from the levels of the token, its context and their pair; `leave` is taken from each count (leave-one-out)."""
-        n, c = quantised(own), quantised(context)
-        single = (np.maximum(n - leave, 0) + 1) / (self.total + self.kinds + 1)
-        pair = np.minimum(np.maximum(np.minimum(quantised(both), c) - leave, 0) / np.maximum(c - leave, 1), 1.0)
-        return np.minimum(single, 1.0), pair, np.where(context < 0, 0, level(c) + 1)
+    def shares(self, n: np.ndarray, before: np.ndarray, pair: np.ndarray, triple: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's probability by itself, and after its two predecessors.
+
+        n, before: exact counts of the token and the one before it; pair, triple: their levels, of which the least
+        count is taken; context: the count of the two tokens before, by its level's largest count. An order gives
+        TRUST tokens to the next lower one. All a context's followers have together at most what it has itself, so
+        that probabilities sum to 1 at most over the known tokens and one unknown.
+        """
+        single = (n + 1) / (self.total + self.kinds + 1)
+        two = (np.minimum(least(pair), before) + TRUST * single) / (before + TRUST)
+        return single, (np.minimum(least(triple), context) + TRUST * two) / (context + TRUST)
+
+
+def _counted(batches):
+    """Distinct tokens of a slice with their counts."""
+    for part in slices(batches, most=SLICE):
+        x, n = np.unique(tokens(part.column(1).to_pylist())[0], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+
+def _dealt(segment: np.ndarray, *values: np.ndarray):
+    """(segment, the bytes of its part of each array) for arrays in order of segment."""
+    kinds, begin = np.unique(segment, return_index=True)
+    ends = [*begin[1:].tolist(), len(segment)]
+    for s, a, b in zip(kinds.tolist(), begin.tolist(), ends, strict=False):
+        yield s, *(v[a:b].tobytes() for v in values)
+
+
+def _entered(segments: int):
+    def run(batches):
+        """Distinct pairs and triples of a slice with their counts, by segment: 32 bits of hash each beside it."""
+        for part in slices(batches, most=SLICE):
+            h, at = tokens(part.column(1).to_pylist())
+            x, n = np.unique(np.concatenate(grams(h, at)), return_counts=True)
+            rows = list(zip(*_dealt(segment_of(x, segments), x.astype(np.uint32), n.astype(np.uint32)), strict=True))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], names=["segment", "h", "n"])
+
+    return run
+
+
+def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
 
-    def log10(self, own: np.ndarray, context: np.ndarray, both: np.ndarray) -> np.ndarray:
-        single, pair, lev = self.parts(own, context, both)
-        w = self.weight[np.minimum(lev, len(self.weight) - 1)]
-        return np.log10(w * pair + (1 - w) * single)
+def _segment(key: tuple, grams_of: pa.Table, rare: pa.Table) -> pa.Table:
+    """One segment: the filter of its n-grams, its rare tokens with exact counts, its frequent n-grams, and n-grams by level."""
+    both = np.sort(_joined(grams_of.column("h"), np.uint32).astype(U) << U(32) | _joined(grams_of.column("n"), np.uint32).astype(U))
+    first = np.flatnonzero(np.diff(both >> U(32), prepend=U(2**40)))
+    n = np.add.reduceat((both & U(2**32 - 1)).astype(np.int64), first) if len(first) else np.empty(0, np.int64)
+    h, lev = (both[first] >> U(32)).astype(np.uint32), level(n)
+    often = lev >= NEAR_LEVEL
+    token = rare.column("h").to_numpy().view(U)
+    order = np.argsort(token)
+    s = key[0].as_py()
+    return pa.table(
+        {
+            "segment": pa.array([s], pa.int32()),
+            "bits": pa.array([filter_bits(h, lev, 0, SEGMENT_BITS).tobytes()], pa.binary()),
+            "tokens": pa.array([token[order].tobytes()], pa.binary()),
+            "counts": pa.array([rare.column("n").to_numpy()[order].astype(np.uint32).tobytes()], pa.binary()),
+            "often": pa.array([(h[often].astype(U) | U(s << 32)).view(np.int64)], pa.list_(pa.int64())),
+            "level": pa.array([lev[often].astype(np.int8)], pa.list_(pa.int8())),
+            "spread": pa.array([np.bincount(lev[often], minlength=len(EDGES)).astype(np.int64)], pa.list_(pa.int64())),
+        }
+    )
 
-    def fit_weights(self, own: np.ndarray, context: np.ndarray, both: np.ndarray) -> None:
-        """Weights by expectation-maximisation, each token predicted with itself taken out of the counts."""
-        if not len(own) or not self.total:
-            return
-        single, pair, lev = self.parts(own, context, both, 1.0)
-        lev = np.minimum(lev, len(self.weight) - 1)
-        n = np.bincount(lev, minlength=len(self.weight))[: len(self.weight)]
-        for _ in range(25):
-            w = self.weight[lev]
-            share = w * pair / (w * pair + (1 - w) * single)
-            self.weight = (np.bincount(lev, share, minlength=len(self.weight))[: len(n)] + 0.05) / (n + 1)
 
+_SEGMENT = "segment int, bits binary, tokens binary, counts binary, often array<long>, level array<byte>, spread array<long>"
 
-def _log_level(n: str):
-    return F.floor(F.log(F.col(n).cast("double")) / float(np.log(BASE)) + 1e-9)
 
+def _near(cut: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        bits = filter_bits(table.column("often").to_numpy().view(U), table.column("level").to_numpy().astype(np.int64), cut, NEAR_BITS // NEAR_PARTS)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
 
-def _far_segment(h: str, segments: int):
-    return F.pmod(F.shiftrightunsigned(h, 20), F.lit(segments)).cast("int")
+    return run
 
 
-def _filter(entered: DataFrame, cut: int) -> DataFrame:
-    return entered.groupBy("segment").applyInArrow(_segment(cut), "segment int, bits binary")
+def _segment_column(h: str, segments: int) -> Column:
+    return F.shiftrightunsigned(F.shiftrightunsigned(h, 32) * F.lit(segments).cast("long"), 32).cast("int")
 
 
-def train(docs: DataFrame, modulus: int = 7, remainder: int = 2, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
-    """The model of the documents that aren't held out, and the table (h, n) of all their tokens' exact counts.
+def train(docs: DataFrame, modulus: int = 7, remainder: int = 2, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The model of the documents that aren't held out.
 
-    All tokens and pairs are counted exactly, with a combine on the map side, and all are entered in the filter. If
-    they don't fit the worker's part at BITS_EACH, those below a level go to as many far segments as they need.
+    Tokens are counted exactly, with a combine on the map side. Pairs and triples are counted by segment from each
+    slice's distinct ones; they are told apart by segment and 32 bits, which errs less often than the filter does.
     """
-    kept = docs.where(~held_out(id_col, modulus, remainder))
-    texts = keyed_texts(kept, id_col, text_col)
-    counted = texts.mapInArrow(_counted, "gram byte, h long, n long").groupBy("gram", "h").agg(F.sum("n").alias("n"))
-    counted = stage(counted, "grams")
-    lev = _log_level("n")
-    spread = sorted((int(r[0]), int(r[1]), int(r[2])) for r in counted.groupBy("gram", lev).count().collect())
-    single = stage(counted.where("gram = 1").select("h", "n"), "tokens")
+    kept = keyed_texts(docs.where(~held_out(id_col, modulus, remainder)), id_col, text_col)
+    single = stage(kept.mapInArrow(_counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "tokens")
     total, kinds = single.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = max((x[1] for x in spread), default=0)
-    cut = next(c for c in range(top + 2) if sum((x - c + 1) * n for _, x, n in spread if x >= c) * BITS_EACH <= SEGMENTS * SEGMENT_BITS)
-    entered = counted.where(lev >= cut).select("h", "n", F.shiftrightunsigned("h", 58).cast("int").alias("segment"))
-    made = _filter(entered, cut).toArrow()
-    bits = np.zeros((SEGMENTS, SEGMENT_BITS // 8), np.uint8)
-    for s, b in zip(made.column(0).to_pylist(), made.column(1), strict=True):
-        bits[s] = np.frombuffer(b.as_buffer(), np.uint8)
-    often = next(c for c in range(top + 2) if sum(n for g, x, n in spread if g == 1 and x >= c) <= FREQUENT)
-    exact = single.where(lev >= often).toArrow()
-    tokens = exact.column(0).to_numpy().view(U)
-    order = np.argsort(tokens)
-    model = Model(bits.reshape(-1), cut, tokens[order], exact.column(1).to_numpy()[order], int(total), int(kinds), np.full(top + 3, 0.5))
-    below = None
-    if cut:
-        model.segments = -(-sum((x + 1) * n for g, x, n in spread if g == 2 and x < cut) * BITS_EACH // SEGMENT_BITS) or 1
-        below = counted.where((F.col("gram") == 2) & (lev < cut)).select("h", "n", _far_segment("h", model.segments).alias("segment"))
-        model.far = stage(_filter(below, 0), "segments")
-    some = texts.where(F.length("text") <= 100_000).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MIXTURE_DOCS).select("text").toArrow()
-    one, two, _ = grams(some.column(0).to_pylist())
-    asked = docs.sparkSession.createDataFrame(pa.table({"h": np.unique(np.concatenate([one, two])).view(np.int64)}), "h long")
-    known = counted.join(F.broadcast(asked), "h").select("h", "n").toArrow()
-    h = known.column(0).to_numpy().view(U)
-    order = np.argsort(h)
-    h, n = h[order], level(known.column(1).to_numpy()[order])
-    if len(h):
-        model.fit_weights(*(n[np.searchsorted(h, x)] for x in (one, before(one), two)))
-    unstage(counted)
+    starts = (single.where(F.col("h") == int(np.array(_END, U).view(np.int64))).first() or (0, 0))[1]
+    segments = -(-2 * total * BITS_EACH // SEGMENT_BITS) or 1
+    sizes = {r[0]: r[1] for r in single.groupBy(F.floor(F.log2("n") * 4).alias("k")).count().collect()}
+    least_often = next(k for k in range(max(sizes, default=0) + 2) if sum(n for x, n in sizes.items() if x >= k) <= FREQUENT)
+    frequent = F.floor(F.log2("n") * 4) >= least_often
+    exact = single.where(frequent).toArrow()
+    token = exact.column(0).to_numpy().view(U)
+    order = np.argsort(token)
+    entered = kept.mapInArrow(_entered(segments), "segment int, h binary, n binary")
+    rare = single.where(~frequent).select(_segment_column("h", segments).alias("segment"), "h", "n")
+    far = stage(entered.groupBy("segment").cogroup(rare.groupBy("segment")).applyInArrow(_segment, _SEGMENT), "segments")
+    spread = np.zeros(len(EDGES), np.int64)
+    for lev, n in far.select(F.posexplode("spread")).groupBy("pos").agg(F.sum("col")).collect():
+        spread[lev] = n
+    cut = next(c for c in range(NEAR_LEVEL, len(EDGES)) if sum((x - c + 1) * int(spread[x]) for x in range(c, len(EDGES))) * 2 * BITS_EACH <= NEAR_BITS)
+    hot = far.select(F.inline(F.arrays_zip("often", "level"))).where(F.col("level") >= cut)
+    parts = hot.groupBy(F.col("often").bitwiseAND(F.lit(NEAR_PARTS - 1)).cast("int").alias("part")).applyInArrow(_near(cut), "part int, bits binary").toArrow()
+    bits = np.zeros((NEAR_PARTS, NEAR_BITS // NEAR_PARTS // 8), np.uint8)
+    for p, b in zip(parts.column(0).to_pylist(), parts.column(1).to_pylist(), strict=True):
+        bits[p] = np.frombuffer(b, np.uint8)
+    model = Model(bits.reshape(-1), cut, token[order], exact.column(1).to_numpy()[order], int(total), int(kinds), int(starts), segments, far)
+    unstage(single)
     # the shuffles of the counts aren't read again: Spark deletes their files once the driver has collected their plans
-    del kept, texts, counted, entered, below, some, known
+    del kept, single, entered, rare, hot, parts, exact, frequent
     gc.collect()
     docs.sparkSession.sparkContext._jvm.System.gc()
-    return model, single
-
+    return model
+
+
+def _texts(table: pa.Table) -> tuple[pa.Table, list[bytes]]:
+    table = table.sort_by("uid")
+    return table, table.column("text").to_pylist()
+
+
+class _Slice:
+    """What is known of a slice's tokens without the segments, and what is asked of them, in order of segment."""
+
+    def __init__(self, model: Model, texts: list[bytes]):
+        self.h, self.at = tokens(texts)
+        kinds, self.kind = np.unique(self.h, return_inverse=True)
+        self.count = model.exact(kinds)
+        self.rare = np.flatnonzero(self.count == 0)
+        by = segment_of(kinds[self.rare], model.segments)
+        order = np.argsort(by, kind="stable")
+        self.rare, self.rare_segment = self.rare[order], by[order]
+        self.rare_tokens = kinds[self.rare]
+        x = np.concatenate(grams(self.h, self.at))
+        segment = segment_of(x, model.segments)
+        key = x & U(2**32 - 1) | segment.astype(U) << U(32)
+        self.level = probe(model.bits, key, model.cut, NEAR_BITS // NEAR_PARTS, key & U(NEAR_PARTS - 1)) if len(model.bits) else np.full(len(x), -1)
+        open_ = np.flatnonzero(self.level < 0)
+        order = np.argsort(segment[open_], kind="stable")
+        self.open, self.open_segment = open_[order], segment[open_][order]
+        self.open_grams = x[self.open].astype(np.uint32)
+
+
+def _asked(held):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        """A slice's probes for each segment."""
+        part = _Slice(held.value, _texts(table)[1])
+        rows = [(s, 0, b) for s, b in _dealt(part.open_segment, part.open_grams)] + [(s, 1, b) for s, b in _dealt(part.rare_segment, part.rare_tokens)]
+        columns = list(zip(*rows, strict=True)) or [[], [], []]
+        kinds = (pa.int32(), pa.int32(), pa.binary())
+        return pa.table({"slice": pa.array([key[0].as_py()] * len(rows), pa.int64()), **{n: pa.array(c, t) for n, c, t in zip(("segment", "kind", "asked"), columns, kinds, strict=True)}})
 
-def _lists(x: np.ndarray, at: np.ndarray, chosen: np.ndarray, kind: type) -> pa.Array:
-    """Of each text the chosen tokens' values, as a list."""
-    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(chosen)])[at]
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x[chosen].astype(kind)))
+    return run
 
 
-def _far_scores(held):
-    def run(probes: pa.Table, segment: pa.Table) -> pa.Table:
-        """The score of the tokens whose pairs belong to one far segment, summed by text."""
-        uid = probes.column("uid").to_numpy()
-        h, packed = probes.column("h").to_numpy().view(U), probes.column("lev").to_numpy()
-        both = np.full(len(h), -1)
-        if segment.num_rows:
-            both = levels(np.frombuffer(segment.column("bits")[0].as_buffer(), np.uint8), np.zeros(len(h), np.int64), h, 0)
-        kinds, back = np.unique(uid, return_inverse=True)
-        part = np.bincount(back, held.value.log10((packed >> 8) - 1, (packed & 255) - 1, both), minlength=len(kinds))
-        return pa.table({"uid": pa.array(kinds, pa.int64()), "part": pa.array(part, pa.float64())})
+def _answered(key: tuple, asked: pa.Table, segment: pa.Table) -> pa.Table:
+    """The levels of n-grams (one more, as bytes) and the counts of rare tokens that a segment tells."""
+    kind = asked.column("kind").to_numpy()
+    blobs = asked.column("asked").to_pylist()
+    out: list[bytes] = [b""] * len(blobs)
+    for k, width, dtype in ((0, 4, np.uint32), (1, 8, U)):
+        rows = np.flatnonzero(kind == k).tolist()
+        x = np.frombuffer(b"".join(blobs[i] for i in rows), dtype)
+        if k == 0:
+            bits = np.frombuffer(segment.column("bits")[0].as_buffer(), np.uint8) if segment.num_rows else np.zeros(8, np.uint8)
+            answer = (probe(bits, x.astype(U), 0, 8 * len(bits)) + 1).astype(np.uint8)
+        else:
+            answer = np.zeros(len(x), np.uint32)
+            if segment.num_rows and len(known := np.frombuffer(segment.column("tokens")[0].as_buffer(), U)):
+                i = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                answer = np.where(known[i] == x, np.frombuffer(segment.column("counts")[0].as_buffer(), np.uint32)[i], answer)
+        ends = np.concatenate([[0], np.cumsum([len(blobs[i]) // width for i in rows])]).tolist()
+        for i, a, b in zip(rows, ends, ends[1:], strict=False):
+            out[i] = answer[a:b].tobytes()
+    return pa.table({c: asked.column(c) for c in ("slice", "segment", "kind")} | {"answer": pa.array(out, pa.binary())})
+
+
+_SCORES = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+
+
+def _scored(held):
+    def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
+        """The scores of a slice's texts from what its segments told."""
+        model = held.value
+        table, texts = _texts(table)
+        if not texts:
+            return pa.table({n: pa.array([], t) for n, t in zip(("doc_id", "n_tokens", "n_known", "base_score", "score"), (pa.int64(),) * 3 + (pa.float64(),) * 2, strict=True)})
+        part = _Slice(model, texts)
+        answers = answers.sort_by("segment")
+        kind, blobs = answers.column("kind").to_pylist(), answers.column("answer").to_pylist()
+        part.level[part.open] = np.frombuffer(b"".join(b for k, b in zip(kind, blobs, strict=True) if k == 0), np.uint8).astype(np.int64) - 1
+        part.count[part.rare] = np.frombuffer(b"".join(b for k, b in zip(kind, blobs, strict=True) if k == 1), np.uint32)
+        n, begin = part.count[part.kind], part.at[:-1]
+        pair, triple = part.level[: len(n)], part.level[len(n) :]
+        before, context = _shifted(n, 0), _shifted(most(pair), 0)
+        before[begin] = context[begin] = model.starts
+        single, share = model.shares(n, before, pair, triple, context)
+        sums = [np.add.reduceat(x, begin) for x in ((n > 0).astype(np.int64), np.log10(single), np.log10(share))]
+        return pa.table({"doc_id": table.column("doc_id"), "n_tokens": pa.array(np.diff(part.at)), "n_known": pa.array(sums[0]), "base_score": pa.array(sums[1]), "score": pa.array(sums[2])})
 
     return run
 
 
-def _far_parts(rows: DataFrame, model: Model, counts: DataFrame, held) -> DataFrame:
-    """(uid, part): what the tokens that the worker's part of the filter doesn't settle add to the texts' scores.
+def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_tokens, n_known, base_score, score.
 
-    A rare token's level is looked up among the exact counts, a pair's in its far segment. What needs no look-up is
-    keyed by its pair, which equals no token, so it is spread too.
-    """
-    far = rows.select("uid", F.inline(F.arrays_zip(F.col("far").alias("h"), F.col("far_lev").alias("lev"))))
-    odd = rows.select("uid", F.inline(F.arrays_zip(F.col("odd").alias("h"), F.col("odd_lev").alias("lev"), F.col("odd_own").alias("own"), F.col("odd_context").alias("context"))))
-    for name, step in (("own", 256), ("context", 1)):
-        found = counts.select(F.col("h").alias(name), ((_log_level("n").cast("int") + 1) * step).alias("more"))
-        odd = odd.join(found, name, "left").select("uid", "h", (F.col("lev") + F.coalesce("more", F.lit(0))).alias("lev"), *(["context"] if name == "own" else []))
-    most = rows.agg(F.sum((F.size("far") + F.size("odd")).cast("long"))).first()[0] or 0
-    copies = -(-most // (model.segments * FAR_PROBES)) or 1
-    probes = far.union(odd).withColumns({"segment": _far_segment("h", model.segments), "copy": F.pmod("uid", F.lit(copies)).cast("int")})
-    bits = model.far.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    both = probes.groupBy("segment", "copy").cogroup(bits.groupBy("segment", "copy"))
-    return both.applyInArrow(_far_scores(held), "uid long, part double").groupBy("uid").agg(F.sum("part").alias("part"))
-
-
-def score_documents(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_tokens, n_known, train_tokens, base_score, score.
-
-    base_score is exact: frequent tokens are looked up in the broadcast table, the others' (text, token) rows are
-    joined with `counts` and summed. score mixes the pair's and the token's estimates from the filter: tokens that the
-    worker's part of it settles are summed at once, the others' by the far segments. Null and empty
-    texts are their end token. Repeated rows and null ids are rows of their own; other columns aren't read.
+    base_score is exact. score interpolates the filter's counts of triples and pairs with the exact ones of tokens.
+    Texts are dealt into slices of about SLICE bytes; each probe that the near part leaves open goes to its segment in
+    32 bits, and a byte comes back. Null and empty texts are their end token. Repeated rows and null ids are rows of
+    their own; very long texts are slices of their own kind, scored whole; other columns aren't read.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    floor = float(model.total + model.kinds + 1)
-
-    def run(batches):
-        m = held.value
-        end = np.full(1, U(_END))
-        for part in slices(batches):
-            one, two, at = grams(part.column(1).to_pylist())
-            kinds, back = np.unique(np.concatenate([end, one]), return_inverse=True)
-            n = m.exact(kinds)
-            lev = np.where(n > 0, level(n), -1)
-            lev[n == 0] = m.level_of(kinds[n == 0])
-            c, own, both = n[back[1:]], lev[back[1:]], m.level_of(two)
-            context = np.concatenate([lev[back[:1]], own[:-1]])
-            logs = np.where(c > 0, np.log10((c + 1.0) / floor), 0.0)
-            odd = (own < 0) | (context < 0) if m.cut else np.zeros(len(one), bool)
-            far = (both < 0) & ~odd if m.cut else odd
-            score = np.where(far | odd, 0.0, m.log10(own, context, both))
-            columns = [np.add.reduceat(x, at[:-1]) for x in ((c > 0).astype(np.int64), logs, score)]
-            rare = [one[a:b][c[a:b] == 0] for a, b in zip(at[:-1], at[1:], strict=True)]
-            packed = (own + 1) * 256 + context + 1
-            keys = (two, np.where(own < 0, one, two), np.where(context < 0, before(one), two))
-            lists = [_lists(two.view(np.int64), at, far, np.int64), _lists(packed, at, far, np.int32), _lists(packed, at, odd, np.int32), *(_lists(x.view(np.int64), at, odd, np.int64) for x in keys)]
-            names = ["doc_id", "n_tokens", "known", "base", "score", "rare", "far", "far_lev", "odd_lev", "odd", "odd_own", "odd_context"]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(at)), *map(pa.array, columns), longs(rare), *lists], names=names)
-
-    schema = "doc_id long, n_tokens long, known long, base double, score double, rare array<long>, far array<long>, far_lev array<int>, odd_lev array<int>, odd array<long>, odd_own array<long>, odd_context array<long>"
-    rows = stage(keyed_texts(docs, id_col, text_col).mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id()), "scored")
-    rare = rows.select("uid", F.explode("rare").alias("h")).join(counts, "h").groupBy("uid")
-    rare = rare.agg(F.count("*").alias("more"), F.sum(F.log10((F.col("n") + 1) / F.lit(floor)) - F.lit(float(-np.log10(floor)))).alias("gain"))
-    out = rows.withColumn("absent", F.size("rare")).drop("rare", "far", "far_lev", "odd_lev", "odd", "odd_own", "odd_context").join(rare, "uid", "left")
-    if model.far is not None:
-        out = out.join(_far_parts(rows, model, counts, held), "uid", "left").withColumn("score", F.col("score") + F.coalesce("part", F.lit(0.0)))
-    base = F.col("base") + F.col("absent") * F.lit(float(-np.log10(floor))) + F.coalesce("gain", F.lit(0.0))
-    return out.select("doc_id", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    t = keyed_texts(docs, id_col, text_col)
+    size = t.agg(F.sum(F.length("text").cast("long") + 8)).first()[0] or 0
+    t = t.withColumn("uid", F.monotonically_increasing_id())
+    t = t.withColumn("slice", F.pmod(F.xxhash64("uid"), F.lit(-(-size // SLICE) or 1)))
+    copies = -(-size // (model.segments * ANSWERED)) or 1
+    asked = t.groupBy("slice").applyInArrow(_asked(held), "slice long, segment int, kind int, asked binary").withColumn("copy", F.pmod("slice", F.lit(copies)).cast("int"))
+    far = model.far.select("segment", "bits", "tokens", "counts", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
+    told = asked.groupBy("segment", "copy").cogroup(far.groupBy("segment", "copy")).applyInArrow(_answered, "slice long, segment int, kind int, answer binary")
+    return t.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(_scored(held), _SCORES)
 
 
 def op5_lm(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model, counts = train(docs)
-    return score_documents(docs, model, counts).withColumn("held_out", held_out("doc_id", 7, 2))
+    model = train(docs)
+    return score_documents(docs, model).select("*", F.lit(model.total).cast("long").alias("train_tokens"), held_out("doc_id", 7, 2).alias("held_out"))

@@ -218,8 +218,7 @@ def test_toxicity_held_out_and_spans(spark):
     assert 1 <= len(spans) <= 2 and all(re.match("|".join(vile), s) for s in spans)
 
 
-def test_lm_base_is_exact_and_the_model_better(spark, monkeypatch):
-    monkeypatch.setattr(lm, "FREQUENT", 40)
+def lm_texts():
     rng = random.Random(4)
     chain = {w: [f"v{rng.randrange(200)}" for _ in range(3)] for w in [f"v{i}" for i in range(200)]}
     texts: list = []
@@ -228,45 +227,98 @@ def test_lm_base_is_exact_and_the_model_better(spark, monkeypatch):
         for _ in range(60):
             w.append(rng.choice(chain[w[-1]]))
         texts.append(" ".join(w).replace("v1", "V1"))
-    texts += [None, "", "never seen"]
-    table = docs(spark, texts)
-    model, counts = lm.train(table)
-    got = {r.doc_id: r for r in lm.score_documents(table, model, counts).collect()}
-    tokens = [brute.words((t or "").lower()) + ["\n"] for t in texts]
-    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
-    c = Counter(x for w, h in zip(tokens, held, strict=True) if not h for x in w)
-    n, v = sum(c.values()), len(c)
-    for i, w in enumerate(tokens):
-        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(w), sum(x in c for x in w), n)
-        assert got[i].base_score == pytest.approx(sum(np.log10((c[x] + 1) / (n + v + 1)) for x in w), rel=1e-9)
-    out = [i for i, h in enumerate(held) if h and i < 150]
-    assert sum(got[i].score for i in out) > sum(got[i].base_score for i in out) and all(r.score <= 0 for r in got.values())
-
-
-def test_bloom_counts_never_fall_short(spark):
-    texts = ["a b a b a b c"] * 9
-    table = docs(spark, texts)
-    model, _ = lm.train(table, 7, 99)
-    one, two, _ = lm.grams([t.encode() for t in texts])
-    for h in (one, two):
-        kinds, n = np.unique(h, return_counts=True)
-        assert (lm.level(model.count(kinds)) >= lm.level(n)).all()
+    return [*texts, None, "", "never seen", "once only here", texts[0], "x " * 50]
+
+
+def dictionary_model(texts):
+    """The same model from exact counts in dictionaries, quantised as the filter has them: shares(token, its two predecessors)."""
+    rows = [w for i, w in enumerate(lm_tokens(texts)) if zlib.crc32(str(i).encode()) % 7 != 2]
+    one, two, three = Counter(), Counter(), Counter()
+    for w in rows:
+        for i, x in enumerate(w):
+            one[x] += 1
+            two[w[i - 1] if i else "\n", x] += 1
+            three[(w[i - 2] if i > 1 else "\n") if i else None, w[i - 1] if i else "\n", x] += 1
+    n, v = sum(one.values()), len(one)
+
+    def low(c):
+        return max((e for e in lm.EDGES.tolist() if e <= c), default=0)
+
+    def high(c):
+        return next(e for e in lm.EDGES.tolist() if e > c) - 1 if c else 0
 
+    def share(x, y=None, z=None):
+        """Of token x after z and y; without them it is a text's first."""
+        before = one["\n"] if y is None else one[y]
+        context = one["\n"] if y is None else high(two["\n" if z is None else z, y])
+        single = (one[x] + 1) / (n + v + 1)
+        pair = (min(low(two["\n" if y is None else y, x]), before) + lm.TRUST * single) / (before + lm.TRUST)
+        key = (None, "\n", x) if y is None else ("\n" if z is None else z, y, x)
+        return single, (min(low(three[key]), context) + lm.TRUST * pair) / (context + lm.TRUST)
 
-def test_lm_scores_are_the_same_where_the_filter_outgrows_a_worker(spark, monkeypatch):
+    return share, one, two, n
+
+
+def lm_tokens(texts):
+    return [brute.words((t or "").lower()) + ["\n"] for t in texts]
+
+
+def test_lm_scores_equal_a_dictionary_model(spark, monkeypatch):
+    monkeypatch.setattr(lm, "FREQUENT", 40)
+    texts = lm_texts()
+    table = docs(spark, texts)
+    model = lm.train(table)
+    share, one, _, n = dictionary_model(texts)
+    for most in (1 << 22, 2000):
+        monkeypatch.setattr(lm, "SLICE", most)
+        got = {r.doc_id: r for r in lm.score_documents(table, model).collect()}
+        for i, w in enumerate(lm_tokens(texts)):
+            p = [share(x, w[j - 1] if j else None, w[j - 2] if j > 1 else None) for j, x in enumerate(w)]
+            assert (got[i].n_tokens, got[i].n_known, model.total) == (len(w), sum(x in one for x in w), n)
+            assert got[i].base_score == pytest.approx(sum(np.log10(a) for a, _ in p), rel=1e-9)
+            assert got[i].score == pytest.approx(sum(np.log10(b) for _, b in p), rel=1e-9)
+    held = [i for i in range(150) if zlib.crc32(str(i).encode()) % 7 == 2]
+    assert sum(got[i].score for i in held) > sum(got[i].base_score for i in held)
+
+
+def test_lm_probabilities_sum_to_one_at_most():
+    share, one, two, _ = dictionary_model(lm_texts())
+    for z, y in [(None, None), ("v5", "v7"), *list(two)[:40]]:
+        total = sum(share(x, y, z)[1] for x in one) + share("not a token", y, z)[1]
+        assert 0.6 < total <= 1 + 1e-9
+    assert sum(share(x)[0] for x in one) + share("not a token")[0] == pytest.approx(1)
+
+
+def test_lm_of_nothing(spark):
+    none = docs(spark, [])
+    assert lm.score_documents(none, lm.train(none)).count() == 0
+    got = lm.score_documents(docs(spark, ["a b", None]), lm.train(none)).collect()
+    assert [r.score for r in got] == [0, 0] and {r.n_tokens for r in got} == {3, 1}
+
+
+def test_lm_scores_are_the_same_whatever_is_near(spark, monkeypatch):
     rng = random.Random(8)
     table = docs(spark, [" ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(40)) for _ in range(60)] + ["once only here", None])
-    whole, counts = lm.train(table)
-    want = {r.doc_id: r.score for r in lm.score_documents(table, whole, counts).collect()}
-    one, two, _ = lm.grams([b"once only here"])
-    assert whole.cut == 0 and (whole.count(two) >= 1).all()
-    monkeypatch.setattr(lm, "BITS_EACH", 1 << 20)
+    model = lm.train(table)
+    want = {r.doc_id: r.score for r in lm.score_documents(table, model).collect()}
     monkeypatch.setattr(lm, "FREQUENT", 20)
-    monkeypatch.setattr(lm, "FAR_PROBES", 3)
-    small, counts = lm.train(table)
-    assert small.cut > 0 and small.segments > 1
-    got = {r.doc_id: r.score for r in lm.score_documents(table, small, counts).collect()}
-    assert got == pytest.approx(want, rel=1e-9)
+    monkeypatch.setattr(lm, "NEAR_LEVEL", 2)
+    monkeypatch.setattr(lm, "SEGMENT_BITS", 1 << 13)
+    monkeypatch.setattr(lm, "ANSWERED", 1 << 9)
+    monkeypatch.setattr(lm, "BITS_EACH", 30)
+    small = lm.train(table)
+    assert small.segments > 10
+    got = {r.doc_id: r.score for r in lm.score_documents(table, small).collect()}
+    assert got == pytest.approx(want, rel=1e-4)
+
+
+def test_levels_and_filters_never_fall_short():
+    n = np.concatenate([np.arange(0, 5000), 2 ** np.arange(13, 45)])
+    lev = lm.level(n)
+    assert (lm.least(lev) <= n).all() and (n <= lm.most(lev)).all() and (lev < np.maximum(n, 0.5)).all()
+    key = np.random.default_rng(1).integers(0, 2**32, 3000).astype(np.uint64)
+    bits = lm.filter_bits(key, lev[:3000], 0, 1 << 21)
+    assert (lm.probe(bits, key, 0, 1 << 21) >= lev[:3000]).all() and (lm.probe(bits, key + np.uint64(2**33), 0, 1 << 21) < 0).mean() > 0.9
 
 
 def rule_counts(text):
