@@ -21,7 +21,7 @@ from lodestore.plans.staging import stage, unstage
 CAPACITY, END = 1024, 2
 #: Pieces of one genetic run; more pieces make more blocks, never larger ones.
 BLOCK_PIECES = 4000
-ISLANDS, EPOCHS, POPULATION, CHILDREN = 2, 2, 4, 8
+ISLANDS, EPOCHS, POPULATION, CHILDREN = 2, 2, 4, 16
 #: A bin with this many free tokens at most is final; the others' pieces meet again in the next round's blocks.
 SPARE = 0
 #: A round that places less than one in so many of its pieces is the last, however many blocks it has.
@@ -30,20 +30,20 @@ WORTHWHILE = 4
 
 @lru_cache(maxsize=2)
 def _encoder(path: str):
-    """The byte-level BPE of a tokenizers file: its vocabulary as ranks, in merge order, without special tokens."""
+    """The byte-level BPE of a tokenizers file: its vocabulary as ranks, in merge order, and its special tokens."""
     with open(path, encoding="utf-8") as f:
         made = json.load(f)
-    special = {t["content"] for t in made["added_tokens"]}
+    special = {t["content"]: t["id"] for t in made["added_tokens"]}
     letters = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in letters} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in letters)}
     ranks = {bytes(byte_of[c] for c in token): i for token, i in made["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
-    """The ids of each whole text."""
+    """The ids of each whole text, as the file's tokenizer gives them without adding special tokens: those that a text spells out keep their ids."""
     encode = _encoder(path).encode_to_numpy
-    return [np.asarray(encode(t, disallowed_special=()), np.uint32) for t in texts]
+    return [np.asarray(encode(t, allowed_special="all"), np.uint32) for t in texts]
 
 
 def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,20 +101,29 @@ def _fitness(bins: Bins, size: list[int]) -> tuple[int, int]:
 
 
 def crossover(mother: Bins, father: Bins, size: list[int], capacity: int, rng: random.Random) -> Bins:
-    """A child: a share of the father's full bins goes in whole; the mother's bins that hold one of their pieces, and some of her emptiest, are opened, and the pieces so displaced are placed by best fit, largest first."""
-    fill = [sum(size[i] for i in b) for b in father]
-    best = [b for b, f in zip(father, fill, strict=True) if f >= capacity - SPARE] or [max(zip(fill, father, strict=True), key=lambda x: x[0])[1]]
-    given = [list(b) for b in best if rng.random() < 0.5] or [list(best[0])]
+    """A child: the father's well-filled bins go in whole where they break none of the mother's, or sometimes one.
+
+    The mother's bins that hold one of their pieces are opened, as are some or all of those not well filled; the
+    pieces so displaced are placed by best fit, the largest first but for a random blur.
+    """
+    full = [sum(size[i] for i in b) >= capacity - SPARE for b in mother]
+    home = {i: k for k, b in enumerate(mother) for i in b}
+    given = []
+    for b in father:
+        if sum(size[i] for i in b) >= capacity - SPARE:
+            broken = {home[i] for i in b if full[home[i]]}
+            if not broken or (len(broken) == 1 and rng.random() < 0.3):
+                given.append(list(b))
     taken = {i for b in given for i in b}
-    short = sorted(range(len(mother)), key=lambda k: sum(size[i] for i in mother[k]))
-    opened = set(short[: max(2, len(mother) // 20)])
+    share = rng.choice((0.3, 1.0, 1.0))
     kept, loose = [], []
     for k, b in enumerate(mother):
-        if k in opened or any(i in taken for i in b):
+        if any(i in taken for i in b) or (not full[k] and rng.random() < share):
             loose.extend(i for i in b if i not in taken)
         else:
             kept.append(list(b))
-    loose.sort(key=lambda i: (-size[i], rng.random()))
+    blur = rng.choice((0, capacity // 64, capacity // 16, capacity // 5))
+    loose.sort(key=lambda i: -size[i] - rng.uniform(0, blur))
     return best_fit(loose, size, given + kept, capacity)
 
 
@@ -127,7 +136,7 @@ def evolve(size: list[int], elites: list[Bins], capacity: int, seed: int) -> Bin
         blur = 0 if not people else capacity // 8
         people.append(best_fit(sorted(order, key=lambda i: -size[i] - rng.uniform(0, blur)), size, [], capacity))
     people = sorted(((_fitness(p, size), p) for p in people), key=lambda x: x[0])
-    least = -(-sum(size) // capacity)
+    least = max(-(-sum(size) // capacity), sum(2 * x > capacity for x in size))
     for _ in range(CHILDREN):
         if people[0][0][0] <= least:
             break
