@@ -15,9 +15,9 @@ from lodestore.plans.staging import stage, unstage
 
 #: Words of a window, and of the prefix by which suffixes are dealt out.
 WINDOW, PREFIX = 35, 8
-#: Suffixes of one subtree group (about 12 MB), and distinct runs from which a prefix is grown to the whole window.
-GROUP_SUFFIXES, HEAVY = 150_000, 3_000
-#: The table of removed ranges is broadcast up to this many bytes (summed first); beyond it the texts are shuffled.
+#: Suffixes of one subtree group (about 12 MB); a prefix with more is grown.
+GROUP_SUFFIXES = 150_000
+#: The table of removed ranges, and that of prefixes to be grown, are broadcast up to this many bytes (summed first); beyond it both sides are shuffled.
 BROADCAST_BYTES = 16 << 20
 #: Words of one edge of a subtree; 35 is seven edges.
 EDGE = 5
@@ -69,20 +69,51 @@ def _runs(window: int, prefix: int):
     return run
 
 
-def _payload(window: int, heavy: int):
+def _payload(window: int):
     def run(batches):
-        """The words of each asked-for run as hashes; for a heavy prefix the hashes of its whole windows."""
+        """The words of each asked-for run as hashes."""
         for part in slices(batches):
             texts, asked = part.column(1).to_pylist(), part.column(2).to_pylist()
             h, at = word_hashes(texts)
             rows, words = [], []
             for base, runs in zip(at.tolist(), asked, strict=False):
                 for r in runs:
-                    w = h[base + r["start"] : base + r["start"] + r["count"] + window - 1]
-                    rows.append((r["key"], r["content"], r["offset"], r["count"], r["m"] > heavy))
-                    words.append(windows(w, window) if r["m"] > heavy else w)
+                    rows.append((r["key"], r["content"], r["offset"], r["count"], r["suffixes"]))
+                    words.append(h[base + r["start"] : base + r["start"] + r["count"] + window - 1])
             c = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.bool_()), longs(words)], names=["key", "content", "offset", "count", "heavy", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int64()), longs(words)], names=["key", "content", "offset", "count", "suffixes", "words"])
+
+    return run
+
+
+#: A part of a run under a grown prefix: the run, the first of its windows, and the least and largest offset of the prefix's core in the part's windows.
+_PARTS = "key0 long, content0 long, place int, low int, high int, key long, content long, offset int, count int, words array<long>"
+
+
+def halved(row: dict, window: int):
+    """The run's part cut in two by the offset of the core in its windows; each grows its prefix to all the words that windows of such offsets share.
+
+    At offsets low to high those are window - (high - low) words. Equal windows have equal offsets, so they stay together.
+    """
+    middle = (row["low"] + row["high"]) // 2
+    split = min(max(row["offset"] - middle, 0), row["count"])
+    words = np.array(row["words"], np.int64).view(U)
+    for low, high, a, b in ((middle + 1, row["high"], 0, split), (row["low"], middle, split, row["count"])):
+        if a < b:
+            own, offset = words[a : b + window - 1], row["offset"] - a
+            grown = own[offset - low : offset - high + window]
+            key = mix(windows(grown, len(grown)) ^ mix(np.full(1, low * 64 + high, U)))
+            content = mix(windows(own, len(own)) ^ U(offset))
+            yield row["key0"], row["content0"], row["place"] + a, low, high, *key.view(np.int64).tolist(), *content.view(np.int64).tolist(), offset, b - a, own
+
+
+def _halved(window: int):
+    def run(batches):
+        for batch in batches:
+            rows = [x for r in batch.to_pylist() for x in halved(r, window)]
+            c = list(zip(*rows, strict=True)) or [[]] * 10
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(c[:9], kinds, strict=True)), longs(list(c[9]))], names=[x.split()[0] for x in _PARTS.split(", ")])
 
     return run
 
@@ -125,10 +156,48 @@ def _grown(window: int):
     return run
 
 
-def _few(spans: DataFrame, column: str = "gone") -> DataFrame:
-    """The table of spans, to be broadcast if its bytes and 16 more a row are within the bound."""
-    size = spans.agg(F.sum(F.octet_length(column) + 16)).first()[0] or 0
-    return F.broadcast(spans) if size <= BROADCAST_BYTES else spans
+def _few(table: DataFrame, column: str = "gone") -> DataFrame:
+    """The table, to be broadcast if its bytes and 16 more a row are within the bound."""
+    size = table.agg(F.sum(F.octet_length(F.col(column).cast("string")) + 16)).first()[0] or 0
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
+
+
+def _trees(runs: DataFrame, window: int, group: int) -> DataFrame:
+    """(key, content, bits) of runs that are distinct by key and content, by subtrees of whole prefixes."""
+    groups = 1 + (runs.agg(F.sum("count")).first()[0] or 0) // group
+    t = runs.select("key", "content", "offset", "count", "words", F.pmod(F.xxhash64("key"), F.lit(groups)).alias("group"))
+    return t.groupBy("group").applyInArrow(_grown(window), "key long, content long, bits long")
+
+
+def _found(body: DataFrame, window: int, prefix: int, group: int) -> DataFrame:
+    """(key, content, bits): the windows of each run that stand elsewhere too, among runs of one prefix.
+
+    Prefixes of at most `group` suffixes go to subtrees. The runs of larger ones are halved, and each part's prefix
+    grown, until they fit; equal parts of different runs are repeats as they are. At the latest all parts of a prefix
+    are equal when it is the whole window.
+    """
+    out = [stage(_trees(body.where(F.col("suffixes") <= group), window, group), "trees")]
+    rows = body.where(F.col("suffixes") > group).select(F.col("key").alias("key0"), F.col("content").alias("content0"), F.lit(0).alias("place"), F.lit(0).alias("low"), F.lit(window - prefix).alias("high"), "key", "content", "offset", "count", "words")
+    old = None
+    while rows.limit(1).count():
+        parts = stage(rows.mapInArrow(_halved(window), _PARTS), "parts")
+        unstage(old)
+        old = parts
+        kinds = stage(parts.groupBy("key", "content", "count").agg(F.count("*").alias("n")), "kinds")
+        by = stage(kinds.groupBy("key").agg(F.count("*").alias("m"), F.sum("count").alias("suffixes")), "prefixes")
+        large = _few(by.where((F.col("m") > 1) & (F.col("suffixes") > group)).select("key"), "key")
+        fit = parts.join(_few(by.where((F.col("m") > 1) & (F.col("suffixes") <= group)).select("key"), "key"), "key", "left_semi")
+        tree = _trees(stage(fit.groupBy("key", "content").agg(*(F.first(c).alias(c) for c in ("offset", "count", "words"))), "fit"), window, group)
+        equal = kinds.where("n > 1").select("key", "content", F.expr("shiftleft(1L, count) - 1").alias("bits"))
+        told = stage(tree.union(equal).where("bits <> 0"), "told")
+        bits = parts.select("key0", "content0", "place", "key", "content").join(told, ["key", "content"]).select(F.col("key0").alias("key"), F.col("content0").alias("content"), F.expr("shiftleft(bits, place)").alias("bits"))
+        out.append(stage(bits.groupBy("key", "content").agg(F.bit_or("bits").alias("bits")), "found"))
+        rows = parts.join(large, "key", "left_semi").select([x.split()[0] for x in _PARTS.split(", ")])
+    unstage(old)
+    union = out[0]
+    for t in out[1:]:
+        union = union.union(t)
+    return union.groupBy("key", "content").agg(F.bit_or("bits").alias("bits")) if out[1:] else union
 
 
 def _merged(window: int):
@@ -147,35 +216,29 @@ def _merged(window: int):
     return run
 
 
-def repeats(docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, prefix: int = PREFIX, heavy: int = HEAVY) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str, text_col: str, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP_SUFFIXES) -> DataFrame:
     """(doc, gone): for each text with repeated windows, the ranges of words that they cover, as int32 pairs.
 
-    `doc` is a hash of id and text. Windows are compared as 64-bit word and path hashes.
+    `doc` is a hash of id and text. Windows are compared as 64-bit word and path hashes. What is joined is staged on
+    both sides, so that Spark can split a hot key's partition.
     """
+    if not 1 <= prefix <= window <= prefix + 62:
+        raise ValueError("a prefix must be within its window, and at most 62 words shorter")
     texts = docs.select(F.col(id_col).alias("doc_id"), as_bytes(text_col).alias("text")).select(F.xxhash64("doc_id", "text").alias("doc"), "text")
     runs = stage(texts.mapInArrow(_runs(window, prefix), "doc long, start int, count int, offset int, key long, content long"), "runs")
-    often = runs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    often = stage(runs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "often")
     live = stage(runs.join(often, "key", "left_semi"), "live")
-    each = live.groupBy("key", "content").agg(F.count("*").alias("n"), F.min(F.struct("doc", "start", "count", "offset")).alias("at"))
-    each = stage(each, "each")
-    many = each.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    asked = each.join(many, "key").select("at.doc", F.struct("at.start", "at.count", "at.offset", "key", "content", "m").alias("r"))
+    each = stage(live.groupBy("key", "content").agg(F.count("*").alias("n"), F.min(F.struct("doc", "start", "count", "offset")).alias("at")), "each")
+    many = stage(each.groupBy("key").agg(F.count("*").alias("m"), F.sum("at.count").alias("suffixes")).where("m > 1"), "many")
+    asked = each.join(many, "key").select("at.doc", F.struct("at.start", "at.count", "at.offset", "key", "content", "suffixes").alias("r"))
     asked = stage(asked.groupBy("doc").agg(F.collect_list("r").alias("runs")), "asked")
-    body = stage(texts.join(asked, "doc").select("doc", "text", "runs").mapInArrow(_payload(window, heavy), "key long, content long, offset int, count int, heavy boolean, words array<long>"), "payload")
-    light = body.where("not heavy")
-    groups = 1 + (light.agg(F.sum("count")).first()[0] or 0) // GROUP_SUFFIXES
-    tree = light.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups))).groupBy("group").applyInArrow(_grown(window), "key long, content long, bits long")
-    # a prefix with many runs is grown to the whole window: its nodes are counted with a combine on the map side
-    leaf = body.where("heavy").select("key", "content", "offset", F.posexplode("words").alias("i", "word")).withColumn("offset", F.col("offset") - F.col("i"))
-    deep = leaf.groupBy("key", "offset", "word").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    whole = leaf.join(deep, ["key", "offset", "word"], "left_semi").groupBy("key", "content").agg(F.expr("bit_or(shiftleft(1L, i))").alias("bits"))
-    found = tree.union(whole)
-    single = each.where("n = 1").select("key", "content").join(found, ["key", "content"], "left").select("key", "content", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-    full = F.expr("shiftleft(1L, count) - 1")
-    spans = live.join(single, ["key", "content"], "left").select("doc", "start", "count", F.coalesce("bits", full).alias("bits")).where("bits <> 0")
-    spans = spans.groupBy("doc").agg(F.collect_set(F.struct("start", "count", "bits")).alias("spans"))
+    body = stage(texts.join(asked, "doc").select("doc", "text", "runs").mapInArrow(_payload(window), "key long, content long, offset int, count int, suffixes long, words array<long>"), "payload")
+    found = _found(body, window, prefix, group)
+    told = each.where("n > 1").select("key", "content", F.expr("shiftleft(1L, at.count) - 1").alias("bits")).union(found.where("bits <> 0"))
+    told = stage(told.groupBy("key", "content").agg(F.bit_or("bits").alias("bits")), "told")
+    spans = live.join(told, ["key", "content"]).groupBy("doc").agg(F.collect_set(F.struct("start", "count", "bits")).alias("spans"))
     spans = stage(spans.mapInArrow(_merged(window), "doc long, gone binary"), "spans")
-    for t in (runs, live, each, asked, body):
+    for t in (runs, often, live, each, many, asked, body, told):
         unstage(t)
     return spans
 
@@ -235,7 +298,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return t.select(*docs.columns)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, prefix: int = PREFIX, heavy: int = HEAVY) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP_SUFFIXES) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by a space), kept_text.
 
     A word goes if a window of `window` words that covers it starts anywhere else, in the same text or another. All
@@ -243,7 +306,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     words. Null and empty texts, and those shorter than a window, keep all they have; rows with a null id count as
     texts of their own; repeated rows repeat each other. Other columns aren't read.
     """
-    spans = repeats(docs, id_col, text_col, window, prefix, heavy)
+    spans = repeats(docs, id_col, text_col, window, prefix, group)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("text"), F.col(id_col).alias("own")).withColumn("doc", F.xxhash64("own", "text"))
     joined = texts.join(_few(spans), "doc", "left").select("doc_id", "text", "gone")
     return joined.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

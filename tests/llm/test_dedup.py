@@ -46,12 +46,39 @@ def test_block_links_need_no_leader():
     assert set(zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)) == {(1, 2), (2, 3)}
 
 
-@pytest.mark.parametrize("heavy", [3000, 1])
-def test_substring_matches_brute_force(spark, heavy):
-    got = substring.remove_repeats(table(spark, ROWS), heavy=heavy).collect()
+@pytest.mark.parametrize("group", [150_000, 60, 1])
+def test_substring_matches_brute_force(spark, group):
+    """Whole prefixes in one subtree; some grown; all grown to whole windows."""
+    got = substring.remove_repeats(table(spark, ROWS), group=group).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute.substring(ROWS)
 
 
+def test_halves_of_a_run_hold_all_its_windows():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        count = int(rng.integers(1, 29))
+        offset = int(rng.integers(count - 1, 28))
+        words = rng.integers(-(2**62), 2**62, count + 34)
+        todo, seen = [{"key0": 1, "content0": 2, "place": 0, "low": 0, "high": 27, "offset": offset, "count": count, "words": words.tolist()}], []
+        while todo:
+            row = todo.pop()
+            if row["low"] == row["high"]:
+                seen.append(row["place"])
+                assert row["count"] == 1 and row["offset"] == row["low"]
+                continue
+            for x in substring.halved(row, 35):
+                part = dict(zip(("key0", "content0", "place", "low", "high", "key", "content", "offset", "count", "words"), x, strict=True))
+                part["words"] = part["words"].view(np.int64).tolist()
+                assert part["words"] == words[part["place"] : part["place"] + part["count"] + 34].tolist()
+                todo.append(part)
+        assert sorted(seen) == list(range(count))
+
+
+def test_substring_refuses_windows_beyond_its_bits(spark):
+    with pytest.raises(ValueError):
+        substring.remove_repeats(table(spark, ROWS), window=80, prefix=8)
+
+
 def test_substring_edges(spark):
     text = " ".join(f"w{i}" for i in range(40))
     rows = [(1, text), (1, text), (None, text), (2, None), (3, "a")]
