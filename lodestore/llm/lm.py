@@ -12,22 +12,25 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestore.llm.labelled import held_out
 from lodestore.llm.text import GOLDEN, U, keyed_texts, mix, slices
-from lodestore.plans.staging import stage, unstage
+from lodestore.plans.staging import stage
 
-#: Bits of a segment and of the near part, probes of one membership test, and bits to an entry at least.
-SEGMENT_BITS, NEAR_BITS, PROBES, BITS_EACH = 1 << 24, 1 << 26, 7, 10
+#: Bits to an entry, and 64-bit words of the near part (8 MiB).
+BITS_EACH, NEAR_WORDS = 12, 1 << 20
 #: Level from which an n-gram may stand in the near part, and the parts in which that is built.
 NEAR_LEVEL, NEAR_PARTS = 5, 16
 #: Exact counts of at most this many frequent tokens are broadcast (16 MiB); the others' are looked up by segment.
 FREQUENT = 1 << 20
-#: Bytes of text that are taken together, and of text whose probes one copy of a segment answers.
-SLICE, ANSWERED = 1 << 22, 1 << 23
+#: Bytes of training text that are counted together, of texts that are scored together, and of training text to a segment.
+COUNTED, SLICE, SEGMENT = 1 << 24, 1 << 22, 1 << 22
+#: Bytes of text whose probes one copy of a segment answers.
+ANSWERED = 1 << 23
 #: What an n-gram's context counts for the next lower order, as if so many tokens had followed it in that order's shares.
 TRUST = 16.0
 
@@ -85,35 +88,47 @@ def grams(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def segment_of(h: np.ndarray, segments: int) -> np.ndarray:
-    return (((h >> U(32)) * U(segments)) >> U(32)).astype(np.int32)
+    return (((h >> U(32)) * U(segments)) >> U(32)).astype(np.uint16 if segments <= 1 << 16 else np.int32)
 
 
-def _places(key: np.ndarray, lev: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """First bit and stride of an entry: an n-gram at one level of its unary count."""
-    e = mix(key.astype(U) ^ U((lev + 1) * GOLDEN % 2**64))
-    return e & U(bits - 1), (e >> U(32)) | U(1)
+#: Four bits of a word, and the word that has them, by 16 bits of hash.
+POSITIONS = (mix(np.arange(4 << 16, dtype=U) + U(1)) & U(63)).astype(np.int64).reshape(-1, 4)
+MASKS = np.bitwise_or.reduce(U(1) << POSITIONS.astype(U), axis=1)
 
 
-def filter_bits(key: np.ndarray, lev: np.ndarray, cut: int, size: int) -> np.ndarray:
-    """A filter of `size` bits, packed, that holds each key at every level from the cut to its own."""
-    flags = np.zeros(size, bool)
+def _places(key: np.ndarray, lev: int, size: int) -> tuple[np.ndarray, ...]:
+    """The two words of an entry (an n-gram at one level of its unary count), and which masks it has in them."""
+    e = mix(key ^ U((lev + 1) * GOLDEN % 2**64))
+    f = e * U(GOLDEN)
+    one, two = (((x >> U(32)) * U(size) >> U(32)).astype(np.int64) for x in (e, f))
+    return one, two, (e & U(65535)).astype(np.int64), (f >> U(8) & U(65535)).astype(np.int64)
+
+
+def filter_words(key: np.ndarray, lev: np.ndarray, cut: int, size: int | None = None, bits_each: int = BITS_EACH) -> np.ndarray:
+    """A blocked Bloom filter that holds each key at every level from the cut to its own, in `size` words or as many as its entries need."""
+    if size is None:
+        size = int((lev - cut + 1).clip(0).sum()) * bits_each // 64 + 1
+    flags = np.zeros(size * 64, bool)
     for at in range(cut, int(lev.max(initial=cut - 1)) + 1):
-        a, s = _places(key[lev >= at], at, size)
-        for i in range(PROBES):
-            flags[(a + s * U(i)) & U(size - 1)] = True
-    return np.packbits(flags, bitorder="little")
+        one, two, a, b = _places(key[lev >= at], at, size)
+        for word, mask in ((one * 64, a), (two * 64, b)):
+            for j in range(4):
+                flags[word + POSITIONS[mask, j]] = True
+    return np.packbits(flags, bitorder="little").view("<u8")
 
 
-def probe(bits: np.ndarray, key: np.ndarray, cut: int, size: int, part: np.ndarray | int = 0) -> np.ndarray:
-    """The level of each key, -1 for what isn't entered: levels are probed upwards from the cut until one isn't a member of its part (of `size` bits)."""
-    lev, here, at = np.full(len(key), -1), np.arange(len(key)), cut
-    base = np.broadcast_to(np.asarray(part, np.int64) * (size // 8), len(key))
+def probe(words: np.ndarray, key: np.ndarray, cut: int, size: int, part: np.ndarray | None = None) -> np.ndarray:
+    """The level of each key, -1 for what isn't entered: levels are probed upwards from the cut until one isn't a member of its part (of `size` words)."""
+    lev, at = np.full(len(key), -1, np.int8), cut
+    here = np.arange(len(key))
     while len(here) and at < len(EDGES) - 1:
-        a, s = _places(key[here], at, size)
-        for i in range(PROBES):
-            b = (a + s * U(i)) & U(size - 1)
-            hit = (bits[base[here] + (b >> U(3)).astype(np.int64)] >> (b & U(7)).astype(np.uint8)) & 1 > 0
-            here, a, s = here[hit], a[hit], s[hit]
+        one, two, a, b = _places(key, at, size)
+        if part is not None:
+            one, two = one + part, two + part
+        a, b = MASKS[a], MASKS[b]
+        hit = np.flatnonzero((words[one] & a == a) & (words[two] & b == b))
+        here, key = here[hit], key[hit]
+        part = None if part is None else part[hit]
         lev[here] = at
         at += 1
     return lev
@@ -123,7 +138,7 @@ def probe(bits: np.ndarray, key: np.ndarray, cut: int, size: int, part: np.ndarr
 class Model:
     """The near part, frequent tokens' exact counts and totals; `far` is the table of segments, not sent with the model."""
 
-    bits: np.ndarray
+    words: np.ndarray
     cut: int
     tokens: np.ndarray
     counts: np.ndarray
@@ -156,13 +171,6 @@ class Model:
         return single, (np.minimum(least(triple), context) + TRUST * two) / (context + TRUST)
 
 
-def _counted(batches):
-    """Distinct tokens of a slice with their counts."""
-    for part in slices(batches, most=SLICE):
-        x, n = np.unique(tokens(part.column(1).to_pylist())[0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n)], names=["h", "n"])
-
-
 def _dealt(segment: np.ndarray, *values: np.ndarray):
     """(segment, the bytes of its part of each array) for arrays in order of segment."""
     kinds, begin = np.unique(segment, return_index=True)
@@ -171,94 +179,98 @@ def _dealt(segment: np.ndarray, *values: np.ndarray):
         yield s, *(v[a:b].tobytes() for v in values)
 
 
-def _entered(segments: int):
+def _counted(segments: int):
     def run(batches):
-        """Distinct pairs and triples of a slice with their counts, by segment: 32 bits of hash each beside it."""
-        for part in slices(batches, most=SLICE):
+        """Distinct tokens, and distinct pairs and triples, of a slice with their counts, by segment. Of n-grams, 32 bits of hash stand beside it."""
+        for part in slices(batches, most=COUNTED):
             h, at = tokens(part.column(1).to_pylist())
-            x, n = np.unique(np.concatenate(grams(h, at)), return_counts=True)
-            rows = list(zip(*_dealt(segment_of(x, segments), x.astype(np.uint32), n.astype(np.uint32)), strict=True))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], names=["segment", "h", "n"])
+            for kind, x, width in ((1, h, U), (2, np.concatenate(grams(h, at)), np.uint32)):
+                x, n = np.unique(x, return_counts=True)
+                rows = list(zip(*_dealt(segment_of(x, segments), x.astype(width), n.astype(np.uint32)), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array([kind] * len(rows[0]), pa.int32()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())], names=["segment", "kind", "h", "n"])
 
     return run
 
 
-def _joined(column: pa.ChunkedArray, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
+def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and the sums of their counts."""
+    order = np.argsort(h)
+    h, n = h[order], n[order].astype(np.int64)
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(h), 1), bool), h[1:] != h[:-1]]))
+    return h[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def _segment(key: tuple, grams_of: pa.Table, rare: pa.Table) -> pa.Table:
-    """One segment: the filter of its n-grams, its rare tokens with exact counts, its frequent n-grams, and n-grams by level."""
-    both = np.sort(_joined(grams_of.column("h"), np.uint32).astype(U) << U(32) | _joined(grams_of.column("n"), np.uint32).astype(U))
-    first = np.flatnonzero(np.diff(both >> U(32), prepend=U(2**40)))
-    n = np.add.reduceat((both & U(2**32 - 1)).astype(np.int64), first) if len(first) else np.empty(0, np.int64)
-    h, lev = (both[first] >> U(32)).astype(np.uint32), level(n)
-    often = lev >= NEAR_LEVEL
-    token = rare.column("h").to_numpy().view(U)
-    order = np.argsort(token)
-    s = key[0].as_py()
-    return pa.table(
-        {
-            "segment": pa.array([s], pa.int32()),
-            "bits": pa.array([filter_bits(h, lev, 0, SEGMENT_BITS).tobytes()], pa.binary()),
-            "tokens": pa.array([token[order].tobytes()], pa.binary()),
-            "counts": pa.array([rare.column("n").to_numpy()[order].astype(np.uint32).tobytes()], pa.binary()),
-            "often": pa.array([(h[often].astype(U) | U(s << 32)).view(np.int64)], pa.list_(pa.int64())),
-            "level": pa.array([lev[often].astype(np.int8)], pa.list_(pa.int8())),
-            "spread": pa.array([np.bincount(lev[often], minlength=len(EDGES)).astype(np.int64)], pa.list_(pa.int64())),
-        }
-    )
+_SEGMENT = "segment int, bits binary, tokens binary, counts binary, often array<long>, level array<byte>, spread array<long>, token_spread array<long>, total long"
+
 
+def _segment(bits_each: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        """One segment: its tokens with exact counts, the filter of its n-grams, its frequent n-grams, and how many of either are at each level."""
+        of = []
+        for kind, width in ((1, U), (2, np.uint32)):
+            some = table.filter(pc.equal(table.column("kind"), kind))
+            of.append(_summed(*(np.frombuffer(b"".join(some.column(c).to_pylist()), t) for c, t in (("h", width), ("n", np.uint32)))))
+        (token, count), (h, n) = of
+        lev, s = level(n), key[0].as_py()
+        often = lev >= NEAR_LEVEL
+        spread = [np.bincount(x, minlength=len(EDGES)).astype(np.int64) for x in (lev, level(count))]
+        values = [s, filter_words(h.astype(U), lev, 0, bits_each=bits_each).tobytes(), token.tobytes(), count.tobytes(), (h[often].astype(U) | U(s << 32)).view(np.int64), lev[often].astype(np.int8), *spread, int(count.sum())]
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int8()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()]
+        return pa.table({f.split()[0]: pa.array([v], t) for f, v, t in zip(_SEGMENT.split(", "), values, kinds, strict=True)})
 
-_SEGMENT = "segment int, bits binary, tokens binary, counts binary, often array<long>, level array<byte>, spread array<long>"
+    return run
 
 
 def _near(cut: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        bits = filter_bits(table.column("often").to_numpy().view(U), table.column("level").to_numpy().astype(np.int64), cut, NEAR_BITS // NEAR_PARTS)
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
+        words = filter_words(table.column("often").to_numpy().view(U), table.column("level").to_numpy().astype(np.int64), cut, NEAR_WORDS // NEAR_PARTS)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([words.tobytes()], pa.binary())})
 
     return run
 
 
-def _segment_column(h: str, segments: int) -> Column:
-    return F.shiftrightunsigned(F.shiftrightunsigned(h, 32) * F.lit(segments).cast("long"), 32).cast("int")
+def _frequent(least_count: int):
+    def run(batches):
+        """The tokens that often."""
+        for batch in batches:
+            for token, count in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h, n = np.frombuffer(token, np.int64), np.frombuffer(count, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h[n >= least_count]), pa.array(n[n >= least_count])], names=["h", "n"])
+
+    return run
+
 
+def _by_level(far: DataFrame, column: str) -> list[int]:
+    found = {r[0]: r[1] for r in far.select(F.posexplode(column)).groupBy("pos").agg(F.sum("col")).collect()}
+    return [found.get(i, 0) for i in range(len(EDGES))]
 
-def train(docs: DataFrame, modulus: int = 7, remainder: int = 2, id_col: str = "doc_id", text_col: str = "text") -> Model:
+
+def train(docs: DataFrame, modulus: int = 7, remainder: int = 2, bits_each: int = BITS_EACH, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """The model of the documents that aren't held out.
 
-    Tokens are counted exactly, with a combine on the map side. Pairs and triples are counted by segment from each
-    slice's distinct ones; they are told apart by segment and 32 bits, which errs less often than the filter does.
+    Each slice's distinct tokens, pairs and triples are counted, dealt by segment and summed there. N-grams are told
+    apart by segment and 32 bits, which errs less often than the filter does.
     """
     kept = keyed_texts(docs.where(~held_out(id_col, modulus, remainder)), id_col, text_col)
-    single = stage(kept.mapInArrow(_counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "tokens")
-    total, kinds = single.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    starts = (single.where(F.col("h") == int(np.array(_END, U).view(np.int64))).first() or (0, 0))[1]
-    segments = -(-2 * total * BITS_EACH // SEGMENT_BITS) or 1
-    sizes = {r[0]: r[1] for r in single.groupBy(F.floor(F.log2("n") * 4).alias("k")).count().collect()}
-    least_often = next(k for k in range(max(sizes, default=0) + 2) if sum(n for x, n in sizes.items() if x >= k) <= FREQUENT)
-    frequent = F.floor(F.log2("n") * 4) >= least_often
-    exact = single.where(frequent).toArrow()
+    size, starts = kept.agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)), F.count("*")).first()
+    segments = size // SEGMENT + 1
+    counted = kept.mapInArrow(_counted(segments), "segment int, kind int, h binary, n binary")
+    far = stage(counted.groupBy("segment").applyInArrow(_segment(bits_each), _SEGMENT), "segments")
+    kinds, total = far.agg(F.coalesce(F.sum(F.octet_length("tokens").cast("long")), F.lit(0)) / 8, F.coalesce(F.sum("total"), F.lit(0))).first()
+    spread, of_tokens = _by_level(far, "spread"), _by_level(far, "token_spread")
+    often = next(c for c in range(len(EDGES)) if sum(of_tokens[c:]) <= FREQUENT)
+    exact = far.select("tokens", "counts").mapInArrow(_frequent(int(EDGES[often])), "h long, n long").toArrow()
     token = exact.column(0).to_numpy().view(U)
     order = np.argsort(token)
-    entered = kept.mapInArrow(_entered(segments), "segment int, h binary, n binary")
-    rare = single.where(~frequent).select(_segment_column("h", segments).alias("segment"), "h", "n")
-    far = stage(entered.groupBy("segment").cogroup(rare.groupBy("segment")).applyInArrow(_segment, _SEGMENT), "segments")
-    spread = np.zeros(len(EDGES), np.int64)
-    for lev, n in far.select(F.posexplode("spread")).groupBy("pos").agg(F.sum("col")).collect():
-        spread[lev] = n
-    cut = next(c for c in range(NEAR_LEVEL, len(EDGES)) if sum((x - c + 1) * int(spread[x]) for x in range(c, len(EDGES))) * 2 * BITS_EACH <= NEAR_BITS)
+    cut = next(c for c in range(NEAR_LEVEL, len(EDGES)) if sum((x - c + 1) * spread[x] for x in range(c, len(EDGES))) * BITS_EACH <= NEAR_WORDS * 64)
     hot = far.select(F.inline(F.arrays_zip("often", "level"))).where(F.col("level") >= cut)
     parts = hot.groupBy(F.col("often").bitwiseAND(F.lit(NEAR_PARTS - 1)).cast("int").alias("part")).applyInArrow(_near(cut), "part int, bits binary").toArrow()
-    bits = np.zeros((NEAR_PARTS, NEAR_BITS // NEAR_PARTS // 8), np.uint8)
+    words = np.zeros((NEAR_PARTS, NEAR_WORDS // NEAR_PARTS), U)
     for p, b in zip(parts.column(0).to_pylist(), parts.column(1).to_pylist(), strict=True):
-        bits[p] = np.frombuffer(b, np.uint8)
-    model = Model(bits.reshape(-1), cut, token[order], exact.column(1).to_numpy()[order], int(total), int(kinds), int(starts), segments, far)
-    unstage(single)
-    # the shuffles of the counts aren't read again: Spark deletes their files once the driver has collected their plans
-    del kept, single, entered, rare, hot, parts, exact, frequent
+        words[p] = np.frombuffer(b, U)
+    model = Model(words.reshape(-1), cut, token[order], exact.column(1).to_numpy()[order], int(total), int(kinds), int(starts), int(segments), far)
+    # the shuffle of the counts isn't read again: Spark deletes its files once the driver has collected its plan
+    del kept, counted, hot, parts, exact
     gc.collect()
     docs.sparkSession.sparkContext._jvm.System.gc()
     return model
@@ -276,20 +288,26 @@ class _Slice:
         self.h, self.at = tokens(texts)
         kinds, self.kind = np.unique(self.h, return_inverse=True)
         self.count = model.exact(kinds)
-        self.rare = np.flatnonzero(self.count == 0)
-        by = segment_of(kinds[self.rare], model.segments)
-        order = np.argsort(by, kind="stable")
-        self.rare, self.rare_segment = self.rare[order], by[order]
+        self.rare, self.rare_segment = self._ordered(np.flatnonzero(self.count == 0), kinds, model.segments)
         self.rare_tokens = kinds[self.rare]
-        x = np.concatenate(grams(self.h, self.at))
-        segment = segment_of(x, model.segments)
-        key = x & U(2**32 - 1) | segment.astype(U) << U(32)
-        self.level = probe(model.bits, key, model.cut, NEAR_BITS // NEAR_PARTS, key & U(NEAR_PARTS - 1)) if len(model.bits) else np.full(len(x), -1)
-        open_ = np.flatnonzero(self.level < 0)
-        order = np.argsort(segment[open_], kind="stable")
-        self.open, self.open_segment = open_[order], segment[open_][order]
+        x, n = np.concatenate(grams(self.h, self.at)), len(self.h)
+        self.level = np.full(2 * n, -1, np.int8)
+        self._near(model, x, np.arange(n))
+        self._near(model, x, n + np.flatnonzero(self.level[:n] >= 0))  # a triple isn't more frequent than its pair
+        self.open, self.open_segment = self._ordered(np.flatnonzero(self.level < 0), x, model.segments)
         self.open_grams = x[self.open].astype(np.uint32)
 
+    @staticmethod
+    def _ordered(rows: np.ndarray, x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+        segment = segment_of(x[rows], segments)
+        order = np.argsort(segment, kind="stable")
+        return rows[order], segment[order]
+
+    def _near(self, model: Model, x: np.ndarray, rows: np.ndarray) -> None:
+        low = x[rows] & U(2**32 - 1)
+        part = (low & U(NEAR_PARTS - 1)).astype(np.int64) * (NEAR_WORDS // NEAR_PARTS)
+        self.level[rows] = probe(model.words, low | segment_of(x[rows], model.segments).astype(U) << U(32), model.cut, NEAR_WORDS // NEAR_PARTS, part)
+
 
 def _asked(held):
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -312,13 +330,13 @@ def _answered(key: tuple, asked: pa.Table, segment: pa.Table) -> pa.Table:
         rows = np.flatnonzero(kind == k).tolist()
         x = np.frombuffer(b"".join(blobs[i] for i in rows), dtype)
         if k == 0:
-            bits = np.frombuffer(segment.column("bits")[0].as_buffer(), np.uint8) if segment.num_rows else np.zeros(8, np.uint8)
-            answer = (probe(bits, x.astype(U), 0, 8 * len(bits)) + 1).astype(np.uint8)
+            words = np.frombuffer(segment.column("bits")[0].as_buffer(), U) if segment.num_rows else np.zeros(1, U)
+            answer = (probe(words, x.astype(U), 0, len(words)) + 1).astype(np.uint8)
         else:
-            answer = np.zeros(len(x), np.uint32)
+            answer = np.zeros(len(x), np.int64)
             if segment.num_rows and len(known := np.frombuffer(segment.column("tokens")[0].as_buffer(), U)):
                 i = np.minimum(np.searchsorted(known, x), len(known) - 1)
-                answer = np.where(known[i] == x, np.frombuffer(segment.column("counts")[0].as_buffer(), np.uint32)[i], answer)
+                answer = np.where(known[i] == x, np.frombuffer(segment.column("counts")[0].as_buffer(), np.int64)[i], answer)
         ends = np.concatenate([[0], np.cumsum([len(blobs[i]) // width for i in rows])]).tolist()
         for i, a, b in zip(rows, ends, ends[1:], strict=False):
             out[i] = answer[a:b].tobytes()
@@ -338,8 +356,8 @@ def _scored(held):
         part = _Slice(model, texts)
         answers = answers.sort_by("segment")
         kind, blobs = answers.column("kind").to_pylist(), answers.column("answer").to_pylist()
-        part.level[part.open] = np.frombuffer(b"".join(b for k, b in zip(kind, blobs, strict=True) if k == 0), np.uint8).astype(np.int64) - 1
-        part.count[part.rare] = np.frombuffer(b"".join(b for k, b in zip(kind, blobs, strict=True) if k == 1), np.uint32)
+        part.level[part.open] = np.frombuffer(b"".join(b for k, b in zip(kind, blobs, strict=True) if k == 0), np.uint8).astype(np.int8) - 1
+        part.count[part.rare] = np.frombuffer(b"".join(b for k, b in zip(kind, blobs, strict=True) if k == 1), np.int64)
         n, begin = part.count[part.kind], part.at[:-1]
         pair, triple = part.level[: len(n)], part.level[len(n) :]
         before, context = _shifted(n, 0), _shifted(most(pair), 0)

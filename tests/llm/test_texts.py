@@ -280,10 +280,11 @@ def lm_tokens(texts):
 
 
 def test_lm_scores_equal_a_dictionary_model(spark, monkeypatch):
+    """With a filter so thin that nothing is a member by chance."""
     monkeypatch.setattr(lm, "FREQUENT", 40)
     texts = lm_texts()
     table = docs(spark, texts)
-    model = lm.train(table)
+    model = lm.train(table, bits_each=500)
     share, one, _, n = dictionary_model(texts)
     for most in (1 << 22, 2000):
         monkeypatch.setattr(lm, "SLICE", most)
@@ -315,14 +316,13 @@ def test_lm_of_nothing(spark):
 def test_lm_scores_are_the_same_whatever_is_near(spark, monkeypatch):
     rng = random.Random(8)
     table = docs(spark, [" ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(40)) for _ in range(60)] + ["once only here", None])
-    model = lm.train(table)
+    model = lm.train(table, bits_each=200)
     want = {r.doc_id: r.score for r in lm.score_documents(table, model).collect()}
     monkeypatch.setattr(lm, "FREQUENT", 20)
     monkeypatch.setattr(lm, "NEAR_LEVEL", 2)
-    monkeypatch.setattr(lm, "SEGMENT_BITS", 1 << 13)
+    monkeypatch.setattr(lm, "SEGMENT", 1 << 9)
     monkeypatch.setattr(lm, "ANSWERED", 1 << 9)
-    monkeypatch.setattr(lm, "BITS_EACH", 30)
-    small = lm.train(table)
+    small = lm.train(table, bits_each=200)
     assert small.segments > 10
     got = {r.doc_id: r.score for r in lm.score_documents(table, small).collect()}
     assert got == pytest.approx(want, rel=1e-4)
@@ -333,8 +333,8 @@ def test_levels_and_filters_never_fall_short():
     lev = lm.level(n)
     assert (lm.least(lev) <= n).all() and (n <= lm.most(lev)).all() and (lev < np.maximum(n, 0.5)).all()
     key = np.random.default_rng(1).integers(0, 2**32, 3000).astype(np.uint64)
-    bits = lm.filter_bits(key, lev[:3000], 0, 1 << 21)
-    assert (lm.probe(bits, key, 0, 1 << 21) >= lev[:3000]).all() and (lm.probe(bits, key + np.uint64(2**33), 0, 1 << 21) < 0).mean() > 0.9
+    words = lm.filter_words(key, lev[:3000], 0)
+    assert (lm.probe(words, key, 0, len(words)) >= lev[:3000]).all() and (lm.probe(words, key + np.uint64(2**33), 0, len(words)) < 0).mean() > 0.95
 
 
 def rule_counts(text):
