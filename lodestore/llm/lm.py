@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -276,9 +278,22 @@ def train(docs: DataFrame, modulus: int = 7, remainder: int = 2, bits_each: int
     return model
 
 
-def _texts(table: pa.Table) -> tuple[pa.Table, list[bytes]]:
-    table = table.sort_by("uid")
-    return table, table.column("text").to_pylist()
+_PACKED = "slice long, doc_ids array<long>, sizes array<long>, texts binary"
+
+
+def _packed(batches):
+    """Slices of texts as one compressed row each, numbered by partition and place, so that a repeated task gives the same ones."""
+    at = TaskContext.get().partitionId() << 32
+    for i, part in enumerate(slices(batches, most=SLICE)):
+        texts = part.column(1).to_pylist()
+        row = [at + i], [part.column(0).to_pylist()], [list(map(len, texts))], [zstandard.compress(b"".join(texts))]
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()), strict=True)], names=["slice", "doc_ids", "sizes", "texts"])
+
+
+def _texts(table: pa.Table) -> list[bytes]:
+    sizes = table.column("sizes")[0].as_py()
+    whole, ends = zstandard.decompress(table.column("texts")[0].as_py()), np.cumsum([0, *sizes]).tolist()
+    return [whole[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 class _Slice:
@@ -312,7 +327,7 @@ class _Slice:
 def _asked(held):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         """A slice's probes for each segment."""
-        part = _Slice(held.value, _texts(table)[1])
+        part = _Slice(held.value, _texts(table))
         rows = [(s, 0, b) for s, b in _dealt(part.open_segment, part.open_grams)] + [(s, 1, b) for s, b in _dealt(part.rare_segment, part.rare_tokens)]
         columns = list(zip(*rows, strict=True)) or [[], [], []]
         kinds = (pa.int32(), pa.int32(), pa.binary())
@@ -350,9 +365,7 @@ def _scored(held):
     def run(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         """The scores of a slice's texts from what its segments told."""
         model = held.value
-        table, texts = _texts(table)
-        if not texts:
-            return pa.table({n: pa.array([], t) for n, t in zip(("doc_id", "n_tokens", "n_known", "base_score", "score"), (pa.int64(),) * 3 + (pa.float64(),) * 2, strict=True)})
+        texts = _texts(table)
         part = _Slice(model, texts)
         answers = answers.sort_by("segment")
         kind, blobs = answers.column("kind").to_pylist(), answers.column("answer").to_pylist()
@@ -364,7 +377,7 @@ def _scored(held):
         before[begin] = context[begin] = model.starts
         single, share = model.shares(n, before, pair, triple, context)
         sums = [np.add.reduceat(x, begin) for x in ((n > 0).astype(np.int64), np.log10(single), np.log10(share))]
-        return pa.table({"doc_id": table.column("doc_id"), "n_tokens": pa.array(np.diff(part.at)), "n_known": pa.array(sums[0]), "base_score": pa.array(sums[1]), "score": pa.array(sums[2])})
+        return pa.table({"doc_id": pa.array(table.column("doc_ids")[0].as_py(), pa.int64()), "n_tokens": pa.array(np.diff(part.at)), "n_known": pa.array(sums[0]), "base_score": pa.array(sums[1]), "score": pa.array(sums[2])})
 
     return run
 
@@ -373,20 +386,19 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     """One row per document: doc_id, n_tokens, n_known, base_score, score.
 
     base_score is exact. score interpolates the filter's counts of triples and pairs with the exact ones of tokens.
-    Texts are dealt into slices of about SLICE bytes; each probe that the near part leaves open goes to its segment in
-    32 bits, and a byte comes back. Null and empty texts are their end token. Repeated rows and null ids are rows of
-    their own; very long texts are slices of their own kind, scored whole; other columns aren't read.
+    Texts are put together in slices of about SLICE bytes, which travel compressed; each probe that the near part leaves
+    open goes to its segment in 32 bits, and a byte comes back. Null and empty texts are their end token. Repeated rows
+    and null ids are rows of their own; a very long text is a slice of its own, scored whole; other columns aren't read.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     t = keyed_texts(docs, id_col, text_col)
     size = t.agg(F.sum(F.length("text").cast("long") + 8)).first()[0] or 0
-    t = t.withColumn("uid", F.monotonically_increasing_id())
-    t = t.withColumn("slice", F.pmod(F.xxhash64("uid"), F.lit(-(-size // SLICE) or 1)))
+    packed = t.mapInArrow(_packed, _PACKED)
     copies = -(-size // (model.segments * ANSWERED)) or 1
-    asked = t.groupBy("slice").applyInArrow(_asked(held), "slice long, segment int, kind int, asked binary").withColumn("copy", F.pmod("slice", F.lit(copies)).cast("int"))
+    asked = packed.groupBy("slice").applyInArrow(_asked(held), "slice long, segment int, kind int, asked binary").withColumn("copy", F.pmod("slice", F.lit(copies)).cast("int"))
     far = model.far.select("segment", "bits", "tokens", "counts", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
     told = asked.groupBy("segment", "copy").cogroup(far.groupBy("segment", "copy")).applyInArrow(_answered, "slice long, segment int, kind int, answer binary")
-    return t.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(_scored(held), _SCORES)
+    return packed.groupBy("slice").cogroup(told.groupBy("slice")).applyInArrow(_scored(held), _SCORES)
 
 
 def op5_lm(spark, sf_dir: str) -> DataFrame:
