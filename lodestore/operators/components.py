@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestore.plans.staging import stage, unstage
+from lodestore.staging import stage, unstage
 
 
 def _forest(batches):

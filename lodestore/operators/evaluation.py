@@ -17,19 +17,31 @@ def reciprocal_rank(retrieved: Column, gold: Column) -> Column:
     return F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / F.size(gold)
 
 
-def auc(rows: DataFrame, score: str, positive: Column, by: list[str] | None = None) -> DataFrame:
+def auc(rows: DataFrame, score: str, positive: Column, by: list[str] | None = None, buckets: int = 1000) -> DataFrame:
     """Area under the ROC curve by tie-averaged ranks; null without both classes.
 
-    Rows are counted per distinct score first, so the running rank goes over distinct scores.
+    Rows are counted per distinct score. Scores lie in equally wide buckets between the least and the largest; the
+    running count goes inside each, and over the buckets' few sums, so no task orders all scores.
     """
     by = by or []
     each = rows.groupBy(*by, score).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
-    w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    t = each.withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    wins = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
+    low, high = each.agg(F.min(score), F.max(score)).first()
+    at = F.floor((F.col(score) - F.lit(low)) / F.lit(max((high or 0) - (low or 0), 1e-300)) * buckets).cast("int")
+    each = each.withColumn("bucket", at)
+    sums = each.groupBy(*by, "bucket").agg(F.sum("neg").alias("n"))
+    before = Window.partitionBy(*by, F.lit(0)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*by, "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    inside = Window.partitionBy(*by, "bucket").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    t = each.withColumn("below", F.coalesce(F.sum("neg").over(inside), F.lit(0))).join(sums, [*by, "bucket"])
+    wins = F.sum(F.col("pos") * (F.col("earlier") + F.col("below") + F.col("neg") / 2))
     return t.groupBy(*by).agg(F.try_divide(wins, (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
 
 
+def share_at_least(value: Column, threshold: float) -> Column:
+    """The share of rows at or above a threshold."""
+    return F.avg((value >= threshold).cast("double"))
+
+
 def index_quantiles(rows: DataFrame, value: str, shares: list[float], by: list[str]) -> DataFrame:
     """Quantiles at index floor(share * n) of the sorted values (not interpolated), by running counts over distinct values."""
     each = rows.groupBy(*by, value).count()
@@ -50,12 +62,10 @@ def sweep(scored: DataFrame, score: str, right: Column, taus: list[float]) -> Da
     )
 
 
-def bm25(terms: DataFrame, lengths: DataFrame, probes: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score) above 0 from terms (doc_id, token, tf), lengths (doc_id, dl) and probes (query_id, token)."""
-    n, mean = lengths.agg(F.count("*"), F.avg("dl")).first()
-    hit = terms.join(probes.select("token").distinct(), "token", "left_semi")
-    df = hit.groupBy("token").agg(F.count("*").alias("df"))
-    idf = F.log((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / float(mean or 1)))
-    t = hit.join(df, "token").join(lengths, "doc_id").withColumn("w", idf * part)
-    return t.join(probes, "token").groupBy("query_id", "doc_id").agg(F.sum("w").alias("score")).where("score > 0")
+def bm25(hits: DataFrame, probes: DataFrame, documents: int, mean_length: float, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, doc_id, score) above 0 from hits (doc_id, token, tf, dl), which need hold only tokens of the probes (query_id, token)."""
+    df = hits.groupBy("token").agg(F.count("*").alias("df"))
+    idf = F.log((F.lit(float(documents)) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / float(mean_length or 1)))
+    asked = probes.join(df, "token").select("query_id", "token", idf.alias("idf"))
+    return hits.join(asked, "token").groupBy("query_id", "doc_id").agg(F.sum(F.col("idf") * part).alias("score")).where("score > 0")

@@ -59,26 +59,25 @@ def _parsed(action: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"tool": tools, "tokens": words})
 
 
-def _flag(token: str) -> bool:
-    body = token.lstrip("-")
-    return token.startswith("-") and bool(body) and not body[0].isdigit()
+def seed_pattern(tokens: Column) -> Column:
+    """A pattern from one action's tokens: its longest command (the first of equals) up to its last flag, else two words.
 
-
-def seed_tokens(tokens: list[str]) -> list[str]:
-    """A pattern from one action: its longest command up to the last flag, else two words; never flags alone."""
-    segments: list[list[str]] = [[]]
-    for t in tokens:
-        if t in _PARTS or t == BOUNDARY:
-            segments.append([])
-        else:
-            segments[-1].append(t)
-    chosen = max(segments, key=len)
-    flags = [i for i, t in enumerate(chosen) if _flag(t)]
-    plain = [i for i, t in enumerate(chosen) if not _flag(t)]
-    if not plain:
-        return []
-    keep = flags[-1] + 1 if flags else min(2, len(chosen))
-    return chosen[: min(max(keep, plain[0] + 1), MOST_TOKENS)]
+    It reaches its first plain word at least and MOST_TOKENS words at most; a command of flags alone gives none.
+    """
+    parts = F.array(*(F.lit(p) for p in (*_PARTS, BOUNDARY)))
+    ends = F.filter(F.sequence(F.lit(0), F.size(tokens)), lambda i: (i == F.size(tokens)) | F.array_contains(parts, F.get(tokens, i)))
+
+    def command(end: Column, k: Column) -> Column:
+        start = F.coalesce(F.get(ends, k - 1) + 1, F.lit(0))
+        return F.slice(tokens, start + 1, end - start)
+
+    commands = F.transform(ends, command)
+    longest = F.array_max(F.transform(commands, lambda c: F.struct(F.size(c).alias("n"), (-F.array_position(commands, c)).alias("at"), c.alias("c"))))["c"]
+    places = lambda of: F.transform(longest, lambda t, i: F.when(of(t), i + 1))
+    flag = lambda t: t.rlike("^-+[^-0-9]")
+    last_flag, first_plain = F.array_max(places(flag)), F.array_min(places(lambda t: ~flag(t)))
+    keep = F.least(F.lit(MOST_TOKENS), F.greatest(F.coalesce(last_flag, F.lit(2)), first_plain))
+    return F.when(first_plain.isNotNull(), F.slice(longest, F.lit(1), keep)).otherwise(F.array().cast("array<string>"))
 
 
 def contains_run(tokens: Column, needle: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestore.plans.staging import stage
+from lodestore.staging import stage
 
 #: An entity is a hub, and links nothing, in more concepts than this or in more than this share of them.
 HUB_CONCEPTS, HUB_SHARE, EXEMPT = 50, 0.1, 5
@@ -54,6 +54,27 @@ def hubs(memberships: DataFrame, concepts: int, share: float = 0.5) -> DataFrame
     return m.where((F.col("members") >= 2) & (F.col("members") <= share * concepts)).orderBy(F.col("kind") == "noun", F.col("members").desc(), "key")
 
 
+def concepts_of(memberships: DataFrame, concepts: DataFrame | None = None, kind: str | None = None, key: str | None = None) -> DataFrame:
+    """Memberships of one entity, or of all, among the given concepts or all."""
+    t = memberships
+    for column, value in (("kind", kind), ("key", key)):
+        t = t if value is None else t.where(F.col(column) == value)
+    return t if concepts is None else t.join(concepts.select("concept_id"), "concept_id", "left_semi")
+
+
+def one_hop(edges: DataFrame, family: str) -> DataFrame:
+    """(node, direction, peer, place): a family's edges (id, src, dst, family, created_at) seen from either end, one hop, by time then id."""
+    t = edges.where(F.col("family") == family)
+    both = t.select(F.col("src").alias("node"), F.lit("out").alias("direction"), F.col("dst").alias("peer"), "created_at", "id").union(t.select("dst", F.lit("in"), "src", "created_at", "id"))
+    return both.withColumn("place", F.row_number().over(Window.partitionBy("node", "direction").orderBy("created_at", "id")))
+
+
+def top_thread(components: DataFrame) -> DataFrame:
+    """The members (node) of the largest component (node, component), the smaller id among equals; none if all stand alone."""
+    size = components.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
+    return components.join(size.orderBy(F.col("n").desc(), "component").limit(1), "component").select("node", "component", "n")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(node, degree): distinct neighbours over edges (a, b), either way."""
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("peer")).union(edges.select("b", "a")).where("node <> peer")
@@ -91,7 +112,12 @@ def chain_ends(links: DataFrame, max_rounds: int = 30) -> DataFrame:
 
 
 def without_support(edges: DataFrame, memberships: DataFrame) -> DataFrame:
-    """Edges (a, b) whose concepts no longer share an entity."""
-    a, b = (memberships.select("kind", "key", F.col("concept_id").alias(n)) for n in "ab")
-    held = a.join(b, ["kind", "key"]).where("a < b").select("a", "b").distinct()
+    """Edges (a, b) whose concepts no longer share an entity.
+
+    Edges meet a's entities, then those of b are looked up: what is joined grows with edges times entities a concept,
+    never with the pairs of an entity's members.
+    """
+    m = memberships.select("kind", "key", "concept_id").distinct()
+    mine = edges.select("a", "b").distinct().join(m.withColumnRenamed("concept_id", "a"), "a")
+    held = mine.join(m.withColumnRenamed("concept_id", "b"), ["b", "kind", "key"], "left_semi").select("a", "b").distinct()
     return edges.join(held, ["a", "b"], "left_anti")

@@ -48,6 +48,36 @@ def visible(concepts: DataFrame, archived: DataFrame, circle: str | None = None)
     return t.where(F.col("circle") == circle) if circle else t.join(archived.select("circle"), "circle", "left_anti")
 
 
+def renamed(table: DataFrame, old: str, new: str) -> DataFrame:
+    """A table with one circle under another name."""
+    return table.withColumn("circle", F.when(F.col("circle") == old, new).otherwise(F.col("circle")))
+
+
+def reassigned(table: DataFrame, moves: DataFrame, key: str = "concept_id") -> DataFrame:
+    """A table with some rows in other circles (key, to_circle)."""
+    t = table.join(moves.select(key, "to_circle"), key, "left")
+    return t.withColumn("circle", F.coalesce("to_circle", "circle")).select(*table.columns)
+
+
+def restored(archived: DataFrame, circle: str) -> DataFrame:
+    """Archived circles without one that is brought back."""
+    return archived.where(F.col("circle") != circle)
+
+
+def circles(concepts: DataFrame, entities: DataFrame, activity: DataFrame, aliases: DataFrame, archived: DataFrame, exclude: str | None = None) -> DataFrame:
+    """Circles by their final names: concepts that aren't workstreams, distinct entities (a set's union, not a sum), last activity, and whether archived.
+
+    entities: (concept_id, key); activity: (concept_id, last); aliases: (from_name, to_name), already final.
+    """
+    t = concepts.join(aliases, F.col("circle") == F.col("from_name"), "left").select("concept_id", "kind", F.coalesce("to_name", "circle").alias("circle"))
+    t = t if exclude is None else t.where(F.col("circle") != exclude)
+    n = t.where("kind <> 'workstream'").groupBy("circle").agg(F.count("*").alias("concepts"))
+    e = t.join(entities, "concept_id").groupBy("circle").agg(F.count_distinct("key").alias("entities"))
+    a = t.join(activity, "concept_id").groupBy("circle").agg(F.max("last").alias("last_activity"))
+    all_ = t.select("circle").distinct().join(n, "circle", "left").join(e, "circle", "left").join(a, "circle", "left").join(archived.withColumn("archived", F.lit(True)), "circle", "left")
+    return all_.select("circle", F.coalesce("concepts", F.lit(0)).alias("concepts"), F.coalesce("entities", F.lit(0)).alias("entities"), "last_activity", F.coalesce("archived", F.lit(False)).alias("archived"))
+
+
 def illegal_verdicts(ratifications: DataFrame) -> DataFrame:
     """Verdicts that may not follow the subject's verdict before."""
     w = Window.partitionBy("subject_concept_id").orderBy("created_at", "id")

@@ -38,6 +38,32 @@ def decide(observation: Column, centroid: Column, top_centroid: Column, attach:
     )
 
 
+def _made(action: str, mode: str) -> Column:
+    return F.struct(F.lit(action).alias("action"), F.lit(mode).alias("mode"))
+
+
+def overridden(action: Column, mode: Column, kind: Column, home_kind: Column, stage: Column, home_stage: Column, compatible: list[tuple[str, str]]) -> Column:
+    """(action, mode) after the bands: what would attach founds a concept of its own if its kind doesn't go with the nominee's, or if it is a rule bound to another stage.
+
+    compatible: pairs (kind, nominee's kind) that go together; the reference's matrix is unknown, so it is a parameter.
+    """
+    together = F.array(*(F.lit(f"{a}/{b}") for a, b in compatible))
+    other = ~F.array_contains(together, F.concat_ws("/", kind, home_kind)) & kind.isNotNull() & home_kind.isNotNull()
+    elsewhere = (kind == "rule") & (stage != home_stage)
+    attached = action == "attached"
+    return F.when(attached & other, _made("created", "species-fork")).when(attached & elsewhere, _made("created", "stage-fork")).otherwise(F.struct(action.alias("action"), mode.alias("mode")))
+
+
+def directed(action: Column, mode: Column, attach_to: Column, force_new: Column) -> Column:
+    """(action, mode) where the writer says what is to happen; both at once is refused."""
+    return (
+        F.when(attach_to.isNotNull() & force_new, _made("refused", "exclusive"))
+        .when(attach_to.isNotNull(), _made("attached", "attach-to"))
+        .when(force_new, _made("created", "force-new"))
+        .otherwise(F.struct(action.alias("action"), mode.alias("mode")))
+    )
+
+
 def first_by_operation(events: DataFrame) -> DataFrame:
     """The first receipt of each operation id; replays return it."""
     w = Window.partitionBy("operation_id").orderBy("created_at", "id")

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestore.functions.text import lexical_tokens
+from lodestore.staging import stage
 
 FLOOR = 0.12
-#: Query vectors that a task holds at once.
-QUERY_BLOCK = 4096
+#: Query vectors that a task holds at once, and vectors that it multiplies with them.
+QUERY_BLOCK, ROW_BLOCK = 4096, 1024
+#: Probe tokens that may stand in a plan; more are joined.
+PROBE_TOKENS = 20_000
 
 
 def live(observations: DataFrame) -> DataFrame:
@@ -27,48 +32,65 @@ def scorable(observations: DataFrame, segments: DataFrame) -> DataFrame:
     return parts.unionByName(whole)
 
 
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Vectors as rows of the width: longer ones cut, shorter ones filled with zeros, as a product over the shorter length takes them."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if (sizes == width).all():
+        return flat.reshape(-1, width)
+    out, ends = np.zeros((len(sizes), width)), np.cumsum(sizes)
+    for i, (a, b) in enumerate(zip(ends - sizes, ends, strict=True)):
+        out[i, : min(b - a, width)] = flat[a : min(b, a + width)]
+    return out
+
+
+def _best(names: np.ndarray, q: np.ndarray, exclude_self: bool, positive: bool):
+    def run(batches):
+        for batch in (b.slice(i, ROW_BLOCK) for b in batches for i in range(0, b.num_rows, ROW_BLOCK)):
+            obs, con = batch.column(0).to_numpy(), batch.column(1).dictionary_encode()
+            codes = con.indices.to_numpy()
+            order = np.lexsort((obs, codes))
+            obs, codes, x = obs[order], codes[order], _matrix(batch.column(2), q.shape[1])[order]
+            s = q @ x.T
+            drop = ~np.isfinite(s)
+            if exclude_self:
+                drop |= names[:, None] == obs[None]
+            if positive:
+                drop |= (s <= 0) | ~x.any(axis=1)[None]
+            s[drop] = -np.inf
+            starts = np.flatnonzero(np.diff(codes, prepend=-1))
+            top = np.maximum.reduceat(s, starts, axis=1)
+            sizes = np.diff(np.append(starts, len(codes)))
+            place = np.where(s == np.repeat(top, sizes, axis=1), np.arange(len(codes))[None], len(codes))
+            at = np.minimum.reduceat(place, starts, axis=1)
+            row, group = np.nonzero(np.isfinite(top))
+            yield pa.RecordBatch.from_arrays([pa.array(names[row]), con.dictionary.take(pa.array(codes[starts][group])), pa.array(obs[at[row, group]]), pa.array(top[row, group])], names=["query_id", "concept_id", "observation_id", "score"])
+
+    return run
+
+
 def best_observations(vectors: DataFrame, queries: DataFrame, exclude_self: bool = False, positive: bool = True) -> DataFrame:
     """(query_id, concept_id, observation_id, score): each concept's best vector for each query, ties to the smaller id.
 
-    vectors: (observation_id, concept_id, embedding); queries: (query_id, embedding), a stated set that is collected in
-    blocks of QUERY_BLOCK and broadcast one after another. A task multiplies its batch with a block and keeps the best of
-    each concept, so what is shuffled is (queries x concepts x tasks), not (queries x vectors). Zero vectors and scores
-    of 0 and less are left out.
+    vectors: (observation_id, concept_id, embedding); queries: (query_id, embedding), a stated set, written once in
+    blocks of about QUERY_BLOCK; each block is sent to the tasks in turn. A task multiplies its batch with the block
+    and keeps the best of each concept, so what is shuffled is (queries x concepts x tasks), not (queries x vectors).
+    Zero vectors and scores of 0 and less are left out.
     """
-    spark, out, at = vectors.sparkSession, None, 0
-    ids = queries.select("query_id", "embedding").orderBy("query_id")
-    n = ids.count()
-    while at < n or out is None:
-        block = ids.offset(at).limit(QUERY_BLOCK).toArrow()
-        names = block.column(0).to_numpy()
-        q = np.array(block.column(1).to_pylist(), np.float64)
-        held = spark.sparkContext.broadcast((names, q))
-
-        def run(batches, held=held):
-            names, q = held.value
-            for b in batches:
-                if not b.num_rows or not len(names):
-                    continue
-                obs, con = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
-                x = b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64)
-                s = q @ x.T
-                if exclude_self:
-                    s[names[:, None] == obs[None]] = -np.inf
-                if positive:
-                    s = np.where((s > 0) & x.any(axis=1)[None], s, -np.inf)
-                order = np.argsort(obs, kind="stable")
-                kinds, of = np.unique(con, return_inverse=True)
-                for k, kind in enumerate(kinds):
-                    mine = order[of[order] == k]
-                    best = mine[s[:, mine].argmax(axis=1)]
-                    top = s[np.arange(len(names)), best]
-                    hit = np.isfinite(top)
-                    yield pa.RecordBatch.from_arrays([pa.array(names[hit]), pa.array(np.full(int(hit.sum()), kind)), pa.array(obs[best][hit]), pa.array(top[hit])], names=["query_id", "concept_id", "observation_id", "score"])
-
-        kind = vectors.schema["concept_id"].dataType.simpleString()
-        part = vectors.select("observation_id", "concept_id", "embedding").where(F.col("embedding").isNotNull()).mapInArrow(run, f"query_id long, concept_id {kind}, observation_id long, score double")
-        out = part if out is None else out.union(part)
-        at += QUERY_BLOCK
+    ids = queries.select("query_id", "embedding").where(F.size("embedding") > 0)
+    blocks = -(-ids.count() // QUERY_BLOCK)
+    kind = vectors.schema["concept_id"].dataType.simpleString()
+    schema = f"query_id long, concept_id {kind}, observation_id long, score double"
+    rows = vectors.select("observation_id", "concept_id", "embedding").where(F.size("embedding") > 0)
+    held = stage(ids.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(blocks, 1)))).sortWithinPartitions("block"), "queries") if blocks > 1 else ids.withColumn("block", F.lit(0))
+    parts = []
+    for k in range(blocks):
+        block = held.where(F.col("block") == k).select("query_id", "embedding").toArrow()
+        if block.num_rows:
+            column = block.column(1).combine_chunks()
+            q = _matrix(column, int(column.value_lengths().to_numpy(zero_copy_only=False).max()))
+            parts.append(rows.mapInArrow(_best(block.column(0).to_numpy(), q, exclude_self, positive), schema))
+    out = reduce(DataFrame.union, parts) if parts else vectors.sparkSession.createDataFrame([], schema)
     best = out.groupBy("query_id", "concept_id").agg(F.max(F.struct("score", (-F.col("observation_id")).alias("o"))).alias("m"))
     return best.select("query_id", "concept_id", (-F.col("m.o")).alias("observation_id"), F.col("m.score").alias("score"))
 
@@ -79,9 +101,23 @@ def top_k(scored: DataFrame, k: int, floor: float = FLOOR, score: str = "score")
     return scored.where(F.col(score) >= floor).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def token_index(texts: DataFrame) -> DataFrame:
-    """(concept_id, observation_id, token) from (concept_id, observation_id, content)."""
-    return texts.select("concept_id", "observation_id", F.explode(lexical_tokens(F.col("content"))).alias("token"))
+def token_index(texts: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(concept_id, observation_id, token) from (concept_id, observation_id, content); with `only` (token), just those tokens.
+
+    Up to PROBE_TOKENS of those stand in the plan and cut the token lists inside their rows, before any is a row of its own.
+    """
+    tokens = lexical_tokens(F.col("content"))
+    if only is None:
+        return texts.select("concept_id", "observation_id", F.explode(tokens).alias("token"))
+    few = [r[0] for r in only.select("token").distinct().limit(PROBE_TOKENS + 1).collect()]
+    if len(few) > PROBE_TOKENS:
+        return texts.select("concept_id", "observation_id", F.explode(tokens).alias("token")).join(only.select("token").distinct(), "token", "left_semi")
+    return texts.select("concept_id", "observation_id", F.explode(among(tokens, few)).alias("token"))
+
+
+def among(tokens: Column, few: list[str]) -> Column:
+    """The distinct tokens that are among a few."""
+    return F.array_intersect(tokens, F.lit(few) if few else F.array().cast("array<string>"))
 
 
 def overlap(probes: DataFrame, index: DataFrame, concepts: int) -> DataFrame:
@@ -90,9 +126,9 @@ def overlap(probes: DataFrame, index: DataFrame, concepts: int) -> DataFrame:
     probes: (query_id, token), a stated set; document frequencies count concepts and only of probe tokens; concepts is
     the number of candidates. Sums are made per observation and the largest taken per concept, never over its union.
     """
-    seen = index.join(probes.select("token").distinct(), "token", "left_semi")
+    seen = stage(index.join(probes.select("token").distinct(), "token", "left_semi"), "seen")
     df = seen.groupBy("token").agg(F.count_distinct("concept_id").alias("df"))
-    idf = probes.join(df, "token", "left").withColumn("idf", F.greatest(F.lit(0.0), F.log(F.lit(float(concepts)) / (1 + F.coalesce("df", F.lit(0))))))
+    idf = stage(probes.join(df, "token", "left").withColumn("idf", F.greatest(F.lit(0.0), F.log(F.lit(float(max(concepts, 1))) / (1 + F.coalesce("df", F.lit(0)))))), "idf")
     total = idf.groupBy("query_id").agg(F.sum("idf").alias("total"))
     hit = seen.join(idf.select("query_id", "token", "idf"), "token").groupBy("query_id", "concept_id", "observation_id").agg(F.sum("idf").alias("hit"))
     best = hit.groupBy("query_id", "concept_id").agg(F.max("hit").alias("hit")).join(total, "query_id")
@@ -101,3 +137,20 @@ def overlap(probes: DataFrame, index: DataFrame, concepts: int) -> DataFrame:
 
 def blended(score: Column, overlap: Column, boost: float = 1.0) -> Column:
     return score * (1 + boost * F.coalesce(overlap, F.lit(0.0)))
+
+
+def search(vectors: DataFrame, texts: DataFrame, queries: DataFrame, probes: DataFrame | None, concepts: DataFrame, home: str, k: int, floor: float = FLOOR) -> DataFrame:
+    """The k best concepts of each query as one chain: best vectors, the lexical arm, the floor, then by rank.
+
+    vectors: what scorable() gives; texts: (observation_id, concept_id, content) of the same observations; probes:
+    (query_id, token), or null for an embedder that needs no lexical arm; concepts: candidates (concept_id, circle),
+    those of archived circles left out. The arm only reorders what the vectors found, and leaves the score as it is.
+    Ranks are compared to nine digits; at equal ranks the home circle goes first, then the smaller id.
+    """
+    best = best_observations(vectors.join(concepts.select("concept_id"), "concept_id", "left_semi"), queries).where(F.col("score") >= floor).join(concepts, "concept_id")
+    rank = F.col("score")
+    if probes is not None:
+        found = overlap(probes, token_index(texts.join(concepts.select("concept_id"), "concept_id", "left_semi"), probes), concepts.count())
+        best, rank = best.join(found, ["query_id", "concept_id"], "left"), blended(F.col("score"), F.col("overlap"))
+    w = Window.partitionBy("query_id").orderBy(F.round("rank", 9).desc(), F.col("circle") != home, "concept_id")
+    return best.withColumn("rank", rank).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)

@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestore.functions.text import lexical_tokens
-from lodestore.functions.vectors import dot, is_zero, normalised
+from lodestore.functions.vectors import is_zero, normalised
 from lodestore.operators import evaluation, graph, resolution, retrieval
 from lodestore.sources.tables import read, texts, vectors
+from lodestore.staging import stage
 
 TAUS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 
@@ -19,16 +20,14 @@ def _queries(v):
 
 
 def search_topk(spark, sf):
+    """The five best concepts of every stated query."""
     v = vectors(spark, sf)
-    best = retrieval.best_observations(v, v.where("observation_id < 5").select(F.col("observation_id").alias("query_id"), "embedding"))
+    best = retrieval.best_observations(v, _queries(v))
     return retrieval.top_k(best, 5).select("query_id", "concept_id", "observation_id", F.round("score", 6).alias("score"), "place")
 
 
 def search_topk_stated(spark, sf):
-    """The five best concepts of every stated query."""
-    v = vectors(spark, sf)
-    best = retrieval.best_observations(v, _queries(v))
-    return retrieval.top_k(best, 5).select("query_id", "concept_id", "observation_id", F.round("score", 6).alias("score"), "place")
+    return search_topk(spark, sf)
 
 
 def _replayed(spark, sf):
@@ -72,10 +71,11 @@ def _resolved(spark, sf):
     v, q, best = _replayed(spark, sf)
     c = _centroids(v)
     n = resolution.nominate(best)
-    cents = q.join(F.broadcast(c)).select("query_id", F.col("concept_id").alias("c"), dot(F.col("embedding"), F.col("centroid")).alias("s"))
-    own = cents.groupBy("query_id").agg(F.max("s").alias("top_centroid"), F.map_from_entries(F.collect_list(F.struct("c", "s"))).alias("all"))
+    scores = retrieval.best_observations(c.select(F.col("concept_id").cast("long").alias("observation_id"), "concept_id", F.col("centroid").alias("embedding")), q, positive=False)
+    own = scores.groupBy("query_id").agg(F.max("score").alias("top_centroid"))
+    n = n.join(scores.select("query_id", "concept_id", F.col("score").alias("centroid_score")), ["query_id", "concept_id"], "left")
     t = q.select("query_id").join(n, "query_id", "left").join(own, "query_id")
-    d = resolution.decide(F.round("score", 9), F.round(F.col("all")[F.col("concept_id")], 9), F.round("top_centroid", 9), 0.55, 0.25)
+    d = resolution.decide(F.round("score", 9), F.round("centroid_score", 9), F.round("top_centroid", 9), 0.55, 0.25)
     return t.select("query_id", d.alias("d")).select("query_id", "d.action", "d.mode", F.round("d.weight", 6).alias("weight"))
 
 
@@ -101,8 +101,9 @@ def score_quantiles(spark, sf):
 
 def related_edges(spark, sf):
     c = _centroids(vectors(spark, sf))
-    a, b = (c.select(F.col("concept_id").alias(n), F.col("centroid").alias(f"v{n}")) for n in ("src", "dst"))
-    pairs = a.join(F.broadcast(b), F.col("src") != F.col("dst")).select("src", "dst", F.round(dot(F.col("vsrc"), F.col("vdst")), 6).alias("score"))
+    asked = c.select(F.col("concept_id").cast("long").alias("query_id"), F.col("centroid").alias("embedding"))
+    found = retrieval.best_observations(c.select(F.col("concept_id").cast("long").alias("observation_id"), "concept_id", F.col("centroid").alias("embedding")), asked, exclude_self=True, positive=False)
+    pairs = found.select(F.col("query_id").cast(c.schema["concept_id"].dataType).alias("src"), F.col("concept_id").alias("dst"), F.round("score", 6).alias("score"))
     return graph.nearest_union(pairs, -0.05, 0.9, 3)
 
 
@@ -117,8 +118,8 @@ def _probes(spark, sf):
 
 def lexical_rank(spark, sf):
     """The five sources whose best document holds most of each benchmark text's tokens, by idf."""
-    n = texts(spark, sf).agg(F.count_distinct("concept_id")).first()[0]
-    o = retrieval.overlap(_probes(spark, sf), _index(spark, sf), n)
+    t, probes = texts(spark, sf), _probes(spark, sf)
+    o = retrieval.overlap(probes, retrieval.token_index(t, probes), t.agg(F.count_distinct("concept_id")).first()[0])
     w = Window.partitionBy("query_id").orderBy(F.round("overlap", 9).desc(), "concept_id")
     return o.withColumn("place", F.row_number().over(w)).where("place <= 5").select("query_id", "concept_id", F.round("overlap", 6).alias("overlap"), "place")
 
@@ -127,13 +128,28 @@ def _words(c):
     return F.array_remove(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9\\s]", " "), "\\s+"), "")
 
 
+def bm25_hits(rows, column, probes):
+    """(doc_id, token, tf, dl) of the probes' tokens, counted inside each row, and the number and mean length of rows (doc_id, column).
+
+    Lengths and hits come from one pass: a row keeps only words that are asked for.
+    """
+    few = [r[0] for r in probes.select("token").distinct().limit(retrieval.PROBE_TOKENS + 1).collect()]
+    t = rows.select("doc_id", _words(F.col(column)).alias("w"))
+    if len(few) > retrieval.PROBE_TOKENS:
+        words = t.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("token")).join(probes.select("token").distinct(), "token", "left_semi")
+    else:
+        words = t.select("doc_id", F.size("w").alias("dl"), F.explode(F.filter("w", lambda x: x.isin(few) if few else F.lit(False))).alias("token"))
+    hits = stage(words.groupBy("doc_id", "token", "dl").agg(F.count("*").alias("tf")), "hits")
+    n, mean = t.agg(F.count("*"), F.avg(F.size("w"))).first()
+    return hits, n, mean
+
+
 def bm25_top(spark, sf):
-    t = texts(spark, sf).select(F.col("observation_id").alias("doc_id"), _words(F.col("content")).alias("w"))
-    lengths = t.select("doc_id", F.size("w").alias("dl"))
-    terms = t.select("doc_id", F.explode("w").alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("tf"))
+    t = texts(spark, sf).select(F.col("observation_id").alias("doc_id"), "content")
     (b,) = read(spark, sf, "benchmark")
     probes = b.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(_words(F.coalesce("text", F.lit(""))))).alias("token"))
-    s = evaluation.bm25(terms, lengths, probes).withColumn("score", F.round("score", 6))
+    hits, n, mean = bm25_hits(t, "content", probes)
+    s = evaluation.bm25(hits, probes, n, mean).withColumn("score", F.round("score", 6))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
     return s.withColumn("place", F.row_number().over(w)).where("place <= 10")
 
@@ -163,18 +179,16 @@ _RES = f"""{_BEST}, {_MEAN}, cs as (
   select query_id, case mode when 'attach' then 'attached' when 'new' then 'created' else 'ambiguous' end as action, mode,
     round(case when mode in ('fork-signal', 'ambiguous-fork') then o when mode = 'blur-duplicate' then top end, 6) as weight from d)"""
 
-QUERIES = {f.__name__: f for f in (search_topk, search_topk_stated, nominate_loo, search_recall_loo, tau_sweep, concept_centroids, resolution_bands, resolution_stats, nomination_auc, score_quantiles, related_edges, lexical_rank, bm25_top, embedding_population)}
-ORACLE = {
-    "search_topk": f"""with {_V}, s as (
-  select q.o as query_id, v.c as concept_id, v.o as observation_id, list_dot_product(q.x, v.x) as score from v q, v where q.o < 5
-), best as (select * from (select *, row_number() over (partition by query_id, concept_id order by score desc, observation_id) as r from s where score > 0) where r = 1
-), k as (select *, row_number() over (partition by query_id order by round(score, 9) desc, concept_id) as place from best where score >= 0.12)
-select query_id, concept_id, observation_id, round(score, 6) as score, place::int as place from k where place <= 5""",
-    "search_topk_stated": f"""with {_V}, s as (
+_STATED = f"""with {_V}, s as (
   select q.o as query_id, v.c as concept_id, v.o as observation_id, list_dot_product(q.x, v.x) as score from v q, v where q.o % 50 = 0
 ), best as (select * from (select *, row_number() over (partition by query_id, concept_id order by score desc, observation_id) as r from s where score > 0) where r = 1
 ), k as (select *, row_number() over (partition by query_id order by round(score, 9) desc, concept_id) as place from best where score >= 0.12)
-select query_id, concept_id, observation_id, round(score, 6) as score, place::int as place from k where place <= 5""",
+select query_id, concept_id, observation_id, round(score, 6) as score, place::int as place from k where place <= 5"""
+
+QUERIES = {f.__name__: f for f in (search_topk, search_topk_stated, nominate_loo, search_recall_loo, tau_sweep, concept_centroids, resolution_bands, resolution_stats, nomination_auc, score_quantiles, related_edges, lexical_rank, bm25_top, embedding_population)}
+ORACLE = {
+    "search_topk": _STATED,
+    "search_topk_stated": _STATED,
     "nominate_loo": f"with {_BEST} select query_id, concept_id, observation_id, round(score, 6) as score, concept_id = home as correct from nom",
     "search_recall_loo": f"""with {_BEST}, k as (select *, row_number() over (partition by query_id order by score desc, concept_id) as p from best), f as (
   select query_id, min(case when concept_id = home then p end) as p from k group by 1)

@@ -1,39 +1,5 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables; see lodestore.staging."""
 
-from __future__ import annotations
+from lodestore.staging import shared_dir, stage, unstage
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where that is unset (local tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="lodestore-")
-        named = _OWN[app]
-    return named.rstrip("/")
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._staged_path = path
-    return out
-
-
-def unstage(df: DataFrame | None) -> None:
-    """Delete a table that stage() wrote and that no later plan reads."""
-    path = getattr(df, "_staged_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["shared_dir", "stage", "unstage"]

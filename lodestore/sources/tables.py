@@ -41,3 +41,29 @@ def memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = F.array(F.struct(F.lit("id").alias("kind"), F.concat_ws("-", "p_brand", "p_size").alias("key"), F.lit(3).alias("weight")), F.struct(F.lit("lib").alias("kind"), F.col("p_brand").alias("key"), F.lit(2).alias("weight")))
     nouns = F.transform(F.array_distinct(F.split(F.col("p_name"), " ")), lambda w: F.struct(F.lit("noun").alias("kind"), w.alias("key"), F.lit(1).alias("weight")))
     return p.select(F.col("p_partkey").alias("concept_id"), F.explode(F.concat(ids, nouns)).alias("e")).select("concept_id", "e.*")
+
+
+def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as concepts: the segment is the circle; kind, status and dirtiness follow from the nation."""
+    (c,) = read(spark, sf_dir, "customer")
+    n = F.col("c_nationkey")
+    kind = F.when(n % 5 == 0, "workstream").when(n % 5 == 1, "rule").otherwise("fact")
+    status = F.when(n % 7 == 0, "retired").when(n % 7 == 1, "disputed").otherwise("active")
+    return c.select(F.col("c_custkey").alias("concept_id"), F.col("c_name").alias("title"), F.lower("c_mktsegment").alias("circle"), kind.alias("kind"), status.alias("status"), ((F.col("c_acctbal") + 1000) / 11000).alias("confidence"), (n % 2 == 1).alias("dirty"))
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as observations of their customer's concept: those in progress are corrections, cheap ones are superseded."""
+    (o,) = read(spark, sf_dir, "orders")
+    at, cheap = day_millis("o_orderdate"), F.col("o_totalprice") < 20000
+    return o.select(
+        F.col("o_orderkey").alias("observation_id"), F.col("o_custkey").alias("concept_id"), F.col("o_orderpriority").alias("session_id"), at.alias("created_at"), F.when(F.col("o_orderstatus") == "P", "correction").otherwise("statement").alias("kind"),
+        F.concat_ws(" ", F.lit("order"), "o_orderstatus", "o_orderpriority").alias("content"), F.when(cheap, F.col("o_orderkey") + 1).alias("superseded_by"), F.when(cheap, at).alias("superseded_at"), F.col("o_totalprice").alias("weight"),
+    )
+
+
+#: The same as DuckDB expressions.
+CONCEPTS_SQL = """con as (select c_custkey as concept_id, c_name as title, lower(c_mktsegment) as circle, case c_nationkey % 5 when 0 then 'workstream' when 1 then 'rule' else 'fact' end as kind,
+  case c_nationkey % 7 when 0 then 'retired' when 1 then 'disputed' else 'active' end as status, (c_acctbal + 1000) / 11000 as confidence, c_nationkey % 2 = 1 as dirty from customer)"""
+OBSERVATIONS_SQL = """obs as (select o_orderkey as observation_id, o_custkey as concept_id, o_orderpriority as session_id, epoch_ms(o_orderdate) as created_at, case when o_orderstatus = 'P' then 'correction' else 'statement' end as kind,
+  'order ' || o_orderstatus || ' ' || o_orderpriority as content, o_totalprice < 20000 as superseded, o_totalprice as weight from orders)"""

@@ -84,10 +84,18 @@ def test_shell_words():
     assert gates.shell_words("x ''") == ["x", ""]
 
 
-def test_seed_tokens():
-    assert gates.seed_tokens(gates.shell_words("cd x && git push --force origin main")) == ["git", "push", "--force"]
-    assert gates.seed_tokens(["--force"]) == [] and gates.seed_tokens([]) == []
-    assert gates.seed_tokens(["--force", "rm"]) == ["--force", "rm"]
+def test_seed_patterns(spark):
+    cases = [
+        (gates.shell_words("cd x && git push --force origin main"), ["git", "push", "--force"]),
+        (["--force"], []),
+        ([], []),
+        (["--force", "rm"], ["--force", "rm"]),
+        (["ls", ";", "a", "b", "c"], ["a", "b"]),
+        (["x", "-1", "y", "|", "p", "q", "r"], ["x", "-1"]),
+        (["a"] * 20 + ["-v"], ["a"] * 12),
+    ]
+    got = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t array<string>").select("i", gates.seed_pattern(F.col("t")).alias("p"))
+    assert {r.i: r.p for r in got.collect()} == {i: p for i, (_, p) in enumerate(cases)}
 
 
 def test_actions_meet_patterns(spark):
@@ -119,13 +127,23 @@ def test_mirror_generations(spark, tmp_path):
     assert mirror.read_mirror(spark, str(tmp_path / "none"), "id long")[0] == "missing"
 
 
+def test_segments_cut_at_paragraphs_sentences_and_spaces():
+    from lodestore.functions.segments import segments
+
+    assert segments("a b c.\n\nd e f.", 4) == ["a b c.", "d e f."]
+    assert segments("a b c. d e f.", 4) == ["a b c.", "d e f."]
+    assert segments("a b. c d. e f.", 7) == ["a b.\nc d.", "e f."]
+    assert segments("a b c d e f g h", 3) == ["a b c", "d e f", "g h"]
+    assert segments("abcdefghij k", 5, ".") == ["abcde", "fghij", "k"]
+
+
 def test_segments_fit_and_keep_all_words():
-    from lodestore.functions.segments import count_tokens, segments
+    from lodestore.functions.segments import Measured, segments
 
     text = "One two three. Four five six!\n\n" + "word " * 40 + "\n\nEnd."
     parts = segments(text, 10)
-    assert all(count_tokens(p) <= 10 for p in parts) and " ".join(parts).split() == text.split()
-    assert segments(text, None) == [text.strip()] and segments(" ", 5) == [] and segments("x" * 30, 1, len) == ["x"] * 30
+    assert all(len(Measured(p).begin) <= 10 for p in parts) and " ".join(parts).split() == text.split()
+    assert segments(text, None) == [text.strip()] and segments(" ", 5) == [] and segments("x" * 30, 1, ".") == ["x"] * 30
 
 
 def test_lifecycle_changes(spark):
