@@ -115,6 +115,96 @@ def latest_verdict(ratifications: DataFrame) -> DataFrame:
     return ratifications.groupBy("subject_concept_id").agg(F.max_by("verdict", F.struct("created_at", "id")).alias("verdict"))
 
 
+def read_patterns(stages: DataFrame, json: str = "patterns", most: int = MOST_PATTERNS) -> DataFrame:
+    """(stage_id, pattern, n_malformed) of stages whose patterns are JSON lists of {tool, tokens}: the first `most` sound ones.
+
+    A pattern is sound with one token at least, none of them null or empty. JSON that is no list counts as one malformed.
+    """
+    t = stages.withColumn("list", F.from_json(json, "array<struct<tool: string, tokens: array<string>>>"))
+    sound = lambda p: p.isNotNull() & (F.size(p["tokens"]) > 0) & F.forall(p["tokens"], lambda x: x.isNotNull() & (x != ""))
+    good = F.filter("list", lambda p: F.coalesce(sound(p), F.lit(False)))
+    bad = F.when(F.col("list").isNull(), F.when(F.col(json).isNull(), 0).otherwise(1)).otherwise(F.size("list") - F.size(good))
+    return t.select("stage_id", F.slice(F.coalesce(good, F.array().cast("array<struct<tool: string, tokens: array<string>>>")), 1, most).alias("patterns"), bad.alias("n_malformed"))
+
+
+def gate(actions: DataFrame, patterns: DataFrame, rules: DataFrame, most_chars: int) -> DataFrame:
+    """What each action meets: (action_id, primary_stage, severity, stages, rules, rule_ids, overflow).
+
+    rules are live ones (concept_id, stage_id, severity, created_at, body). The primary stage is that of the first rule
+    in order, a blocking one if there is any. Bodies beyond `most_chars` in all make an overflow, told apart from the
+    verdict, which never changes by it. Actions that meet no stage with a live rule aren't listed.
+    """
+    met = matches(actions, patterns).join(rules, "stage_id").distinct()
+    order = F.struct((F.col("severity") != "blocking").alias("advice"), "created_at", "concept_id", "stage_id")
+    t = met.groupBy("action_id").agg(
+        F.min(order).alias("first"), F.count_distinct("stage_id").alias("stages"), F.count_distinct("concept_id").alias("rules"), F.sum(F.length("body")).alias("chars"),
+        F.array_sort(F.collect_set("concept_id")).alias("rule_ids"),
+    )
+    return t.select("action_id", F.col("first.stage_id").alias("primary_stage"), F.when(F.col("first.advice"), "advice").otherwise("blocking").alias("severity"), "stages", "rules", "rule_ids", (F.col("chars") > most_chars).alias("overflow"))
+
+
+def clipped(text: Column, most: int) -> Column:
+    """(text, truncated): the text's first `most` characters; one more is looked at to tell."""
+    head = F.substring(text, 1, most + 1)
+    return F.struct(F.substring(head, 1, most).alias("text"), (F.length(head) > most).alias("truncated"))
+
+
+def disputed_parents(rules: DataFrame, parents: DataFrame, verdicts: DataFrame, most: int = 8) -> DataFrame:
+    """(concept_id, parent_ids, more): rules with parents (concept_id, parent_id) whose latest verdict is a rejection or retirement, the first `most` of them."""
+    off = verdicts.where(F.col("verdict").isin("reject", "retire")).select(F.col("subject_concept_id").alias("parent_id"))
+    t = rules.select("concept_id").distinct().join(parents, "concept_id").join(off, "parent_id", "left_semi").groupBy("concept_id").agg(F.array_sort(F.collect_set("parent_id")).alias("p"))
+    return t.select("concept_id", F.slice("p", 1, most).alias("parent_ids"), (F.size("p") > most).alias("more"))
+
+
+def stage_lookup(rules: DataFrame, cap: int, body: int, reason: int) -> DataFrame:
+    """Each stage's first rules in order, with clipped bodies and reasons, and how many more it has."""
+    first = ordered_rules(rules).where(F.col("place") <= cap)
+    total = rules.groupBy("stage_id").agg(F.count("*").alias("total"))
+    t = first.join(total, "stage_id").withColumns({"b": clipped(F.col("body"), body), "r": clipped(F.col("reason"), reason)})
+    return t.select("stage_id", "place", "concept_id", "severity", F.col("b.text").alias("body"), F.col("b.truncated").alias("body_cut"), F.col("r.text").alias("reason"), F.col("r.truncated").alias("reason_cut"), F.greatest(F.col("total") - cap, F.lit(0)).alias("omitted"))
+
+
+def for_model(bindings: DataFrame, model: str | None) -> DataFrame:
+    """Bindings that hold for a model: all without one, else those of no agent or of this model."""
+    return bindings if model is None else bindings.where((F.col("scope") != "agent") | (F.col("model_tag") == model))
+
+
+def coverage(stages: DataFrame, bindings: DataFrame, rules: DataFrame, denies: DataFrame, cap: int) -> dict[str, DataFrame]:
+    """The reports on how well gates are covered, each (key, n, place, omitted): the first `cap` and the rest counted.
+
+    live: stages with live rules; unverified: stages whose patterns nobody confirmed or some of which are malformed;
+    retirement: stages no live rule is at; agents: agent-scoped bindings by stage, with or without such a stage;
+    unexplained: denied actions for which no rule is recorded. stages: (stage_id, verified, n_malformed).
+    """
+    live = rules.groupBy("stage_id").agg(F.count("*").alias("n"))
+    reports = {
+        "live": live.join(stages.select("stage_id"), "stage_id", "left_semi").select(F.col("stage_id").alias("key"), "n"),
+        "unverified": stages.where(~F.col("verified") | (F.col("n_malformed") > 0)).select(F.col("stage_id").alias("key"), F.col("n_malformed").cast("long").alias("n")),
+        "retirement": stages.join(live, "stage_id", "left_anti").select(F.col("stage_id").alias("key"), F.lit(0).cast("long").alias("n")),
+        "agents": bindings.where("scope = 'agent'").join(stages.select("stage_id", F.col("stage_id").alias("known")), "stage_id", "left").groupBy(F.coalesce("known", F.lit("?")).alias("key")).agg(F.count("*").alias("n")),
+        "unexplained": denies.where("size(rule_ids) = 0 or rule_ids is null").groupBy(F.col("stage_id").alias("key")).agg(F.count("*").alias("n")),
+    }
+    w = Window.partitionBy(F.lit(0)).orderBy(F.col("n").desc(), "key")
+    out = {}
+    for name, t in reports.items():
+        first = t.orderBy(F.col("n").desc(), "key").limit(cap).withColumn("place", F.row_number().over(w))
+        out[name] = first.crossJoin(t.agg(F.greatest(F.count("*") - cap, F.lit(0)).alias("omitted")))
+    return out
+
+
+def mirror_rows(stages: DataFrame, rules: DataFrame, aliases: DataFrame) -> DataFrame:
+    """What a snapshot holds of each stage: its rules' ids in order, and all names that lead to its circle."""
+    names = aliases.groupBy(F.col("to_name").alias("circle")).agg(F.array_sort(F.collect_set("from_name")).alias("names"))
+    r = ordered_rules(rules).groupBy("stage_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "concept_id"))), lambda x: x["concept_id"]).alias("rule_ids"))
+    t = stages.join(r, "stage_id").join(names, "circle", "left")
+    return t.select("stage_id", F.concat(F.array("circle"), F.coalesce("names", F.array().cast("array<string>"))).alias("circles"), "rule_ids")
+
+
+def blank_reason(reason: Column) -> Column:
+    """Why a reason won't do: missing, blank, or with a line break; null if it will."""
+    return F.when(reason.isNull(), "missing").when(F.trim(F.regexp_replace(reason, "\\s+", " ")) == "", "blank").when(reason.rlike("[\\n\\r\\x{2028}\\x{2029}]"), "line-break")
+
+
 def violations(bindings: DataFrame) -> DataFrame:
     """(concept_id, broken): bindings that break a constraint."""
     rules = [
@@ -123,3 +213,25 @@ def violations(bindings: DataFrame) -> DataFrame:
         ("everywhere-needs-origin", (F.col("circle") == "*") & ~F.col("origin").isin("declaration", "correction")),
     ]
     return bindings.select("concept_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules]))).alias("broken"))
+
+
+def edge_violations(edges: DataFrame) -> DataFrame:
+    """(id, broken): lifecycle edges (id, src, dst, family, dst_span) that break a constraint: spans belong to provenance alone, no edge ends where it starts, nothing has two successors."""
+    own = [("provenance-needs-span", (F.col("family") == "provenance") != F.col("dst_span").isNotNull()), ("self-edge", F.col("src") == F.col("dst"))]
+    one = edges.select("id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in own]))).alias("broken"))
+    w = Window.partitionBy("dst").orderBy("created_at", "id")
+    again = edges.where("family = 'supersedes'").withColumn("k", F.row_number().over(w)).where("k > 1")
+    return one.union(again.select("id", F.lit("second-successor")))
+
+
+def refused_bindings(bindings: DataFrame, stages: DataFrame) -> DataFrame:
+    """(concept_id, refused): bindings that may not be made: of an unknown stage, or with a reason that won't do."""
+    t = bindings.join(stages.select("stage_id", F.lit(True).alias("known")), "stage_id", "left").withColumn("why", blank_reason(F.col("reason")))
+    return t.withColumn("refused", F.when(F.col("known").isNull(), "unknown-stage").otherwise(F.concat(F.lit("reason-"), "why"))).where("refused is not null").select("concept_id", "refused")
+
+
+def extraction_candidates(rules: DataFrame) -> DataFrame:
+    """(reason, stages, rules) of reasons that live rules of two stages or more share. The reference's own likeness is unknown: here reasons are equal in their normal form."""
+    normal = F.lower(F.trim(F.regexp_replace("reason", "\\s+", " ")))
+    t = rules.where(normal != "").groupBy(normal.alias("reason")).agg(F.count_distinct("stage_id").alias("stages"), F.count("*").alias("rules"))
+    return t.where("stages > 1")

@@ -29,6 +29,43 @@ def reads(records: DataFrame, moments: DataFrame) -> DataFrame:
     return t.select("moment_id", "rule_id", "read_at", F.coalesce(F.col("read_at") > F.col("outcome_at"), F.lit(False)).alias("late"))
 
 
+def unjoinable(records: DataFrame, moments: DataFrame) -> DataFrame:
+    """Reads, each (run, sequence) once, that meet no moment or none their rule applies to; the stage that one names still counts as read."""
+    t = records.dropDuplicates(["run_id", "seq"]).join(moments.select("moment_id", "rule_ids"), "moment_id", "left")
+    return t.where(F.col("moment_id").isNull() | F.col("rule_ids").isNull() | ~F.array_contains(F.coalesce("rule_ids", F.array().cast("array<string>")), F.coalesce("rule_id", F.lit(""))))
+
+
+def stage_reads(records: DataFrame) -> DataFrame:
+    """Reads of each stage that is named, joinable or not, each (run, sequence) once."""
+    return records.dropDuplicates(["run_id", "seq"]).where("named_stage_id is not null").groupBy("named_stage_id").agg(F.count("*").alias("reads"))
+
+
+def conformance(moments: DataFrame, reads_of: DataFrame, lost: DataFrame) -> DataFrame:
+    """One row of six counts: asked moments followed, not followed and unanswered, moments with rules never asked, late reads, reads that can't be joined."""
+    governed = F.size("rule_ids") > 0
+    a = moments.agg(
+        F.count_if(F.col("answer") == "followed").alias("followed"), F.count_if(F.col("answer") == "not-followed").alias("not_followed"),
+        F.count_if(F.col("asked") & F.col("answer").isNull()).alias("unanswered"), F.count_if(governed & ~F.col("asked")).alias("not_asked"),
+    )
+    return a.crossJoin(reads_of.agg(F.count_if("late").alias("read_late"))).crossJoin(lost.agg(F.count("*").alias("unjoinable_reads")))
+
+
+def answers(records: DataFrame) -> DataFrame:
+    """(moment_id, asked, answer, conflict): the first ask and the first answer of each moment by sequence; a later different answer changes nothing and is told."""
+    first = records.groupBy("moment_id").agg(F.min(F.when(F.col("kind") == "ask", F.col("seq"))).alias("asked_at"), F.min(F.when(F.col("kind") == "answer", F.struct("seq", "answer")))["answer"].alias("answer"), F.count_distinct(F.when(F.col("kind") == "answer", F.col("answer"))).alias("n"))
+    return first.select("moment_id", F.col("asked_at").isNotNull().alias("asked"), "answer", (F.col("n") > 1).alias("conflict"))
+
+
+def owing(moments: DataFrame, cap: int) -> DataFrame:
+    """Moments that were asked and not answered, the oldest first."""
+    return moments.where("asked and answer is null").orderBy("at", "moment_id").limit(cap)
+
+
+def losses(gap_rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """Gaps with what is known of their runs; a run nothing else is known of keeps its gaps."""
+    return gap_rows.join(runs, "run_id", "left")
+
+
 def outcomes(moments: DataFrame, results: DataFrame) -> DataFrame:
     """Moments joined with results by tool use, either arriving first; results of no moment are losses."""
     return moments.join(results, "tool_use_id", "full_outer").select(

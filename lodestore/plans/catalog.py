@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestore.plans import graphs, ledgers, memory, relations, rules, search, texts
+from lodestore.plans import governance, graphs, ledgers, memory, relations, rules, search, texts
 
-MODULES = [search, texts, relations, graphs, ledgers, rules, memory]
+MODULES = [search, texts, relations, graphs, ledgers, rules, memory, governance]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -16,9 +16,9 @@ def _actions(spark, sf):
 
 
 def _patterns(spark, sf):
-    """Stages: each colour or size word followed by a brand's number, for large parts; every third is for one tool."""
+    """Stages: each last word of a name followed by its brand, by type; those of brands of one digit are for one tool."""
     (p,) = read(spark, sf, "part")
-    t = p.where("p_size >= 48").select(F.lower(F.element_at(F.split("p_name", " "), -1)).alias("w"), F.lower("p_brand").alias("b"), F.lower("p_type").alias("tool")).distinct()
+    t = p.select(F.lower(F.element_at(F.split("p_name", " "), -1)).alias("w"), F.lower("p_brand").alias("b"), F.lower("p_type").alias("tool")).distinct()
     return t.select(F.concat_ws("/", "w", "b", "tool").alias("stage_id"), F.when(F.length("b") == 7, F.col("tool")).alias("tool"), F.array("w", "b").alias("tokens"))
 
 
@@ -69,7 +69,7 @@ _B = "b as (select o_orderkey as id, o_custkey as stage_id, case when o_orderpri
 QUERIES = {f.__name__: f for f in (gate_matches, stage_rules, gate_coverage, constraint_violations, verdicts, snapshot_hash)}
 ORACLE = {
     "gate_matches": """with a as (select p_partkey as action_id, lower(p_type) as tool, ' ' || lower(p_name) || ' ' || lower(p_brand) || ' ' as t from part), s as (
-  select distinct split_part(lower(p_name), ' ', -1) as w, lower(p_brand) as b, lower(p_type) as tool from part where p_size >= 48)
+  select distinct split_part(lower(p_name), ' ', -1) as w, lower(p_brand) as b, lower(p_type) as tool from part)
 select distinct action_id, w || '/' || b || '/' || s.tool as stage_id from a join s on contains(a.t, ' ' || w || ' ' || b || ' ') and (length(b) <> 7 or s.tool = a.tool)""",
     "stage_rules": f"with {_B}, k as (select *, row_number() over (partition by stage_id order by severity <> 'blocking', made, id) as place from b where st <> 'P' and p >= 20000) select stage_id, place::int as place, id as concept_id, severity from k where place <= 3",
     "gate_coverage": f"with {_B} select severity, count(distinct stage_id) as stages, count(*) as rules, count(*) filter (not p > 450000) as untagged from b group by 1",

@@ -31,17 +31,48 @@ def append(records: DataFrame, path: str) -> None:
     records.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)
 
 
-def fold_once(spark: SparkSession, path: str, out: str, state: str) -> None:
-    """Fold what the spool holds now into `out`, each (run, sequence) once over all calls; stops before a future version."""
-
-    def apply(batch: DataFrame, _: int) -> None:
-        if not batch.where("status = 'future'").isEmpty():
-            raise ValueError("the spool holds records of a newer version")
-        batch.where("status = 'ok'").select("run_id", "seq", "kind").write.mode("append").parquet(out)
+def fold_once(spark: SparkSession, path: str, out: str, state: str) -> dict[str, int]:
+    """Fold what the spool holds now into `out`, each (run, sequence) once over all calls; returns how many lines were malformed or of a newer version.
+
+    A batch is a partition of `out` by its id and replaces it whole: one that is tried again after a failure doesn't
+    double its rows. What earlier batches hold is looked up, so no state grows in the stream.
+    """
+    seen = {"malformed": 0, "future": 0}
+
+    def apply(batch: DataFrame, n: int) -> None:
+        others = batch.where("status in ('ok', 'future')")
+        where = f"{out}/batch={n}"
+        before = [f"{out}/{f}" for f in children(spark, out) if f.startswith("batch=") and f != f"batch={n}"]
+        t = fresh(others, before)
+        t.write.mode("overwrite").parquet(where)
+        for status, k in batch.where("status <> 'ok'").groupBy("status").count().collect():
+            seen[status] += k
 
     t = parse(read_spool(spark, path)).withColumnRenamed("runId", "run_id")
-    good = t.where("status <> 'malformed'").dropDuplicates(["run_id", "seq"])
-    good.writeStream.foreachBatch(apply).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    t.writeStream.foreachBatch(apply).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return seen
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if it isn't there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in system.listStatus(where)] if system.exists(where) else []
+
+
+def fresh(batch: DataFrame, before: list[str]) -> DataFrame:
+    """Of a batch's records those to fold: each (run, sequence) that earlier batches don't hold once, up to the first record of a newer version of its run.
+
+    A run's valid records before that one are folded. It and those after stay in the spool: a newer reader with a
+    checkpoint of its own meets them there, and what is folded by then isn't folded again.
+    """
+    stop = batch.where("status = 'future'").groupBy("run_id").agg(F.min("seq").alias("stop"))
+    t = batch.where("status = 'ok'").join(stop, "run_id", "left").where("stop is null or seq < stop")
+    t = t.select("run_id", "seq", "kind").dropDuplicates(["run_id", "seq"])
+    if not before:
+        return t
+    have = batch.sparkSession.read.schema("run_id string, seq long, kind string").parquet(*before)
+    return t.join(have, ["run_id", "seq"], "left_anti")
 
 
 def _ranges(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
