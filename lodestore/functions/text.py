@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 FNV_SEED, FNV_PRIME, MASK = 2166136261, 16777619, 4294967295
 
@@ -16,6 +17,11 @@ REDACTIONS = [
     ),
     (r"(?i)([?&](?:key|api_key|apikey|token|secret|auth)=)([A-Za-z0-9_-]{12,})", "$1[redacted-secret]"),
     (r"\bkey_[A-Za-z0-9]{10,}\b", "[redacted-secret]"),
+    (
+        r"(?i)\b(?:https?://)?(?:10(?:\.\d{1,3}){3}|172\.(?:1[6-9]|2\d|3[01])(?:\.\d{1,3}){2}|192\.168(?:\.\d{1,3}){2})(?::\d{1,5})?(?:/[^\s`'\"),\]]*)?,[^\S\n]*tenant[^\S\n]+[A-Za-z][A-Za-z0-9-]*",
+        "[redacted-private-endpoint], tenant [redacted-tenant]",
+    ),
+    (r"(?i)\b(?:https?://)?(?:10(?:\.\d{1,3}){3}|172\.(?:1[6-9]|2\d|3[01])(?:\.\d{1,3}){2}|192\.168(?:\.\d{1,3}){2})(?::\d{1,5})?(?:/[^\s`'\"),\]]*)?", "[redacted-private-endpoint]"),
     (r"/Users/[^\s`'\")\]]+", "[redacted-path]"),
     (r"~/[^\s`'\")\]]*", "[redacted-path]"),
 ]
@@ -34,8 +40,13 @@ def lexical_tokens(text: Column) -> Column:
 
 
 def fnv1a(word: Column) -> Column:
-    """32-bit FNV-1a over the code units of a text of the basic plane."""
-    units = F.transform(F.filter(F.split(word, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    """32-bit FNV-1a over the UTF-16 code units of a text: a character beyond the basic plane counts as its two surrogates."""
+
+    def unit(c: Column) -> Column:
+        code, over = F.ascii(c).cast("long"), F.ascii(c).cast("long") - 65536
+        return F.when(over < 0, F.array(code)).otherwise(F.array(F.shiftright(over, 10) + 55296, over.bitwiseAND(F.lit(1023).cast("long")) + 56320))
+
+    units = F.flatten(F.transform(F.filter(F.split(word, ""), lambda c: c != ""), unit))
     return F.aggregate(units, F.lit(FNV_SEED).cast("long"), lambda h, c: h.bitwiseXOR(c) * F.lit(FNV_PRIME).cast("long") % F.lit(MASK + 1).cast("long"))
 
 
@@ -81,14 +92,45 @@ def foreign_share(text: Column) -> Column:
     return F.when(letters > 0, (letters - latin) / letters).otherwise(F.lit(0.0))
 
 
-def redact(text: Column, skip: tuple[int, ...] = ()) -> Column:
-    """Addresses, secrets and home paths replaced, pattern by pattern; `skip` leaves passes out."""
+#: The pass for secrets by prefix, which may also meet the hyphenated words of a slug.
+SECRETS = 1
+
+
+def redact(text: Column, skip: tuple[int, ...] = (), own: tuple[str, ...] = ()) -> Column:
+    """Addresses, secrets, private endpoints and home paths replaced, pattern by pattern; `skip` leaves passes out.
+
+    Of a path under /Users that leads through one of the `own` directories, what starts there stays.
+    """
+    for name in own:
+        text = F.regexp_replace(text, f"/Users/(?:[^\\s`'\\\")\\]]*?/)?({name}(?:/[^\\s`'\\\")\\]]*)?)(?=[\\s`'\\\")\\]]|$)", "$1")
     for i, (pattern, to) in enumerate(REDACTIONS):
         if i not in skip:
             text = F.regexp_replace(text, pattern, to)
     return text
 
 
+def redact_nested(value: Column, kind: DataType, **how) -> Column:
+    """The same value with every text in it redacted, through structs, arrays and the values of maps."""
+    if isinstance(kind, StringType):
+        return redact(value, **how)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: redact_nested(x, kind.elementType, **how))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, x: redact_nested(x, kind.valueType, **how))
+    if isinstance(kind, StructType):
+        made = F.struct(*(redact_nested(value[f.name], f.dataType, **how).alias(f.name) for f in kind))
+        return F.when(value.isNotNull(), made)
+    return value
+
+
+def renamed_references(text: Column, names: Column) -> Column:
+    """The text with asserted references under new slugs, by an array of (old, new)."""
+    edge = "(?![\\p{L}\\p{N}\\p{M}-])"
+    relation = "(?i)(\\b(?:resolves|supersedes|derived-from|supports|contradicts):\\s*#)"
+    step = lambda acc, n: F.regexp_replace(acc, F.concat(F.lit(relation), n["old"], F.lit(edge)), F.concat(F.lit("$1"), n["new"]))
+    return F.aggregate(names, text, step)
+
+
 def references(text: Column) -> Column:
     """Asserted references `relation: #slug` as an array of (relation, slug)."""
     pattern = "(?i)\\b(resolves|supersedes|derived-from|supports|contradicts):\\s*#([\\p{L}\\p{N}\\p{M}-]+)"
@@ -135,6 +177,36 @@ def stage_name(name: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(name, "\\s+", " ")))
 
 
+# Korean particles.
+PARTICLES = [
+    "으로서", "으로써", "에게서", "에서는", "이라고", "라고", "으로", "에서", "에게", "한테", "부터", "까지", "보다", "처럼", "마다", "조차", "이나", "라는", "이란", "에는",
+    "은", "는", "이", "가", "을", "를", "에", "의", "와", "과", "도", "만", "랑",
+]
+# End of fixed values.
+
+
+def without_particle(word: Column) -> Column:
+    """A Hangul word without the longest particle at its end, if two syllables are left; null if it is a particle itself."""
+    by_length = sorted(set(map(len, PARTICLES)), reverse=True)
+    out = word
+    for n in reversed(by_length):
+        ends = F.right(word, F.lit(n)).isin([p for p in PARTICLES if len(p) == n]) & (F.length(word) - n >= 2)
+        out = F.when(ends, F.left(word, F.length(word) - n)).otherwise(out)
+    return F.when(~word.isin(PARTICLES), out)
+
+
+def root(word: Column) -> Column:
+    """What a noun is known by: without its particle in Hangul, else in the singular."""
+    return F.when(word.rlike("^\\p{IsHangul}+$"), without_particle(word)).otherwise(singular(word))
+
+
+# Names of libraries and tools.
+LIBRARIES = [
+    "jose", "jsonwebtoken", "pnpm", "npm", "yarn", "sqlite", "better-sqlite3", "vite", "postgres", "postgresql", "pgvector", "sqlite-vec", "drizzle", "turbo", "turborepo", "eslint", "prettier", "hono", "stripe", "fts5", "redis",
+    "playwright", "vitest", "zod", "react", "nextjs", "node", "typescript", "argon2id", "bullmq", "pino", "sentry", "s3", "grafana", "opentelemetry", "codecov", "postmark", "keycloak", "minilm", "onnx", "next-intl",
+]
+# End of fixed values.
+
 # Structural entity patterns, in the order they are taken out of the text.
 ENTITY_PATTERNS = [
     ("path", r"\b[\w./-]*\w[\w-]*\.(?:ts|tsx|js|jsx|mjs|cjs|json|sql|md|sh|ya?ml|py|go|rs|toml|css)\b"),
@@ -152,10 +224,12 @@ def _entities_of(surfaces: Column, kind: str, weight: int) -> Column:
 
 
 def entities(text: Column, stopwords: list[str] | None = None, libraries: list[str] | None = None) -> Column:
-    """Entities of a text as (kind, surface, weight): structural ones, known libraries, then nouns of what is left.
+    """Entities of a text as (kind, surface, weight): structural ones, known libraries (LIBRARIES if none are given), then nouns of what is left.
 
-    Words are runs of letters, digits and marks; scripts written without spaces aren't segmented.
+    Words are runs of letters, digits and marks; scripts written without spaces aren't segmented. Stop words are the
+    caller's list.
     """
+    libraries = LIBRARIES if libraries is None else libraries
     found, rest = [], text
     for kind, pattern in ENTITY_PATTERNS:
         hits = F.regexp_extract_all(rest, F.lit(pattern), F.lit(0))
@@ -167,5 +241,5 @@ def entities(text: Column, stopwords: list[str] | None = None, libraries: list[s
     found.append(_entities_of(libs, "lib", 2))
     words = F.array_except(F.array_remove(F.split(F.lower(rest), "[^\\p{L}\\p{N}\\p{M}]+"), ""), F.concat(stop, known))
     words = F.filter(words, lambda w: (F.length(w) >= 2) & w.rlike("\\p{L}"))
-    found.append(_entities_of(F.transform(words, singular), "noun", 1))
+    found.append(_entities_of(F.array_compact(F.transform(words, root)), "noun", 1))
     return F.array_distinct(F.concat(*found))

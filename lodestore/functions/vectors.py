@@ -13,6 +13,15 @@ def parse(json: Column, width: int | None = None) -> Column:
     return F.when(sound & (F.size(v) == width if width else F.lit(True)), v)
 
 
+def fault(json: Column, width: int) -> Column:
+    """Why a vector in JSON won't do: missing, no list of numbers, a value that isn't finite, or another width; null if it will."""
+    v = F.from_json(json, "array<double>")
+    sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    listed = F.from_json(json, "array<string>")
+    numbers = F.forall(listed, lambda x: x.isNull() | F.try_to_number(x, F.lit("S" + "9" * 15 + "D" + "9" * 15)).isNotNull() | x.rlike("^-?[0-9.]+([eE][-+]?[0-9]+)?$"))
+    return F.when(json.isNull(), "missing").when(listed.isNull() | ~numbers, "container").when(v.isNull() | ~sound, "value").when(F.size(v) != width, "width")
+
+
 def dot(a: Column, b: Column) -> Column:
     """Product over the shorter length, summed in double precision."""
     n = F.least(F.size(a), F.size(b))

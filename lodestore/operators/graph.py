@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestore.staging import stage
+from lodestore.staging import stage, unstage
 
 #: An entity is a hub, and links nothing, in more concepts than this or in more than this share of them.
 HUB_CONCEPTS, HUB_SHARE, EXEMPT = 50, 0.1, 5
@@ -111,6 +111,23 @@ def chain_ends(links: DataFrame, max_rounds: int = 30) -> DataFrame:
     return ends.select("src", F.when(~F.col("cyclic"), F.col("end")).alias("end"), F.when(~F.col("cyclic"), F.col("hops")).alias("hops"), "cyclic")
 
 
+def on_cycles(links: DataFrame) -> DataFrame:
+    """(node, cycle): the nodes of circles in a table where each src has one dst, and the least node of their circle.
+
+    Pointers double until they are longer than the table: then they end in a circle, if they haven't stopped, and all
+    of a circle's nodes are ends. Each carries the least node on its way.
+    """
+    now = stage(links.select("src", F.col("dst").alias("end"), F.least("src", "dst").alias("low")), "rings")
+    n, span = now.count(), 1
+    while span <= n:
+        nxt = now.select(F.col("src").alias("mid"), F.col("end").alias("far"), F.col("low").alias("under"))
+        then = stage(now.join(nxt, now.end == nxt.mid).select("src", F.col("far").alias("end"), F.least("low", "under").alias("low")), "rings")
+        unstage(now)
+        now, span = then, span * 2
+    ends = now.select(F.col("end").alias("src")).distinct()
+    return now.join(ends, "src", "left_semi").select(F.col("src").alias("node"), F.col("low").alias("cycle"))
+
+
 def without_support(edges: DataFrame, memberships: DataFrame) -> DataFrame:
     """Edges (a, b) whose concepts no longer share an entity.
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestore.operators.graph import on_cycles
+
 
 def delta(rows: DataFrame, since: int, at: str = "updated_at") -> DataFrame:
     """Rows at or after the watermark."""
@@ -36,3 +40,48 @@ def alive(events: DataFrame, key: str) -> DataFrame:
 def graft(local: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """Incoming rows that aren't there yet: a second graft inserts none."""
     return incoming.join(local.select(key), key, "left_anti")
+
+
+def dismissed(edges: DataFrame, key: list[str]) -> DataFrame:
+    """Edges by key, dismissed if any replica dismissed them: the earliest dismissal, and by whom."""
+    at = F.when(F.col("dismissed_at").isNotNull(), F.struct("dismissed_at", "dismissed_by"))
+    return edges.groupBy(*key).agg(F.min(at).alias("d")).select(*key, F.col("d.dismissed_at").alias("dismissed_at"), F.col("d.dismissed_by").alias("dismissed_by"))
+
+
+def marked_dirty(concepts: DataFrame, inserted: DataFrame) -> DataFrame:
+    """Concepts, dirty where a graft brought new evidence (concept_id)."""
+    new = inserted.select("concept_id").distinct().withColumn("fresh", F.lit(True))
+    return concepts.join(new, "concept_id", "left").withColumn("dirty", F.col("dirty") | F.coalesce("fresh", F.lit(False))).drop("fresh")
+
+
+def rejected(protocol: Column, embedder: Column, widths: Column, malformed: Column, own_protocol: int, own_embedder: str, own_width: int) -> Column:
+    """Why a payload can't be grafted: a newer protocol, another embedder, malformed vectors, or widths that aren't one's own; null if it can."""
+    return (
+        F.when(protocol > own_protocol, "protocol")
+        .when(embedder != own_embedder, "embedder")
+        .when(malformed > 0, "malformed")
+        .when(F.size(widths) > 1, "mixed-width")
+        .when(~F.coalesce(F.array_contains(widths, own_width), F.lit(True)) & (F.size(widths) > 0), "width")
+    )
+
+
+def payload(tables: dict[str, tuple[DataFrame, str]], since: int, protocol: int, embedder: str) -> DataFrame:
+    """A delta as rows (protocol, embedder, since, table, id, row as JSON) of every table's rows at or after the watermark."""
+    head = [F.lit(protocol).alias("protocol"), F.lit(embedder).alias("embedder"), F.lit(since).cast("long").alias("since")]
+    parts = [delta(t, since).select(*head, F.lit(name).alias("table"), F.col(key).cast("string").alias("id"), F.to_json(F.struct("*")).alias("row")) for name, (t, key) in tables.items()]
+    return reduce(DataFrame.union, parts)
+
+
+def acyclic(edges: DataFrame) -> DataFrame:
+    """Of supersessions (id, src, dst, created_at; one dst a src) those that can be grafted in order of time and id without closing a circle.
+
+    Every circle loses its last edge; nothing else closes one, since each src has one dst.
+    """
+    ring = on_cycles(edges)
+    last = edges.join(ring.select(F.col("node").alias("src"), "cycle"), "src").groupBy("cycle").agg(F.max(F.struct("created_at", "id"))["id"].alias("id"))
+    return edges.join(last.select("id"), "id", "left_anti")
+
+
+def migrated(edges: DataFrame, related: DataFrame) -> DataFrame:
+    """Edges after re-embedding: `related` ones made anew, all others as they were."""
+    return edges.where("type <> 'related'").unionByName(related.withColumn("type", F.lit("related")).select(*edges.columns))

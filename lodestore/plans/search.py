@@ -99,14 +99,18 @@ def score_quantiles(spark, sf):
     return evaluation.index_quantiles(t, "s", [0.05, 0.5, 0.95, 0.99], ["same"])
 
 
-def related_edges(spark, sf):
-    c = _centroids(vectors(spark, sf))
+def related_of(c):
+    """Related edges of concepts (concept_id, centroid): the three nearest of each in a band, picked by either."""
     asked = c.select(F.col("concept_id").cast("long").alias("query_id"), F.col("centroid").alias("embedding"))
     found = retrieval.best_observations(c.select(F.col("concept_id").cast("long").alias("observation_id"), "concept_id", F.col("centroid").alias("embedding")), asked, exclude_self=True, positive=False)
     pairs = found.select(F.col("query_id").cast(c.schema["concept_id"].dataType).alias("src"), F.col("concept_id").alias("dst"), F.round("score", 6).alias("score"))
     return graph.nearest_union(pairs, -0.05, 0.9, 3)
 
 
+def related_edges(spark, sf):
+    return related_of(_centroids(vectors(spark, sf)))
+
+
 def _index(spark, sf):
     return retrieval.token_index(texts(spark, sf))
 

@@ -13,29 +13,45 @@ def state_hash(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
 
 
 def table_digest(rows: DataFrame) -> str:
-    """A digest of the whole table that doesn't depend on order: sums of row hashes with the count."""
-    a, b, n = rows.agg(F.expr("bit_xor(xxhash64(struct(*)))"), F.sum((F.xxhash64(F.struct("*")) % 1000003).cast("long")), F.count("*")).first()
-    return f"{a or 0:x}-{b or 0:x}-{n}"
+    """A digest of the whole table that doesn't depend on order: two sums of row hashes, so that equal rows count, and the count."""
+    one, two = (F.sum(F.xxhash64(F.struct("*"), F.lit(i)).cast("decimal(20,0)")) for i in (1, 2))
+    a, b, n = rows.agg(one, two, F.count("*")).first()
+    return f"{int(a or 0) % 2**64:x}-{int(b or 0) % 2**64:x}-{n}"
 
 
 def write_mirror(rows: DataFrame, path: str, generation: int) -> str:
-    """Write the snapshot unless the one there is of the same or a later generation: written, unchanged or stale."""
+    """Write a snapshot under a generation: written, unchanged (the content is there), stale (a later one is), or conflict (this one holds something else).
+
+    Rows go to a folder of their own first; the header, which names it, is one more small folder that Spark marks as
+    whole when it is done. Readers take the latest whole header, so they never see rows of another generation.
+    """
     spark, digest = rows.sparkSession, table_digest(rows)
     have = header(spark, path)
     if have and have["generation"] > generation:
         return "stale"
     if have and have["digest"] == digest:
         return "unchanged"
-    rows.write.mode("overwrite").json(f"{path}/rows")
-    spark.createDataFrame([(generation, digest)], "generation long, digest string").coalesce(1).write.mode("overwrite").json(f"{path}/header")
+    if have and have["generation"] == generation:
+        return "conflict"
+    folder = f"rows/{generation}-{digest}"
+    rows.write.mode("overwrite").json(f"{path}/{folder}")
+    spark.createDataFrame([(generation, digest, folder)], _HEADER).coalesce(1).write.mode("overwrite").json(f"{path}/header/{generation:019d}")
     return "written"
 
 
+_HEADER = "generation long, digest string, folder string"
+
+
 def header(spark: SparkSession, path: str) -> dict | None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/header")
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+    """The latest whole header."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/header")
+    system = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(top):
         return None
-    return spark.read.schema("generation long, digest string").json(f"{path}/header").first().asDict()
+    names = sorted((f.getPath().getName() for f in system.listStatus(top)), reverse=True)
+    done = (n for n in names if system.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/header/{n}/_SUCCESS")))
+    name = next(done, None)
+    return spark.read.schema(_HEADER).json(f"{path}/header/{name}").first().asDict() if name else None
 
 
 def read_mirror(spark: SparkSession, path: str, schema: str, generation: int | None = None) -> tuple[str, DataFrame | None]:
@@ -43,5 +59,5 @@ def read_mirror(spark: SparkSession, path: str, schema: str, generation: int | N
     have = header(spark, path)
     if not have:
         return "missing", None
-    rows = spark.read.schema(schema).json(f"{path}/rows")
+    rows = spark.read.schema(schema).json(f"{path}/{have['folder']}")
     return ("fresh" if generation is None or have["generation"] >= generation else "stale"), rows
