@@ -24,12 +24,18 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of near copies, once; rows without an id stay."""
-    kept = minhash.near_duplicates(docs).where("kept and doc_id is not null").groupBy("doc_id").count()
-    kept = stage(kept, "kept")
-    once = docs.join(kept.where("count = 1"), "doc_id", "left_semi")
-    again = docs.join(kept.where("count > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each group of near copies, that of the smallest id; of rows equal in id and text, one.
+
+    Rows are told apart by a hash of id and text, so different texts under one id, or under none, stand for themselves.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
+    ids = keyed.groupBy(F.col("__key").alias("doc_id")).agg(F.min("doc_id").alias("id"), F.count("*").alias("rows"))
+    groups = minhash.near_duplicates(keyed, id_col="__key").dropDuplicates(["doc_id"]).join(ids, "doc_id")
+    first = groups.groupBy("component_id").agg(F.min_by(F.struct("doc_id", "rows"), F.struct(F.col("id").isNull(), "id", "doc_id")).alias("f"))
+    kept = stage(first.select(F.col("f.doc_id").alias("__key"), F.col("f.rows").alias("__rows")), "kept")
+    once = keyed.join(kept.where("__rows = 1"), "__key", "left_semi")
+    again = keyed.join(kept.where("__rows > 1"), "__key", "left_semi").dropDuplicates(["__key"])
+    return once.unionByName(again).select(*docs.columns)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
