@@ -14,8 +14,8 @@ from lodestore.plans.staging import stage, unstage
 SHINGLE_WORDS, THRESHOLD = 5, 75
 #: Bands of rows: a pair at similarity 0.75 shares no band with probability (1 - 0.75^4)^32 = 5e-6.
 BANDS, ROWS = 32, 4
-#: Texts of a block; a task holds two.
-BLOCK = 1500
+#: Texts and shingles of a block at most, on average; a task holds two.
+BLOCK, BLOCK_SHINGLES = 1500, 2_000_000
 
 
 def superminhash(sets: list[np.ndarray], m: int) -> np.ndarray:
@@ -111,9 +111,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal sets first become one class, so exact copies cost one sketch each and no pairs. In each band bucket the
     smallest id is then compared with the other members: a group of near copies costs a star. Buckets that still hold
-    several components are compared in blocks of at most BLOCK texts, pair of blocks by pair of blocks, where a task
-    tries every pair that shares a bucket and isn't joined yet, and returns the links that join. So no link that could
-    join two components is skipped, and no table of pairs grows with the square of a group.
+    several components are compared in blocks of about BLOCK texts or BLOCK_SHINGLES shingles, pair of blocks by pair of
+    blocks: first by signatures, so that only texts whose signature comes near one of another component send their
+    sets; then a task tries every such pair that shares a bucket and isn't joined yet, and returns the links that join.
+    So no link that could join two components is skipped, and no table of pairs grows with the square of a group. What
+    is joined by bucket is staged on both sides, so that Spark can split a hot bucket's partition.
     """
     lowered = _chain(_lowered, _sketch(words, bands, rows))
     sk = stage(keyed_texts(docs, id_col, text_col).mapInArrow(lowered, sketch_schema()), "sketch")
@@ -124,7 +126,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = of_class.where("doc_id <> cls").select(F.col("doc_id").alias("a"), F.col("cls").alias("b"))
 
     spread = reps.select(F.explode("bands").alias("bucket"), "cls", F.col("n_shingles").alias("n"))
-    shared = spread.groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("bucket")
+    shared = stage(spread.groupBy("bucket").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("bucket"), "shared")
     members = stage(spread.join(shared, "bucket", "left_semi"), "members")
     wanted = members.select(F.col("cls").alias("doc_id")).distinct()
     texts = keyed_texts(docs, id_col, text_col).join(wanted, "doc_id", "left_semi")
@@ -132,21 +134,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signs = reps.select(F.col("cls").alias("node"), "signature")
 
     # first, one leader a bucket against the other members: a star of pairs
-    lead = members.groupBy("bucket").agg(F.min(F.struct("cls", "n")).alias("l")).select("bucket", F.col("l.cls").alias("lead"), F.col("l.n").alias("lead_n"))
+    lead = stage(members.groupBy("bucket").agg(F.min(F.struct("cls", "n")).alias("l")).select("bucket", F.col("l.cls").alias("lead"), F.col("l.n").alias("lead_n")), "leaders")
     near_size = (F.col("n") * 100 >= F.col("lead_n") * threshold) & (F.col("lead_n") * 100 >= F.col("n") * threshold)
     pairs = members.join(lead, "bucket").where((F.col("cls") > F.col("lead")) & near_size).select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct()
     links = stage(_verified(pairs, signs, sets, threshold), "links")
     label = connected_components(links)
 
     # then, what shares a bucket and isn't joined yet, in blocks
-    at = members.join(label, F.col("cls") == F.col("node"), "left").select("bucket", "cls", F.coalesce("component", "cls").alias("part"))
-    open_ = at.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("bucket")
+    at = members.join(label, F.col("cls") == F.col("node"), "left").select("bucket", "cls", "n", F.coalesce("component", "cls").alias("part"))
+    open_ = stage(at.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("bucket"), "unsettled")
     at = stage(at.join(open_, "bucket", "left_semi"), "open")
-    near = connected_components(at.join(at.groupBy("bucket").agg(F.min("cls").alias("least")), "bucket").select("cls", "least").distinct(), "cls", "least")
-    more = _blocks(at.select("cls", "part").distinct(), near, reps, sets, threshold)
+    least = stage(at.groupBy("bucket").agg(F.min("cls").alias("least")), "least")
+    near = connected_components(at.join(least, "bucket").select("cls", "least").distinct(), "cls", "least")
+    more = _blocks(at.select("cls", "part", "n").distinct(), near, reps, sets, threshold)
     more = stage(more, "block-links")
     label = connected_components(copies.union(links).union(more))
-    for t in (classes, reps, members, sets, links, at, more):
+    for t in (classes, reps, shared, members, lead, sets, links, open_, at, least, more):
         unstage(t)
     out = sk.select("doc_id", "n_shingles").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
@@ -173,13 +176,13 @@ def _verified(pairs: DataFrame, signs: DataFrame, sets: DataFrame, threshold: in
 def _blocks(open_: DataFrame, near: DataFrame, reps: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Links (a, b) that join components among texts whose buckets chain them together.
 
-    open_: (cls, part), part the component so far; near: (node, component) of those chains. A part of many texts has
-    blocks of its own, which needn't be compared with each other.
+    open_: (cls, part, n), part the component so far, n its shingles; near: (node, component) of those chains. A part of
+    many texts has blocks of its own, which needn't be compared with each other.
     """
     t = open_.join(near.withColumnsRenamed({"node": "cls", "component": "chain"}), "cls")
-    size = t.groupBy("chain", "part").count().withColumn("solo", F.col("count") * 4 >= BLOCK)
+    size = t.groupBy("chain", "part").agg(F.count("*").alias("count"), F.sum("n").alias("shingles")).withColumn("solo", F.col("count") * 4 >= BLOCK)
     own = F.when(F.col("solo"), F.col("part"))
-    room = size.groupBy("chain", own.alias("own")).agg(F.sum("count").alias("texts")).withColumn("parts", F.ceil(F.col("texts") / BLOCK))
+    room = size.groupBy("chain", own.alias("own")).agg(F.greatest(F.ceil(F.sum("count") / BLOCK), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)).alias("parts"))
     t = t.join(size.select("chain", "part", own.alias("own")), ["chain", "part"])
     t = t.join(room.withColumnsRenamed({"chain": "rc", "own": "ro"}), (F.col("chain") == F.col("rc")) & F.col("own").eqNullSafe(F.col("ro")))
     t = stage(t.select("cls", "part", "chain", "own", F.pmod(F.xxhash64("cls"), F.col("parts")).alias("k")), "blocks")
@@ -188,35 +191,29 @@ def _blocks(open_: DataFrame, near: DataFrame, reps: DataFrame, sets: DataFrame,
     twos = a.join(b, "chain").where("ba <= bb and not coalesce(oa = ob, false)").withColumn("pair", F.xxhash64("ba", "bb"))
     sides = twos.select("chain", F.col("ba").alias("block"), "pair", F.lit(0).alias("side")).union(twos.where("ba < bb").select("chain", F.col("bb").alias("block"), "pair", F.lit(1).alias("side")))
     t = t.withColumn("block", F.xxhash64("chain", "own", "k")).join(sides, ["chain", "block"]).select("pair", "side", "cls", "part")
-    t = t.join(reps.select("cls", "bands", "signature"), "cls").join(sets.withColumnRenamed("node", "cls"), "cls")
-    return t.groupBy("pair").applyInArrow(_compared(threshold), "a long, b long")
+    t = t.join(reps.select("cls", "n_shingles", "bands", "signature"), "cls")
+    likely = stage(t.groupBy("pair").applyInArrow(_likely(threshold), "pair long, side int, cls long, part long, bands array<long>, signature binary"), "likely")
+    return likely.join(sets.withColumnRenamed("node", "cls"), "cls").groupBy("pair").applyInArrow(_compared(threshold), "a long, b long")
 
 
-def _compared(threshold: int):
-    def run(table: pa.Table) -> pa.Table:
-        t = table.combine_chunks()
-        t = t.take(pa.array(np.lexsort((t.column("cls").to_numpy(), t.column("side").to_numpy())))).combine_chunks()
-        t = t.filter(pa.array(np.concatenate([[True], (np.diff(t.column("cls").to_numpy()) != 0) | (np.diff(t.column("side").to_numpy()) != 0)]))).combine_chunks()
-        side, ids, part = (t.column(c).to_numpy() for c in ("side", "cls", "part"))
-        sign = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
-        bands = np.array(t.column("bands").to_pylist(), np.int64)
-        sets = [np.asarray(x) for x in (r.values.to_numpy(zero_copy_only=False).view(U) for r in t.column("items").chunk(0))]
-        return _join_links(ids, part.copy(), side, bands, sign, sets, threshold)
-
-    return run
+def _ordered(table: pa.Table) -> tuple:
+    """A pair of blocks, each text once a side, by side and id: the table, sides, ids, parts, signatures and bands."""
+    t = table.combine_chunks()
+    t = t.take(pa.array(np.lexsort((t.column("cls").to_numpy(), t.column("side").to_numpy())))).combine_chunks()
+    t = t.filter(pa.array(np.concatenate([[True], (np.diff(t.column("cls").to_numpy()) != 0) | (np.diff(t.column("side").to_numpy()) != 0)]))).combine_chunks()
+    side, ids, part = (t.column(c).to_numpy() for c in ("side", "cls", "part"))
+    sign = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
+    return t, side, ids, part, sign, np.array(t.column("bands").to_pylist(), np.int64)
 
 
-def _join_links(ids: np.ndarray, part: np.ndarray, side: np.ndarray, bands: np.ndarray, sign: np.ndarray, sets: list[np.ndarray], threshold: int) -> pa.Table:
-    """Links between texts that share a band and are in different parts, which merge as links are found."""
-    n = np.array([len(s) for s in sets])
-    flat, at = np.concatenate(sets), np.concatenate([[0], np.cumsum(n)])
-    value, holder = bands.ravel(), np.repeat(np.arange(len(ids)), bands.shape[1])
+def _partners(side: np.ndarray, part: np.ndarray, bands: np.ndarray, sign: np.ndarray, n: np.ndarray, threshold: int):
+    """(i, others): for each text of a pair of blocks those that share a band, are in another part now, and come near it in size and signature."""
+    value, holder = bands.ravel(), np.repeat(np.arange(len(side)), bands.shape[1])
     order = np.argsort(value, kind="stable")
     value, holder = value[order], holder[order]
     lo, hi = np.searchsorted(value, bands, "left"), np.searchsorted(value, bands, "right")
     two = bool(side.any())
-    found: list[tuple[int, int]] = []
-    for i in range(int((side == 0).sum()) if two else len(ids)):
+    for i in range(int((side == 0).sum()) if two else len(side)):
         some = np.flatnonzero(hi[i] - lo[i] > 1)
         if not len(some):
             continue
@@ -224,8 +221,38 @@ def _join_links(ids: np.ndarray, part: np.ndarray, side: np.ndarray, bands: np.n
         j = j[(side[j] == 1) if two else (j > i)]
         j = j[(part[j] != part[i]) & (n[j] * 100 >= n[i] * threshold) & (n[i] * 100 >= n[j] * threshold)]
         j = j[(sign[j] == sign[i]).sum(axis=1) * 100 >= (threshold - 25) * sign.shape[1]]
-        if not len(j):
-            continue
+        if len(j):
+            yield i, j
+
+
+def _likely(threshold: int):
+    def run(table: pa.Table) -> pa.Table:
+        """The texts of a pair of blocks that have a partner in another part by signature."""
+        t, side, _, part, sign, bands = _ordered(table)
+        kept = np.zeros(len(side), bool)
+        for i, j in _partners(side, part, bands, sign, t.column("n_shingles").to_numpy(), threshold):
+            kept[i] = True
+            kept[j] = True
+        return t.filter(pa.array(kept)).select(["pair", "side", "cls", "part", "bands", "signature"])
+
+    return run
+
+
+def _compared(threshold: int):
+    def run(table: pa.Table) -> pa.Table:
+        t, side, ids, part, sign, bands = _ordered(table)
+        sets = [np.asarray(x) for x in (r.values.to_numpy(zero_copy_only=False).view(U) for r in t.column("items").chunk(0))]
+        return _join_links(ids, part.copy(), side, bands, sign, sets, threshold)
+
+    return run
+
+
+def _join_links(ids: np.ndarray, part: np.ndarray, side: np.ndarray, bands: np.ndarray, sign: np.ndarray, sets: list[np.ndarray], threshold: int) -> pa.Table:
+    """Links between texts that share a band and are in different parts, which merge as links are found."""
+    n = np.array([len(s) for s in sets])
+    flat, at = np.concatenate(sets), np.concatenate([[0], np.cumsum(n)])
+    found: list[tuple[int, int]] = []
+    for i, j in _partners(side, part, bands, sign, n, threshold):
         each = n[j]
         begin = np.cumsum(each) - each
         items = flat[np.repeat(at[j] - begin, each) + np.arange(int(each.sum()))]

@@ -12,8 +12,8 @@ LEAST_KEPT = 50
 #: Phrases of site furniture; a line of at most BOILERPLATE_WORDS words that holds one is dropped.
 BOILERPLATE = "all rights reserved|terms of (use|service)|privacy policy|cookie policy|use cookies|enable javascript|lorem ipsum|click here|sign up|log in|subscribe to|follow us|share this|skip to content|powered by"
 BOILERPLATE_WORDS = 12
-#: A sentence may end so, with closing quotes or brackets after it.
-TERMINAL = "[.!?…。！？:;][\"'”’»)\\]]*$"
+#: A sentence of any script may end so, with closing quotes or brackets after it.
+TERMINAL = "[.!?…:;。！？：；｡।॥؟؛۔։።፧។៕။།]['\"\\p{Pe}\\p{Pf}]*$"
 
 
 def _ink(text: Column) -> Column:
@@ -59,6 +59,9 @@ def _windows(words: Column) -> Column:
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, text, the counts, base_failed, kept and cleaned (the lines left, joined by \\n).
 
+    A line that stands in the document again counts as lost after its first time, as furniture does that a page
+    repeats; blank lines go as well.
+
     Null and empty texts count as no words and fail. Very long texts are handled whole in their row: every step is
     linear in the text but one sort of its 5-word windows, run only for texts that repeat one. Repeated rows give
     repeated results; other columns are not read, whatever their names.
@@ -120,7 +123,7 @@ with t as (
 ), good as (
   select doc_id, sum(ink) as ink from line
   where not ((bars >= 3 and bars * 4 >= n) or marks * 10 > ink or (n >= 3 and regexp_matches(l, '(?s)\p{{Lu}}.*\p{{Lu}}') and not regexp_matches(l, '\p{{Ll}}'))
-    or (n <= {BOILERPLATE_WORDS} and regexp_matches(l, '(?i)({BOILERPLATE})')) or (n > 6 and not regexp_matches(rtrim(translate(l, chr(9) || chr(11) || chr(12) || chr(13), '    ')), '[.!?…。！？:;]["''”’»)\]]*$')))
+    or (n <= {BOILERPLATE_WORDS} and regexp_matches(l, '(?i)({BOILERPLATE})')) or (n > 6 and not regexp_matches(rtrim(translate(l, chr(9) || chr(11) || chr(12) || chr(13), '    ')), '{TERMINAL.replace("'", "''")}')))
   group by 1
 ), a as (
   select t.doc_id, len(words)::bigint as n_words, {_duck('text')}::bigint as word_chars, (length(text) - length(translate(text, '{SYMBOLS}', '')))::bigint as n_symbols,

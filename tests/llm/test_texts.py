@@ -365,6 +365,21 @@ def test_rules_drop_lines_then_documents(spark):
     assert got[0].kept and got[0].cleaned == f"{good}\n{other}" and not got[1].kept and got[2].kept
 
 
+def test_lines_of_other_scripts_end_too(spark):
+    texts = ["यह एक सरल वाक्य है जो कुछ देर तक चलता है।", "هل هذا سؤال طويل بما يكفي ليكون جملة كاملة؟", "یہ ایک سادہ جملہ ہے جو کچھ دیر تک چلتا ہے۔", "Սա պարզ նախադասություն է որ շարունակվում է որոշ ժամանակ։", "he said “this is the end of what he had to say.”"]
+    got = {r.doc_id: r for r in rules.assess(docs(spark, texts)).collect()}
+    assert {i: r.cleaned for i, r in got.items()} == dict(enumerate(texts))
+
+
+def test_near_dedup_keeps_different_texts_of_one_id(spark):
+    rng = random.Random(3)
+    say = lambda: " ".join(f"w{rng.randrange(3000)}" for _ in range(60))
+    a, b, c = say(), say(), say()
+    t = spark.createDataFrame([(1, a), (1, b), (2, a), (None, a), (None, c), (None, c), (3, b + " end"), (4, None), (5, "")], "doc_id long, text string")
+    got = corpus_pipeline.near_dedup_stage(spark, t, "").collect()
+    assert sorted(((r.doc_id or 0), r.text or "") for r in got) == sorted([(1, a), (1, b), (0, c), (4, ""), (5, "")])
+
+
 def test_fixity_audit_finds_what_differs(spark):
     pages = spark.createDataFrame([(i, f"u{i}", "<p>" * (i % 7 + 1)) for i in range(2300)] + [(None, None, None)], "page_id long, url string, html string")
     a = warc.leaves(pages)
