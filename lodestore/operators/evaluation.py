@@ -69,3 +69,69 @@ def bm25(hits: DataFrame, probes: DataFrame, documents: int, mean_length: float,
     part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / float(mean_length or 1)))
     asked = probes.join(df, "token").select("query_id", "token", idf.alias("idf"))
     return hits.join(asked, "token").groupBy("query_id", "doc_id").agg(F.sum(F.col("idf") * part).alias("score")).where("score > 0")
+
+
+def by_category(ranked: DataFrame, category: str) -> DataFrame:
+    """Per category of (ids retrieved, gold, category): queries, missed ones, mean recall at 5 and mean reciprocal rank."""
+    found = F.size(F.array_intersect("ids", "gold"))
+    return ranked.groupBy(category).agg(
+        F.count("*").alias("queries"), F.round(F.avg((found == 0).cast("double")), 6).alias("miss_rate"),
+        F.round(F.avg(recall_at(F.col("ids"), F.col("gold"), 5)), 6).alias("recall_at_5"), F.round(F.avg(reciprocal_rank(F.col("ids"), F.col("gold"))), 6).alias("mrr"),
+    )
+
+
+def audit(observations: DataFrame) -> DataFrame:
+    """Per scenario of (scenario, concept_id, gold): gold observations, the concepts that hold them, those that also hold background, and whether gold ones fell together."""
+    c = observations.groupBy("scenario", "concept_id").agg(F.count_if("gold").alias("gold"), F.count_if(~F.col("gold")).alias("other")).where("gold > 0")
+    return c.groupBy("scenario").agg(F.sum("gold").alias("gold"), F.count("*").alias("concepts"), F.count_if(F.col("other") > 0).alias("merged"), (F.count("*") < F.sum("gold")).alias("collapsed"))
+
+
+def signal_accuracy(scores: DataFrame, signals: list[str]) -> DataFrame:
+    """How often each signal's best concept (ties to the smaller) is the home, over (query_id, concept_id, home, signals)."""
+    best = scores.groupBy("query_id", "home").agg(*(F.max(F.struct(F.round(s, 9), (-F.col("concept_id")).alias("c"))).alias(s) for s in signals))
+    one = F.explode(F.array(*(F.struct(F.lit(s).alias("signal"), (-F.col(s)["c"] == F.col("home")).alias("right")) for s in signals)))
+    return best.select(one.alias("x")).groupBy("x.signal").agg(F.count("*").alias("queries"), F.round(F.avg(F.col("x.right").cast("double")), 6).alias("accuracy"))
+
+
+def band_sweep(pairs: DataFrame, nodes: DataFrame, floors: list[float]) -> DataFrame:
+    """Per floor over scored pairs (a < b): pairs linked, the largest degree, and nodes (node) left alone."""
+    linked = pairs.select("a", "b", "score", F.explode(F.array(*map(F.lit, floors))).alias("floor")).where("score >= floor")
+    ends = linked.select("floor", F.explode(F.array("a", "b")).alias("node")).groupBy("floor", "node").agg(F.count("*").alias("degree"))
+    d = ends.groupBy("floor").agg((F.sum("degree") / 2).cast("long").alias("pairs"), F.max("degree").alias("max_degree"), F.count("*").alias("joined"))
+    return d.crossJoin(nodes.agg(F.count("*").alias("n"))).select("floor", "pairs", "max_degree", (F.col("n") - F.col("joined")).alias("isolated"))
+
+
+def floor_calibration(scores: DataFrame, floors: list[float]) -> DataFrame:
+    """Per floor over (group, score): the share of gold kept, and of junk and other cards dropped."""
+    t = scores.select("group", "score", F.explode(F.array(*map(F.lit, floors))).alias("floor"))
+    share = lambda g, kept: F.round(F.avg(F.when(F.col("group") == g, (F.col("score") >= F.col("floor") if kept else F.col("score") < F.col("floor")).cast("double"))), 6)
+    return t.groupBy("floor").agg(share("gold", True).alias("gold_kept"), share("other", False).alias("other_dropped"), share("junk", False).alias("junk_dropped"))
+
+
+def quotas(sizes: DataFrame, total: int) -> DataFrame:
+    """(stratum, size, quota): a sample of `total` dealt by size with largest remainders, none over its stratum's size.
+
+    Strata are few (they come to one task). What a full stratum can't take is dealt again among the others.
+    """
+    rows = [(r["stratum"], r["size"]) for r in sizes.select("stratum", "size").collect()]
+    got = dict.fromkeys((s for s, _ in rows), 0)
+    room, left = dict(rows), min(total, sum(n for _, n in rows))
+    while left > 0:
+        open_ = [s for s in room if got[s] < room[s]]
+        whole = sum(room[s] for s in open_)
+        exact = {s: left * room[s] / whole for s in open_}
+        give = {s: min(int(exact[s]), room[s] - got[s]) for s in open_}
+        rest = left - sum(give.values())
+        for s in sorted(open_, key=lambda s: (-(exact[s] - int(exact[s])), s)):
+            if rest and got[s] + give[s] < room[s]:
+                give[s], rest = give[s] + 1, rest - 1
+        for s, n in give.items():
+            got[s] += n
+        left = rest
+    return sizes.sparkSession.createDataFrame([(s, room[s], got[s]) for s in room], sizes.select("stratum", "size", F.lit(0).cast("long").alias("quota")).schema)
+
+
+def pin_verdict(population: DataFrame, width: int) -> DataFrame:
+    """What a pinned width makes of a population (one row: scored, malformed, least_width, most_width)."""
+    w = F.when(F.col("scored") == 0, "empty").when(F.col("malformed") > 0, "malformed").when(F.col("least_width") != F.col("most_width"), "mixed").when(F.col("most_width") != width, "other-width")
+    return population.select("scored", "malformed", F.coalesce(w, F.lit("sound")).alias("verdict"))

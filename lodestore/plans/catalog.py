@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestore.plans import governance, graphs, ledgers, memory, relations, replicas, rules, search, texts
+from lodestore.plans import governance, graphs, ledgers, measures, memory, relations, replicas, rules, search, texts
 
-MODULES = [search, texts, relations, graphs, ledgers, rules, memory, governance, replicas]
+MODULES = [search, texts, relations, graphs, ledgers, rules, memory, governance, replicas, measures]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
