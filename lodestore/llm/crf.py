@@ -105,22 +105,26 @@ def emissions(w: np.ndarray, features: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(features: np.ndarray, labels: np.ndarray, at: np.ndarray, size: int, steps: int = 60, rate: float = 0.25, decay: float = 1e-3) -> Crf:
+def fit(features: np.ndarray, labels: np.ndarray, at: np.ndarray, size: int, steps: int = 60, rate: float = 0.25, decay: float = 1e-3, kind: np.ndarray | None = None, start: Crf | None = None) -> Crf:
     """Maximise the conditional log-likelihood by Adam on whole-sample gradients.
 
-    features: (places, k) indices below size, of features that are 1; at: where sequences begin, and the end.
+    features: (places, k) indices below size, of features that are 1; labels: 0 or 1, or the probability of 1; at:
+    where sequences begin, and the end. With `kind` the features are those of kinds of places, and kind tells each
+    place's. Weights start from those of `start`, if given.
     """
-    w, tr = np.zeros(size), np.zeros((2, 2))
+    w, tr = (start.weights.copy(), start.transitions.copy()) if start else (np.zeros(size), np.zeros((2, 2)))
     y = labels.astype(float)
     joint = np.ones(max(len(y) - 1, 0), bool)
     joint[at[1:-1] - 1] = False
-    seen = np.bincount((labels[:-1] * 2 + labels[1:])[joint], minlength=4).reshape(2, 2).astype(float)
+    first, then = y[:-1][joint], y[1:][joint]
+    seen = np.array([[((1 - first) * (1 - then)).sum(), ((1 - first) * then).sum()], [(first * (1 - then)).sum(), (first * then).sum()]])
     m = [np.zeros_like(w), np.zeros_like(tr)]
     v = [np.zeros_like(w), np.zeros_like(tr)]
     for t in range(1, steps + 1):
         a = np.exp(tr)
-        f, b, p = messages(emissions(w, features), at, a)
-        off = y - p
+        score = emissions(w, features)
+        f, b, p = messages(score if kind is None else score[kind], at, a)
+        off = y - p if kind is None else np.bincount(kind, y - p, minlength=len(features))
         grad_w = sum(np.bincount(features[:, k], off, minlength=size) for k in range(features.shape[1])) / len(y) - decay * w / size
         x = np.stack([1 - f[:-1], f[:-1]])[:, None] * a[:, :, None] * np.stack([1 - b[1:], b[1:]])[None]
         x = (x / x.sum(axis=(0, 1)))[:, :, joint].sum(axis=2)
@@ -132,12 +136,12 @@ def fit(features: np.ndarray, labels: np.ndarray, at: np.ndarray, size: int, ste
     return Crf(w, tr)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-2) -> tuple[float, float]:
-    """Slope and intercept that turn a document's evidence into the probability of label 1, by Newton steps."""
-    z = np.stack([x, np.ones_like(x)], axis=1)
-    w = np.zeros(2)
+def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50, ridge: float = 1e-2) -> np.ndarray:
+    """Slopes and intercept that turn a document's evidence (a number or a row each) into the probability of label 1, by Newton steps."""
+    z = np.column_stack([x, np.ones(len(y))])
+    w = np.zeros(z.shape[1])
     for _ in range(steps):
         p = sigmoid(z @ w)
-        h = z.T @ (z * np.maximum(p * (1 - p), 1e-6)[:, None]) + ridge * np.eye(2)
+        h = z.T @ (z * np.maximum(p * (1 - p), 1e-6)[:, None]) + ridge * np.eye(len(w))
         w += np.clip(np.linalg.solve(h, z.T @ (y - p) - ridge * w), -2, 2)
-    return float(w[0]), float(w[1])
+    return w

@@ -124,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int =
         x, _, at = features(texts)
         model.crf = fit(x, np.repeat(y, np.diff(at)), at[np.concatenate([[True], np.diff(at) > 0])], len(model.crf.weights))
         evidence, some = model.evidence(texts)
-        model.slope, model.intercept = logistic(evidence[some], y[some].astype(float))
+        model.slope, model.intercept = logistic(evidence[some], y[some].astype(float)).tolist()
     return model
 
 

@@ -1,4 +1,8 @@
-"""Toxic spans from a CRF over words, and toxic documents from its marginals."""
+"""Toxic spans from a CRF over words, and toxic documents from its marginals.
+
+Only documents are labelled, so the words' labels are latent: expectation-maximisation under the rule that a toxic
+document has a toxic word and a clean one has none.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestore.llm.crf import Crf, fit, logistic, sigmoid
+from lodestore.llm.crf import Crf, emissions, fit, logistic, sigmoid
 from lodestore.llm.labelled import held_out, sample
 from lodestore.llm.text import keyed_texts, slices
 
@@ -20,13 +24,19 @@ from lodestore.llm.text import keyed_texts, slices
 TRAIN_EACH = (2000, 1200)
 THRESHOLD = 0.7
 #: Hashed features; prefixes of these lengths in bytes stand for a word's stem.
-BITS, PREFIXES = 17, (3, 4, 5, 6)
-#: A feature marks a token of a toxic document as toxic if it is in this share of toxic documents, almost only there,
-#: and in more of them than chance gives any of the features with this probability.
-LEAST_SHARE, PURITY, CHANCE = 0.01, 0.985, 0.01
+BITS, PREFIXES = 17, (4, 5, 6, 7, 8)
+#: Rounds of expectation-maximisation, and documents in which a stem must stand to count at the start: at least so
+#: many, and this share of the toxic ones.
+ROUNDS, LEAST_DOCUMENTS, LEAST_SHARE = 2, 3, 0.01
+#: A word starts as toxic by its best stem's share if that is over this.
+FIRST_SHARE = 0.8
+#: Steps of a round's fit, which goes on from the last one's.
+STEPS, RATE = 40, 1.0
+#: The share of documents that may be called toxic without a toxic word.
+MISLABELLED = 0.05
 #: Words whose score a worker remembers at most.
 CACHE = 200_000
-_EDGE = b".,;:!?\"'()[]{}*_-"
+_EDGE = b".,;:!?\"'()[]{}*_-#$%&|<>"
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
@@ -58,8 +68,7 @@ class _Scores(dict):
 @dataclass
 class ToxicModel:
     crf: Crf
-    slope: float
-    intercept: float
+    weights: np.ndarray
 
     def marginals(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """P(toxic) of each word of each text, and where texts begin."""
@@ -73,16 +82,18 @@ class ToxicModel:
         return self.crf.marginals(e, at), at
 
     def evidence(self, p: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Log-odds that some word is toxic, as if words were independent given their marginals."""
+        """Of each text: the log-odds that some word is toxic, as if words were independent given their marginals, and the log of the expected share of toxic words."""
         total = np.concatenate([[0.0], np.cumsum(-np.log1p(-np.clip(p, 0, 1 - 1e-9)))])
         clean = np.clip(total[at[1:]] - total[at[:-1]], 1e-6, 12.0)
-        return np.log(np.expm1(clean))
+        mass = np.concatenate([[0.0], np.cumsum(p)])
+        share = (mass[at[1:]] - mass[at[:-1]]) / np.maximum(np.diff(at), 1)
+        return np.stack([np.log(np.expm1(clean)), np.log(np.clip(share, 1e-6, 1.0))], axis=1)
 
     def of(self, p: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return np.where(np.diff(at) > 0, sigmoid(self.slope * self.evidence(p, at) + self.intercept), 0.0)
+        return np.where(np.diff(at) > 0, sigmoid(self.evidence(p, at) @ self.weights[:2] + self.weights[2]), 0.0)
 
     def __getstate__(self):
-        return {"crf": self.crf, "slope": self.slope, "intercept": self.intercept}
+        return {"crf": self.crf, "weights": self.weights}
 
 
 def _few_copies(texts: list[bytes], y: list[int]) -> tuple[list[bytes], np.ndarray]:
@@ -101,36 +112,47 @@ def _few_copies(texts: list[bytes], y: list[int]) -> tuple[list[bytes], np.ndarr
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1, each: tuple[int, int] = TRAIN_EACH, id_col: str = "doc_id", text_col: str = "text") -> ToxicModel:
     """Fit on a bounded sample. Without both labels every text that isn't empty scores 0.5.
 
-    Only documents are labelled, so tokens are labelled first: a token of a toxic document is toxic if its word or a
-    prefix stands in LEAST_SHARE of the toxic documents and, by share, to PURITY only there.
+    At first a word of a toxic document is toxic as far as its best stem is more frequent in toxic documents than in
+    clean ones. Then the CRF is fitted to these shares, and its marginals, given that a toxic document has a toxic word,
+    are the next ones. Stems of fewer than LEAST_DOCUMENTS documents aren't learned.
     """
     texts, y = sample(docs, labels, "toxic", modulus, remainder, each, id_col, text_col)
-    texts, y = _few_copies(texts, y)
+    return learn(*_few_copies(texts, y))
+
+
+def learn(texts: list[bytes], y: np.ndarray) -> ToxicModel:
+    """The model of texts and their labels."""
     size = (1 << BITS) + 2
-    model = ToxicModel(Crf(np.zeros(size), np.zeros((2, 2))), 0.0, 0.0)
+    model = ToxicModel(Crf(np.zeros(size), np.zeros((2, 2))), np.zeros(3))
     if len(set(y.tolist())) < 2:
         return model
-    counts = (Counter(), Counter())
-    for t, v in zip(texts, y.tolist(), strict=True):
-        counts[v].update({s for w in set(t.split()) for s in stems(w) if len(s) > 2})
-    bad, good = int(y.sum()), int((1 - y).sum())
-    least = max(3, LEAST_SHARE * bad, np.log(len(counts[1]) / CHANCE) / np.log(len(texts) / bad))
-    marks = {s for s, n in counts[1].items() if n >= least and n / bad >= PURITY * (n / bad + counts[0][s] / good)}
-    rows, tags, at = [], [], [0]
-    known: dict[bytes, tuple[list[int], bool]] = {}
-    for t, v in zip(texts, y.tolist(), strict=True):
-        for w in t.split():
-            if w not in known:
-                known[w] = (indices(w), any(s in marks for s in stems(w)))
-            x, hit = known[w]
-            rows.append(x)
-            tags.append(int(v and hit))
-        at.append(len(rows))
-    at = np.array(at, np.int64)
-    model.crf = fit(np.array(rows, np.int32), np.array(tags, np.int64), at[np.concatenate([[True], np.diff(at) > 0])], size, steps=25, rate=0.5)
-    p, at = model.marginals(texts)
-    some = np.diff(at) > 0
-    model.slope, model.intercept = logistic(model.evidence(p, at)[some], y[some].astype(float))
+    words = [t.split() for t in texts]
+    stood, count, total = (Counter(), Counter()), (Counter(), Counter()), [1, 1]
+    for w, v in zip(words, y.tolist(), strict=True):
+        of = Counter(s for x in w for s in stems(x) if len(s) > 2)
+        stood[v].update(of.keys())
+        count[v].update(of)
+        total[v] += len(w)
+    least = max(LEAST_DOCUMENTS, LEAST_SHARE * y.sum())
+    extra = {s: 1 - ((count[0][s] + 1) / total[0]) / (n / total[1]) for s, n in count[1].items() if stood[1][s] >= least}
+    known = {x: i for i, x in enumerate(dict.fromkeys(x for w in words for x in w))}
+    often = {s for s in stood[0].keys() | stood[1].keys() if stood[0][s] + stood[1][s] >= LEAST_DOCUMENTS}
+    rows = np.array([[i if s in often else 1 << BITS for i, s in zip(indices(x), [*stems(x), b""], strict=True)][:-1] + [(1 << BITS) + 1] for x in known], np.int32)
+    share = np.array([max((extra.get(s, 0.0) for s in stems(x)), default=0.0) for x in known])
+    kind, lens = np.array([known[x] for w in words for x in w], np.int64), np.array([len(w) for w in words])
+    some = lens > 0
+    starts, of = np.concatenate([[0], np.cumsum(lens[some])]), np.repeat(y[some], lens[some])
+    r = np.where(share > FIRST_SHARE, share, 0.0)[kind] * of
+    start = np.zeros(size)
+    start[-1] = np.log((r.sum() + 0.5) / (len(r) - r.sum() + 0.5))
+    crf = Crf(start, np.zeros((2, 2)))
+    for _ in range(ROUNDS):
+        crf = model.crf = fit(rows, r, starts, size, steps=STEPS, rate=RATE, kind=kind, start=crf)
+        p = crf.marginals(emissions(crf.weights, rows)[kind], starts)
+        none = np.concatenate([[0.0], np.cumsum(np.log1p(-np.clip(p, 0, 1 - 1e-9)))])
+        any_ = MISLABELLED - np.expm1(none[starts[1:]] - none[starts[:-1]])
+        r = np.minimum(p / np.repeat(any_, lens[some]), 1.0) * of
+    model.weights = logistic(model.evidence(p, starts), y[some].astype(float))
     return model
 
 

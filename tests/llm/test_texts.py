@@ -197,6 +197,55 @@ def test_crf_marginals_equal_enumeration():
     assert np.isfinite(m).all() and np.allclose(crf.Crf(np.zeros(1), tr).marginals(long[::-1], np.array([0, 1000])), crf.Crf(np.zeros(1), tr.T).marginals(long, np.array([0, 1000]))[::-1])
 
 
+def enumerated(score, tr):
+    """Marginals of label 1 by all labellings of a short chain."""
+    n = len(score)
+    want, total = np.zeros(n), 0.0
+    for y in range(1 << n):
+        s = [(y >> t) & 1 for t in range(n)]
+        p = np.exp(sum(a * b for a, b in zip(score, s, strict=True)) + sum(tr[a, b] for a, b in zip(s, s[1:], strict=False)))
+        total += p
+        want += p * np.array(s)
+    return want / total
+
+
+def test_toxicity_scores_equal_enumeration(spark):
+    rows = labelled(3, lambda s, r: f"{s(20)} {r.choice(['zarg', 'blorf'])} {s(5)}", lambda s, r: s(25))
+    model = toxicity.learn([t.encode() for t, _ in rows], np.array([y for _, y in rows]))
+    texts = ["w1 zarg w2", "zarg blorf", "w5 w6 w7 w8 w9 w10", "Zarg! w1, (blorf) w3 w4", "x", "w1 " * 9]
+    got = {r.doc_id: r for r in toxicity.tag_documents(docs(spark, texts), model).collect()}
+    for i, t in enumerate(texts):
+        score = [sum(model.crf.weights[k] for k in toxicity.indices(w)) for w in t.encode().split()]
+        p = enumerated(score, model.crf.transitions)
+        odds = np.log(np.expm1(np.clip(-np.log1p(-np.clip(p, 0, 1 - 1e-9)).sum(), 1e-6, 12)))
+        x = model.weights @ [odds, np.log(max(p.mean(), 1e-6)), 1.0]
+        assert got[i].score == pytest.approx(1 / (1 + np.exp(-x)), rel=1e-4)
+    assert got[1].score > 0.7 > got[2].score
+
+
+def test_quality_scores_equal_enumeration(spark):
+    rows = labelled(1, lambda s, r: "\n".join(s(12) + "." for _ in range(5)), lambda s, r: "\n".join(" | ".join(s(1) for _ in range(15)) for _ in range(5)))
+    table = docs(spark, [t for t, _ in rows])
+    model = quality.train(table, spark.createDataFrame([(i, y, None) for i, (_, y) in enumerate(rows)], "doc_id long, quality int, toxic int"))
+    texts = [rows[0][0], rows[1][0], "One line only.", rows[1][0] + "\n\n" + rows[0][0].split("\n")[0], "a | b\nc | d | e\nFine words stand here and end well."]
+    got = {r.doc_id: r for r in quality.score_documents(docs(spark, texts), model).collect()}
+    for i, t in enumerate(texts):
+        x, size, _ = quality.features([t.encode()])
+        p = enumerated(model.crf.weights[x].sum(axis=1), model.crf.transitions)
+        share = np.clip((p * size).sum() / size.sum(), 1e-4, 1 - 1e-4)
+        assert got[i].lines == pytest.approx(p, abs=1e-5)
+        assert got[i].score == pytest.approx(1 / (1 + np.exp(-(model.slope * np.log(share / (1 - share)) + model.intercept))), rel=1e-4)
+
+
+def test_models_hold_on_the_given_labels(spark):
+    """Held-out accuracy on the tables at hand, without what the labels say of a text being an input."""
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    for query, field, least, recall in ((toxicity.op9_toxicity, "toxic", 0.97, 0.85), (quality.op4_quality, "quality", 0.99, 0.98)):
+        got = [(r.predicted, labels[r.doc_id][field]) for r in query(spark, sf).where("held_out").collect() if r.doc_id in labels and labels[r.doc_id][field] is not None]
+        assert np.mean([a == b for a, b in got]) > least and np.mean([a for a, b in got if b]) > recall
+
+
 def labelled(seed, bad, good):
     rng = random.Random(seed)
     say = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
