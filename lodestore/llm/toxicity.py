@@ -26,8 +26,8 @@ THRESHOLD = 0.7
 #: Hashed features; prefixes of these lengths in bytes stand for a word's stem.
 BITS, PREFIXES = 17, (4, 5, 6, 7, 8)
 #: Rounds of expectation-maximisation, and documents in which a stem must stand to count at the start: at least so
-#: many, and this share of the toxic ones.
-ROUNDS, LEAST_DOCUMENTS, LEAST_SHARE = 2, 3, 0.01
+#: many, this share of the toxic ones, and more than chance gives any stem in toxic ones alone with this probability.
+ROUNDS, LEAST_DOCUMENTS, LEAST_SHARE, CHANCE = 2, 3, 0.01, 0.01
 #: A word starts as toxic by its best stem's share if that is over this.
 FIRST_SHARE = 0.8
 #: Steps of a round's fit, which goes on from the last one's.
@@ -133,7 +133,7 @@ def learn(texts: list[bytes], y: np.ndarray) -> ToxicModel:
         stood[v].update(of.keys())
         count[v].update(of)
         total[v] += len(w)
-    least = max(LEAST_DOCUMENTS, LEAST_SHARE * y.sum())
+    least = max(LEAST_DOCUMENTS, LEAST_SHARE * y.sum(), np.log(len(stood[1]) / CHANCE) / np.log(len(y) / y.sum()))
     extra = {s: 1 - ((count[0][s] + 1) / total[0]) / (n / total[1]) for s, n in count[1].items() if stood[1][s] >= least}
     known = {x: i for i, x in enumerate(dict.fromkeys(x for w in words for x in w))}
     often = {s for s in stood[0].keys() | stood[1].keys() if stood[0][s] + stood[1][s] >= LEAST_DOCUMENTS}
