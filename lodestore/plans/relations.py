@@ -25,7 +25,9 @@ def earliest_parent(spark, sf):
 
 
 def unmatched_customers(spark, sf):
+    """Customers without an urgent order."""
     c, o = read(spark, sf, "customer", "orders")
+    o = o.where("o_orderpriority = '1-URGENT' and o_totalprice > 200000")
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey", "c_nationkey")
 
 
@@ -37,14 +39,14 @@ def live_semi(spark, sf):
 
 
 def capped_parents(spark, sf):
-    """The first eight distinct parts of each order, sorted, and whether there are more."""
+    """The first four distinct parts of each order, sorted, and whether there are more."""
     (li,) = read(spark, sf, "lineitem")
     t = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("p"))
     return t.select("l_orderkey", F.array_join(F.slice("p", 1, 4), ",").alias("parts"), (F.size("p") > 4).alias("truncated"), F.size("p").alias("n"))
 
 
 def null_safe_scope(spark, sf):
-    """Lines whose flag isn't R, nulls included, by status: null-safe inequality and an optional parameter."""
+    """Lines whose flag isn't R, nulls included, by status: null-safe inequality, and the mean of a conditional input."""
     (li,) = read(spark, sf, "lineitem")
     return li.where(~F.col("l_returnflag").eqNullSafe("R")).groupBy("l_linestatus").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("l_discount") > 0.05, F.col("l_quantity"))), 6).alias("avg_discounted"))
 
@@ -127,8 +129,11 @@ def confirmations(spark, sf):
 def stratified_sample(spark, sf):
     """Documents by language and third of length (ceil(n/3) rows each), the three of each stratum that come first by digest."""
     (d,) = read(spark, sf, "documents")
-    w = Window.partitionBy("lang")
-    t = d.withColumn("r", F.row_number().over(w.orderBy("n_chars", "doc_id"))).withColumn("n", F.count("*").over(w))
+    # a row's rank in its language is the number of shorter texts, from counts by length, and its place among those of its length
+    each = d.groupBy("lang", "n_chars").agg(F.count("*").alias("c"))
+    w = Window.partitionBy("lang").orderBy("n_chars").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.select("lang", "n_chars", F.coalesce(F.sum("c").over(w), F.lit(0)).alias("shorter"), F.sum("c").over(Window.partitionBy("lang")).alias("n"))
+    t = d.withColumn("r", F.row_number().over(Window.partitionBy("lang", "n_chars").orderBy("doc_id"))).join(each, ["lang", "n_chars"]).withColumn("r", F.col("r") + F.col("shorter"))
     t = t.withColumn("third", F.when(F.col("n") < 3, 0).otherwise(F.floor((F.col("r") - 1) / F.ceil(F.col("n") / 3))).cast("int"))
     pick = Window.partitionBy("lang", "third").orderBy(F.md5(F.col("doc_id").cast("string")))
     return t.withColumn("k", F.row_number().over(pick)).where("k <= 3").select("lang", "third", "doc_id")
@@ -146,7 +151,7 @@ QUERIES = {
 ORACLE = {
     "latest_order": "select o_custkey as custkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) as status, arg_max(o_orderkey, (o_orderdate, o_orderkey)) as orderkey from orders group by 1",
     "earliest_parent": "select c_custkey, (select o_orderkey from orders where o_custkey = c_custkey order by o_orderdate, o_orderkey limit 1) as first_order from customer",
-    "unmatched_customers": "select c_custkey, c_nationkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)",
+    "unmatched_customers": "select c_custkey, c_nationkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_orderpriority = '1-URGENT' and o_totalprice > 200000)",
     "live_semi": "select s_suppkey, s_nationkey from supplier where s_nationkey in (select c_nationkey from customer where c_mktsegment = 'BUILDING') and s_suppkey in (select l_suppkey from lineitem)",
     "capped_parents": "select l_orderkey, array_to_string(list_slice(list_sort(list(distinct l_partkey)), 1, 4), ',') as parts, count(distinct l_partkey) > 4 as truncated, count(distinct l_partkey)::int as n from lineitem group by 1",
     "null_safe_scope": "select l_linestatus, count(*) as n, round(avg(case when l_discount > 0.05 then l_quantity end), 6) as avg_discounted from lineitem where l_returnflag is distinct from 'R' group by 1",
