@@ -12,7 +12,8 @@ LEAST_KEPT = 50
 #: Phrases of site furniture; a line of at most BOILERPLATE_WORDS words that holds one is dropped.
 BOILERPLATE = "all rights reserved|terms of (use|service)|privacy policy|cookie policy|use cookies|enable javascript|lorem ipsum|click here|sign up|log in|subscribe to|follow us|share this|skip to content|powered by"
 BOILERPLATE_WORDS = 12
-#: A sentence of any script may end so, with closing quotes or brackets after it.
+#: A sentence of any script may end so, with closing quotes or brackets after it; the line's last CLOSE characters are looked at.
+CLOSE = 12
 TERMINAL = "[.!?…:;。！？：；｡।॥؟؛۔։።፧។៕။།]['\"\\p{Pe}\\p{Pf}]*$"
 
 
@@ -42,7 +43,7 @@ def line_passes(x: Column) -> Column:
     navigation = (bars >= 3) & (bars * 4 >= n)
     shouting = (n >= 3) & ~line.rlike("\\p{Ll}") & line.rlike("(?s)\\p{Lu}.*\\p{Lu}")
     furniture = (n <= BOILERPLATE_WORDS) & line.rlike(f"(?i)({BOILERPLATE})")
-    unended = (n > 6) & ~F.rtrim(F.translate(line, BLANKS, " ")).rlike(TERMINAL)
+    unended = (n > 6) & ~F.right(F.rtrim(F.translate(line, BLANKS, " ")), F.lit(CLOSE)).rlike(TERMINAL)
     return ~((marks * 10 > x["ink"]) | navigation | unended | furniture | shouting)
 
 
@@ -123,7 +124,7 @@ with t as (
 ), good as (
   select doc_id, sum(ink) as ink from line
   where not ((bars >= 3 and bars * 4 >= n) or marks * 10 > ink or (n >= 3 and regexp_matches(l, '(?s)\p{{Lu}}.*\p{{Lu}}') and not regexp_matches(l, '\p{{Ll}}'))
-    or (n <= {BOILERPLATE_WORDS} and regexp_matches(l, '(?i)({BOILERPLATE})')) or (n > 6 and not regexp_matches(rtrim(translate(l, chr(9) || chr(11) || chr(12) || chr(13), '    ')), '{TERMINAL.replace("'", "''")}')))
+    or (n <= {BOILERPLATE_WORDS} and regexp_matches(l, '(?i)({BOILERPLATE})')) or (n > 6 and not regexp_matches(right(rtrim(translate(l, chr(9) || chr(11) || chr(12) || chr(13), '    ')), {CLOSE}), '{TERMINAL.replace("'", "''")}')))
   group by 1
 ), a as (
   select t.doc_id, len(words)::bigint as n_words, {_duck('text')}::bigint as word_chars, (length(text) - length(translate(text, '{SYMBOLS}', '')))::bigint as n_symbols,
