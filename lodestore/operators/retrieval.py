@@ -117,7 +117,7 @@ def token_index(texts: DataFrame, only: DataFrame | None = None) -> DataFrame:
 
 def among(tokens: Column, few: list[str]) -> Column:
     """The distinct tokens that are among a few."""
-    return F.array_intersect(tokens, F.lit(few) if few else F.array().cast("array<string>"))
+    return F.filter(tokens, lambda x: x.isin(few) if few else F.lit(False))
 
 
 def overlap(probes: DataFrame, index: DataFrame, concepts: int) -> DataFrame:
