@@ -66,3 +66,26 @@ def test_running_centroid_depends_on_order(spark):
     assert math.isclose(x[0], -y[0]) and x != y
     m = one(spark, V.merged_centroid(a, F.lit(3), b, F.lit(1)))
     assert math.isclose(m[0], 3 / math.sqrt(10))
+
+
+def test_particles_and_roots(spark):
+    for word, want in {"주식을": "주식", "마을": "마을", "에서": None, "학교에서는": "학교", "policies": "policy"}.items():
+        assert one(spark, T.root(F.lit(word))) == want
+
+
+def test_fnv1a_takes_surrogates_apart(spark):
+    def plain(text):
+        h = T.FNV_SEED
+        units = text.encode("utf-16-le")
+        for i in range(0, len(units), 2):
+            h = ((h ^ int.from_bytes(units[i : i + 2], "little")) * T.FNV_PRIME) % 2**32
+        return h
+
+    for text in ("w:hello", "w:😀x", "é漢"):
+        assert one(spark, T.fnv1a(F.lit(text))) == plain(text)
+
+
+def test_private_endpoints_and_own_paths(spark):
+    text = "at http://192.168.1.10:9301/x, tenant acme then 10.0.0.1 but 8.8.8.8 and /Users/me/code/keep/src/a.ts or /Users/me/x"
+    want = "at [redacted-private-endpoint], tenant [redacted-tenant] then [redacted-private-endpoint] but 8.8.8.8 and keep/src/a.ts or [redacted-path]"
+    assert one(spark, T.redact(F.lit(text), own=("keep",))) == want

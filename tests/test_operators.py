@@ -128,11 +128,64 @@ def test_mirror_generations(spark, tmp_path):
     assert mirror.write_mirror(df, path, 1) == "written"
     assert mirror.write_mirror(df, path, 2) == "unchanged"
     assert mirror.write_mirror(df.limit(1), path, 0) == "stale"
+    assert mirror.write_mirror(df.limit(1), path, 1) == "conflict"
+    twice = df.union(df)
+    assert mirror.table_digest(twice) != mirror.table_digest(df.limit(0)) and mirror.table_digest(df) == mirror.table_digest(df.orderBy(F.col("id").desc()))
     state, rows = mirror.read_mirror(spark, path, "id long, x string", 1)
     assert state == "fresh" and rows.count() == 2
     assert mirror.read_mirror(spark, str(tmp_path / "none"), "id long")[0] == "missing"
 
 
+def test_top_thread_is_the_largest_component(spark):
+    c = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 4), (5, 4), (6, 4)], "node long, component long")
+    assert sorted(r.node for r in graph.top_thread(c).collect()) == [4, 5, 6]
+    assert graph.top_thread(c.where("component = 3")).count() == 0
+
+
+def test_circles_of_pointers(spark):
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (5, 6), (7, 8), (8, 7)], "src long, dst long")
+    assert {tuple(r) for r in graph.on_cycles(links).collect()} == {(1, 1), (2, 1), (3, 1), (7, 7), (8, 7)}
+    assert graph.on_cycles(links.limit(0)).count() == 0
+
+
+def test_acyclic_graft_drops_the_edge_that_closes_a_circle(spark):
+    e = spark.createDataFrame([(10, 1, 2, 1), (11, 2, 3, 2), (12, 3, 1, 3), (13, 4, 1, 9)], "id long, src long, dst long, created_at long")
+    assert sorted(r.id for r in sync.acyclic(e).collect()) == [10, 11, 13]
+
+
+def test_auc_equals_pairs(spark):
+    import random
+
+    from lodestore.operators import evaluation
+
+    rng = random.Random(2)
+    rows = [(round(rng.random(), 2), rng.random() < 0.4) for _ in range(200)]
+    wins = [1.0 if a > b else 0.5 if a == b else 0.0 for a, y in rows if y for b, z in rows if not z]
+    got = evaluation.auc(spark.createDataFrame(rows, "s double, y boolean"), "s", F.col("y"), buckets=7).first()
+    assert abs(got.auc - sum(wins) / len(wins)) < 1e-12
+    assert evaluation.auc(spark.createDataFrame([(1.0, True)], "s double, y boolean"), "s", F.col("y")).first().auc is None
+
+
+def test_quotas_fill_the_sample(spark):
+    from lodestore.operators import evaluation
+
+    t = spark.createDataFrame([("a", 1), ("b", 50), ("c", 49)], "stratum string, size long")
+    got = {r.stratum: r.quota for r in evaluation.quotas(t, 10).collect()}
+    assert sum(got.values()) == 10 and got["a"] <= 1 and got["b"] == 5
+    assert sum(r.quota for r in evaluation.quotas(t, 1000).collect()) == 100
+
+
+def test_search_widths_and_blocks(spark, monkeypatch):
+    from lodestore.operators import retrieval
+
+    v = spark.createDataFrame([(1, 1, [1.0, 0.0, 9.0]), (2, 1, [0.6, 0.8]), (3, 2, [0.0, 1.0]), (4, 2, None), (5, 3, [0.0, 0.0])], "observation_id long, concept_id long, embedding array<float>")
+    q = spark.createDataFrame([(i, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(7)], "query_id long, embedding array<float>")
+    want = {(i, 1, 1 if i % 2 else 2) for i in range(7)} | {(i, 2, 3) for i in range(0, 7, 2)}
+    for block in (4096, 2):
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+        assert {(r.query_id, r.concept_id, r.observation_id) for r in retrieval.best_observations(v, q).collect()} == want
+
+
 def test_segments_cut_at_paragraphs_sentences_and_spaces():
     from lodestore.functions.segments import segments
 
