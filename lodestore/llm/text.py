@@ -43,6 +43,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = SLICE
             stop = max(start + 1, int(np.searchsorted(ends, ends[start] + most, "right")) - 1)
             yield batch.slice(start, stop - start)
             start = stop
+    pa.default_memory_pool().release_unused()  # workers are used again by other stages
 
 
 class Memory:
