@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lodestore.llm import bpe, covertree, lm, minhash, packing, quality, rules, substring, toxicity, warc
+from lodestore.llm import bpe, covertree, lm, middle, minhash, nearest, packing, quality, rules, shards, substring, toxicity, warc
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -17,8 +17,19 @@ QUERIES = {
     "op8_minhash": minhash.op8_minhash,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_substring": substring.op10_substring,
+    "op11_words": shards.op11_words,
+    "op12_nearest": nearest.op12_nearest,
+    "op13_middle": middle.op13_middle,
+}
+ORACLE = {
+    "op1_covertree": covertree.OP1_SQL,
+    "op2_warc": warc.OP2_SQL,
+    "op6_rules": rules.OP6_SQL,
+    "op8_minhash": minhash.OP8_SQL,
+    "op10_substring": substring.OP10_SQL,
+    "op12_nearest": nearest.OP12_SQL,
+    "op13_middle": middle.OP13_SQL,
 }
-ORACLE = {"op1_covertree": covertree.OP1_SQL, "op2_warc": warc.OP2_SQL, "op6_rules": rules.OP6_SQL, "op8_minhash": minhash.OP8_SQL, "op10_substring": substring.OP10_SQL}
 
 
 def queries() -> dict:
