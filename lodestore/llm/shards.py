@@ -37,8 +37,8 @@ SHARD_IDS, PART_IDS, CODED = 1 << 24, 1 << 27, 1 << 20
 SPAN_IDS = 1 << 20
 
 
-def tokenised(docs: DataFrame, path: str, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids): each whole text's ids and the end id, as little-endian numbers of two or four bytes."""
+def _tokenised(path: str, end: int):
+    """Of batches (doc_id, text) those of (doc_id, n_tokens, ids): little-endian numbers of two or four bytes."""
 
     def run(batches):
         for part in slices(batches):
@@ -46,8 +46,7 @@ def tokenised(docs: DataFrame, path: str, end: int = END, id_col: str = "doc_id"
             packed = [i.astype("<u2" if i.max() < 1 << 16 else "<u4").tobytes() for i in held]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(i) for i in held], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
-    t = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return t.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return run
 
 
 def _qualified(spark: SparkSession, folder: str) -> str:
@@ -120,22 +119,16 @@ def _writer(folder: str, shard_ids: int):
     return run
 
 
-def write_ids(rows: DataFrame, folder: str | None = None, shard_ids: int = SHARD_IDS) -> str:
-    """Write (doc_id, n_tokens, ids) in ascending order of doc_id, null first; gives the folder (a new one in the shared folder by default).
-
-    ids holds n_tokens unsigned numbers of 2, 4 or 8 bytes each. Rows of one id stand by a hash of their ids. The rows are
-    staged once, dealt by ranges of (doc_id, hash, row), so that one id with very many rows is split, and sorted in
-    tasks. A first id of a part comes from the number of ids of each part before it: one row a part on the driver.
-    """
+def _write(rows: DataFrame, parts: int, prepared, folder: str | None, shard_ids: int) -> str:
+    """Deal rows (doc_id, and what `prepared` reads) by ranges, sort them in tasks, write what `prepared` makes of them, and the manifest."""
     spark = rows.sparkSession
     folder = _qualified(spark, folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}")
-    held = stage(rows.select("doc_id", "n_tokens", "ids").withColumn("uid", F.monotonically_increasing_id()), "ids")
-    total = held.agg(F.sum("n_tokens")).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_IDS))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"), "uid"]
-    dealt = held.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "ids")
-    made = stage(dealt.mapInArrow(_writer(folder, shard_ids), "part int, shard int, name string, n_ids long, n_docs long"), "shards")
-    unstage(held)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts)
+    value = rows.columns[-1]
+    order = [F.col("doc_id").asc_nulls_first(), "__hash", "__row"]
+    dealt = rows.withColumn("__hash", F.xxhash64(value)).withColumn("__row", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    write = _writer(folder, shard_ids)
+    made = stage(dealt.select(rows.columns).mapInArrow(lambda batches: write(prepared(batches)), "part int, shard int, name string, n_ids long, n_docs long"), "shards")
     starts, at = [], 0
     for r in sorted(made.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()):
         starts.append((r.part, at))
@@ -148,13 +141,27 @@ def write_ids(rows: DataFrame, folder: str | None = None, shard_ids: int = SHARD
     return folder
 
 
+def write_ids(rows: DataFrame, folder: str | None = None, shard_ids: int = SHARD_IDS) -> str:
+    """Write (doc_id, n_tokens, ids) in ascending order of doc_id, null first; gives the folder (a new one in the shared folder by default).
+
+    ids holds n_tokens unsigned numbers of 2, 4 or 8 bytes each. Rows of one id stand by a hash of their ids. The rows are
+    dealt by ranges of (doc_id, hash, row), so that one id with very many rows is split, and sorted in tasks: one shuffle.
+    A first id of a part comes from the number of ids of each part before it: one row a part on the driver.
+    """
+    total = rows.agg(F.sum("n_tokens")).first()[0] or 0
+    return _write(rows.select("doc_id", "n_tokens", "ids"), -(-total // PART_IDS), lambda batches: batches, folder, shard_ids)
+
+
 def write_tokens(docs: DataFrame, path: str, folder: str | None = None, end: int = END, shard_ids: int = SHARD_IDS, id_col: str = "doc_id", text_col: str = "text") -> str:
     """Tokenise whole texts and write their ids, each document's with the end id behind; gives the folder.
 
-    A null or empty text is its end id alone. Rows with a null or repeated id are documents of their own. A text that
-    spells a special token out gets its id. Other columns aren't read. A table without rows makes a folder without shards.
+    Texts are dealt and sorted as in write_ids() and tokenised once, by the tasks that write them. A null or empty text
+    is its end id alone. Rows with a null or repeated id are documents of their own. A text that spells a special token
+    out gets its id. Other columns aren't read. A table without rows makes a folder without shards.
     """
-    return write_ids(tokenised(docs, path, end, id_col, text_col), folder, shard_ids)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return _write(rows, -(-total // (4 * PART_IDS)), _tokenised(path, end), folder, shard_ids)
 
 
 class _Reader:
