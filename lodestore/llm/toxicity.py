@@ -34,6 +34,9 @@ FIRST_SHARE = 0.8
 STEPS, RATE = 40, 1.0
 #: The share of documents that may be called toxic without a toxic word.
 MISLABELLED = 0.05
+#: Parts of the labelled texts that are held back in turn, more of them where a label has fewer texts than MANY, and
+#: standard errors by which their evidence must tell the labels apart.
+FOLDS, FOLDS_OF_FEW, MANY, SURE = 2, 5, 100, 3.0
 #: Words whose score a worker remembers at most.
 CACHE = 200_000
 _EDGE = b".,;:!?\"'()[]{}*_-#$%&|<>"
@@ -120,24 +123,20 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int =
     return learn(*_few_copies(texts, y))
 
 
-def learn(texts: list[bytes], y: np.ndarray) -> ToxicModel:
-    """The model of texts and their labels."""
+def _word_crf(words: list[list[bytes]], y: np.ndarray) -> Crf:
+    """The CRF of documents' words, given both labels."""
     size = (1 << BITS) + 2
-    model = ToxicModel(Crf(np.zeros(size), np.zeros((2, 2))), np.zeros(3))
-    if len(set(y.tolist())) < 2:
-        return model
-    words = [t.split() for t in texts]
     stood, count, total = (Counter(), Counter()), (Counter(), Counter()), [1, 1]
     for w, v in zip(words, y.tolist(), strict=True):
         of = Counter(s for x in w for s in stems(x) if len(s) > 2)
         stood[v].update(of.keys())
         count[v].update(of)
         total[v] += len(w)
-    least = max(LEAST_DOCUMENTS, LEAST_SHARE * y.sum(), np.log(len(stood[1]) / CHANCE) / np.log(len(y) / y.sum()))
+    least = max(LEAST_DOCUMENTS, LEAST_SHARE * y.sum(), np.log(max(len(stood[1]), 1) / CHANCE) / np.log(len(y) / y.sum()))
     extra = {s: 1 - ((count[0][s] + 1) / total[0]) / (n / total[1]) for s, n in count[1].items() if stood[1][s] >= least}
     known = {x: i for i, x in enumerate(dict.fromkeys(x for w in words for x in w))}
     often = {s for s in stood[0].keys() | stood[1].keys() if stood[0][s] + stood[1][s] >= LEAST_DOCUMENTS}
-    rows = np.array([[i if s in often else 1 << BITS for i, s in zip(indices(x), [*stems(x), b""], strict=True)][:-1] + [(1 << BITS) + 1] for x in known], np.int32)
+    rows = np.array([[i if s in often else 1 << BITS for i, s in zip(indices(x), [*stems(x), b""], strict=True)][:-1] + [(1 << BITS) + 1] for x in known], np.int32).reshape(len(known), len(PREFIXES) + 2)
     share = np.array([max((extra.get(s, 0.0) for s in stems(x)), default=0.0) for x in known])
     kind, lens = np.array([known[x] for w in words for x in w], np.int64), np.array([len(w) for w in words])
     some = lens > 0
@@ -146,13 +145,54 @@ def learn(texts: list[bytes], y: np.ndarray) -> ToxicModel:
     start = np.zeros(size)
     start[-1] = np.log((r.sum() + 0.5) / (len(r) - r.sum() + 0.5))
     crf = Crf(start, np.zeros((2, 2)))
-    for _ in range(ROUNDS):
-        crf = model.crf = fit(rows, r, starts, size, steps=STEPS, rate=RATE, kind=kind, start=crf)
+    for _ in range(ROUNDS if len(kind) else 0):
+        crf = fit(rows, r, starts, size, steps=STEPS, rate=RATE, kind=kind, start=crf)
         p = crf.marginals(emissions(crf.weights, rows)[kind], starts)
         none = np.concatenate([[0.0], np.cumsum(np.log1p(-np.clip(p, 0, 1 - 1e-9)))])
         any_ = MISLABELLED - np.expm1(none[starts[1:]] - none[starts[:-1]])
         r = np.minimum(p / np.repeat(any_, lens[some]), 1.0) * of
-    model.weights = logistic(model.evidence(p, starts), y[some].astype(float))
+    return crf
+
+
+def separates(score: np.ndarray, y: np.ndarray) -> bool:
+    """Whether label 1 scores higher than chance would have it: Wilcoxon's rank sum lies SURE standard errors above its mean."""
+    n1 = int(y.sum())
+    n0 = len(y) - n1
+    if not n0 or not n1:
+        return False
+    values, at, times = np.unique(score, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(times) - (times - 1) / 2)[at]
+    above = rank[y == 1].sum() - n1 * (n1 + 1) / 2
+    return above - n0 * n1 / 2 > SURE * np.sqrt(n0 * n1 * (len(y) + 1) / 12)
+
+
+def learn(texts: list[bytes], y: np.ndarray) -> ToxicModel:
+    """The model of texts and their labels.
+
+    The scale that turns evidence into a probability is fitted on evidence of held-back texts: each fold's is taken by a
+    CRF fitted on the other folds, since texts that a CRF has seen lie further apart than any it will meet. Where that
+    evidence doesn't separate the labels (few toxic texts, or no words of their own), every text scores the share of
+    toxic ones.
+    """
+    model = ToxicModel(Crf(np.zeros((1 << BITS) + 2), np.zeros((2, 2))), np.zeros(3))
+    words = [t.split() for t in texts]
+    keep = [i for i, w in enumerate(words) if w]
+    words, y = [words[i] for i in keep], np.asarray(y, np.int64)[keep]
+    rare = min(int(y.sum()), int(len(y) - y.sum()))
+    if not rare:
+        return model
+    model.weights = np.array([0.0, 0.0, np.log(y.sum() / (len(y) - y.sum()))])
+    fold, folds = np.zeros(len(y), np.int64), min(FOLDS if rare >= MANY else FOLDS_OF_FEW, rare)
+    for v in (0, 1):
+        fold[y == v] = np.arange(int((y == v).sum())) % folds
+    if rare > 1:
+        held = np.zeros((len(y), 2))
+        for k in range(folds):
+            part = ToxicModel(_word_crf([w for w, f in zip(words, fold, strict=True) if f != k], y[fold != k]), np.zeros(3))
+            held[fold == k] = part.evidence(*part.marginals([b" ".join(w) for w, f in zip(words, fold, strict=True) if f == k]))
+        weights = logistic(held, y.astype(float))
+        if separates(held @ weights[:2], y):
+            model.crf, model.weights = _word_crf(words, y), weights
     return model
 
 
