@@ -73,7 +73,7 @@ def stream_counts(spark, sf):
     r.write.text(f"{base}/in")
     r.write.mode("append").text(f"{base}/in")
     spool.fold_once(spark, f"{base}/in", f"{base}/out", f"{base}/state")
-    return spark.read.schema("run_id string, seq long, kind string").parquet(f"{base}/out").groupBy("kind").agg(F.count("*").alias("records"), F.count_distinct("run_id").alias("runs"))
+    return spool.folded(spark, f"{base}/out").groupBy("kind").agg(F.count("*").alias("records"), F.count_distinct("run_id").alias("runs"))
 
 
 def last_writers(spark, sf):

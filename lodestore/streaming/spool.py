@@ -2,28 +2,38 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lodestore.sources.commit import create_once, names, remove, text_of
+from lodestore.streaming.tail import read_tail
+
 VERSION = 1
-ENVELOPE = "v int, runId string, seq long, kind string, momentId string, ruleId string, toolUseId string, at string, _corrupt string"
+ENVELOPE = """v double, runId string, seq double, kind string, writerRole string, at string, momentId string, ruleId string, toolUseId string, sessionId string, circle string,
+ stageId string, ruleIds array<string>, disposition string, deliveredRuleIds array<string>, namedStageId string, readAt string, outcomeStatus string, outcomeAt string,
+ outcomeSha256 string, askedAt string, answer string, answeredAt string, _corrupt string"""
+RECORD = "run_id string, seq long, kind string, status string, value string"
 
 
-def parse(lines: DataFrame) -> DataFrame:
-    """Records of JSON lines (column value) with a status: ok, malformed (not JSON, or without run or sequence), or future version."""
+def parse(lines: DataFrame, version: int = VERSION) -> DataFrame:
+    """Records of JSON lines (column value, others stay) with a status: ok, malformed (not JSON, or without version, run, sequence or kind), or future version."""
     r = F.from_json("value", ENVELOPE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    t = lines.select("value", r.alias("r")).select("value", "r.*")
-    bad = F.col("_corrupt").isNotNull() | F.col("runId").isNull() | F.col("seq").isNull() | (F.col("seq") < 0) | F.col("kind").isNull()
-    return t.withColumn("status", F.when(bad, "malformed").when(F.col("v") > VERSION, "future").otherwise("ok")).drop("_corrupt")
+    t = lines.withColumn("__r", r).select(*lines.columns, "__r.*")
+    none = F.col("_corrupt").isNotNull() | F.col("v").isNull()
+    bad = F.col("runId").isNull() | (F.col("runId") == "") | F.col("seq").isNull() | (F.col("seq") < 0) | (F.col("seq") != F.floor("seq")) | F.col("kind").isNull()
+    status = F.when(none, "malformed").when(F.col("v") > version, "future").when(bad, "malformed").otherwise("ok")
+    return t.withColumn("status", status).withColumn("seq", F.col("seq").cast("long")).drop("_corrupt")
 
 
-def read_spool(spark: SparkSession, path: str, files_a_batch: int = 1000) -> DataFrame:
-    """Lines of all files that appear under the path; the checkpoint is the cursor."""
-    return spark.readStream.option("maxFilesPerTrigger", files_a_batch).text(path)
+def read_spool(spark: SparkSession, path: str, version: int = VERSION, cursor: str | None = None) -> DataFrame:
+    """The parsed lines of all files in the folder as they grow; the checkpoint holds how far each is read."""
+    return parse(read_tail(spark, path, version, cursor), version).withColumnRenamed("runId", "run_id")
 
 
 def append(records: DataFrame, path: str) -> None:
@@ -31,48 +41,66 @@ def append(records: DataFrame, path: str) -> None:
     records.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(path)
 
 
-def fold_once(spark: SparkSession, path: str, out: str, state: str) -> dict[str, int]:
-    """Fold what the spool holds now into `out`, each (run, sequence) once over all calls; returns how many lines were malformed or of a newer version.
+def once(records: DataFrame) -> DataFrame:
+    """Each (run, sequence) once over the whole stream; lines without them once by their place. State is kept without a limit, since a record may always come again."""
+    ok = F.col("status") == "ok"
+    keyed = records.withColumn("__a", F.when(ok, F.col("run_id")).otherwise(F.col("file"))).withColumn("__b", F.when(ok, F.col("seq")).otherwise(F.col("byte")))
+    return keyed.dropDuplicates(["status", "__a", "__b"]).drop("__a", "__b")
+
+
+def commit_batches(spark: SparkSession, out: str, state: str, write: Callable[[DataFrame, str], dict]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: `write` puts a batch into a folder of its own and gives what is known of it; the batch counts once its commit file is there.
 
-    A batch is a partition of `out` by its id and replaces it whole: one that is tried again after a failure doesn't
-    double its rows. What earlier batches hold is looked up, so no state grows in the stream.
+    Commits are named by the query's id, which its checkpoint keeps, and the batch. A batch that is tried again finds
+    its commit and does nothing; another checkpoint has another id, so none replaces another's. What a failed try left
+    has no commit and is never read.
     """
-    seen = {"malformed": 0, "future": 0}
 
     def apply(batch: DataFrame, n: int) -> None:
-        others = batch.where("status in ('ok', 'future')")
-        where = f"{out}/batch={n}"
-        before = [f"{out}/{f}" for f in children(spark, out) if f.startswith("batch=") and f != f"batch={n}"]
-        t = fresh(others, before)
-        t.write.mode("overwrite").parquet(where)
-        for status, k in batch.where("status <> 'ok'").groupBy("status").count().collect():
-            seen[status] += k
+        name = f"{out}/commits/{json.loads(text_of(spark, f'{state}/metadata'))['id']}-{n:09d}.json"
+        if text_of(spark, name) is None:
+            folder = f"rows/{uuid.uuid4().hex}"
+            facts = write(batch, f"{out}/{folder}")
+            if not create_once(spark, name, json.dumps(facts | {"folder": folder})):
+                remove(spark, f"{out}/{folder}")
+
+    return apply
+
 
-    t = parse(read_spool(spark, path)).withColumnRenamed("runId", "run_id")
-    t.writeStream.foreachBatch(apply).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return seen
+def commits(spark: SparkSession, out: str, but: str = "-") -> dict[str, dict]:
+    """The commits of a fold by name, without those that begin with `but`."""
+    return {n: json.loads(text_of(spark, f"{out}/commits/{n}")) for n in names(spark, f"{out}/commits") if not n.startswith(but)}
 
 
-def children(spark: SparkSession, path: str) -> list[str]:
-    """Names of what lies in a folder; none if it isn't there."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [f.getPath().getName() for f in system.listStatus(where)] if system.exists(where) else []
+def folded(spark: SparkSession, out: str, but: str = "-") -> DataFrame:
+    """The records that a fold holds: (run_id, seq, kind), of its whole batches."""
+    folders = [f"{out}/{c['folder']}" for c in commits(spark, out, but).values()]
+    rows = spark.read.schema(RECORD).parquet(*folders) if folders else spark.createDataFrame([], RECORD)
+    return rows.where("status = 'ok'").select("run_id", "seq", "kind")
 
 
-def fresh(batch: DataFrame, before: list[str]) -> DataFrame:
-    """Of a batch's records those to fold: each (run, sequence) that earlier batches don't hold once, up to the first record of a newer version of its run.
+def fold_once(spark: SparkSession, path: str, out: str, state: str, version: int = VERSION) -> dict[str, int]:
+    """Fold what the spool holds now into `out`, each (run, sequence) once over all calls; returns how many lines of this call were malformed or of a newer version.
 
-    A run's valid records before that one are folded. It and those after stay in the spool: a newer reader with a
-    checkpoint of its own meets them there, and what is folded by then isn't folded again.
+    Each file is folded up to its first record of a newer version and no further, in this batch or a later one; a
+    reader that knows it goes on there, with this checkpoint or its own. Repeats are told by the stream's state; against
+    what other checkpoints folded, by a join with their batches alone.
     """
-    stop = batch.where("status = 'future'").groupBy("run_id").agg(F.min("seq").alias("stop"))
-    t = batch.where("status = 'ok'").join(stop, "run_id", "left").where("stop is null or seq < stop")
-    t = t.select("run_id", "seq", "kind").dropDuplicates(["run_id", "seq"])
-    if not before:
-        return t
-    have = batch.sparkSession.read.schema("run_id string, seq long, kind string").parquet(*before)
-    return t.join(have, ["run_id", "seq"], "left_anti")
+    before = set(names(spark, f"{out}/commits"))
+
+    def write(batch: DataFrame, folder: str) -> dict:
+        own = json.loads(text_of(spark, f"{state}/metadata"))["id"]
+        t = batch.select("run_id", "seq", "kind", "status", "value")
+        if any(not n.startswith(own) for n in names(spark, f"{out}/commits")):
+            others = folded(batch.sparkSession, out, own).select("run_id", "seq", F.lit("ok").alias("status"))
+            t = t.join(others, ["run_id", "seq", "status"], "left_anti").select("run_id", "seq", "kind", "status", "value")
+        t.withColumn("value", F.when(F.col("status") != "ok", F.col("value"))).write.parquet(folder)
+        return {"counts": {r.status: r["count"] for r in spark.read.schema(RECORD).parquet(folder).groupBy("status").count().collect()}}
+
+    stream = once(read_spool(spark, path, version, f"{state}-cursor"))
+    stream.writeStream.foreachBatch(commit_batches(spark, out, state, write)).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    new = [c["counts"] for n, c in commits(spark, out).items() if n not in before]
+    return {s: sum(c.get(s, 0) for c in new) for s in ("malformed", "future")}
 
 
 def _ranges(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
