@@ -75,11 +75,13 @@ class ToxicModel:
 
     def marginals(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """P(toxic) of each word of each text, and where texts begin."""
+        return self.of_words([t.split() for t in texts])
+
+    def of_words(self, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         scores = self.__dict__.get("scores")
         if scores is None:
             scores = self.scores = _Scores(self.crf.weights)
-        words = [t.split() for t in texts]
-        at = np.zeros(len(texts) + 1, np.int64)
+        at = np.zeros(len(words) + 1, np.int64)
         np.cumsum([len(w) for w in words], out=at[1:])
         e = np.fromiter((s for w in words for s in map(scores.__getitem__, w)), float, int(at[-1]))
         return self.crf.marginals(e, at), at
@@ -138,7 +140,7 @@ def _word_crf(words: list[list[bytes]], y: np.ndarray) -> Crf:
     often = {s for s in stood[0].keys() | stood[1].keys() if stood[0][s] + stood[1][s] >= LEAST_DOCUMENTS}
     rows = np.array([[i if s in often else 1 << BITS for i, s in zip(indices(x), [*stems(x), b""], strict=True)][:-1] + [(1 << BITS) + 1] for x in known], np.int32).reshape(len(known), len(PREFIXES) + 2)
     share = np.array([max((extra.get(s, 0.0) for s in stems(x)), default=0.0) for x in known])
-    kind, lens = np.array([known[x] for w in words for x in w], np.int64), np.array([len(w) for w in words])
+    kind, lens = np.fromiter((known[x] for w in words for x in w), np.int32), np.array([len(w) for w in words])
     some = lens > 0
     starts, of = np.concatenate([[0], np.cumsum(lens[some])]), np.repeat(y[some], lens[some])
     r = np.where(share > FIRST_SHARE, share, 0.0)[kind] * of
@@ -175,7 +177,8 @@ def learn(texts: list[bytes], y: np.ndarray) -> ToxicModel:
     toxic ones.
     """
     model = ToxicModel(Crf(np.zeros((1 << BITS) + 2), np.zeros((2, 2))), np.zeros(3))
-    words = [t.split() for t in texts]
+    one: dict[bytes, bytes] = {}
+    words = [[one.setdefault(x, x) for x in t.split()] for t in texts]  # a word is held once, however often it stands
     keep = [i for i, w in enumerate(words) if w]
     words, y = [words[i] for i in keep], np.asarray(y, np.int64)[keep]
     rare = min(int(y.sum()), int(len(y) - y.sum()))
@@ -189,7 +192,7 @@ def learn(texts: list[bytes], y: np.ndarray) -> ToxicModel:
         held = np.zeros((len(y), 2))
         for k in range(folds):
             part = ToxicModel(_word_crf([w for w, f in zip(words, fold, strict=True) if f != k], y[fold != k]), np.zeros(3))
-            held[fold == k] = part.evidence(*part.marginals([b" ".join(w) for w, f in zip(words, fold, strict=True) if f == k]))
+            held[fold == k] = part.evidence(*part.of_words([w for w, f in zip(words, fold, strict=True) if f == k]))
         weights = logistic(held, y.astype(float))
         if separates(held @ weights[:2], y):
             model.crf, model.weights = _word_crf(words, y), weights
