@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from unicodedata import normalize
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
@@ -73,10 +77,18 @@ def singular(word: Column) -> Column:
 
 
 def slug(text: Column) -> Column:
-    """Letters, digits and marks in lower case, all else one hyphen, at most 60 characters. Texts are taken as composed (NFC)."""
+    """Letters, digits and marks in lower case, all else one hyphen, at most 60 characters, of a text that is composed (see composed())."""
     return F.substring(F.regexp_replace(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}\\p{M}]+", "-"), "^-+|-+$", ""), 1, 60)
 
 
+@F.arrow_udf(StringType())
+def composed(text: pa.Array) -> pa.Array:
+    """The text in lower case and in Unicode's normal form C, an Arrow batch at a time: the one step of a slug without a built-in function. Texts in ASCII are composed already."""
+    plain = pc.string_is_ascii(text)
+    held = [t if p or t is None else normalize("NFC", t.lower()) for t, p in zip(text.to_pylist(), plain.to_pylist(), strict=True)]
+    return pc.if_else(pc.fill_null(plain, True), pc.ascii_lower(text), pa.array(held, pa.string()))
+
+
 def summary(text: Column, most: int = 160) -> Column:
     """The first sentence with its blanks collapsed, cut with an ellipsis beyond `most` characters."""
     flat = F.trim(F.regexp_replace(text, "\\s+", " "))
@@ -123,18 +135,27 @@ def redact_nested(value: Column, kind: DataType, **how) -> Column:
     return value
 
 
+#: An asserted reference, as verb, colon, optional hash and token.
+ASSERTED = "(?i)\\b(resolves|supersedes|derived-from|supports|contradicts)(\\s*:\\s*)(#?)([\\p{L}\\p{N}\\p{M}_:-]+)"
+
+
 def renamed_references(text: Column, names: Column) -> Column:
-    """The text with asserted references under new slugs, by an array of (old, new)."""
-    edge = "(?![\\p{L}\\p{N}\\p{M}-])"
-    relation = "(?i)(\\b(?:resolves|supersedes|derived-from|supports|contradicts):\\s*#)"
-    step = lambda acc, n: F.regexp_replace(acc, F.concat(F.lit(relation), n["old"], F.lit(edge)), F.concat(F.lit("$1"), n["new"]))
-    return F.aggregate(names, text, step)
+    """The text with asserted references under new slugs, by a map from old to new.
+
+    The text is split at its references and put together again with each token looked up once, so that a new name isn't
+    renamed in turn; tokens that the map lacks stay, as does all else.
+    """
+    group = lambda i: F.regexp_extract_all(text, F.lit(ASSERTED), F.lit(i))
+    between = F.split(text, ASSERTED, -1)
+    both = lambda a, b: F.concat(a, b)
+    found = F.zip_with(F.zip_with(group(1), group(2), both), F.zip_with(group(3), group(4), lambda h, t: F.concat(h, F.coalesce(F.try_element_at(names, t), t))), both)
+    return F.array_join(F.zip_with(between, found, lambda x, r: F.concat(x, F.coalesce(r, F.lit("")))), "")
 
 
 def references(text: Column) -> Column:
     """Asserted references `relation: #slug` as an array of (relation, slug)."""
-    pattern = "(?i)\\b(resolves|supersedes|derived-from|supports|contradicts):\\s*#([\\p{L}\\p{N}\\p{M}-]+)"
-    return F.arrays_zip(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lower).alias("relation"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("slug"))
+    group = lambda i: F.regexp_extract_all(text, F.lit(ASSERTED), F.lit(i))
+    return F.arrays_zip(F.transform(group(1), F.lower).alias("relation"), group(4).alias("slug"))
 
 
 def span_parts(uri: Column) -> Column:

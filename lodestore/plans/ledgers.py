@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestore.operators import ledger, sync
 from lodestore.plans.staging import shared_dir
 from lodestore.sources.tables import day_millis, read
-from lodestore.streaming import spool
+from lodestore.streaming import moments, spool
 
 
 def _records(spark, sf):
@@ -76,6 +76,51 @@ def stream_counts(spark, sf):
     return spool.folded(spark, f"{base}/out").groupBy("kind").agg(F.count("*").alias("records"), F.count_distinct("run_id").alias("runs"))
 
 
+def _spool_lines(spark, sf):
+    """Events as spool records: clicks are interceptions, views reads, purchases outcomes by tool use, errors outcomes by moment, signups answers."""
+    (e,) = read(spark, sf, "events")
+    k, kind = F.get_json_object("props", "$.k").cast("int"), F.col("event_type")
+    user, at = F.col("user_id").cast("string"), F.lpad(F.col("event_id").cast("string"), 12, "0")
+    moment, tool = F.concat_ws("-", "user_id", F.floor(F.col("event_id") / 1000)), F.concat_ws(":", "user_id", k)
+    rules = F.when(k % 3 == 1, F.array().cast("array<string>")).when(k % 3 == 2, F.array(F.lit("0"), F.lit("1"), F.lit("2")))
+    status = F.when(F.col("value") > 50, "ok").otherwise("failed")
+    return e.select(F.to_json(F.struct(
+        F.lit(1).alias("v"), user.alias("runId"), F.col("event_id").alias("seq"),
+        F.when(kind == "click", "interception").when(kind == "view", "read").when(kind.isin("purchase", "error"), "outcome").otherwise("answer").alias("kind"),
+        F.when(kind != "purchase", moment).alias("momentId"), F.when(kind.isin("click", "purchase"), tool).alias("toolUseId"), at.alias("at"), rules.alias("ruleIds"), F.lit("advised").alias("disposition"),
+        (k % 5).cast("string").alias("ruleId"), at.alias("readAt"), at.alias("outcomeAt"), status.alias("outcomeStatus"), F.lit("s").alias("outcomeSha256"),
+        F.when(F.col("value") > 50, "followed").otherwise("not-followed").alias("answer"),
+    )).alias("value"))
+
+
+def _moments_told(t):
+    return t.select("moment_id", "state", "outcome_at", "outcome_status", "tool_use_id", F.array_join("rule_ids", "|").alias("rules"), F.size("reads").cast("long").alias("reads"), F.size("late_reads").cast("long").alias("late"), "answer", "conflict")
+
+
+def moment_states(spark, sf):
+    """Every moment of the events' ledger at once: first fields, outcome by tool use or moment, reads in time and late, answer, state."""
+    return _moments_told(moments.batch(spool.parse(_spool_lines(spark, sf)).withColumnRenamed("runId", "run_id"))[0])
+
+
+def stream_moments(spark, sf):
+    """The same ledger from keyed state: the spool's lines in two parts, the later ones first, and some of them twice."""
+    import uuid
+
+    base = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    lines = _spool_lines(spark, sf)
+    late = F.get_json_object("value", "$.seq").cast("long") % 2 == 1
+    lines.where(late).write.text(f"{base}/in")
+    moments.run(spark, f"{base}/in", f"{base}/ledger")
+    lines.where(~late).write.mode("append").text(f"{base}/in")
+    lines.where(late).limit(1000).write.mode("append").text(f"{base}/in")
+    return _moments_told(moments.run(spark, f"{base}/in", f"{base}/ledger")[0])
+
+
+def unmet_outcomes(spark, sf):
+    """Outcomes by tool use that no interception has met, in the batch fold."""
+    return moments.batch(spool.parse(_spool_lines(spark, sf)).withColumnRenamed("runId", "run_id"))[1]
+
+
 def last_writers(spark, sf):
     """Customers' rows as replicas wrote them, an order each: the highest day wins, then the larger writer."""
     (o,) = read(spark, sf, "orders")
@@ -124,7 +169,18 @@ _R = "r as (select user_id as run_id, event_id as seq, user_id || '-' || floor(e
 _G = f"{_R}, b as (select run_id, seq, coalesce(lag(seq) over (partition by run_id order by seq), -1) as before from r), g as (select run_id, before + 1 as gap_from, seq - 1 as gap_to from b where seq > before + 1)"
 _OUT = f"{_R}, m as (select run_id || ':' || k as t, min(moment_id) as m from r where event_type = 'click' group by 1), p as (select run_id || ':' || k as t, min(seq) as s from r where event_type = 'purchase' group by 1), o as (select case when m is null then 'orphan' when s is null then 'open' else 'closed' end as state, count(*) as n from m full join p using (t) group by 1)"
 
-QUERIES = {f.__name__: f for f in (ledger_gaps, gap_totals, first_fields, late_reads, outcome_states, moment_counts, loss_report, stream_counts, last_writers, grow_only_counts, union_refs, alive_keys, delta_graft, merged_activity)}
+_MOMENTS = f"""with {_R}, x as (select *, lpad(seq::varchar, 12, '0') as w, run_id || ':' || k as tool, case when value > 50 then 'ok' else 'failed' end as status from r
+), i as (select moment_id, arg_min(tool, seq) as tool_use_id, arg_min(case k % 3 when 1 then [] else ['0', '1', '2'] end, seq) filter (k % 3 <> 0) as rule_ids from x where event_type = 'click' group by 1
+), tools as (select distinct moment_id, tool from x where event_type = 'click'
+), oo as (select moment_id, w, seq, status from x where event_type = 'error' union all select t.moment_id, w, seq, status from x join tools t using (tool) where event_type = 'purchase'
+), o as (select moment_id, min(w) as outcome_at, arg_min(status, (w, seq)) as outcome_status from oo group by 1
+), f as (select moment_id, (k % 5)::varchar as rule, min(w) as w from x where event_type = 'view' group by 1, 2
+), rd as (select f.moment_id, count(*) filter (outcome_at is null or w <= outcome_at) as reads, count(*) filter (w > outcome_at) as late from f left join i using (moment_id) left join o using (moment_id) where rule_ids is null or list_contains(rule_ids, rule) group by 1
+), a as (select moment_id, arg_min(case when value > 50 then 'followed' else 'not-followed' end, seq) as answer, count(distinct value > 50) > 1 as conflict from x where event_type = 'signup' group by 1
+), m as (select distinct moment_id from x where event_type <> 'purchase')
+select m.moment_id, case when i.moment_id is null then 'unopened' when outcome_at is null then 'pending' else 'closed' end as state, outcome_at, outcome_status, tool_use_id, array_to_string(rule_ids, '|') as rules,
+  coalesce(reads, 0)::bigint as reads, coalesce(late, 0)::bigint as late, answer, coalesce(conflict, false) as conflict from m left join i using (moment_id) left join o using (moment_id) left join rd using (moment_id) left join a using (moment_id)"""
+QUERIES = {f.__name__: f for f in (ledger_gaps, gap_totals, first_fields, late_reads, outcome_states, moment_counts, loss_report, stream_counts, moment_states, stream_moments, unmet_outcomes, last_writers, grow_only_counts, union_refs, alive_keys, delta_graft, merged_activity)}
 ORACLE = {
     "ledger_gaps": f"with {_G} select * from g",
     "gap_totals": f"with {_G} select run_id, count(*) as gaps, sum(gap_to - gap_from + 1)::bigint as missing from g group by 1",
@@ -136,6 +192,9 @@ select moment_id, rule_id, read_at, coalesce(read_at > outcome, false) as late f
   count(*) filter (value > 50) as ungoverned, count(*) as total from r group by 1""",
     "loss_report": f"with {_OUT}, {_G[len(_R) + 2 :]} select 'gap' as kind, count(*) as n from g union all select 'orphan', n from o where state = 'orphan'",
     "stream_counts": "select event_type as kind, count(*) as records, count(distinct user_id) as runs from events group by 1",
+    "moment_states": _MOMENTS,
+    "stream_moments": _MOMENTS,
+    "unmet_outcomes": f"with {_R} select run_id || ':' || k as tool_use_id, lpad(min(seq)::varchar, 12, '0') as outcome_at, arg_min(case when value > 50 then 'ok' else 'failed' end, seq) as outcome_status from r where event_type = 'purchase' and run_id || ':' || k not in (select run_id || ':' || k from r where event_type = 'click') group by 1",
     "last_writers": "select o_custkey as id, max(epoch_ms(o_orderdate)) as sync_revision, arg_max(o_orderkey, (o_orderdate, o_orderkey)) as writer_id, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) as status from orders group by 1",
     "grow_only_counts": "select id, sum(n)::bigint as count from (select l_partkey as id, l_suppkey, max(l_linenumber) as n from lineitem group by 1, 2) group by 1",
     "union_refs": "select o_custkey as id, array_to_string(list_sort(list(distinct o_orderpriority)), '|') as refs from orders group by 1",

@@ -138,12 +138,13 @@ def scrubbed_records(spark, sf):
 
 
 def _pages_of(spark, sf):
-    """Parts as concepts with slugs, some of them with addresses in, and bodies that refer to each other."""
+    """Parts as concepts with slugs, some of them with addresses in or like what an address becomes, and bodies that refer to each other."""
     (p,) = read(spark, sf, "part")
     z = F.col("p_size")
-    slug = F.when(z % 5 == 0, F.concat(F.lit("a"), z % 10, F.lit("@x.org"))).otherwise(F.regexp_replace("p_name", " ", "-"))
-    body = F.concat(F.lit("Of "), "p_name", F.lit(" supersedes: #"), F.regexp_replace("p_name", " ", "-"), F.lit(" and ~/p"), F.col("p_partkey"))
-    return p.select(F.col("p_partkey").alias("concept_id"), slug.alias("slug"), body.alias("body"))
+    i = F.col("p_partkey")
+    slug = F.when(i % 11 == 3, F.concat(F.lit("redacted-email-"), i - 1)).when(z % 5 == 0, F.concat(F.lit("a"), z % 10, F.lit("@x.org"))).otherwise(F.regexp_replace("p_name", " ", "-"))
+    body = F.concat(F.lit("Of "), "p_name", F.lit(" supersedes: #"), F.regexp_replace("p_name", " ", "-"), F.lit(" and ~/p"), i)
+    return p.select(i.alias("concept_id"), F.floor(i / 500).alias("circle"), slug.alias("slug"), body.alias("body"))
 
 
 def scrubbed_slugs(spark, sf):
@@ -164,6 +165,17 @@ def kept_entities(spark, sf):
     return t.select("concept_id", "kind", "key", "df")
 
 
+def published_tables(spark, sf):
+    """How many rows of each table a published store holds, and a digest of its ids."""
+    c = _pages_of(spark, sf).where("concept_id % 9 <> 0")
+    (p,) = read(spark, sf, "part")
+    edges = p.select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + F.col("p_size")).alias("dst"))
+    out = publishing.published(c, c.select("concept_id", "body"), edges, memberships(spark, sf))
+    ids = {"concepts": "concept_id", "revisions": "concept_id", "edges": "src * 3 + dst", "entities": "concept_id + df"}
+    rows = [t.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.expr(ids[n])), F.lit(0)).alias("ids")).select(F.lit(n).alias("table"), "rows", "ids") for n, t in out.items()]
+    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+
+
 def publishable_rows(spark, sf):
     """Rows fit to publish as JSON: live concepts' bodies, scrubbed."""
     c = _pages_of(spark, sf).where("concept_id % 9 <> 0")
@@ -223,16 +235,22 @@ def segment_sizes(spark, sf):
 _REL = f"""{search._V.replace('list_transform(embedding, lambda x: x::double)', 'list_reverse(list_transform(embedding, lambda x: x::double))')}, {search._MEAN}, p as (select a.c as src, b.c as dst, round(list_dot_product(a.x, b.x), 6) as score from centroid a join centroid b on a.c <> b.c
 ), k as (select *, row_number() over (partition by src order by score desc, dst) as r from p where score >= -0.05 and score < 0.9)"""
 _SUP = "e as (select * from (select p_partkey as id, p_partkey as src, (p_partkey * 7 + p_size * 13) % (select max(p_partkey) from part) + 1 as dst, p_size as made from part) where src <> dst), walk as (select src, dst as node from e union select w.src, e.dst from walk w join e on e.src = w.node), ring as (select src as node, (select min(w2.node) from walk w2 where w2.src = w.src) as cycle from walk w where w.src = w.node)"
-_PG = """pg as (select p_partkey as concept_id, p_name, case when p_size % 5 = 0 then 'a' || (p_size % 10) || '@x.org' else replace(p_name, ' ', '-') end as slug from part
-), nm as (select *, case when p like 'a%@x.org' then 'redacted-email' else p end as base from (select *, slug as p from pg)
-), sl as (select concept_id, slug, case when k = 1 then base else base || '-' || k end as new from (select *, row_number() over (partition by base order by concept_id) as k from nm))"""
+_PG = """pg as (select p_partkey as concept_id, p_partkey // 500 as circle, p_name, case when p_partkey % 11 = 3 then 'redacted-email-' || (p_partkey - 1) when p_size % 5 = 0 then 'a' || (p_size % 10) || '@x.org' else replace(p_name, ' ', '-') end as slug from part{where}
+), nm as (select *, case when slug like 'a%@x.org' then 'redacted-email' else slug end as base from pg
+), kk as (select *, row_number() over (partition by circle, base order by concept_id) = 1 as plain, rtrim(left(base, 51), '-') || '-' || left(concept_id::varchar, 8) as longer from nm
+), gv as (select circle, longer as base, min(concept_id) as before from kk where not plain group by 1, 2
+), sl as (select concept_id, slug, case when plain and not coalesce(before < concept_id, false) then base else longer end as new from kk left join gv using (circle, base))"""
+_ALL = _PG.format(where="")
+_KEPT = _PG.format(where=" where p_partkey % 9 <> 0")
+_SPACED = "' ' || trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+', ' ', 'g')) || ' '"
+_MEMBERS = "m as (select p_partkey as concept_id, 'id' as kind, p_brand || '-' || p_size as key from part union all select p_partkey, 'lib', p_brand from part union all select p_partkey, 'noun', unnest(string_split(p_name, ' ')) from part)"
 _BODY_TEXT = "'Of ' || p_name || ' supersedes: #' || {to} || ' and [redacted-path]'"
 
 QUERIES = {
     f.__name__: f
     for f in (
         dismissals, dirty_marks, payload_rejects, delta_payload, supersession_circles, acyclic_graft, migrated_edges, grafted_duplicates, kept_observations, source_rows, bounded_texts, parsed_vectors, weighted_merges, running_centroids, scrubbed_records,
-        scrubbed_slugs, scrubbed_bodies, kept_entities, publishable_rows, purge_report, induced_edges, topic_pages, topic_index, asserted_edges, session_states, segment_sizes,
+        scrubbed_slugs, scrubbed_bodies, kept_entities, published_tables, publishable_rows, purge_report, induced_edges, topic_pages, topic_index, asserted_edges, session_states, segment_sizes,
     )
 }
 ORACLE = {
@@ -259,12 +277,15 @@ select c as concept_id, (generate_subscripts(r, 1) - 1)::int as i, round(unnest(
 ), l as (select c, arg_max(m, k) as m from g group by 1) select c as concept_id, (generate_subscripts(m, 1) - 1)::int as i, round(unnest(m), 5) as x from l""",
     "scrubbed_records": """with r as (select conv_id, turn, 'see [redacted-private-endpoint], tenant [redacted-tenant] and keep/a.txt or [redacted-path]' as s, text from conversations)
 select conv_id, turn, md5('mail [redacted-email] ' || text) as t, s as first, md5(s) as map, turn as n from r""",
-    "scrubbed_slugs": f"with {_PG} select concept_id, new from sl",
-    "scrubbed_bodies": f"""with {_PG}, f as (select slug as old, case when slug = 'small-bolt' then 'tiny-bolt' else arg_min(new, concept_id) end as new from sl group by 1)
+    "scrubbed_slugs": f"with {_ALL} select concept_id, new from sl",
+    "scrubbed_bodies": f"""with {_ALL}, f as (select slug as old, case when slug = 'small-bolt' then 'tiny-bolt' else arg_min(new, concept_id) end as new from sl group by 1)
 select concept_id, {_BODY_TEXT.format(to="coalesce(f.new, replace(p_name, ' ', '-'))")} as body from pg left join f on f.old = replace(p_name, ' ', '-')""",
-    "kept_entities": f"""with {_PG}, b as (select p_partkey as concept_id, lower({_BODY_TEXT.format(to="replace(p_name, ' ', '-')")}) as body from part), m as (select p_partkey as concept_id, 'id' as kind, p_brand || '-' || p_size as key from part union all select p_partkey, 'lib', p_brand from part union all select p_partkey, 'noun', unnest(string_split(p_name, ' ')) from part
-), k as (select m.* from m join b using (concept_id) where contains(body, lower(key))) select concept_id, kind, key, count(*) over (partition by kind, key) as df from k""",
-    "publishable_rows": f"""with {_PG} select concept_id, '{{"concept_id":' || concept_id || ',"body":"' || {_BODY_TEXT.format(to="replace(p_name, ' ', '-')")} || '"}}' as row from pg where concept_id % 9 <> 0""",
+    "kept_entities": f"""with {_ALL}, {_MEMBERS}, b as (select concept_id, {_SPACED.format(_BODY_TEXT.format(to="coalesce(f.new, replace(p_name, ' ', '-'))"))} as body from pg left join (select slug as old, arg_min(new, concept_id) as new from sl group by 1) f on f.old = replace(p_name, ' ', '-')
+), k as (select m.* from m join b using (concept_id) where contains(body, {_SPACED.format("key")})) select concept_id, kind, key, count(*) over (partition by kind, key) as df from k""",
+    "published_tables": f"""with {_KEPT}, {_MEMBERS}, b as (select concept_id, {_SPACED.format(_BODY_TEXT.format(to="coalesce(f.new, replace(p_name, ' ', '-'))"))} as body from pg left join (select slug as old, arg_min(new, concept_id) as new from sl group by 1) f on f.old = replace(p_name, ' ', '-')
+), k as (select m.concept_id, count(*) over (partition by kind, key) as df from m join b using (concept_id) where contains(body, {_SPACED.format("key")})), e as (select p_partkey as src, p_partkey + p_size as dst from part where p_partkey % 9 <> 0 and (p_partkey + p_size) % 9 <> 0 and p_partkey + p_size <= (select max(p_partkey) from part))
+select 'concepts' as "table", count(*) as rows, sum(concept_id)::bigint as ids from pg union all select 'revisions', 0, 0 union all select 'edges', count(*), sum(src * 3 + dst)::bigint from e union all select 'entities', count(*), sum(concept_id + df)::bigint from k""",
+    "publishable_rows": f"""with {_KEPT}, f as (select slug as old, arg_min(new, concept_id) as new from sl group by 1) select concept_id, '{{"concept_id":' || concept_id || ',"body":"' || {_BODY_TEXT.format(to="coalesce(f.new, replace(p_name, ' ', '-'))")} || '"}}' as row from pg left join f on f.old = replace(p_name, ' ', '-')""",
     "purge_report": """with d as (select c_custkey as k from customer where c_nationkey = 3), t as (select 'concepts' as "table", c_custkey in (select k from d) as gone from customer union all select 'observations', o_custkey in (select k from d) from orders
   union all select 'edges', c_custkey in (select k from d) or c_custkey + 1 in (select k from d) from customer) select "table", count(*) filter (gone) as purged, count(*) filter (not gone) as kept from t group by 1""",
     "induced_edges": "with n as (select c_custkey as k from customer where c_nationkey < 15) select c_custkey as a, c_custkey + c_nationkey as b from customer where c_custkey in (select k from n) and c_custkey + c_nationkey in (select k from n)",
@@ -273,7 +294,7 @@ select lower(replace(f, '#', '-')) || '-' || g as topic, md5(m) as markdown, n a
     "topic_index": r"""with t as (select floor(c_custkey / 10)::bigint as g, string_agg('# ' || c_name || chr(10) || chr(10) || c_mktsegment || ' ' || c_nationkey || chr(10), chr(10) order by c_name) as m, min(c_name) as f from customer group by 1
 ), b as (select lower(replace(f, '#', '-')) || '-' || g as topic, trim(regexp_replace(regexp_replace(m, '^# [^\n]*\n\n', ''), '\s+', ' ', 'g')) as s from t)
 select '- [' || topic || '](' || topic || '.md): ' || case when length(s) <= 160 then s else rtrim(substr(s, 1, 159)) || '…' end as line from b""",
-    "asserted_edges": f"with {_PG}, f as (select slug, min(concept_id) as dst from pg group by 1) select concept_id as src, dst, 'supersedes' as relation from pg join f on f.slug = replace(p_name, ' ', '-')",
+    "asserted_edges": f"with {_ALL}, f as (select slug, min(concept_id) as dst from pg group by 1) select concept_id as src, dst, 'supersedes' as relation from pg join f on f.slug = replace(p_name, ' ', '-')",
     "session_states": """with l as (select conv_id, turn % 3 as item, arg_max(role, turn) = 'user' as open, max(turn) as t from conversations group by 1, 2)
 select conv_id as slug, coalesce(string_agg(item::varchar, ',' order by item) filter (open), '') as open_items, max(t) as updated_at, count(*) filter (open) = 0 as may_close from l group by 1""",
 }

@@ -37,7 +37,7 @@ def foreign_share(spark, sf):
 
 def slugs(spark, sf):
     t = texts(spark, sf)
-    return t.select(F.col("observation_id").alias("doc_id"), T.slug(F.col("content")).alias("slug"), T.summary(F.col("content")).alias("summary"))
+    return t.select(F.col("observation_id").alias("doc_id"), T.slug(T.composed(F.col("content"))).alias("slug"), T.summary(F.col("content")).alias("summary"))
 
 
 def redactions(spark, sf):
@@ -128,7 +128,7 @@ select p_partkey, idx, round(x / n, 6) as value from v join n using (p_partkey)
 select doc_id, round(case when l > 0 then (l - a)::double / l else 0 end, 6) as share, case when l > 0 then (l - a)::double / l else 0 end > 0.2 as flagged from t""",
     "slugs": rf"""with t as (select doc_id, {_CONTENT} as c from documents), f as (select doc_id, {_ws('c')} as flat, c from t), s as (
   select doc_id, c, case when regexp_extract(flat, '^(.*?[.!?])( |$)', 1) = '' then flat else regexp_extract(flat, '^(.*?[.!?])( |$)', 1) end as line from f)
-select doc_id, substr(regexp_replace(regexp_replace(lower(c), '[^\p{{L}}\p{{N}}\p{{M}}]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60) as slug,
+select doc_id, substr(regexp_replace(regexp_replace(nfc_normalize(lower(c)), '[^\p{{L}}\p{{N}}\p{{M}}]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60) as slug,
   case when length(line) <= 160 then line else rtrim(substr(line, 1, 159)) || '…' end as summary from s""",
     "redactions": f"with t as (select doc_id, {_CONTENT} as c, {_redacted()} as clean from documents) select doc_id, md5(clean) as digest, c <> clean as changed from t",
     "reference_edges": "select p_partkey, 'supersedes' as relation, replace(p_name, ' ', '-') as slug from part union all select p_partkey, 'derived-from', lower(replace(p_brand, '#', '')) from part",

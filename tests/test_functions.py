@@ -89,3 +89,14 @@ def test_private_endpoints_and_own_paths(spark):
     text = "at http://192.168.1.10:9301/x, tenant acme then 10.0.0.1 but 8.8.8.8 and /Users/me/code/keep/src/a.ts or /Users/me/x"
     want = "at [redacted-private-endpoint], tenant [redacted-tenant] then [redacted-private-endpoint] but 8.8.8.8 and keep/src/a.ts or [redacted-path]"
     assert one(spark, T.redact(F.lit(text), own=("keep",))) == want
+
+
+def test_a_new_name_is_not_renamed_in_turn(spark):
+    rows = [("supersedes: #a and RESOLVES:#b, supports : #c contradicts: a.", {"a": "b", "b": "c"}), ("no reference #a", {"a": "b"}), ("", {}), ("supports:#x", {"y": "z"}), (None, {"a": "b"})]
+    t = spark.createDataFrame(rows, "t string, m map<string,string>")
+    assert [r[0] for r in t.select(T.renamed_references(t.t, t.m)).collect()] == ["supersedes: #b and RESOLVES:#c, supports : #c contradicts: b.", "no reference #a", "", "supports:#x", None]
+
+
+def test_slugs_of_composed_and_decomposed_letters_are_equal(spark):
+    t = spark.createDataFrame([("Cafe\u0301 X",), ("Caf\u00e9 x",), (None,)], "t string")
+    assert [r[0] for r in t.select(T.slug(T.composed(t.t))).collect()] == ["caf\u00e9-x", "caf\u00e9-x", None]

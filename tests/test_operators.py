@@ -232,3 +232,18 @@ def test_export_and_manifest(spark, tmp_path):
     m = export.manifest(spark, str(tmp_path / "md" / "topics"))
     assert export.unverified(spark, str(tmp_path / "md" / "topics"), m).count() == 0
     assert export.unverified(spark, str(tmp_path / "md" / "topics"), m.selectExpr("file", "'0' as sha256", "bytes")).count() == m.count()
+
+
+def test_equal_slugs_of_a_circle_are_told_apart_by_their_ids(spark):
+    from lodestore.operators import publishing
+
+    def new(rows):
+        t = spark.createDataFrame(rows, "concept_id string, circle string, slug string")
+        got = {r.concept_id: r.new for r in publishing.renamed_slugs(t).collect()}
+        return [got[i] for i, *_ in rows]
+
+    assert new([("1", "c", "foo"), ("2", "c", "foo"), ("3", "c", "foo-2"), ("4", "d", "foo"), ("5", "c", "foo-2-3")]) == ["foo", "foo-2", "foo-2-3", "foo", "foo-2-3-5"]
+    long = "x" * 50 + "-" + "y" * 9
+    a, b = new([("0123456789", "c", long), ("1123456789", "c", long)])
+    assert a == long and b == "x" * 50 + "-11234567" and len(b) <= 60
+    assert new([("7", "c", "..."), ("8", "c", "!!")]) == ["", "8"]
