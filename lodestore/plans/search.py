@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestore.functions.text import lexical_tokens
 from lodestore.functions.vectors import is_zero, normalised
-from lodestore.operators import evaluation, graph, resolution, retrieval
+from lodestore.operators import evaluation, graph, postings, resolution, retrieval
 from lodestore.sources.tables import read, texts, vectors
 from lodestore.staging import stage
 
@@ -123,7 +123,9 @@ def _probes(spark, sf):
 def lexical_rank(spark, sf):
     """The five sources whose best document holds most of each benchmark text's tokens, by idf."""
     t, probes = texts(spark, sf), _probes(spark, sf)
-    o = retrieval.overlap(probes, retrieval.token_index(t, probes), t.agg(F.count_distinct("concept_id")).first()[0])
+    index = postings.build(t.select(F.col("observation_id").alias("doc_id"), F.col("concept_id").alias("label"), F.col("content").alias("text")), postings.lexical)
+    found = postings.hits(index, probes).select(F.col("label").alias("concept_id"), F.col("doc_id").alias("observation_id"), "token")
+    o = retrieval.overlap(probes, found, t.agg(F.count_distinct("concept_id")).first()[0])
     w = Window.partitionBy("query_id").orderBy(F.round("overlap", 9).desc(), "concept_id")
     return o.withColumn("place", F.row_number().over(w)).where("place <= 5").select("query_id", "concept_id", F.round("overlap", 6).alias("overlap"), "place")
 
@@ -149,13 +151,11 @@ def bm25_hits(rows, column, probes):
 
 
 def bm25_top(spark, sf):
-    t = texts(spark, sf).select(F.col("observation_id").alias("doc_id"), "content")
+    """The ten best documents of each benchmark text by BM25, from a stored index whose blocks are scored from the highest bound down."""
+    t = texts(spark, sf).select(F.col("observation_id").alias("doc_id"), F.lit(None).alias("label"), F.col("content").alias("text"))
     (b,) = read(spark, sf, "benchmark")
     probes = b.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(_words(F.coalesce("text", F.lit(""))))).alias("token"))
-    hits, n, mean = bm25_hits(t, "content", probes)
-    s = evaluation.bm25(hits, probes, n, mean).withColumn("score", F.round("score", 6))
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
-    return s.withColumn("place", F.row_number().over(w)).where("place <= 10")
+    return postings.top_bm25(postings.build(t), probes, 10)
 
 
 def embedding_population(spark, sf):
