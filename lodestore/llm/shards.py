@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from lodestore.llm import words
 from lodestore.llm.packing import token_ids
 from lodestore.llm.text import slices
-from lodestore.staging import shared_dir, stage, unstage
+from lodestore.staging import qualified, shared_dir, stage, unstage
 
 END = 2
 MAGIC = b"s8bwords"
@@ -49,13 +49,6 @@ def _tokenised(path: str, end: int):
     return run
 
 
-def _qualified(spark: SparkSession, folder: str) -> str:
-    """The folder with its scheme, as tasks need it: they open files by Arrow's file systems, so one of those must know it."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
-
-
 class _Shard:
     """One open file: ids are coded as soon as there are enough, and only sizes and ends are kept until the end."""
 
@@ -122,7 +115,7 @@ def _writer(folder: str, shard_ids: int):
 def _write(rows: DataFrame, parts: int, prepared, folder: str | None, shard_ids: int) -> str:
     """Deal rows (doc_id, and what `prepared` reads) by ranges, sort them in tasks, write what `prepared` makes of them, and the manifest."""
     spark = rows.sparkSession
-    folder = _qualified(spark, folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}")
+    folder = qualified(spark, folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts)
     value = rows.columns[-1]
     order = [F.col("doc_id").asc_nulls_first(), "__hash", "__row"]
@@ -253,7 +246,7 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
                 check, n = 0, 0
 
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-    return _dealt(manifest(spark, folder)).mapInArrow(_reading(_qualified(spark, folder), each, schema), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _dealt(manifest(spark, folder)).mapInArrow(_reading(qualified(spark, folder), each, schema), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -269,7 +262,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                 parts = []
 
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int64()))])
-    return _dealt(manifest(spark, folder)).mapInArrow(_reading(_qualified(spark, folder), each, schema), "doc_id long, start long, ids array<long>")
+    return _dealt(manifest(spark, folder)).mapInArrow(_reading(qualified(spark, folder), each, schema), "doc_id long, start long, ids array<long>")
 
 
 def span(spark: SparkSession, folder: str, start: int, stop: int) -> DataFrame:
@@ -283,7 +276,7 @@ def span(spark: SparkSession, folder: str, start: int, stop: int) -> DataFrame:
 
     schema = pa.schema([("start", pa.int64()), ("ids", pa.list_(pa.int64()))])
     shards = manifest(spark, folder).where((F.col("start") < stop) & (F.col("start") + F.col("n_ids") > start))
-    return _dealt(shards).mapInArrow(_reading(_qualified(spark, folder), each, schema), "start long, ids array<long>")
+    return _dealt(shards).mapInArrow(_reading(qualified(spark, folder), each, schema), "start long, ids array<long>")
 
 
 def op11_words(spark, sf_dir: str) -> DataFrame:
