@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestore.staging import stage
+
 
 def recall_at(retrieved: Column, gold: Column, k: int) -> Column:
     """Share of the gold ids among the first k retrieved."""
@@ -17,17 +19,17 @@ def reciprocal_rank(retrieved: Column, gold: Column) -> Column:
     return F.aggregate(each, F.lit(0.0), lambda s, x: s + x) / F.size(gold)
 
 
-def auc(rows: DataFrame, score: str, positive: Column, by: list[str] | None = None, buckets: int = 1000) -> DataFrame:
+def auc(rows: DataFrame, score: str, positive: Column, by: list[str] | None = None, buckets: int = 256) -> DataFrame:
     """Area under the ROC curve by tie-averaged ranks; null without both classes.
 
-    Rows are counted per distinct score. Scores lie in equally wide buckets between the least and the largest; the
-    running count goes inside each, and over the buckets' few sums, so no task orders all scores.
+    Rows are counted per distinct score. Scores lie in buckets between approximate quantiles of the distinct ones, so
+    that outliers don't crowd the rest; the running count goes inside each, and over the buckets' few sums, so no task
+    orders all scores.
     """
     by = by or []
     each = rows.groupBy(*by, score).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
-    low, high = each.agg(F.min(score), F.max(score)).first()
-    at = F.floor((F.col(score) - F.lit(low)) / F.lit(max((high or 0) - (low or 0), 1e-300)) * buckets).cast("int")
-    each = each.withColumn("bucket", at)
+    edges = each.agg(F.percentile_approx(score, [i / buckets for i in range(1, buckets)], buckets * 40).alias("edges")).first()[0] or []
+    each = each.withColumn("bucket", F.size(F.filter(F.array(*map(F.lit, edges)).cast("array<double>"), lambda e: e < F.col(score))))
     sums = each.groupBy(*by, "bucket").agg(F.sum("neg").alias("n"))
     before = Window.partitionBy(*by, F.lit(0)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*by, "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
@@ -42,14 +44,45 @@ def share_at_least(value: Column, threshold: float) -> Column:
     return F.avg((value >= threshold).cast("double"))
 
 
+#: Distinct values among which a rank is looked up by one window, and ranges that a longer stretch is cut into.
+LEAF, RANGES = 10_000, 256
+
+
 def index_quantiles(rows: DataFrame, value: str, shares: list[float], by: list[str]) -> DataFrame:
-    """Quantiles at index floor(share * n) of the sorted values (not interpolated), by running counts over distinct values."""
-    each = rows.groupBy(*by, value).count()
-    w = Window.partitionBy(*by).orderBy(value)
-    total = F.sum("count").over(Window.partitionBy(*by))
-    t = each.withColumn("upto", F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", total)
-    picks = [F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * p), F.col("n") - 1), F.col(value))).alias(f"p{round(p * 100):02d}") for p in shares]
-    return t.groupBy(*by).agg(F.max("n").alias("n"), F.min(value).alias("least"), *picks)
+    """Quantiles at index floor(share * n) of the sorted values (not interpolated), per class of `by`, exactly.
+
+    Each quantile is a rank. Counts of equal values are cut into ranges at approximate quantiles, counted exactly, and
+    only the range that holds the rank is looked at again, until it has LEAF distinct values at most: so no task orders
+    a class. There are few classes and shares: their ranges are broadcast.
+    """
+    each = stage(rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("c")), "values")
+    whole = each.groupBy(*by).agg(F.sum("c").alias("n"), F.min("v").alias("least"), F.max("v").alias("high"), F.count("*").alias("values"))
+    ranks = F.explode(F.array(*[F.struct(F.lit(i).alias("q"), F.least(F.floor(F.col("n") * p), F.col("n") - 1).alias("rank")) for i, p in enumerate(shares)])).alias("r")
+    at = [*by, "q"]
+    open_ = stage(whole.select(*by, "least", "high", "values", ranks).select(*by, F.col("least").alias("low"), "high", "values", "r.*"), "ranks")
+    found = None
+    while True:
+        small = open_.where(F.col("values") <= LEAF)
+        inside = _between(each, small, by).withColumn("upto", F.sum("c").over(Window.partitionBy(*at).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+        here = inside.where(F.col("upto") > F.col("rank")).groupBy(*at).agg(F.min("v").alias("v"))
+        found = here if found is None else found.union(here)
+        wide = open_.where(F.col("values") > LEAF)
+        if wide.isEmpty():
+            break
+        part = _between(each, wide, by)
+        edges = part.groupBy(*at).agg(F.array_distinct(F.percentile_approx("v", [i / RANGES for i in range(1, RANGES)], RANGES * 40)).alias("edges"))
+        cell = F.size(F.filter("edges", lambda e: e < F.col("v")))
+        cells = part.join(F.broadcast(edges), at).groupBy(*at, "rank", cell.alias("cell")).agg(F.sum("c").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("values"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy(*at).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        cells = cells.withColumn("before", before).where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n")))
+        open_ = stage(cells.select(*by, "low", "high", "values", "q", (F.col("rank") - F.col("before")).alias("rank")), "ranks")
+    names = [f"p{round(p * 100):02d}" for p in shares]
+    wide = found.groupBy(*by).agg(*[F.max(F.when(F.col("q") == i, F.col("v"))).alias(n) for i, n in enumerate(names)])
+    return whole.select(*by, "n", "least").join(F.broadcast(wide), by).select(*by, "n", "least", *names)
+
+
+def _between(each: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
+    return each.join(F.broadcast(ranges), by).where((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high"))).select(*by, "q", "rank", "v", "c")
 
 
 def sweep(scored: DataFrame, score: str, right: Column, taus: list[float]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,17 +88,93 @@ def contains_run(tokens: Column, needle: Column) -> Column:
     return F.exists(starts, lambda i: F.slice(tokens, i, m) == needle)
 
 
+#: Tokens of all patterns that an automaton may have: it is sent to every task. More patterns are joined.
+AUTOMATON_TOKENS = 500_000
+
+
+class Automaton:
+    """Patterns of tokens as a tree whose nodes know where to go on after a mismatch: a text's tokens are read once, whatever the patterns."""
+
+    def __init__(self, patterns: list[list[str]]):
+        self.after: list[dict[str, int]] = [{}]
+        self.ends: list[list[int]] = [[]]
+        for number, tokens in enumerate(patterns):
+            at = 0
+            for t in tokens:
+                if t not in self.after[at]:
+                    self.after[at][t] = len(self.after)
+                    self.after.append({})
+                    self.ends.append([])
+                at = self.after[at][t]
+            if tokens:
+                self.ends[at].append(number)
+        self.back, self.shorter = [0] * len(self.after), [0] * len(self.after)
+        level = list(self.after[0].values())
+        while level:
+            deeper = []
+            for node in level:
+                for t, child in self.after[node].items():
+                    at = self.back[node]
+                    while at and t not in self.after[at]:
+                        at = self.back[at]
+                    self.back[child] = self.after[at].get(t, 0)
+                    deeper.append(child)
+                back = self.back[node]  # the longest end that is a tail of this node, without walking through nodes that end nothing
+                self.shorter[node] = back if self.ends[back] else self.shorter[back]
+            level = deeper
+
+    def found(self, tokens: list[str]) -> set[int]:
+        """The numbers of the patterns that stand in the tokens as runs."""
+        out, at, seen = set(), 0, set()
+        for t in tokens:
+            while at and t not in self.after[at]:
+                at = self.back[at]
+            at = end = self.after[at].get(t, 0)
+            while end and end not in seen:
+                seen.add(end)
+                out.update(self.ends[end])
+                end = self.shorter[end]
+        return out
+
+
 def matches(actions: DataFrame, patterns: DataFrame) -> DataFrame:
     """(action_id, stage_id) of actions (action_id, tool, tokens) that hold a pattern (stage_id, tool, tokens) as a run.
 
-    A pattern meets only actions that hold its first token: an equi-join on that token, then the run is verified.
+    Patterns of up to AUTOMATON_TOKENS tokens in all go to every task as one automaton, which reads each action once.
+    More are joined: a pattern meets the actions that hold its first token, by id and tool alone, and the run is
+    verified where an action's tokens are fetched.
     """
-    heads = actions.select("action_id", F.col("tool").alias("action_tool"), F.col("tokens").alias("action_tokens"), F.explode(F.array_distinct("tokens")).alias("head"))
-    p = patterns.where(F.size("tokens") > 0).withColumn("head", F.get("tokens", F.lit(0)))
-    hit = heads.join(p, "head").where((F.col("tool").isNull() | (F.col("tool") == F.col("action_tool"))) & contains_run(F.col("action_tokens"), F.col("tokens")))
+    p = patterns.where(F.size("tokens") > 0).select("stage_id", "tool", "tokens")
+    if (p.agg(F.sum(F.size("tokens"))).first()[0] or 0) <= AUTOMATON_TOKENS:
+        held = p.distinct().toArrow().combine_chunks()
+        kinds = f"action_id {actions.schema['action_id'].dataType.simpleString()}, stage_id {patterns.schema['stage_id'].dataType.simpleString()}"
+        return actions.select("action_id", "tool", "tokens").mapInArrow(_scan(held), kinds).distinct()
+    heads = actions.select("action_id", F.col("tool").alias("action_tool"), F.explode(F.array_distinct("tokens")).alias("head"))
+    met = heads.join(p.withColumn("head", F.get("tokens", F.lit(0))), "head").where("tool is null or tool = action_tool").select("action_id", "stage_id", "tokens")
+    hit = met.join(actions.select("action_id", F.col("tokens").alias("action_tokens")), "action_id").where(contains_run(F.col("action_tokens"), F.col("tokens")))
     return hit.select("action_id", "stage_id").distinct()
 
 
+def _scan(patterns: pa.Table):
+    tools, stages = patterns.column("tool").to_pylist(), patterns.column("stage_id")
+    tokens = patterns.column("tokens").to_pylist()
+
+    def run(batches):
+        automaton = Automaton(tokens)
+        for batch in batches:
+            rows, numbers = [], []
+            for i, (tool, words) in enumerate(zip(batch.column("tool").to_pylist(), batch.column("tokens").to_pylist(), strict=True)):
+                for k in automaton.found(words or []):
+                    if tools[k] is None or tools[k] == tool:
+                        rows.append(i)
+                        numbers.append(k)
+            stage = stages.take(pa.array(numbers, pa.int64())).combine_chunks()
+            stage = stage if isinstance(stage, pa.Array) else pa.concat_arrays(stage.chunks) if stage.num_chunks else pa.array([], stages.type)
+            yield pa.RecordBatch.from_arrays([batch.column("action_id").take(pa.array(rows, pa.int64())), stage], names=["action_id", "stage_id"])
+
+    return run
+
+
 def live_rules(bindings: DataFrame, concepts: DataFrame, supersessions: DataFrame) -> DataFrame:
     """Bindings whose concept isn't retired and that no edge supersedes."""
     kept = bindings.join(concepts.where("status <> 'retired'").select("concept_id"), "concept_id", "left_semi")

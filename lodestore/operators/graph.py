@@ -9,6 +9,8 @@ from lodestore.staging import stage, unstage
 
 #: An entity is a hub, and links nothing, in more concepts than this or in more than this share of them.
 HUB_CONCEPTS, HUB_SHARE, EXEMPT = 50, 0.1, 5
+#: Members of a group that a task pairs with one another or with as many others.
+GROUP_BLOCK = 1000
 
 
 def hub_gate(memberships: DataFrame, concepts: int) -> DataFrame:
@@ -27,11 +29,24 @@ def about_edges(memberships: DataFrame, concepts: int) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), F.sum("weight").alias("weight"))
 
 
+def paired(members: DataFrame, keys: list[str], member: str, block: int = GROUP_BLOCK) -> DataFrame:
+    """(keys, a, b): every two members (a < b) of a group, once, from distinct (keys, member).
+
+    Groups of over `block` members are dealt into parts of about that size, and each two parts are a key of their own:
+    a task meets two parts at a time, however large a group is, at the cost of a copy of a member for each part.
+    """
+    large = members.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > block).select(*keys, F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    t = members.join(large, keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64(member), F.col("parts")).cast("int"))
+    left = t.select(*keys, F.col(member).alias("x"), F.col("part").alias("i"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("j"))
+    right = t.select(*keys, F.col(member).alias("y"), F.explode(F.sequence(F.lit(0), F.col("part"))).alias("i"), F.col("part").alias("j"))
+    met = left.join(right, [*keys, "i", "j"]).where("(i < j and x <> y) or x < y")
+    return met.select(*keys, F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def co_occurrences(rows: DataFrame) -> DataFrame:
     """(a, b, times) of concepts (a < b) in one session of one circle, from (session_id, circle, concept_id)."""
     d = rows.select("session_id", "circle", "concept_id").distinct()
-    a, b = (d.withColumnRenamed("concept_id", n) for n in "ab")
-    return a.join(b, ["session_id", "circle"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("times"))
+    return paired(d, ["session_id", "circle"], "concept_id").groupBy("a", "b").agg(F.count("*").alias("times"))
 
 
 def follows(rows: DataFrame) -> DataFrame:

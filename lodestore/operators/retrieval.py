@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestore.functions.text import lexical_tokens
-from lodestore.staging import stage
+from lodestore.staging import qualified, stage
 
 FLOOR = 0.12
 #: Query vectors that a task holds at once, and vectors that it multiplies with them.
@@ -44,54 +44,79 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-def _best(names: np.ndarray, q: np.ndarray, exclude_self: bool, positive: bool):
+def _block(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    column = table.column(1).combine_chunks()
+    return table.column(0).to_numpy(), _matrix(column, int(column.value_lengths().to_numpy(zero_copy_only=False).max()))
+
+
+def _best(blocks, exclude_self: bool, positive: bool):
+    """For batches of vectors, the best of each concept for each query; `blocks` gives the query blocks one after the other, each time anew."""
+
     def run(batches):
         for batch in (b.slice(i, ROW_BLOCK) for b in batches for i in range(0, b.num_rows, ROW_BLOCK)):
             obs, con = batch.column(0).to_numpy(), batch.column(1).dictionary_encode()
             codes = con.indices.to_numpy()
             order = np.lexsort((obs, codes))
-            obs, codes, x = obs[order], codes[order], _matrix(batch.column(2), q.shape[1])[order]
-            s = q @ x.T
-            drop = ~np.isfinite(s)
-            if exclude_self:
-                drop |= names[:, None] == obs[None]
-            if positive:
-                drop |= (s <= 0) | ~x.any(axis=1)[None]
-            s[drop] = -np.inf
+            obs, codes = obs[order], codes[order]
             starts = np.flatnonzero(np.diff(codes, prepend=-1))
-            top = np.maximum.reduceat(s, starts, axis=1)
             sizes = np.diff(np.append(starts, len(codes)))
-            place = np.where(s == np.repeat(top, sizes, axis=1), np.arange(len(codes))[None], len(codes))
-            at = np.minimum.reduceat(place, starts, axis=1)
-            row, group = np.nonzero(np.isfinite(top))
-            yield pa.RecordBatch.from_arrays([pa.array(names[row]), con.dictionary.take(pa.array(codes[starts][group])), pa.array(obs[at[row, group]]), pa.array(top[row, group])], names=["query_id", "concept_id", "observation_id", "score"])
+            x = None
+            for names, q in blocks():
+                if x is None or x.shape[1] != q.shape[1]:
+                    x = _matrix(batch.column(2), q.shape[1])[order]
+                s = q @ x.T
+                drop = ~np.isfinite(s)
+                if exclude_self:
+                    drop |= names[:, None] == obs[None]
+                if positive:
+                    drop |= (s <= 0) | ~x.any(axis=1)[None]
+                s[drop] = -np.inf
+                top = np.maximum.reduceat(s, starts, axis=1)
+                place = np.where(s == np.repeat(top, sizes, axis=1), np.arange(len(codes))[None], len(codes))
+                at = np.minimum.reduceat(place, starts, axis=1)
+                row, group = np.nonzero(np.isfinite(top))
+                yield pa.RecordBatch.from_arrays([pa.array(names[row]), con.dictionary.take(pa.array(codes[starts][group])), pa.array(obs[at[row, group]]), pa.array(top[row, group])], names=["query_id", "concept_id", "observation_id", "score"])
 
     return run
 
 
+def _filed(folder: str):
+    """Query blocks of a staged folder, a file at a time."""
+
+    def blocks():
+        where, root = fs.FileSystem.from_uri(folder)
+        for f in sorted(x.path for x in where.get_file_info(fs.FileSelector(root)) if x.path.endswith(".parquet")):
+            with where.open_input_file(f) as held:
+                table = pq.read_table(held, columns=["query_id", "embedding"])
+            for i in range(0, table.num_rows, QUERY_BLOCK):
+                yield _block(table.slice(i, QUERY_BLOCK))
+
+    return blocks
+
+
 def best_observations(vectors: DataFrame, queries: DataFrame, exclude_self: bool = False, positive: bool = True) -> DataFrame:
     """(query_id, concept_id, observation_id, score): each concept's best vector for each query, ties to the smaller id.
 
-    vectors: (observation_id, concept_id, embedding); queries: (query_id, embedding), a stated set, written once in
-    blocks of about QUERY_BLOCK; each block is sent to the tasks in turn. A task multiplies its batch with the block
-    and keeps the best of each concept, so what is shuffled is (queries x concepts x tasks), not (queries x vectors).
-    Zero vectors and scores of 0 and less are left out.
+    vectors: (observation_id, concept_id, embedding); queries: (query_id, embedding), a stated set. Up to QUERY_BLOCK
+    queries are sent to the tasks; more are staged in blocks of about that many, and a task reads one block after the
+    other from the shared folder against each of its batches: vectors are scanned once, no task and not the driver
+    holds more than a block. The best of each concept go on, so what is shuffled is (queries x concepts x tasks), not
+    (queries x vectors). Zero vectors and scores of 0 and less are left out.
     """
-    ids = queries.select("query_id", "embedding").where(F.size("embedding") > 0)
-    blocks = -(-ids.count() // QUERY_BLOCK)
+    ids = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding").where(F.size("embedding") > 0)
     kind = vectors.schema["concept_id"].dataType.simpleString()
     schema = f"query_id long, concept_id {kind}, observation_id long, score double"
     rows = vectors.select("observation_id", "concept_id", "embedding").where(F.size("embedding") > 0)
-    held = stage(ids.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(blocks, 1)))).sortWithinPartitions("block"), "queries") if blocks > 1 else ids.withColumn("block", F.lit(0))
-    parts = []
-    for k in range(blocks):
-        block = held.where(F.col("block") == k).select("query_id", "embedding").toArrow()
-        if block.num_rows:
-            column = block.column(1).combine_chunks()
-            q = _matrix(column, int(column.value_lengths().to_numpy(zero_copy_only=False).max()))
-            parts.append(rows.mapInArrow(_best(block.column(0).to_numpy(), q, exclude_self, positive), schema))
-    out = reduce(DataFrame.union, parts) if parts else vectors.sparkSession.createDataFrame([], schema)
-    best = out.groupBy("query_id", "concept_id").agg(F.max(F.struct("score", (-F.col("observation_id")).alias("o"))).alias("m"))
+    few = ids.limit(QUERY_BLOCK + 1).toArrow()
+    if not few.num_rows:
+        return vectors.sparkSession.createDataFrame([], schema)
+    if few.num_rows <= QUERY_BLOCK:
+        held = [_block(few)]
+        found = rows.mapInArrow(_best(lambda: held, exclude_self, positive), schema)
+    else:
+        held = stage(ids.repartition(-(-ids.count() // QUERY_BLOCK)), "queries")
+        found = rows.mapInArrow(_best(_filed(qualified(vectors.sparkSession, held._staged_path)), exclude_self, positive), schema)
+    best = found.groupBy("query_id", "concept_id").agg(F.max(F.struct("score", (-F.col("observation_id")).alias("o"))).alias("m"))
     return best.select("query_id", "concept_id", (-F.col("m.o")).alias("observation_id"), F.col("m.score").alias("score"))
 
 

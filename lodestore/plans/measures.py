@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestore.functions.text import lexical_tokens, summary
-from lodestore.operators import evaluation, ranking, resolution, retrieval
+from lodestore.operators import evaluation, postings, ranking, resolution, retrieval
 from lodestore.plans import search
 from lodestore.sources.tables import CONCEPTS_SQL, OBSERVATIONS_SQL, concepts, day_millis, observations, read, vectors
 from lodestore.staging import stage
@@ -76,8 +76,8 @@ def _cues(spark, sf):
     (c,) = read(spark, sf, "conversations")
     t = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
     probes = t.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.explode(F.array_distinct(search._words(summary(F.col("text"), 100000)))).alias("token"))
-    hits, n, mean = search.bm25_hits(t, "text", probes)
-    return evaluation.bm25(hits, probes, n, mean).withColumn("score", F.round("score", 6))
+    index = postings.build(t.select("doc_id", F.lit(None).alias("label"), "text"))
+    return evaluation.bm25(postings.hits(index, probes), probes, index.documents, index.mean).withColumn("score", F.round("score", 6))
 
 
 def cue_recall(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestore.functions import text as T
 from lodestore.functions import vectors as V
 from lodestore.functions.segments import segmented
-from lodestore.operators import graph, lifecycle, publishing, resolution, retrieval, sync
+from lodestore.operators import folds, graph, lifecycle, publishing, resolution, retrieval, sync
 from lodestore.plans import search
 from lodestore.sources import export
 from lodestore.sources.tables import CONCEPTS_SQL, OBSERVATIONS_SQL, concepts, memberships, observations, read, vectors
@@ -122,9 +122,8 @@ def weighted_merges(spark, sf):
 
 def running_centroids(spark, sf):
     """Each label's centroid as it grew, vector by vector in order of id."""
-    v = vectors(spark, sf).groupBy("concept_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("observation_id", "embedding"))), lambda x: x["embedding"]).alias("all"))
-    t = v.select("concept_id", F.posexplode(V.running_centroid(F.col("all"))).alias("i", "x"))
-    return t.select("concept_id", "i", F.round("x", 5).alias("x"))
+    v = folds.running_centroids(vectors(spark, sf), "concept_id", ["observation_id"], "embedding")
+    return v.select("concept_id", F.posexplode("centroid").alias("i", "x")).select("concept_id", "i", F.round("x", 5).alias("x"))
 
 
 def scrubbed_records(spark, sf):

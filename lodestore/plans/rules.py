@@ -65,8 +65,16 @@ def snapshot_hash(spark, sf):
     return mirror.state_hash(_bindings(spark, sf), ["stage_id"], ["concept_id", "severity"])
 
 
+def skeleton_hashes(spark, sf):
+    """Orders as their customer's skeleton: a digest of its canonical JSON."""
+    (o,) = read(spark, sf, "orders")
+    body = F.concat("o_orderpriority", F.lit('\n"\\'), "o_orderstatus")
+    t = o.select(F.col("o_custkey").alias("circle"), F.col("o_orderkey").cast("string").alias("concept_id"), body.alias("body"), F.when(F.col("o_orderstatus") != "P", F.lit("global")).alias("breadth"))
+    return mirror.skeleton_hash(t, ["circle"])
+
+
 _B = "b as (select o_orderkey as id, o_custkey as stage_id, case when o_orderpriority = '1-URGENT' then 'blocking' else 'advice' end as severity, o_orderstatus as st, o_totalprice as p, o_orderdate as made from orders)"
-QUERIES = {f.__name__: f for f in (gate_matches, stage_rules, gate_coverage, constraint_violations, verdicts, snapshot_hash)}
+QUERIES = {f.__name__: f for f in (gate_matches, stage_rules, gate_coverage, constraint_violations, verdicts, snapshot_hash, skeleton_hashes)}
 ORACLE = {
     "gate_matches": """with a as (select p_partkey as action_id, lower(p_type) as tool, ' ' || lower(p_name) || ' ' || lower(p_brand) || ' ' as t from part), s as (
   select distinct split_part(lower(p_name), ' ', -1) as w, lower(p_brand) as b, lower(p_type) as tool from part)
@@ -75,5 +83,6 @@ select distinct action_id, w || '/' || b || '/' || s.tool as stage_id from a joi
     "gate_coverage": f"with {_B} select severity, count(distinct stage_id) as stages, count(*) as rules, count(*) filter (not p > 450000) as untagged from b group by 1",
     "constraint_violations": f"with {_B}, v as (select 'blocking-needs-declaration' as broken from b where severity = 'blocking' and st <> 'F' union all select 'agent-needs-model' from b where (p > 400000) <> (p > 450000)) select broken, count(*) as n from v group by 1",
     "verdicts": "select l_partkey as subject_concept_id, arg_max(l_returnflag, (l_shipdate, l_orderkey, l_linenumber, l_suppkey)) as verdict from lineitem group by 1",
+    "skeleton_hashes": r"""select o_custkey as circle, sha256('[' || string_agg('{"conceptId":"' || o_orderkey || '","body":"' || o_orderpriority || '\n\"\\' || o_orderstatus || '","breadth":' || case when o_orderstatus <> 'P' then '"global"' else 'null' end || '}', ',' order by o_orderkey::varchar) || ']') as digest, count(*) as members from orders group by 1""",
     "snapshot_hash": f"with {_B} select stage_id, sha256('[' || string_agg('{{\"concept_id\":' || id || ',\"severity\":\"' || severity || '\"}}', ',' order by id) || ']') as digest, count(*) as rows from b group by 1",
 }

@@ -43,13 +43,13 @@ def nominate_loo(spark, sf):
 
 
 def search_recall_loo(spark, sf):
-    """Recall at 1, 3 and 5 and mean reciprocal rank of the home concept, each vector searched without itself."""
+    """Recall at 1, 3, 5 and 10 and mean reciprocal rank of the home concept, each vector searched without itself."""
     _, q, best = _replayed(spark, sf)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "concept_id")
-    ranked = best.withColumn("r", F.row_number().over(w)).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "concept_id"))), lambda x: x["concept_id"]).alias("ids"))
-    t = ranked.join(q.select("query_id", F.array("home").alias("gold")), "query_id")
-    cols = [F.round(F.avg(evaluation.recall_at(F.col("ids"), F.col("gold"), k)), 6).alias(f"recall_at_{k}") for k in (1, 3, 5)]
-    return t.agg(F.count("*").alias("queries"), *cols, F.round(F.avg(evaluation.reciprocal_rank(F.col("ids"), F.col("gold"))), 6).alias("mrr"))
+    ranked = best.withColumn("r", F.row_number().over(w)).join(q.select("query_id", "home"), "query_id")
+    own = ranked.groupBy("query_id").agg(F.min(F.when(F.col("concept_id") == F.col("home"), F.col("r"))).alias("r"))
+    cols = [F.round(F.avg(F.coalesce(F.col("r") <= k, F.lit(False)).cast("double")), 6).alias(f"recall_at_{k}") for k in (1, 3, 5, 10)]
+    return own.agg(F.count("*").alias("queries"), *cols, F.round(F.avg(F.coalesce(1 / F.col("r"), F.lit(0.0))), 6).alias("mrr"))
 
 
 def tau_sweep(spark, sf):
@@ -134,22 +134,6 @@ def _words(c):
     return F.array_remove(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9\\s]", " "), "\\s+"), "")
 
 
-def bm25_hits(rows, column, probes):
-    """(doc_id, token, tf, dl) of the probes' tokens, counted inside each row, and the number and mean length of rows (doc_id, column).
-
-    Lengths and hits come from one pass: a row keeps only words that are asked for.
-    """
-    few = [r[0] for r in probes.select("token").distinct().limit(retrieval.PROBE_TOKENS + 1).collect()]
-    t = rows.select("doc_id", _words(F.col(column)).alias("w"))
-    if len(few) > retrieval.PROBE_TOKENS:
-        words = t.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("token")).join(probes.select("token").distinct(), "token", "left_semi")
-    else:
-        words = t.select("doc_id", F.size("w").alias("dl"), F.explode(F.filter("w", lambda x: x.isin(few) if few else F.lit(False))).alias("token"))
-    hits = stage(words.groupBy("doc_id", "token", "dl").agg(F.count("*").alias("tf")), "hits")
-    n, mean = t.agg(F.count("*"), F.avg(F.size("w"))).first()
-    return hits, n, mean
-
-
 def bm25_top(spark, sf):
     """The ten best documents of each benchmark text by BM25, from a stored index whose blocks are scored from the highest bound down."""
     t = texts(spark, sf).select(F.col("observation_id").alias("doc_id"), F.lit(None).alias("label"), F.col("content").alias("text"))
@@ -197,7 +181,7 @@ ORACLE = {
     "search_recall_loo": f"""with {_BEST}, k as (select *, row_number() over (partition by query_id order by score desc, concept_id) as p from best), f as (
   select query_id, min(case when concept_id = home then p end) as p from k group by 1)
 select count(*) as queries, round(avg((coalesce(p, 99) <= 1)::int), 6) as recall_at_1, round(avg((coalesce(p, 99) <= 3)::int), 6) as recall_at_3, round(avg((coalesce(p, 99) <= 5)::int), 6) as recall_at_5,
-  round(avg(coalesce(1.0::double / p, 0)), 6) as mrr from f""",
+  round(avg((coalesce(p, 99) <= 10)::int), 6) as recall_at_10, round(avg(coalesce(1.0::double / p, 0)), 6) as mrr from f""",
     "tau_sweep": f"""with {_BEST} select tau, round(avg((score >= tau and concept_id = home)::int), 6) as correct, round(avg((score >= tau and concept_id <> home)::int), 6) as wrong, round(avg((score < tau)::int), 6) as fork
 from nom, (select unnest([{", ".join(f"{t}::double" for t in TAUS)}]) as tau) group by tau""",
     "concept_centroids": f"with {_V}, {_MEAN} select c as concept_id, (generate_subscripts(x, 1) - 1)::int as i, round(unnest(x), 6) as x from centroid",

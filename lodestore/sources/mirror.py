@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestore.sources.commit import create_once, names, remove, text_of
@@ -17,6 +17,25 @@ def state_hash(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     return t.select(*by, F.sha2(F.to_json("s").cast("binary"), 256).alias("digest"), F.size("s").cast("long").alias("rows"))
 
 
+#: Control characters whose escapes have a letter among their digits, which stands in lower case here.
+LETTERED = ("000B", "000E", "000F", "001A", "001B", "001C", "001D", "001E", "001F")
+
+
+def canonical_json(value: Column) -> Column:
+    """JSON without blanks, fields in the order they have, nulls written, escapes with lower-case digits."""
+    out = F.to_json(value, {"ignoreNullFields": "false"})
+    for code in LETTERED:
+        out = F.regexp_replace(out, rf"(?<!\\)((?:\\\\)*)\\u{code}", rf"$1\\u{code.lower()}")
+    return out
+
+
+def skeleton_hash(members: DataFrame, by: list[str]) -> DataFrame:
+    """(by, digest, members): sha256 of each group's members (concept_id, body, breadth) as canonical JSON, in the order of the ids' UTF-16 code units. Groups are bounded: a skeleton's members."""
+    row = F.struct(F.encode("concept_id", "UTF-16BE").alias("at"), F.struct(F.col("concept_id").alias("conceptId"), "body", "breadth").alias("m"))
+    t = members.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["m"]).alias("s"))
+    return t.select(*by, F.sha2(canonical_json(F.col("s")).cast("binary"), 256).alias("digest"), F.size("s").cast("long").alias("members"))
+
+
 def _lines(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct("*")).alias("value"))
 

@@ -12,6 +12,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from lodestore.staging import qualified
+
 #: Bytes looked through at once, more while a line is longer; bytes of a file that a batch goes on by; bytes of a task.
 CHUNK, A_BATCH, A_TASK = 1 << 20, 64 << 20, 32 << 20
 #: Lines of a record batch.
@@ -185,13 +187,6 @@ class SpoolTail(DataSource):
         return _Tail(dict(self.options))
 
 
-def qualified(spark: SparkSession, path: str) -> str:
-    """The path with its scheme, as Arrow's file systems take it."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    uri = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
-    return "file://" + uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
-
-
 def read_tail(spark: SparkSession, path: str, version: int, cursor: str | None = None, bytes_a_trigger: int = A_BATCH) -> DataFrame:
     """The stream of a spool's lines."""
     spark.dataSource.register(SpoolTail)
