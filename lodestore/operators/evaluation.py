@@ -168,3 +168,14 @@ def pin_verdict(population: DataFrame, width: int) -> DataFrame:
     """What a pinned width makes of a population (one row: scored, malformed, least_width, most_width)."""
     w = F.when(F.col("scored") == 0, "empty").when(F.col("malformed") > 0, "malformed").when(F.col("least_width") != F.col("most_width"), "mixed").when(F.col("most_width") != width, "other-width")
     return population.select("scored", "malformed", F.coalesce(w, F.lit("sound")).alias("verdict"))
+
+
+def population(rows: DataFrame, first: int = 20) -> DataFrame:
+    """One row on (id, embedding): live rows, scored, zero ones, the widths of whole vectors, malformed ones (null, or with a null or not finite component) and the first ids of those."""
+    sound = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    t = rows.select("id", F.coalesce(sound, F.lit(False)).alias("sound"), F.forall("embedding", lambda x: x == 0).alias("zero"), F.size("embedding").alias("width"))
+    good = F.col("sound")
+    widths = F.array_join(F.array_sort(F.collect_set(F.when(good, F.col("width")))), ",")
+    whole = t.agg(F.count("*").alias("live"), F.count_if(good & ~F.col("zero")).alias("scored"), F.count_if(good & F.col("zero")).alias("zero"), widths.alias("widths"), F.count_if(~good).alias("malformed"))
+    few = t.where(~good).orderBy("id").limit(first).agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("first_malformed"))
+    return whole.crossJoin(few)

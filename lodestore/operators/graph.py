@@ -9,6 +9,8 @@ from lodestore.staging import stage, unstage
 
 #: An entity is a hub, and links nothing, in more concepts than this or in more than this share of them.
 HUB_CONCEPTS, HUB_SHARE, EXEMPT = 50, 0.1, 5
+#: Fixed value: links that a walk along supersessions goes at most.
+WALK_CAP = 1000
 #: Members of a group that a task pairs with one another or with as many others.
 GROUP_BLOCK = 1000
 
@@ -143,6 +145,53 @@ def on_cycles(links: DataFrame) -> DataFrame:
     return now.join(ends, "src", "left_semi").select(F.col("src").alias("node"), F.col("low").alias("cycle"))
 
 
+def cycle_paths(links: DataFrame) -> DataFrame:
+    """(cycle, place, node): each circle's nodes in order from its least one, by ranking them with doubled pointers."""
+    rings = on_cycles(links)
+    back = links.join(rings.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node"), F.col("src").alias("prev"))
+    starts = F.col("node") == F.col("cycle")
+    now = stage(rings.join(back, "node").select("node", "cycle", F.when(~starts, F.col("prev")).alias("prev"), F.when(starts, 0).otherwise(1).cast("long").alias("place")), "ranks")
+    while not now.where("prev is not null").isEmpty():
+        far = now.select(F.col("node").alias("prev"), F.col("prev").alias("far"), F.col("place").alias("more"))
+        then = stage(now.join(far, "prev", "left").select("node", "cycle", F.col("far").alias("prev"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place")), "ranks")
+        unstage(now)
+        now = then
+    return now.select("cycle", "place", "node")
+
+
+def ancestors(links: DataFrame, asked: DataFrame, most: int = WALK_CAP) -> DataFrame:
+    """`asked` (node, up, and more) with `found`: the node that lies up to `most` links on from each, null past an end. Pointers are doubled once and taken where `up` has a bit."""
+    t, jump = asked.withColumn("found", F.col("node")), stage(links.select("src", "dst"), "jumps")
+    for bit in range(most.bit_length()):
+        step = jump.select(F.col("src").alias("found"), F.col("dst").alias("__next"))
+        t = t.join(step, "found", "left").withColumn("found", F.when(F.col("up").bitwiseAND(F.lit(1 << bit)) == 0, F.col("found")).otherwise(F.col("__next"))).drop("__next")
+        if 1 << (bit + 1) <= most:
+            jump = stage(jump.join(jump.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst")), "jumps")
+    return t
+
+
+def cycle_verdicts(links: DataFrame, proposals: DataFrame, cap: int = WALK_CAP) -> tuple[DataFrame, DataFrame]:
+    """What each proposed link (src, dst) would do to links where each src has one dst, and the circles' paths.
+
+    (src, dst, verdict, hops): `cycle` if fewer than `cap` links lead from dst to src, else `cap` if the walk from dst
+    doesn't end within them (a circle never does), else `safe`; hops of a circle count the proposed link. The paths
+    (src, dst, place, node) begin and end with src.
+    """
+    ends = chain_ends(links)
+    depth = lambda name: ends.select(F.col("src").alias(name), F.col("hops").alias(f"{name}_hops"), F.col("cyclic").alias(f"{name}_cyclic"))
+    t = proposals.select("src", "dst").distinct().join(depth("src"), "src", "left").join(depth("dst"), "dst", "left").na.fill({"src_hops": 0, "dst_hops": 0, "src_cyclic": False, "dst_cyclic": False})
+    apart = F.when(F.col("dst_cyclic") | F.col("src_cyclic"), F.lit(-1)).otherwise(F.col("dst_hops") - F.col("src_hops"))
+    t = stage(t.withColumn("up", F.when(F.col("src") == F.col("dst"), F.lit(0)).otherwise(apart).cast("long")), "proposals")
+    near = ancestors(links, t.where((F.col("up") >= 0) & (F.col("up") < cap)).select("src", "dst", "up", F.col("dst").alias("node")), cap)
+    met = stage(near.where("found = src").select("src", "dst", "up", F.lit(True).alias("met")), "met")
+    ring = F.coalesce("met", F.lit(False))
+    verdict = F.when(ring, "cycle").when(F.col("dst_cyclic") | (F.col("dst_hops") >= cap), "cap").otherwise("safe")
+    said = t.join(met.drop("up"), ["src", "dst"], "left").select("src", "dst", verdict.alias("verdict"), F.when(ring, F.col("up") + 1).alias("hops"))
+    steps = met.select("src", "dst", F.col("dst").alias("node"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("up"))).alias("up"))
+    path = ancestors(links, steps, cap).select("src", "dst", (F.col("up") + 1).alias("place"), F.col("found").alias("node"))
+    return said, path.union(met.select("src", "dst", F.lit(0).cast("long").alias("place"), F.col("src").alias("node")))
+
+
 def without_support(edges: DataFrame, memberships: DataFrame) -> DataFrame:
     """Edges (a, b) whose concepts no longer share an entity.
 

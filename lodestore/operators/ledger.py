@@ -82,3 +82,17 @@ def counts(disposition: Column, rule_ids: Column) -> list[Column]:
         F.count_if(disposition == "ungoverned").alias("ungoverned"),
         F.count("*").alias("total"),
     ]
+
+
+def circle_counts(moments: DataFrame) -> DataFrame:
+    """Per circle the counts of its opened moments by what the gate did: null rules weren't evaluated, an empty list is silence.
+
+    moments: (opened, circle, rule_ids, delivered_rule_ids). Moments of no circle stand in the row of the null circle,
+    whose total is the unattributed; in it too, since they have no circle either, those never opened.
+    """
+    opened, rules, given = F.col("opened"), F.size("rule_ids"), F.size("delivered_rule_ids")
+    t = moments.withColumn("circle", F.when(opened, F.col("circle")))
+    return t.groupBy("circle").agg(
+        F.count_if(opened & F.col("rule_ids").isNotNull() & (rules > 0)).alias("fires"), F.count_if(opened & F.col("rule_ids").isNotNull() & (rules == 0)).alias("silences"), F.count_if(opened & F.col("rule_ids").isNull()).alias("ungoverned"),
+        F.count_if(opened & F.col("delivered_rule_ids").isNotNull() & (given > 0)).alias("delivered"), F.count_if(opened).alias("total"), F.count_if(~opened).alias("unopened"),
+    )

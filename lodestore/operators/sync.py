@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestore.operators.graph import on_cycles
@@ -72,6 +72,39 @@ def payload(tables: dict[str, tuple[DataFrame, str]], since: int, protocol: int,
     return reduce(DataFrame.union, parts)
 
 
+_PAYLOAD = "protocol int, embedder string, since long, `table` string, id string, row string"
+
+
+def write_payload(rows: DataFrame, path: str) -> None:
+    """A payload as files of JSON lines, a folder a table."""
+    rows.withColumn("part", F.col("table")).write.partitionBy("part").json(path)
+
+
+def read_payload(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a payload's files."""
+    return spark.read.schema(_PAYLOAD).json(path).select("protocol", "embedder", "since", "table", "id", "row")
+
+
+def graft_payload(rows: DataFrame, held: dict[str, DataFrame], key: str, protocol: int, embedder: str) -> DataFrame:
+    """What becomes of each of a payload's rows for the tables that a replica holds, which have one schema.
+
+    (table, verdict, and the row's columns): inserted, there (its key is held), repeated (not the first row of its key
+    in the payload), malformed (no JSON of the schema, or without a key), or refused (a newer protocol, another embedder).
+    """
+    parts = []
+    for name, table in held.items():
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema)
+        t = rows.where(F.col("table") == name).select("table", "protocol", "embedder", F.from_json("row", f"{kinds}, `__bad` string", {"columnNameOfCorruptRecord": "__bad"}).alias("r"))
+        t = t.select("table", "protocol", "embedder", "r.*")
+        bad = F.col("__bad").isNotNull() | F.col(key).isNull()
+        refused = (F.col("protocol") > protocol) | (F.col("embedder") != embedder)
+        one = F.row_number().over(Window.partitionBy(key, bad).orderBy(F.to_json(F.struct(*table.columns)))) > 1
+        t = t.withColumn("__again", one).join(table.select(key, F.lit(True).alias("__held")).distinct(), key, "left")
+        verdict = F.when(refused, "refused").when(bad, "malformed").when(F.col("__held"), "there").when(F.col("__again"), "repeated").otherwise("inserted")
+        parts.append(t.withColumn("verdict", verdict).select("table", "verdict", *table.columns))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def acyclic(edges: DataFrame) -> DataFrame:
     """Of supersessions (id, src, dst, created_at; one dst a src) those that can be grafted in order of time and id without closing a circle.
 

@@ -87,7 +87,8 @@ def _spool_lines(spark, sf):
     return e.select(F.to_json(F.struct(
         F.lit(1).alias("v"), user.alias("runId"), F.col("event_id").alias("seq"),
         F.when(kind == "click", "interception").when(kind == "view", "read").when(kind.isin("purchase", "error"), "outcome").otherwise("answer").alias("kind"),
-        F.when(kind != "purchase", moment).alias("momentId"), F.when(kind.isin("click", "purchase"), tool).alias("toolUseId"), at.alias("at"), rules.alias("ruleIds"), F.lit("advised").alias("disposition"),
+        F.when(kind != "purchase", moment).alias("momentId"), F.when(kind.isin("click", "purchase"), tool).alias("toolUseId"), at.alias("at"), rules.alias("ruleIds"),
+        F.when(F.col("user_id") % 10 != 0, F.concat(F.lit("c"), F.col("user_id") % 3)).alias("circle"), F.when(k % 4 == 1, F.array().cast("array<string>")).when(k % 4 > 1, F.array(F.lit("0"))).alias("deliveredRuleIds"), F.lit("advised").alias("disposition"),
         (k % 5).cast("string").alias("ruleId"), at.alias("readAt"), at.alias("outcomeAt"), status.alias("outcomeStatus"), F.lit("s").alias("outcomeSha256"),
         F.when(F.col("value") > 50, "followed").otherwise("not-followed").alias("answer"),
     )).alias("value"))
@@ -116,6 +117,12 @@ def stream_moments(spark, sf):
     return _moments_told(moments.run(spark, f"{base}/in", f"{base}/ledger")[0])
 
 
+def circle_moments(spark, sf):
+    """Each circle's moments by what the gate did, with those of no circle and those never opened in a row of their own."""
+    t = moments.batch(spool.parse(_spool_lines(spark, sf)).withColumnRenamed("runId", "run_id"))[0]
+    return ledger.circle_counts(t.withColumn("opened", F.col("state") != "unopened"))
+
+
 def unmet_outcomes(spark, sf):
     """Outcomes by tool use that no interception has met, in the batch fold."""
     return moments.batch(spool.parse(_spool_lines(spark, sf)).withColumnRenamed("runId", "run_id"))[1]
@@ -158,6 +165,19 @@ def delta_graft(spark, sf):
     return a.crossJoin(again.agg(F.count("*").alias("inserted_again")))
 
 
+def payload_grafted(spark, sf):
+    """A payload of orders and customers written to files, read back and grafted onto a replica that has some of them: new rows by table, and none when it is grafted again."""
+    import uuid
+
+    o, c = read(spark, sf, "orders", "customer")
+    o = o.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), day_millis("o_orderdate").alias("updated_at"))
+    c = c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("status"), (F.lit(867715200000) + F.col("c_nationkey") - 12).alias("updated_at"))
+    path = f"{shared_dir(spark)}/payload-{uuid.uuid4().hex}"
+    sync.write_payload(sync.payload({"orders": (o, "id"), "customers": (c, "id")}, 867715200000, 2, "own"), path)
+    held = {"orders": o.where("id % 4 = 0"), "customers": c.where("id % 3 = 0")}
+    return sync.graft_payload(sync.read_payload(spark, path), held, "id", 2, "own").groupBy("table", "verdict").agg(F.count("*").alias("rows"), F.sum(F.length("status")).alias("chars"))
+
+
 def merged_activity(spark, sf):
     """Customers merged by nation: balances summed, the latest order and the largest total carried."""
     c, o = read(spark, sf, "customer", "orders")
@@ -180,7 +200,7 @@ _MOMENTS = f"""with {_R}, x as (select *, lpad(seq::varchar, 12, '0') as w, run_
 ), m as (select distinct moment_id from x where event_type <> 'purchase')
 select m.moment_id, case when i.moment_id is null then 'unopened' when outcome_at is null then 'pending' else 'closed' end as state, outcome_at, outcome_status, tool_use_id, array_to_string(rule_ids, '|') as rules,
   coalesce(reads, 0)::bigint as reads, coalesce(late, 0)::bigint as late, answer, coalesce(conflict, false) as conflict from m left join i using (moment_id) left join o using (moment_id) left join rd using (moment_id) left join a using (moment_id)"""
-QUERIES = {f.__name__: f for f in (ledger_gaps, gap_totals, first_fields, late_reads, outcome_states, moment_counts, loss_report, stream_counts, moment_states, stream_moments, unmet_outcomes, last_writers, grow_only_counts, union_refs, alive_keys, delta_graft, merged_activity)}
+QUERIES = {f.__name__: f for f in (ledger_gaps, gap_totals, first_fields, late_reads, outcome_states, moment_counts, loss_report, stream_counts, moment_states, stream_moments, circle_moments, unmet_outcomes, last_writers, grow_only_counts, union_refs, alive_keys, delta_graft, payload_grafted, merged_activity)}
 ORACLE = {
     "ledger_gaps": f"with {_G} select * from g",
     "gap_totals": f"with {_G} select run_id, count(*) as gaps, sum(gap_to - gap_from + 1)::bigint as missing from g group by 1",
@@ -194,11 +214,17 @@ select moment_id, rule_id, read_at, coalesce(read_at > outcome, false) as late f
     "stream_counts": "select event_type as kind, count(*) as records, count(distinct user_id) as runs from events group by 1",
     "moment_states": _MOMENTS,
     "stream_moments": _MOMENTS,
+    "circle_moments": f"""with {_R}, i as (select moment_id, any_value(case when run_id % 10 <> 0 then 'c' || run_id % 3 end) as circle, arg_min(case k % 3 when 1 then 0 else 3 end, seq) filter (k % 3 <> 0) as rules, arg_min(case k % 4 when 1 then 0 else 1 end, seq) filter (k % 4 <> 0) as given from r where event_type = 'click' group by 1
+), m as (select distinct moment_id from r where event_type <> 'purchase'), t as (select i.moment_id is not null as opened, circle, rules, given from m left join i using (moment_id))
+select circle, count(*) filter (opened and rules > 0) as fires, count(*) filter (opened and rules = 0) as silences, count(*) filter (opened and rules is null) as ungoverned, count(*) filter (opened and given > 0) as delivered, count(*) filter (opened) as total, count(*) filter (not opened) as unopened from t group by 1""",
     "unmet_outcomes": f"with {_R} select run_id || ':' || k as tool_use_id, lpad(min(seq)::varchar, 12, '0') as outcome_at, arg_min(case when value > 50 then 'ok' else 'failed' end, seq) as outcome_status from r where event_type = 'purchase' and run_id || ':' || k not in (select run_id || ':' || k from r where event_type = 'click') group by 1",
     "last_writers": "select o_custkey as id, max(epoch_ms(o_orderdate)) as sync_revision, arg_max(o_orderkey, (o_orderdate, o_orderkey)) as writer_id, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) as status from orders group by 1",
     "grow_only_counts": "select id, sum(n)::bigint as count from (select l_partkey as id, l_suppkey, max(l_linenumber) as n from lineitem group by 1, 2) group by 1",
     "union_refs": "select o_custkey as id, array_to_string(list_sort(list(distinct o_orderpriority)), '|') as refs from orders group by 1",
     "alive_keys": "select user_id from events group by 1 having arg_max(event_type, event_id) <> 'error'",
     "delta_graft": "select o_orderstatus, count(*) as inserted, 0::bigint as inserted_again from orders where epoch_ms(o_orderdate) >= 867715200000 and o_orderpriority <> '5-LOW' group by 1",
+    "payload_grafted": """select 'orders' as "table", 'inserted' as verdict, count(*) as rows, sum(length(o_orderstatus))::bigint as chars from orders where epoch_ms(o_orderdate) >= 867715200000 and o_orderkey % 4 <> 0
+union all select 'orders', 'there', count(*), sum(length(o_orderstatus))::bigint from orders where epoch_ms(o_orderdate) >= 867715200000 and o_orderkey % 4 = 0
+union all select 'customers', case when c_custkey % 3 = 0 then 'there' else 'inserted' end, count(*), sum(length(c_mktsegment))::bigint from customer where c_nationkey >= 12 group by 2""",
     "merged_activity": "select c_nationkey, round(sum(c_acctbal), 2) as usefulness, max(last) as last, round(max(top), 2) as arousal from customer left join (select o_custkey, max(epoch_ms(o_orderdate)) as last, max(o_totalprice) as top from orders group by 1) on o_custkey = c_custkey group by 1",
 }

@@ -50,6 +50,18 @@ def fork_overrides(spark, sf):
     return t.select("query_id", d["action"].alias("action"), d["mode"].alias("mode"))
 
 
+def _profiled(spark, sf):
+    d = search._resolved(spark, sf, *resolution.PROFILES["hashing"][:2]).join(search.nominate_loo(spark, sf).select("query_id", "concept_id"), "query_id", "left")
+    return d.withColumns({"kind": F.when(F.col("query_id") % 100 == 0, "rule").otherwise("fact"), "home_kind": F.when(F.col("concept_id") % 2 == 0, "rule").otherwise("fact"), "stage": F.col("query_id") % 3, "home_stage": F.col("concept_id") % 3})
+
+
+def resolved_by_profile(spark, sf):
+    """Every stated query by the hashing embedder's bands, then by kind and stage: decision and override as one chain."""
+    t = _profiled(spark, sf)
+    d = resolution.overridden(F.col("action"), F.col("mode"), F.col("kind"), F.col("home_kind"), F.col("stage"), F.col("home_stage"), [("fact", "fact"), ("rule", "rule")])
+    return t.select("query_id", F.col("mode").alias("band"), d["action"].alias("action"), d["mode"].alias("mode"))
+
+
 def directed_ingest(spark, sf):
     """attachTo and forceNew go before the bands, and exclude each other."""
     t = search._resolved(spark, sf)
@@ -184,7 +196,7 @@ _DAY14 = 14.0 * 86_400_000
 QUERIES = {
     f.__name__: f
     for f in (
-        search_composed, fork_overrides, directed_ingest, first_receipts, contradiction_queue, contradictions_resolved, disputes, duplicate_queue, dirty_worklist, overview, stale_concepts, entity_concepts, lifecycle_hops, circle_fold, detached,
+        search_composed, fork_overrides, resolved_by_profile, directed_ingest, first_receipts, contradiction_queue, contradictions_resolved, disputes, duplicate_queue, dirty_worklist, overview, stale_concepts, entity_concepts, lifecycle_hops, circle_fold, detached,
         merged_concepts, circle_changes, segment_budgets,
     )
 }
@@ -207,6 +219,9 @@ select query_id, c as concept_id, o as observation_id, round(score, 6) as score,
     "fork_overrides": f"""with {search._RES}, w as (select r.query_id, n.concept_id as c from r left join nom n using (query_id))
 select query_id, case when (query_id % 100 = 0) <> (c % 2 = 0) or (query_id % 100 = 0 and query_id % 3 <> c % 3) then 'created' else 'attached' end as action,
   case when (query_id % 100 = 0) <> (c % 2 = 0) then 'species-fork' when query_id % 100 = 0 and query_id % 3 <> c % 3 then 'stage-fork' else 'attach' end as mode from w""",
+    "resolved_by_profile": f"""with {search._RES.replace("0.55", "0.55::double").replace("0.25", "0.40::double")}, w as (select r.query_id, r.action, r.mode, n.concept_id as c from r left join nom n using (query_id)), x as (
+  select *, action = 'attached' and (query_id % 100 = 0) <> (c % 2 = 0) as other, action = 'attached' and query_id % 100 = 0 and query_id % 3 <> c % 3 as away from w)
+select query_id, mode as band, case when other or away then 'created' else action end as action, case when other then 'species-fork' when away then 'stage-fork' else mode end as mode from x""",
     "directed_ingest": f"""with {search._RES} select query_id, case when query_id % 600 = 0 then 'refused' when query_id % 200 = 0 then 'attached' when query_id % 300 = 0 then 'created' else action end as action,
   case when query_id % 600 = 0 then 'exclusive' when query_id % 200 = 0 then 'attach-to' when query_id % 300 = 0 then 'force-new' else mode end as mode from r""",
     "first_receipts": "select user_id || '-' || event_type as operation_id, min(event_id) as id from events group by 1",

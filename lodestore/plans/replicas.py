@@ -11,6 +11,7 @@ from lodestore.operators import folds, graph, lifecycle, publishing, resolution,
 from lodestore.plans import search
 from lodestore.sources import export
 from lodestore.sources.tables import CONCEPTS_SQL, OBSERVATIONS_SQL, concepts, memberships, observations, read, vectors
+from lodestore.staging import stage
 
 DAY = 867_715_200_000
 
@@ -58,6 +59,31 @@ def supersession_circles(spark, sf):
     return graph.on_cycles(_supersessions(spark, sf)).groupBy("cycle").agg(F.count("*").alias("length"))
 
 
+def supersession_paths(spark, sf):
+    """The circles among supersessions, node by node from the least."""
+    return graph.cycle_paths(_supersessions(spark, sf))
+
+
+def _proposed(spark, sf):
+    """Supersessions without circles, and new ones proposed: those that would close them, and others."""
+    s = stage(_supersessions(spark, sf), "supersessions")
+    kept = stage(sync.acyclic(s).select("src", "dst"), "kept")
+    others = s.where("src % 3 = 0").select("src", (F.col("src") * 11 % 97 + 1).alias("dst"))
+    return kept, s.select("src", "dst").join(kept, ["src", "dst"], "left_anti").union(others)
+
+
+def supersession_verdicts(spark, sf):
+    """Whether a proposed supersession would close a circle, within the cap on a walk."""
+    kept, new = _proposed(spark, sf)
+    return graph.cycle_verdicts(kept, new)[0]
+
+
+def proposed_circles(spark, sf):
+    """The circles that proposed supersessions would close, node by node."""
+    kept, new = _proposed(spark, sf)
+    return graph.cycle_verdicts(kept, new)[1]
+
+
 def acyclic_graft(spark, sf):
     """Supersessions that a graft takes: all but the last of each circle."""
     return sync.acyclic(_supersessions(spark, sf)).select("id", "dst")
@@ -234,6 +260,10 @@ def segment_sizes(spark, sf):
 _REL = f"""{search._V.replace('list_transform(embedding, lambda x: x::double)', 'list_reverse(list_transform(embedding, lambda x: x::double))')}, {search._MEAN}, p as (select a.c as src, b.c as dst, round(list_dot_product(a.x, b.x), 6) as score from centroid a join centroid b on a.c <> b.c
 ), k as (select *, row_number() over (partition by src order by score desc, dst) as r from p where score >= -0.05 and score < 0.9)"""
 _SUP = "e as (select * from (select p_partkey as id, p_partkey as src, (p_partkey * 7 + p_size * 13) % (select max(p_partkey) from part) + 1 as dst, p_size as made from part) where src <> dst), walk as (select src, dst as node from e union select w.src, e.dst from walk w join e on e.src = w.node), ring as (select src as node, (select min(w2.node) from walk w2 where w2.src = w.src) as cycle from walk w where w.src = w.node)"
+_NEW = """lost as (select arg_max(id, (made, id)) as id from e join ring on src = ring.node group by cycle), k as (select src, dst from e where id not in (select id from lost)
+), pr as (select src, dst from e where id in (select id from lost) union select src, src * 11 % 97 + 1 from e where src % 3 = 0
+), wk as (select src, dst, dst as node, 0::bigint as up from pr union all select w.src, w.dst, k.dst, w.up + 1 from wk w join k on k.src = w.node where w.up < 1000
+), m as (select src, dst, min(up) as up from wk where node = src and up < 1000 group by 1, 2)"""
 _PG = """pg as (select p_partkey as concept_id, p_partkey // 500 as circle, p_name, case when p_partkey % 11 = 3 then 'redacted-email-' || (p_partkey - 1) when p_size % 5 = 0 then 'a' || (p_size % 10) || '@x.org' else replace(p_name, ' ', '-') end as slug from part{where}
 ), nm as (select *, case when slug like 'a%@x.org' then 'redacted-email' else slug end as base from pg
 ), kk as (select *, row_number() over (partition by circle, base order by concept_id) = 1 as plain, rtrim(left(base, 51), '-') || '-' || left(concept_id::varchar, 8) as longer from nm
@@ -248,7 +278,7 @@ _BODY_TEXT = "'Of ' || p_name || ' supersedes: #' || {to} || ' and [redacted-pat
 QUERIES = {
     f.__name__: f
     for f in (
-        dismissals, dirty_marks, payload_rejects, delta_payload, supersession_circles, acyclic_graft, migrated_edges, grafted_duplicates, kept_observations, source_rows, bounded_texts, parsed_vectors, weighted_merges, running_centroids, scrubbed_records,
+        dismissals, dirty_marks, payload_rejects, delta_payload, supersession_circles, supersession_paths, supersession_verdicts, proposed_circles, acyclic_graft, migrated_edges, grafted_duplicates, kept_observations, source_rows, bounded_texts, parsed_vectors, weighted_merges, running_centroids, scrubbed_records,
         scrubbed_slugs, scrubbed_bodies, kept_entities, published_tables, publishable_rows, purge_report, induced_edges, topic_pages, topic_index, asserted_edges, session_states, segment_sizes,
     )
 }
@@ -260,6 +290,9 @@ ORACLE = {
     "delta_payload": f"""with {OBSERVATIONS_SQL}, t as (select 'observations' as "table", observation_id as id, '{{"observation_id":' || observation_id || ',"concept_id":' || concept_id || ',"updated_at":' || created_at || '}}' as row from obs where created_at >= {DAY}
   union all select 'concepts', c_custkey, '{{"concept_id":' || c_custkey || ',"updated_at":' || ({DAY} + c_nationkey - 12) || '}}' from customer where c_nationkey >= 12) select 2 as protocol, 'own' as embedder, {DAY}::bigint as since, "table", id::varchar as id, row from t""",
     "supersession_circles": f"with recursive {_SUP} select cycle, count(*) as length from ring group by 1",
+    "supersession_paths": f"with recursive {_SUP}, along as (select cycle, cycle as node, 0::bigint as place from (select distinct cycle from ring) union all select a.cycle, e.dst, a.place + 1 from along a join e on e.src = a.node where e.dst <> a.cycle) select cycle, place, node from along",
+    "supersession_verdicts": f"with recursive {_SUP}, {_NEW} select p.src, p.dst, case when m.up is not null then 'cycle' when w.last >= 1000 then 'cap' else 'safe' end as verdict, m.up + 1 as hops from pr p left join m using (src, dst) left join (select src, dst, max(up) as last from wk group by 1, 2) w using (src, dst)",
+    "proposed_circles": f"with recursive {_SUP}, {_NEW} select wk.src, wk.dst, wk.up + 1 as place, wk.node from wk join m using (src, dst) where wk.up <= m.up union all select src, dst, 0, src from m",
     "acyclic_graft": f"with recursive {_SUP}, lost as (select arg_max(id, (made, id)) as id from e join ring on src = ring.node group by cycle) select id, dst from e where id not in (select id from lost)",
     "migrated_edges": f"with {_REL} select least(src, dst) as a, greatest(src, dst) as b, max(score) as weight, 'related' as type from k where r <= 3 group by 1, 2 union all select distinct c, c + 1, 1.0::double, 'follows' from v where c % 2 = 1",
     "grafted_duplicates": f"""with {search._V}, s as (select q.o as query_id, v.c as concept_id, list_dot_product(q.x, v.x) as score from v q, v where q.o % 50 = 0 and v.o % 50 <> 0), b as (select query_id, concept_id, max(score) as score from s where score > 0 group by 1, 2

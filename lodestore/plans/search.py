@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -67,7 +69,7 @@ def concept_centroids(spark, sf):
     return _centroids(vectors(spark, sf)).select("concept_id", F.posexplode("centroid").alias("i", "x")).select("concept_id", "i", F.round("x", 6).alias("x"))
 
 
-def _resolved(spark, sf):
+def _resolved(spark, sf, attach=0.55, ambiguous=0.25):
     v, q, best = _replayed(spark, sf)
     c = _centroids(v)
     n = resolution.nominate(best)
@@ -75,7 +77,7 @@ def _resolved(spark, sf):
     own = scores.groupBy("query_id").agg(F.max("score").alias("top_centroid"))
     n = n.join(scores.select("query_id", "concept_id", F.col("score").alias("centroid_score")), ["query_id", "concept_id"], "left")
     t = q.select("query_id").join(n, "query_id", "left").join(own, "query_id")
-    d = resolution.decide(F.round("score", 9), F.round("centroid_score", 9), F.round("top_centroid", 9), 0.55, 0.25)
+    d = resolution.decide(F.round("score", 9), F.round("centroid_score", 9), F.round("top_centroid", 9), attach, ambiguous)
     return t.select("query_id", d.alias("d")).select("query_id", "d.action", "d.mode", F.round("d.weight", 6).alias("weight"))
 
 
@@ -99,20 +101,23 @@ def score_quantiles(spark, sf):
     return evaluation.index_quantiles(t, "s", [0.05, 0.5, 0.95, 0.99], ["same"])
 
 
-def related_of(c):
-    """Related edges of concepts (concept_id, centroid): the three nearest of each in a band, picked by either."""
+def related_of(c, least=-0.05, below=0.9, k=3):
+    """Related edges of concepts (concept_id, centroid): the k nearest of each in a band, picked by either."""
     asked = c.select(F.col("concept_id").cast("long").alias("query_id"), F.col("centroid").alias("embedding"))
     found = retrieval.best_observations(c.select(F.col("concept_id").cast("long").alias("observation_id"), "concept_id", F.col("centroid").alias("embedding")), asked, exclude_self=True, positive=False)
     pairs = found.select(F.col("query_id").cast(c.schema["concept_id"].dataType).alias("src"), F.col("concept_id").alias("dst"), F.round("score", 6).alias("score"))
-    return graph.nearest_union(pairs, -0.05, 0.9, 3)
+    return graph.nearest_union(pairs, least, below, k)
 
 
 def related_edges(spark, sf):
     return related_of(_centroids(vectors(spark, sf)))
 
 
-def _index(spark, sf):
-    return retrieval.token_index(texts(spark, sf))
+def related_by_profile(spark, sf):
+    """Related edges by every profile's own band, six nearest, of the vectors themselves as concepts."""
+    c = vectors(spark, sf).select(F.col("observation_id").alias("concept_id"), "embedding")
+    made = [related_of(c.withColumnRenamed("embedding", "centroid"), edge, attach, 6).select(F.lit(name).alias("profile"), "*") for name, (attach, _, edge) in resolution.PROFILES.items()]
+    return reduce(lambda a, b: a.union(b), made)
 
 
 def _probes(spark, sf):
@@ -148,6 +153,14 @@ def embedding_population(spark, sf):
     return e.agg(F.count("*").alias("live"), F.count_if(fine & ~is_zero(F.col("embedding"))).alias("scored"), F.count_if(is_zero(F.col("embedding"))).alias("zero"), F.count_if(~fine).alias("malformed"), F.min(F.size("embedding")).alias("least_width"), F.max(F.size("embedding")).alias("most_width"))
 
 
+def embedding_inspection(spark, sf):
+    """The population of vectors of which some are made malformed or zero: counts, the widths that occur, and the first twenty malformed ids."""
+    (e,) = read(spark, sf, "embeddings")
+    i = F.col("vec_id")
+    v = F.when(i % 13 == 5, F.lit(None)).when(i % 17 == 3, F.transform("embedding", lambda x: x * float("nan"))).when(i % 19 == 2, F.slice("embedding", 1, 32)).when(i % 23 == 1, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding"))
+    return evaluation.population(e.select(i.alias("id"), v.alias("embedding")))
+
+
 _V = "v as (select vec_id as o, label as c, list_transform(embedding, lambda x: x::double) as x from embeddings)"
 _BEST = f"""{_V}, s as (
   select q.o as query_id, q.c as home, v.c as concept_id, v.o as observation_id, list_dot_product(q.x, v.x) as score from v q join v on q.o <> v.o where q.o % 50 = 0
@@ -173,7 +186,7 @@ _STATED = f"""with {_V}, s as (
 ), k as (select *, row_number() over (partition by query_id order by round(score, 9) desc, concept_id) as place from best where score >= 0.12)
 select query_id, concept_id, observation_id, round(score, 6) as score, place::int as place from k where place <= 5"""
 
-QUERIES = {f.__name__: f for f in (search_topk, search_topk_stated, nominate_loo, search_recall_loo, tau_sweep, concept_centroids, resolution_bands, resolution_stats, nomination_auc, score_quantiles, related_edges, lexical_rank, bm25_top, embedding_population)}
+QUERIES = {f.__name__: f for f in (search_topk, search_topk_stated, nominate_loo, search_recall_loo, tau_sweep, concept_centroids, resolution_bands, resolution_stats, nomination_auc, score_quantiles, related_edges, related_by_profile, lexical_rank, bm25_top, embedding_population, embedding_inspection)}
 ORACLE = {
     "search_topk": _STATED,
     "search_topk_stated": _STATED,
@@ -195,6 +208,13 @@ select same, len(l)::bigint as n, l[1] as least, {", ".join(f"l[least(floor(len(
     "related_edges": f"""with {_V}, {_MEAN}, p as (select a.c as src, b.c as dst, round(list_dot_product(a.x, b.x), 6) as score from centroid a join centroid b on a.c <> b.c
 ), k as (select *, row_number() over (partition by src order by score desc, dst) as r from p where score >= -0.05 and score < 0.9)
 select least(src, dst) as a, greatest(src, dst) as b, max(score) as weight from k where r <= 3 group by 1, 2""",
+    "related_by_profile": f"""with {_V}, p as (select a.o as src, b.o as dst, round(list_dot_product(a.x, b.x), 6) as score from v a join v b on a.o <> b.o
+), b as (select * from (values ('hashing', 0.55, 0.40), ('multilingual-minilm', 0.70, 0.45), ('all-minilm', 0.72, 0.45), ('bge-small', 0.78, 0.70), ('bge-m3', 0.70, 0.60)) as t(profile, attach, edge)
+), k as (select *, row_number() over (partition by profile, src order by score desc, dst) as r from p join b on score >= edge and score < attach)
+select profile, least(src, dst) as a, greatest(src, dst) as b, max(score) as weight from k where r <= 6 group by 1, 2, 3""",
+    "embedding_inspection": """with t as (select vec_id as id, case when vec_id % 13 = 5 then 'bad' when vec_id % 17 = 3 then 'bad' when vec_id % 19 = 2 then 'half' when vec_id % 23 = 1 then 'zero' else 'fine' end as s, len(embedding) as n from embeddings)
+select count(*) as live, count(*) filter (s in ('half', 'fine')) as scored, count(*) filter (s = 'zero') as zero, (select string_agg(w::varchar, ',' order by w) from (select distinct case s when 'half' then 32 else n end as w from t where s <> 'bad')) as widths,
+  count(*) filter (s = 'bad') as malformed, (select string_agg(id::varchar, ',' order by id) from (select id from t where s = 'bad' order by id limit 20)) as first_malformed from t""",
     "lexical_rank": """with ix as (select source as c, doc_id as o, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9][a-z0-9_-]{2,}'))) as token from documents
 ), pr as (select item_id as query_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9][a-z0-9_-]{2,}'))) as token from benchmark
 ), df as (select token, count(distinct c) as df from ix where token in (select token from pr) group by 1

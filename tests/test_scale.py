@@ -104,3 +104,16 @@ def test_queries_in_files_find_what_queries_in_a_plan_find(spark, monkeypatch):
     got = sorted(retrieval.best_observations(v, q, exclude_self=True).collect())
     assert [r[:3] for r in got] == [r[:3] for r in want] and [r[3] for r in got] == pytest.approx([r[3] for r in want])
     assert retrieval.best_observations(v, q.limit(0)).count() == 0
+
+
+def test_proposed_links_are_judged_within_the_cap(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100)], "src long, dst long")
+    asked = [(40, 1), (40, 31), (40, 32), (9, 5), (50, 1), (50, 35), (60, 100), (7, 7), (70, 71)]
+    said, paths = graph.cycle_verdicts(links, spark.createDataFrame(asked, "src long, dst long"), cap=9)
+    assert {(r.src, r.dst): (r.verdict, r.hops) for r in said.collect()} == {
+        (40, 1): ("cap", None), (40, 31): ("cap", None), (40, 32): ("cycle", 9), (9, 5): ("cycle", 5), (50, 1): ("cap", None), (50, 35): ("safe", None), (60, 100): ("cap", None), (7, 7): ("cycle", 1), (70, 71): ("safe", None),
+    }
+    got = sorted((r.place, r.node) for r in paths.where("src = 9").collect())
+    assert got == [(0, 9), (1, 5), (2, 6), (3, 7), (4, 8), (5, 9)]
+    ring = spark.createDataFrame([(3, 9), (9, 4), (4, 7), (7, 3), (1, 3), (20, 20)], "src long, dst long")
+    assert sorted(tuple(r) for r in graph.cycle_paths(ring).collect()) == [(3, 0, 3), (3, 1, 9), (3, 2, 4), (3, 3, 7), (20, 0, 20)]
