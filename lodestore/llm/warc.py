@@ -9,6 +9,8 @@ from lodestore.plans.staging import stage
 
 #: Page ids of one archive file, and children of a tree node.
 ARCHIVE_IDS, FANOUT = 1000, 16
+#: Equal records of one id that are placed at once.
+COPIES = 10_000
 
 
 def record(page_id: Column, url: Column, html: Column) -> Column:
@@ -21,14 +23,29 @@ def record(page_id: Column, url: Column, html: Column) -> Column:
 def leaves(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, archive, place, start, end, digest): records in id order in archive files, with their byte ranges.
 
-    A record is hashed where it is read; only digests and lengths are shuffled, by archive file. Rows with a null id
-    go to an archive of their own, -1; rows of one id are ordered by digest.
+    A record is hashed where it is read, whatever its length; only digests and lengths are shuffled. Rows with a null id
+    go to an archive of their own, -1; rows of one id are ordered by digest; null urls and pages are empty. Other
+    columns aren't read, and a table without rows has no record. Equal records of an id are counted before they are
+    placed. Places and ranges are running sums over an archive's (id, first digits of the digest), and inside each of
+    those: so an id, or the lack of one, that a third of all rows share is spread over 256 parts.
     """
     t = pages.select(F.col(id_col).cast("long").alias("page_id"), record(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(url_col), F.col(html_col)).alias("r"))
     t = t.select("page_id", F.coalesce(F.floor(F.col("page_id") / ARCHIVE_IDS), F.lit(-1)).alias("archive"), F.octet_length("r").cast("long").alias("size"), F.sha2(F.col("r").cast("binary"), 256).alias("digest"))
-    w = Window.partitionBy("archive").orderBy("page_id", "digest")
-    end = F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return t.select("page_id", "archive", (F.row_number().over(w) - 1).cast("long").alias("place"), (end - F.col("size")).alias("start"), end.alias("end"), "digest")
+    keys = ["archive", "page", "part"]
+    one = t.groupBy("archive", F.coalesce("page_id", F.lit(0)).alias("page"), F.substring("digest", 1, 2).alias("part"), "digest").agg(F.max("page_id").alias("page_id"), F.max("size").alias("size"), F.count("*").alias("n"))
+    one = stage(one, "records")
+    bytes_ = F.col("size") * F.col("n")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts, inside = before(Window.partitionBy("archive").orderBy("page", "part")), before(Window.partitionBy(*keys).orderBy("digest"))
+    sums = one.groupBy(*keys).agg(F.sum(bytes_).alias("b"), F.sum("n").alias("r"))
+    sums = sums.select(*keys, F.coalesce(F.sum("b").over(parts), F.lit(0)).alias("b"), F.coalesce(F.sum("r").over(parts), F.lit(0)).alias("r"))
+    t = one.withColumn("start", F.coalesce(F.sum(bytes_).over(inside), F.lit(0))).withColumn("place", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(sums, keys)
+    t = t.select("page_id", "archive", (F.col("r") + F.col("place")).alias("place"), (F.col("b") + F.col("start")).alias("start"), "size", "digest", "n")
+    run = t.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))))
+    run = run.where(F.col("n") <= COPIES).union(run.where(F.col("n") > COPIES).repartition("c"))  # copies of one record are made by many tasks
+    each = run.withColumn("k", F.explode(F.sequence(F.col("c") * COPIES, F.least(F.col("n"), (F.col("c") + 1) * COPIES) - 1)))
+    start = F.col("start") + F.col("k") * F.col("size")
+    return each.select("page_id", "archive", (F.col("place") + F.col("k")).alias("place"), start.alias("start"), (start + F.col("size")).alias("end"), "digest")
 
 
 def parents(nodes: DataFrame) -> DataFrame:
@@ -41,11 +58,11 @@ def parents(nodes: DataFrame) -> DataFrame:
 
 
 def tree(level: DataFrame) -> list[DataFrame]:
-    """Levels from records up to one node an archive."""
+    """Levels from records up to one node an archive, each above the first staged for the next and for the audit."""
     most = level.agg(F.max("place")).first()[0] or 0
     out = [level.select("archive", "place", "start", "end", "digest")]
     while most:
-        out.append(parents(out[-1]))
+        out.append(stage(parents(out[-1]), "level"))
         most //= FANOUT
     return out
 
