@@ -38,6 +38,11 @@ def tokens(text: Column, unicode: bool = True) -> Column:
     return F.array_remove(F.split(F.regexp_replace(F.lower(text), keep, " "), "\\s+"), "")
 
 
+def count_tokens(text: Column, unicode: bool = True) -> Column:
+    """How many words tokens() gives, counted without making them."""
+    return F.regexp_count(F.lower(text), F.lit("[\\p{L}\\p{N}]+" if unicode else "[a-z0-9]+"))
+
+
 def lexical_tokens(text: Column) -> Column:
     """Distinct lexical tokens: a letter or digit, then two or more of those, underscores or hyphens."""
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9][a-z0-9_-]{2,}"), F.lit(0)))

@@ -108,24 +108,25 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     return seen.groupBy("seed", "node").agg(F.min("hop").alias("hop"))
 
 
-def chain_ends(links: DataFrame, max_rounds: int = 30) -> DataFrame:
+def chain_ends(links: DataFrame) -> DataFrame:
     """(src, end, hops, cyclic) of a table where each src has one dst: the end of its chain, by doubling the pointers.
 
-    After k rounds a pointer spans 2^k links; a pointer that hasn't stopped after more links than there are rows runs
-    in a circle and has no end.
+    After k rounds a pointer spans 2^k links. Pointers that have stopped are set aside and only looked up; one that
+    hasn't after more links than there are rows runs in a circle and has no end.
     """
-    now = links.select(F.col("src").alias("src"), F.col("dst").alias("end"), F.lit(1).cast("long").alias("hops"))
-    n, span, rounds = links.count(), 1, 0
-    while span <= n and rounds < max_rounds:
-        nxt = now.select(F.col("src").alias("mid"), F.col("end").alias("far"), F.col("hops").alias("more"))
-        after = stage(now.join(nxt, now.end == nxt.mid, "left").select("src", F.coalesce("far", "end").alias("end"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops")), "chain")
-        moved = after.agg(F.sum("hops")).first()[0] != now.agg(F.sum("hops")).first()[0]
-        now, span, rounds = after, span * 2, rounds + 1
-        if not moved:
+    no = F.lit(False)
+    going = links.select("src", F.col("dst").alias("end"), F.lit(1).cast("long").alias("hops"), no.alias("still"))
+    n, span, done = links.count(), 1, links.select("src", F.col("dst").alias("end"), F.lit(1).cast("long").alias("hops"), no.alias("still")).limit(0)
+    while span <= n:
+        nxt = going.union(done).select(F.col("src").alias("mid"), F.col("end").alias("far"), F.col("hops").alias("more"), F.col("still").alias("rests"))
+        met = going.join(nxt, going.end == nxt.mid, "left")
+        met = met.select("src", F.coalesce("far", "end").alias("end"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.coalesce("rests", F.lit(True)).alias("still"))
+        now = stage(met, "chain")
+        done, going, span = done.union(now.where("still")), now.where("not still"), span * 2
+        if going.isEmpty():
             break
-    open_ = now.select(F.col("src").alias("e")).distinct()
-    ends = now.join(open_, now.end == open_.e, "left").withColumn("cyclic", F.col("e").isNotNull()).drop("e")
-    return ends.select("src", F.when(~F.col("cyclic"), F.col("end")).alias("end"), F.when(~F.col("cyclic"), F.col("hops")).alias("hops"), "cyclic")
+    circle = going.select("src", F.lit(None).cast(links.schema["dst"].dataType).alias("end"), F.lit(None).cast("long").alias("hops"), F.lit(True).alias("cyclic"))
+    return done.select("src", "end", "hops", no.alias("cyclic")).union(circle)
 
 
 def on_cycles(links: DataFrame) -> DataFrame:

@@ -86,3 +86,38 @@ def overview(concepts: DataFrame, observations: DataFrame, pairs: DataFrame, now
         "stale": (t.where(old).withColumn("value", F.col("confirmed").cast("double")), ["confirmed", "concept_id"]),
     }
     return {name: capped(r, ["circle"], order, caps[name]).select("circle", "concept_id", "value", "place", "omitted") for name, (r, order) in rows.items()}
+
+
+#: What an overview that is too large drops, one rung after the other; the skeleton's contents are clipped last.
+DROPS = (("dirty", "stale"), ("duplicates",), ("living",), ("contradictions",), ("retirement", "denies", "unread"))
+
+
+def fitted(rows: DataFrame, budget: int, drops: tuple[tuple[str, ...], ...] = DROPS, clipped: str = "skeleton") -> tuple[DataFrame, DataFrame]:
+    """Each circle's overview within `budget` characters, from its sections' rows (circle, section, place, text).
+
+    The first table has (circle, chars, rungs, most, dropped, fits): the size as it was, how many rungs of `drops` it
+    takes until the rest fits, the length to which texts of the `clipped` section are then halved (null if they stay; an
+    ellipsis stands for what is gone, and at last nothing), the rows dropped, and whether that was enough. The second
+    has the rows that stay. Only sizes are aggregated; a circle's clipped section is bounded, as the sections are.
+    """
+    rung = F.lit(0)
+    for i, names in enumerate(drops, 1):
+        rung = F.when(F.col("section").isin(*names), i).otherwise(rung)
+    t = rows.withColumns({"chars": F.coalesce(F.length("text"), F.lit(0)), "rung": rung})
+    parts = [F.sum(F.when(F.col("rung") == i, F.col("chars")).otherwise(0)) for i in range(len(drops) + 1)]
+    counts = [F.count_if(F.col("rung") == i) for i in range(len(drops) + 1)]
+    c = t.groupBy("circle").agg(F.sum("chars").alias("chars"), F.array(*parts).alias("parts"), F.array(*counts).alias("counts"), F.collect_list(F.when(F.col("section") == clipped, F.col("chars"))).alias("lengths"))
+    gone = lambda k: F.aggregate(F.slice("parts", F.lit(2), k), F.lit(0).cast("long"), lambda x, y: x + y)
+    enough = F.filter(F.sequence(F.lit(0), F.lit(len(drops))), lambda k: F.col("chars") - gone(k) <= budget)
+    c = c.withColumn("rungs", F.coalesce(F.get(enough, F.lit(0)), F.lit(len(drops)))).withColumn("left", F.col("chars") - gone(F.col("rungs")))
+    at = lambda most: F.aggregate("lengths", F.lit(0).cast("long"), lambda x, n: x + F.when(n <= most, n).otherwise(F.greatest(most, F.lit(1))))
+    bare = F.col("left") - F.aggregate("lengths", F.lit(0).cast("long"), lambda x, n: x + n)
+    halves = F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.floor(F.array_max("lengths") / F.pow(F.lit(2), i)).cast("int"))
+    fits = F.get(F.filter(halves, lambda m: bare + at(m) <= budget), F.lit(0))
+    over = F.col("left") > budget
+    c = c.withColumn("most", F.when(over & (F.size("lengths") > 0), F.coalesce(fits, F.lit(-1)))).withColumn("fits", ~over | F.coalesce(F.when(F.col("most") >= 0, F.lit(True)).otherwise(bare <= budget), F.lit(False)))
+    dropped = F.aggregate(F.slice("counts", F.lit(2), F.col("rungs")), F.lit(0).cast("long"), lambda x, y: x + y)
+    told = c.select("circle", "chars", "rungs", "most", dropped.alias("dropped"), "fits")
+    kept = t.join(told.select("circle", "rungs", "most"), "circle").where("rung = 0 or rung > rungs")
+    short = F.when((F.col("section") != clipped) | F.col("most").isNull() | (F.col("chars") <= F.col("most")), F.col("text")).when(F.col("most") < 0, "").otherwise(F.concat(F.substring(F.col("text"), F.lit(1), F.greatest(F.col("most") - 1, F.lit(0))), F.lit("…")))
+    return told, kept.select("circle", "section", "place", short.alias("text"))

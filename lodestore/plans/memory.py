@@ -12,8 +12,11 @@ from lodestore.functions.text import lexical_tokens
 from lodestore.operators import graph, lifecycle, queues, ranking, resolution, retrieval
 from lodestore.plans import search
 from lodestore.sources.tables import CONCEPTS_SQL, OBSERVATIONS_SQL, concepts, memberships, observations, read, vectors
+from lodestore.staging import stage
 
 NOW_MS, STALE_MS = 1_100_000_000_000, 40_000_000_000
+#: Characters of an overview: room for most, for some, and for hardly any of it.
+BUDGETS = (900, 500, 120)
 CAPS = {"living": 5, "duplicates": 10, "contradictions": 5, "dirty": 5, "stale": 5}
 
 
@@ -125,6 +128,21 @@ def overview(spark, sf):
     return reduce(lambda a, b: a.unionByName(b), [t.select(F.lit(name).alias("section"), "*") for name, t in parts.items()])
 
 
+def _sections(spark, sf):
+    """Every circle's overview as texts, with a skeleton of its first five concepts."""
+    o = overview(spark, sf).select("circle", "section", "place", F.concat_ws("/", "section", "concept_id", "place", "omitted").alias("text"))
+    w = Window.partitionBy("circle").orderBy("concept_id")
+    k = concepts(spark, sf).where("status <> 'retired' and kind <> 'workstream'").withColumn("place", F.row_number().over(w)).where("place <= 5")
+    return o.union(k.select("circle", F.lit("skeleton").alias("section"), "place", F.repeat(F.concat_ws("-", "circle", "concept_id"), F.col("place") * 4).alias("text")))
+
+
+def overview_envelopes(spark, sf):
+    """How every circle's overview is brought within three budgets: rungs dropped, then the skeleton clipped."""
+    s = stage(_sections(spark, sf), "sections")
+    parts = [queues.fitted(s, b)[0].select(F.lit(b).alias("budget"), "*") for b in BUDGETS]
+    return reduce(lambda a, b: a.union(b), parts)
+
+
 def stale_concepts(spark, sf):
     """Concepts whose last confirmation is too long ago, whatever came after it."""
     o = retrieval.live(observations(spark, sf)).groupBy("concept_id").agg(F.max("created_at").alias("confirmed"))
@@ -196,7 +214,7 @@ _DAY14 = 14.0 * 86_400_000
 QUERIES = {
     f.__name__: f
     for f in (
-        search_composed, fork_overrides, resolved_by_profile, directed_ingest, first_receipts, contradiction_queue, contradictions_resolved, disputes, duplicate_queue, dirty_worklist, overview, stale_concepts, entity_concepts, lifecycle_hops, circle_fold, detached,
+        search_composed, fork_overrides, resolved_by_profile, directed_ingest, first_receipts, contradiction_queue, contradictions_resolved, disputes, duplicate_queue, dirty_worklist, overview, overview_envelopes, stale_concepts, entity_concepts, lifecycle_hops, circle_fold, detached,
         merged_concepts, circle_changes, segment_budgets,
     )
 }
@@ -244,6 +262,16 @@ select concept_id, circle, newest, md5(body) as body_md5, body.title from con le
   union all select 'stale', circle, concept_id, confirmed::double, confirmed, concept_id from t where {NOW_MS} - confirmed > {STALE_MS}
 ), k as (select *, row_number() over (partition by section, circle order by case when section in ('living', 'duplicates') then value end desc nulls last, x, y, concept_id) as place, count(*) over (partition by section, circle) as n, case section when 'duplicates' then 10 else 5 end as cap from rowsq)
 select section, circle, concept_id, value, place::int as place, greatest(n - cap, 0) as omitted from k where place <= cap""",
+    "overview_envelopes": """with ov as ({overview}), sk as (select circle, concept_id, row_number() over (partition by circle order by concept_id) as place from ({concepts}) where status <> 'retired' and kind <> 'workstream'
+), tx as (select circle, section, section || '/' || concept_id || '/' || place || '/' || omitted as text from ov union all select circle, 'skeleton', repeat(circle || '-' || concept_id, place * 4) from sk where place <= 5
+), rg as (select circle, section, length(text) as n, case section when 'dirty' then 1 when 'stale' then 1 when 'duplicates' then 2 when 'living' then 3 when 'contradictions' then 4 else 0 end as rung from tx
+), bb as (select unnest([900, 500, 120]) as budget), kk as (select unnest(range(0, 6)) as k
+), lf as (select circle, budget, k, sum(n) filter (rung = 0 or rung > k) as rest, count(*) filter (rung between 1 and k) as dropped, sum(n) as chars, coalesce(sum(n) filter (section = 'skeleton'), 0) as skel, max(n) filter (section = 'skeleton') as longest from rg, bb, kk group by 1, 2, 3
+), fi as (select circle, budget, coalesce(min(k) filter (rest <= budget), 5) as rungs from lf group by 1, 2
+), ch as (select lf.* from lf join fi on fi.circle = lf.circle and fi.budget = lf.budget and lf.k = fi.rungs
+), hv as (select ch.circle, ch.budget, i, floor(longest / pow(2, i))::int as most, (select sum(case when n <= floor(longest / pow(2, i)) then n else greatest(floor(longest / pow(2, i)), 1) end) from rg where rg.circle = ch.circle and section = 'skeleton') as clip from ch, (select unnest(range(1, 41)) as i) where rest > ch.budget and skel > 0
+), mo as (select ch.circle, ch.budget, arg_min(hv.most, hv.i) filter (ch.rest - ch.skel + clip <= ch.budget) as most from ch join hv on hv.circle = ch.circle and hv.budget = ch.budget group by 1, 2)
+select ch.budget, ch.circle, ch.chars::bigint as chars, k::int as rungs, case when rest > ch.budget and skel > 0 then coalesce(most, -1) end as most, dropped, rest <= ch.budget or coalesce(most is not null or (skel > 0 and rest - skel <= ch.budget), false) as fits from ch left join mo on mo.circle = ch.circle and mo.budget = ch.budget""",
     "stale_concepts": f"with {_BASE}, {_LAST} select concept_id, confirmed from con join last using (concept_id) where {NOW_MS} - confirmed > {STALE_MS}",
     "entity_concepts": "select 'id' as kind, p_brand || '-' || p_size as key, p_partkey as concept_id from part union all select 'lib', p_brand, p_partkey from part",
     "lifecycle_hops": """with e as (select o_orderkey as id, 'o' || o_orderkey as src, 'c' || o_custkey as dst, o_orderdate as made from orders where o_orderpriority < '3'), b as (select src as node, 'out' as direction, dst as peer, made, id from e union all select dst, 'in', src, made, id from e)
@@ -260,3 +288,4 @@ select concept_id, sum(n)::bigint as support_count, round(sum(confidence), 9) as
 select circle, count(*) as n from t where circle <> 'furniture' group by 1""",
     "segment_budgets": "select s_suppkey, least(case when s_nationkey % 3 > 0 then s_nationkey * 50 end, case when s_nationkey % 2 > 0 then 512 end)::bigint as budget from supplier",
 }
+ORACLE["overview_envelopes"] = ORACLE["overview_envelopes"].replace("{overview}", ORACLE["overview"]).replace("{concepts}", f"with {CONCEPTS_SQL} select * from con")

@@ -14,7 +14,7 @@ DIM = 256
 def token_counts(spark, sf):
     t = texts(spark, sf)
     c = F.col("content")
-    return t.select(F.col("observation_id").alias("doc_id"), F.size(T.tokens(c, False)).alias("n_ascii"), F.size(T.tokens(c)).alias("n_unicode"), F.size(T.lexical_tokens(c)).alias("n_lexical"))
+    return t.select(F.col("observation_id").alias("doc_id"), T.count_tokens(c, False).alias("n_ascii"), T.count_tokens(c).alias("n_unicode"), F.size(T.lexical_tokens(c)).alias("n_lexical"))
 
 
 def fnv_hashes(spark, sf):

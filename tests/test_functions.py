@@ -100,3 +100,9 @@ def test_a_new_name_is_not_renamed_in_turn(spark):
 def test_slugs_of_composed_and_decomposed_letters_are_equal(spark):
     t = spark.createDataFrame([("Cafe\u0301 X",), ("Caf\u00e9 x",), (None,)], "t string")
     assert [r[0] for r in t.select(T.slug(T.composed(t.t))).collect()] == ["caf\u00e9-x", "caf\u00e9-x", None]
+
+
+def test_words_are_counted_as_they_are_made(spark):
+    t = spark.createDataFrame([("A b-c  1x é́ 漢字 _z!",), ("",), (" ",), (None,), ("İx K",)], "t string")
+    for unicode in (True, False):
+        assert all(a == b for a, b in t.select(T.count_tokens(t.t, unicode), F.when(t.t.isNotNull(), F.size(T.tokens(t.t, unicode)))).collect())

@@ -117,3 +117,21 @@ def test_proposed_links_are_judged_within_the_cap(spark):
     assert got == [(0, 9), (1, 5), (2, 6), (3, 7), (4, 8), (5, 9)]
     ring = spark.createDataFrame([(3, 9), (9, 4), (4, 7), (7, 3), (1, 3), (20, 20)], "src long, dst long")
     assert sorted(tuple(r) for r in graph.cycle_paths(ring).collect()) == [(3, 0, 3), (3, 1, 9), (3, 2, 4), (3, 3, 7), (20, 0, 20)]
+
+
+def test_an_overview_drops_its_rungs_in_order_and_clips_last(spark):
+    from lodestore.operators import queues
+
+    sections = {"living": ["l" * 10] * 3, "duplicates": ["d" * 8] * 2, "dirty": ["x" * 4], "stale": ["y" * 4], "contradictions": ["c" * 6], "counts": ["n" * 5], "skeleton": ["s" * 40, "t" * 10]}
+    rows = [("a", s, i, t) for s, ts in sections.items() for i, t in enumerate(ts)] + [("b", "counts", 0, "n"), ("b", "living", 0, None)]
+    t = spark.createDataFrame(rows, "circle string, section string, place int, text string")
+    want = {115: (0, None, 0), 110: (1, None, 2), 95: (2, None, 4), 70: (3, None, 7), 60: (4, None, 8), 40: (5, 20, 8), 12: (5, 2, 8), 7: (5, 1, 8), 6: (5, -1, 8)}
+    for budget, (rungs, most, dropped) in want.items():
+        told, kept = queues.fitted(t, budget)
+        a = told.where("circle = 'a'").first()
+        assert (a.chars, a.rungs, a.most, a.dropped, a.fits) == (115, rungs, most, dropped, True), budget
+        left = kept.where("circle = 'a'").collect()
+        assert sum(len(r.text) for r in left) <= budget and {r.section for r in left} >= {"counts", "skeleton"}
+        assert told.where("circle = 'b'").first().rungs == 0
+    assert not queues.fitted(t, 4)[0].where("circle = 'a'").first().fits
+    assert queues.fitted(t.limit(0), 5)[0].count() == 0
