@@ -117,6 +117,19 @@ def stream_moments(spark, sf):
     return _moments_told(moments.run(spark, f"{base}/in", f"{base}/ledger")[0])
 
 
+def stream_gaps(spark, sf):
+    """Each run's gaps from keyed state, the spool's lines in two parts, the later ones first."""
+    import uuid
+
+    base = f"{shared_dir(spark)}/gaps-{uuid.uuid4().hex}"
+    lines = _spool_lines(spark, sf)
+    late = F.get_json_object("value", "$.seq").cast("long") % 3 == 1
+    lines.where(late).write.text(f"{base}/in")
+    spool.run_gaps(spark, f"{base}/in", f"{base}/out", f"{base}/state")
+    lines.where(~late).union(lines.where(late).limit(100)).write.mode("append").text(f"{base}/in")
+    return spool.run_gaps(spark, f"{base}/in", f"{base}/out", f"{base}/state").where("open_gaps > 0").select(F.col("run_id").cast("long").alias("run_id"), F.col("open_gaps").alias("gaps"), "missing")
+
+
 def circle_moments(spark, sf):
     """Each circle's moments by what the gate did, with those of no circle and those never opened in a row of their own."""
     t = moments.batch(spool.parse(_spool_lines(spark, sf)).withColumnRenamed("runId", "run_id"))[0]
@@ -200,7 +213,7 @@ _MOMENTS = f"""with {_R}, x as (select *, lpad(seq::varchar, 12, '0') as w, run_
 ), m as (select distinct moment_id from x where event_type <> 'purchase')
 select m.moment_id, case when i.moment_id is null then 'unopened' when outcome_at is null then 'pending' else 'closed' end as state, outcome_at, outcome_status, tool_use_id, array_to_string(rule_ids, '|') as rules,
   coalesce(reads, 0)::bigint as reads, coalesce(late, 0)::bigint as late, answer, coalesce(conflict, false) as conflict from m left join i using (moment_id) left join o using (moment_id) left join rd using (moment_id) left join a using (moment_id)"""
-QUERIES = {f.__name__: f for f in (ledger_gaps, gap_totals, first_fields, late_reads, outcome_states, moment_counts, loss_report, stream_counts, moment_states, stream_moments, circle_moments, unmet_outcomes, last_writers, grow_only_counts, union_refs, alive_keys, delta_graft, payload_grafted, merged_activity)}
+QUERIES = {f.__name__: f for f in (ledger_gaps, gap_totals, first_fields, late_reads, outcome_states, moment_counts, loss_report, stream_counts, moment_states, stream_moments, stream_gaps, circle_moments, unmet_outcomes, last_writers, grow_only_counts, union_refs, alive_keys, delta_graft, payload_grafted, merged_activity)}
 ORACLE = {
     "ledger_gaps": f"with {_G} select * from g",
     "gap_totals": f"with {_G} select run_id, count(*) as gaps, sum(gap_to - gap_from + 1)::bigint as missing from g group by 1",
@@ -212,6 +225,7 @@ select moment_id, rule_id, read_at, coalesce(read_at > outcome, false) as late f
   count(*) filter (value > 50) as ungoverned, count(*) as total from r group by 1""",
     "loss_report": f"with {_OUT}, {_G[len(_R) + 2 :]} select 'gap' as kind, count(*) as n from g union all select 'orphan', n from o where state = 'orphan'",
     "stream_counts": "select event_type as kind, count(*) as records, count(distinct user_id) as runs from events group by 1",
+    "stream_gaps": f"with {_G} select run_id, count(*) as gaps, sum(gap_to - gap_from + 1)::bigint as missing from g group by 1",
     "moment_states": _MOMENTS,
     "stream_moments": _MOMENTS,
     "circle_moments": f"""with {_R}, i as (select moment_id, any_value(case when run_id % 10 <> 0 then 'c' || run_id % 3 end) as circle, arg_min(case k % 3 when 1 then 0 else 3 end, seq) filter (k % 3 <> 0) as rules, arg_min(case k % 4 when 1 then 0 else 1 end, seq) filter (k % 4 <> 0) as given from r where event_type = 'click' group by 1

@@ -128,3 +128,25 @@ def gap_states(records: DataFrame) -> DataFrame:
     return records.groupBy("run_id").applyInPandasWithState(
         _ranges, "run_id string, last long, open_gaps long, missing long, low array<long>, high array<long>", "last long, low array<long>, high array<long>", "update", GroupStateTimeout.NoTimeout
     )
+
+
+def run_gaps(spark: SparkSession, path: str, out: str, state: str, version: int = VERSION) -> DataFrame:
+    """Bring the gaps of each run under `out` up to what the spool holds; gives (run_id, last, open_gaps, missing, low, high) as they stand.
+
+    A repeated record changes nothing, so the records go to the runs' states as they come.
+    """
+
+    def write(batch: DataFrame, folder: str) -> dict:
+        batch.write.parquet(folder)
+        return {}
+
+    records = read_spool(spark, path, version, f"{state}-cursor").where("status = 'ok'").select("run_id", "seq")
+    stream = gap_states(records).writeStream.outputMode("update").foreachBatch(commit_batches(spark, out, state, write))
+    stream.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    rows, kinds = None, "run_id string, last long, open_gaps long, missing long, low array<long>, high array<long>"
+    for n, c in enumerate(commits(spark, out).values()):
+        part = spark.read.schema(kinds).parquet(f"{out}/{c['folder']}").withColumn("n", F.lit(n))
+        rows = part if rows is None else rows.union(part)
+    if rows is None:
+        return spark.createDataFrame([], kinds)
+    return rows.groupBy("run_id").agg(F.max_by(F.struct("last", "open_gaps", "missing", "low", "high"), "n").alias("r")).select("run_id", "r.*")

@@ -174,3 +174,14 @@ def test_the_keyed_ledger_equals_the_batch_fold_in_any_order_and_split(spark, fo
             f.write("".join(rows[k::splits] + rows[:3]))
         got = moments.run(spark, str(folder / "in"), str(folder / "ledger"))
     assert [plain(f) for f in got] == want
+
+
+def test_gaps_of_runs_open_shrink_and_split_as_records_come(spark, folder):
+    f = folder / "in/a.jsonl"
+    f.write_text("".join(line(n) for n in (0, 1, 2, 6, 7)) + line(3, run="q"))
+    run = lambda: {r.run_id: (r.last, list(zip(r.low, r.high))) for r in spool.run_gaps(spark, str(folder / "in"), str(folder / "gaps"), str(folder / "gap-state")).collect()}  # noqa: E731, B905
+    assert run() == {"r": (7, [(3, 5)]), "q": (3, [(0, 2)])}
+    with f.open("a") as more:
+        more.write(line(4) + line(2) + line(9) + line(0, run="q"))
+    assert run() == {"r": (9, [(3, 3), (5, 5), (8, 8)]), "q": (3, [(1, 2)])}
+    assert run() == {"r": (9, [(3, 3), (5, 5), (8, 8)]), "q": (3, [(1, 2)])}
