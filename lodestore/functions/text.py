@@ -71,12 +71,16 @@ def features(text: Column) -> Column:
     return F.concat(whole, F.flatten(F.transform(words, grams)))
 
 
+#: Endings that stay, that lose es, and the shortest word that has a plural.
+KEEPS, LOSES_ES, SHORTEST_PLURAL = "(us|is|os|as|ss)$", "(sses|shes|ches|xes|zes)$", 4
+
+
 def singular(word: Column) -> Column:
     """A plural's singular by its ending; short words and those in us, is, os, as, ss stay."""
     return (
-        F.when((F.length(word) <= 3) | word.rlike("(us|is|os|as|ss)$"), word)
+        F.when((F.length(word) < SHORTEST_PLURAL) | word.rlike(KEEPS), word)
         .when(word.endswith("ies"), F.regexp_replace(word, "ies$", "y"))
-        .when(word.rlike("(sses|shes|ches|xes|zes)$"), F.regexp_replace(word, "es$", ""))
+        .when(word.rlike(LOSES_ES), F.regexp_replace(word, "es$", ""))
         .otherwise(F.regexp_replace(word, "s$", ""))
     )
 
@@ -163,9 +167,13 @@ def references(text: Column) -> Column:
     return F.arrays_zip(F.transform(group(1), F.lower).alias("relation"), group(4).alias("slug"))
 
 
+#: Fixed value: a span's address, as host, session and anchor.
+SPAN = "^span://([a-z0-9][a-z0-9.-]*)/([^/#]+)#([^#]+)$"
+
+
 def span_parts(uri: Column) -> Column:
     """(host, session, anchor) of a canonical `span://host/session#anchor`; null for anything else."""
-    pattern = "^span://([a-z0-9][a-z0-9.-]*)/([^/#]+)#([^#]+)$"
+    pattern = SPAN
     raw = F.struct(*(F.regexp_extract(uri, pattern, i).alias(n) for i, n in ((1, "host"), (2, "session"), (3, "anchor"))))
 
     def decoded(c: Column) -> Column:

@@ -73,11 +73,12 @@ def first_by_operation(events: DataFrame) -> DataFrame:
 def confirmations(observations: DataFrame, step: float = 0.1, start: float = 0.6, most: float = 0.95) -> DataFrame:
     """Per concept: support, confidence, last confirmation and arousal, from its observations in time order.
 
-    An observation of another session than the one before confirms: confidence rises by `step`, up to `most`.
+    An observation of another session than the last one known before it confirms: confidence rises by `step`, up to
+    `most`. Observations without a session neither confirm nor hide the session before them.
     """
-    w = Window.partitionBy("concept_id").orderBy("created_at", "observation_id")
-    before = F.lag("session_id").over(w)
-    t = observations.withColumn("confirms", before.isNotNull() & (before != F.col("session_id")))
+    w = Window.partitionBy("concept_id").orderBy("created_at", "observation_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last("session_id", True).over(w)
+    t = observations.withColumn("confirms", F.coalesce(before != F.col("session_id"), F.lit(False)))
     return t.groupBy("concept_id").agg(
         F.count("*").alias("support_count"),
         F.round(F.least(F.lit(most), F.lit(start) + step * F.count_if("confirms")), 6).alias("confidence"),

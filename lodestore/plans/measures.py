@@ -25,7 +25,7 @@ def recall_by_category(spark, sf):
 
 
 def scenario_audit(spark, sf):
-    """Scenarios by the last digit of a vector's id: gold every fiftieth, the rest background."""
+    """Scenarios by the last digit of a vector's id: gold every seventh, the rest background."""
     v = vectors(spark, sf)
     return evaluation.audit(v.select((F.col("observation_id") % 10).alias("scenario"), "concept_id", (F.col("observation_id") % 7 == 0).alias("gold")))
 

@@ -135,3 +135,12 @@ def test_an_overview_drops_its_rungs_in_order_and_clips_last(spark):
         assert told.where("circle = 'b'").first().rungs == 0
     assert not queues.fitted(t, 4)[0].where("circle = 'a'").first().fits
     assert queues.fitted(t.limit(0), 5)[0].count() == 0
+
+
+def test_an_observation_without_a_session_hides_none(spark):
+    from lodestore.operators import resolution
+
+    rows = [("a", 1, "s1"), ("a", 2, None), ("a", 3, "s2"), ("a", 4, "s2"), ("a", 5, "s1"), ("b", 1, None), ("b", 2, "s1"), ("b", 3, "s1")]
+    t = spark.createDataFrame([(c, k, k, s) for k, (c, k2, s) in enumerate(rows)], "concept_id string, observation_id int, created_at int, session_id string")
+    got = {r.concept_id: (r.support_count, r.arousal_gain, r.last_confirmed_at) for r in resolution.confirmations(t).collect()}
+    assert got == {"a": (5, 2, 4), "b": (3, 0, None)}
