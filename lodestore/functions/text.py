@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
+#: Where a word of ASCII letters, digits and underscores begins or ends, whatever other letters stand beside it: what \\b means in the patterns.
+EDGE = "(?:(?<=\\w)(?!\\w)|(?<!\\w)(?=\\w))"
 FNV_SEED, FNV_PRIME, MASK = 2166136261, 16777619, 4294967295
 
 # Redaction patterns and their replacements, in the order they apply.
@@ -126,7 +128,7 @@ def redact(text: Column, skip: tuple[int, ...] = (), own: tuple[str, ...] = ())
         text = F.regexp_replace(text, f"/Users/(?:[^\\s`'\\\")\\]]*?/)?({name}(?:/[^\\s`'\\\")\\]]*)?)(?=[\\s`'\\\")\\]]|$)", "$1")
     for i, (pattern, to) in enumerate(REDACTIONS):
         if i not in skip:
-            text = F.regexp_replace(text, pattern, to)
+            text = F.regexp_replace(text, pattern.replace("\\b", EDGE), to)
     return text
 
 
@@ -154,8 +156,9 @@ def renamed_references(text: Column, names: Column) -> Column:
     The text is split at its references and put together again with each token looked up once, so that a new name isn't
     renamed in turn; tokens that the map lacks stay, as does all else.
     """
-    group = lambda i: F.regexp_extract_all(text, F.lit(ASSERTED), F.lit(i))
-    between = F.split(text, ASSERTED, -1)
+    pattern = ASSERTED.replace("\\b", EDGE)
+    group = lambda i: F.regexp_extract_all(text, F.lit(pattern), F.lit(i))
+    between = F.split(text, pattern, -1)
     both = lambda a, b: F.concat(a, b)
     found = F.zip_with(F.zip_with(group(1), group(2), both), F.zip_with(group(3), group(4), lambda h, t: F.concat(h, F.coalesce(F.try_element_at(names, t), t))), both)
     return F.array_join(F.zip_with(between, found, lambda x, r: F.concat(x, F.coalesce(r, F.lit("")))), "")
@@ -163,7 +166,7 @@ def renamed_references(text: Column, names: Column) -> Column:
 
 def references(text: Column) -> Column:
     """Asserted references `relation: #slug` as an array of (relation, slug)."""
-    group = lambda i: F.regexp_extract_all(text, F.lit(ASSERTED), F.lit(i))
+    group = lambda i: F.regexp_extract_all(text, F.lit(ASSERTED.replace("\\b", EDGE)), F.lit(i))
     return F.arrays_zip(F.transform(group(1), F.lower).alias("relation"), group(4).alias("slug"))
 
 
@@ -257,6 +260,16 @@ def _entities_of(surfaces: Column, kind: str, weight: int) -> Column:
     return F.transform(surfaces, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("surface"), F.lit(weight).alias("weight")))
 
 
+def structural(text: Column) -> tuple[Column, Column]:
+    """Structural entities as (kind, surface, weight), pattern by pattern, and what is left of the text."""
+    found, rest = [], text
+    for kind, pattern in ENTITY_PATTERNS:
+        pattern = pattern.replace("\\b", EDGE)
+        found.append(_entities_of(F.regexp_extract_all(rest, F.lit(pattern), F.lit(0)), kind, 3))
+        rest = F.regexp_replace(rest, pattern, " ")
+    return F.concat(*found), rest
+
+
 def entities(text: Column, stopwords: list[str] | None = None, libraries: list[str] | None = None) -> Column:
     """Entities of a text as (kind, surface, weight): structural ones, known libraries (LIBRARIES if none are given), then nouns of what is left.
 
@@ -264,11 +277,8 @@ def entities(text: Column, stopwords: list[str] | None = None, libraries: list[s
     caller's list.
     """
     libraries = LIBRARIES if libraries is None else libraries
-    found, rest = [], text
-    for kind, pattern in ENTITY_PATTERNS:
-        hits = F.regexp_extract_all(rest, F.lit(pattern), F.lit(0))
-        found.append(_entities_of(hits, kind, 3))
-        rest = F.regexp_replace(rest, pattern, " ")
+    structure, rest = structural(text)
+    found = [structure]
     known = F.array(*map(F.lit, libraries)) if libraries else F.array().cast("array<string>")
     stop = F.array(*map(F.lit, stopwords)) if stopwords else F.array().cast("array<string>")
     libs = F.array_intersect(F.regexp_extract_all(F.lower(text), F.lit("[a-z][a-z0-9]*"), F.lit(0)), known)

@@ -83,6 +83,14 @@ def text_entities(spark, sf):
     return e.select("e.kind", "e.surface").groupBy("kind", "surface").agg(F.count("*").alias("df"))
 
 
+def structural_entities(spark, sf):
+    """Paths, error names and identifiers of every document with a few put before it: how many, and a digest of them in order."""
+    t = texts(spark, sf).withColumn("c", F.concat(F.lit("see src/a-b.ts, éE_NOT_OK errHandler("), F.col("observation_id"), F.lit(") snake_case and a.b.c: "), F.col("content")))
+    found, _ = T.structural(F.col("c"))
+    e = t.select(F.col("observation_id").alias("doc_id"), F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["surface"])).alias("e"))
+    return e.select("doc_id", F.size("e").cast("long").alias("n"), F.md5(F.array_join("e", "|")).alias("digest"))
+
+
 def entity_df(spark, sf):
     return memberships(spark, sf).groupBy("kind", "key").agg(F.count_distinct("concept_id").alias("df"))
 
@@ -111,7 +119,15 @@ def _redacted() -> str:
     return out
 
 
-QUERIES = {f.__name__: f for f in (token_counts, fnv_hashes, hashing_embedding, foreign_share, slugs, redactions, reference_edges, span_ranges, rendered_actions, circles, content_manifest, text_entities, entity_df, token_df)}
+def _structural_sql() -> str:
+    """Each pattern's finds, and the text without them for the next."""
+    step = f"select doc_id, 'see src/a-b.ts, éE_NOT_OK errHandler(' || doc_id || ') snake_case and a.b.c: ' || {_CONTENT} as c, []::varchar[] as e from documents"
+    for kind, pattern in T.ENTITY_PATTERNS:
+        step = f"select doc_id, regexp_replace(c, '{pattern}', ' ', 'g') as c, list_concat(e, list_transform(regexp_extract_all(c, '{pattern}'), lambda x: '{kind}:' || x)) as e from ({step})"
+    return f"select doc_id, len(e) as n, md5(array_to_string(e, '|')) as digest from ({step})"
+
+
+QUERIES = {f.__name__: f for f in (token_counts, fnv_hashes, hashing_embedding, foreign_share, slugs, redactions, reference_edges, span_ranges, rendered_actions, circles, content_manifest, text_entities, structural_entities, entity_df, token_df)}
 ORACLE = {
     "token_counts": rf"""select doc_id, len(list_filter(regexp_split_to_array(regexp_replace(lower({_CONTENT}), '[^a-z0-9\s]', ' ', 'g'), '\s+'), lambda x: x <> ''))::int as n_ascii,
   len(list_filter(regexp_split_to_array(regexp_replace(lower({_CONTENT}), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+'), lambda x: x <> ''))::int as n_unicode,
@@ -130,6 +146,7 @@ select doc_id, round(case when l > 0 then (l - a)::double / l else 0 end, 6) as
   select doc_id, c, case when regexp_extract(flat, '^(.*?[.!?])( |$)', 1) = '' then flat else regexp_extract(flat, '^(.*?[.!?])( |$)', 1) end as line from f)
 select doc_id, substr(regexp_replace(regexp_replace(nfc_normalize(lower(c)), '[^\p{{L}}\p{{N}}\p{{M}}]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60) as slug,
   case when length(line) <= 160 then line else rtrim(substr(line, 1, 159)) || '…' end as summary from s""",
+    "structural_entities": _structural_sql(),
     "redactions": f"with t as (select doc_id, {_CONTENT} as c, {_redacted()} as clean from documents) select doc_id, md5(clean) as digest, c <> clean as changed from t",
     "reference_edges": "select p_partkey, 'supersedes' as relation, replace(p_name, ' ', '-') as slug from part union all select p_partkey, 'derived-from', lower(replace(p_brand, '#', '')) from part",
     "span_ranges": """select c_custkey, 'host-' || c_nationkey as host, c_name as session, case when c_nationkey >= 1 and c_custkey >= c_nationkey then c_nationkey::bigint end as start_line,

@@ -106,3 +106,9 @@ def test_words_are_counted_as_they_are_made(spark):
     t = spark.createDataFrame([("A b-c  1x é́ 漢字 _z!",), ("",), (" ",), (None,), ("İx K",)], "t string")
     for unicode in (True, False):
         assert all(a == b for a, b in t.select(T.count_tokens(t.t, unicode), F.when(t.t.isNotNull(), F.size(T.tokens(t.t, unicode)))).collect())
+
+
+def test_a_secret_behind_a_letter_of_another_script_is_found(spark):
+    t = spark.createDataFrame([("éghp_aaaaaaaaaaaaaaaaaaaaaa",), ("xghp_aaaaaaaaaaaaaaaaaaaaaa",), ("éSupports: #a",)], "t string")
+    assert [r[0] for r in t.select(T.redact(t.t)).collect()][:2] == ["é[redacted-secret]", "xghp_aaaaaaaaaaaaaaaaaaaaaa"]
+    assert [len(r[0]) for r in t.select(T.references(t.t)).collect()] == [0, 0, 1]
