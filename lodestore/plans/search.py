@@ -129,8 +129,7 @@ def lexical_rank(spark, sf):
     """The five sources whose best document holds most of each benchmark text's tokens, by idf."""
     t, probes = texts(spark, sf), _probes(spark, sf)
     index = postings.build(t.select(F.col("observation_id").alias("doc_id"), F.col("concept_id").alias("label"), F.col("content").alias("text")), postings.lexical)
-    found = postings.hits(index, probes).select(F.col("label").alias("concept_id"), F.col("doc_id").alias("observation_id"), "token")
-    o = retrieval.overlap(probes, found, t.agg(F.count_distinct("concept_id")).first()[0])
+    o = postings.overlap(index, probes, t.agg(F.count_distinct("concept_id")).first()[0]).withColumnRenamed("label", "concept_id")
     w = Window.partitionBy("query_id").orderBy(F.round("overlap", 9).desc(), "concept_id")
     return o.withColumn("place", F.row_number().over(w)).where("place <= 5").select("query_id", "concept_id", F.round("overlap", 6).alias("overlap"), "place")
 
