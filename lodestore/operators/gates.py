@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestore.staging import stage
+
 BOUNDARY, MOST_TOKENS, MOST_PATTERNS = "\n", 12, 32
 _PARTS = ("&&", "||", ";", "|")
 
@@ -204,20 +206,26 @@ def read_patterns(stages: DataFrame, json: str = "patterns", most: int = MOST_PA
     return t.select("stage_id", F.slice(F.coalesce(good, F.array().cast("array<struct<tool: string, tokens: array<string>>>")), 1, most).alias("patterns"), bad.alias("n_malformed"))
 
 
-def gate(actions: DataFrame, patterns: DataFrame, rules: DataFrame, most_chars: int) -> DataFrame:
+def gate(actions: DataFrame, patterns: DataFrame, rules: DataFrame, most_chars: int, told=lambda ids: ids) -> DataFrame:
     """What each action meets: (action_id, primary_stage, severity, stages, rules, rule_ids, overflow).
 
     rules are live ones (concept_id, stage_id, severity, created_at, body). The primary stage is that of the first rule
     in order, a blocking one if there is any. Bodies beyond `most_chars` in all make an overflow, told apart from the
     verdict, which never changes by it. Actions that meet no stage with a live rule aren't listed.
+
+    What is met follows from the set of stages alone, so rules are put together once for each set that occurs, never
+    for each action; `told` says how a set's rule_ids go to its actions.
     """
-    met = matches(actions, patterns).join(rules, "stage_id").distinct()
+    hit = matches(actions, patterns).groupBy("action_id").agg(F.array_sort(F.collect_set("stage_id")).alias("met"))
+    held = stage(hit.select("action_id", "met"), "met")
+    sets = held.select("met").distinct().select("met", F.explode("met").alias("stage_id"))
     order = F.struct((F.col("severity") != "blocking").alias("advice"), "created_at", "concept_id", "stage_id")
-    t = met.groupBy("action_id").agg(
+    t = sets.join(rules.distinct(), "stage_id").groupBy("met").agg(
         F.min(order).alias("first"), F.count_distinct("stage_id").alias("stages"), F.count_distinct("concept_id").alias("rules"), F.sum(F.length("body")).alias("chars"),
         F.array_sort(F.collect_set("concept_id")).alias("rule_ids"),
     )
-    return t.select("action_id", F.col("first.stage_id").alias("primary_stage"), F.when(F.col("first.advice"), "advice").otherwise("blocking").alias("severity"), "stages", "rules", "rule_ids", (F.col("chars") > most_chars).alias("overflow"))
+    t = t.select("met", F.col("first.stage_id").alias("primary_stage"), F.when(F.col("first.advice"), "advice").otherwise("blocking").alias("severity"), "stages", "rules", told(F.col("rule_ids")).alias("rule_ids"), (F.col("chars") > most_chars).alias("overflow"))
+    return held.join(stage(t, "sets"), "met").drop("met")
 
 
 def clipped(text: Column, most: int) -> Column:

@@ -49,9 +49,13 @@ def pattern_reads(spark, sf):
     return r.select("stage_id", F.size("patterns").alias("patterns"), F.array_join(F.get("patterns", F.lit(0))["tokens"], " ").alias("first"), "n_malformed")
 
 
+def _digest(ids):
+    return F.md5(F.array_join(ids, ","))
+
+
 def gate_query(spark, sf):
     """What every action meets: its primary stage, severity, rules, and whether their bodies overflow."""
-    return gates.gate(rules._actions(spark, sf), rules._patterns(spark, sf), _rules(spark, sf)[1], OVERFLOW).select("action_id", "primary_stage", "severity", "stages", "rules", F.md5(F.array_join("rule_ids", ",")).alias("rule_ids"), "overflow")
+    return gates.gate(rules._actions(spark, sf), rules._patterns(spark, sf), _rules(spark, sf)[1], OVERFLOW, _digest)
 
 
 def gate_offline(spark, sf):
@@ -62,7 +66,7 @@ def gate_offline(spark, sf):
     state, held = mirror.read_mirror(spark, path, "concept_id long, stage_id string, severity string, created_at long, body string", 1)
     if state != "fresh":
         raise RuntimeError(f"the mirror just written is {state}")
-    return gates.gate(rules._actions(spark, sf), rules._patterns(spark, sf), held, OVERFLOW).select("action_id", "primary_stage", "severity", "stages", "rules", F.md5(F.array_join("rule_ids", ",")).alias("rule_ids"), "overflow")
+    return gates.gate(rules._actions(spark, sf), rules._patterns(spark, sf), held, OVERFLOW, _digest)
 
 
 def stage_lookup(spark, sf):

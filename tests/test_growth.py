@@ -1,6 +1,9 @@
 """What a query makes on the way grows with its input, not with pairs of its rows."""
 
-from lodestore.operators import evaluation, postings
+import numpy as np
+from pyspark.sql import functions as F
+
+from lodestore.operators import evaluation, gates, graph, postings, retrieval
 from lodestore.plans import catalog
 from tests.oracle import same
 from tests.test_postings import corpus, plain
@@ -29,3 +32,23 @@ def test_cues_make_no_row_for_every_hit(spark, sf, monkeypatch):
     monkeypatch.setattr(evaluation, "bm25", refuse)
     for name in ("cue_recall", "file_ranking"):
         same(spark, sf, catalog.queries()[name], catalog.oracle_sql()[name])
+
+
+def test_rules_are_put_together_by_set_of_stages(spark):
+    actions = spark.createDataFrame([(i, "t", ["a", "b"] if i % 2 else ["c"]) for i in range(200)], "action_id long, tool string, tokens array<string>")
+    patterns = spark.createDataFrame([("s1", None, ["a", "b"]), ("s2", "t", ["b"]), ("s3", None, ["c"])], "stage_id string, tool string, tokens array<string>")
+    rows = [(i, f"s{i % 4 + 1}", "blocking" if i % 40 == 5 else "advice", i % 7, "x" * (i % 3)) for i in range(100)]
+    rules = spark.createDataFrame(rows, "concept_id long, stage_id string, severity string, created_at long, body string")
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(ids):
+        return F.udf(lambda x: made.add(1) or ",".join(map(str, x)))(ids)
+
+    got = {(r.action_id, r.primary_stage, r.severity, r.stages, r.rules, r.rule_ids, r.overflow) for r in gates.gate(actions, patterns, rules, 40, counted).collect()}
+    want = set()
+    for i in range(200):
+        mine = [r for r in rows if r[1] in (("s1", "s2") if i % 2 else ("s3",))]
+        first = min((r[2] != "blocking", r[3], r[0], r[1]) for r in mine)
+        want.add((i, first[3], "advice" if first[0] else "blocking", len({r[1] for r in mine}), len(mine), ",".join(str(r[0]) for r in sorted(mine)), sum(len(r[4]) for r in mine) > 40))
+    assert got == want
+    assert made.value == 2
