@@ -67,3 +67,11 @@ def test_a_vector_leaves_k_neighbours_a_band(spark, monkeypatch):
             near = sorted((-round(float(x[i] @ x[j]), 6), j) for j in range(90) if j != i and least <= round(float(x[i] @ x[j]), 6) < below)
             want += [(band, i, j, -s) for s, j in near[:k]]
     assert got == sorted(want)
+
+
+def test_memberships_are_not_broadcast_by_estimate(spark, sf):
+    plan = catalog.queries()["about_edges"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+    edges = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    m = spark.createDataFrame([(1, "id", "x"), (2, "id", "x"), (3, "id", "y")], "concept_id long, kind string, key string")
+    assert [tuple(r) for r in graph.without_support(edges, m).collect()] == [(2, 3)]
