@@ -1,6 +1,9 @@
 """What a query makes on the way grows with its input, not with pairs of its rows."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestore.operators import evaluation, gates, graph, postings, retrieval
@@ -75,3 +78,25 @@ def test_memberships_are_not_broadcast_by_estimate(spark, sf):
     edges = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
     m = spark.createDataFrame([(1, "id", "x"), (2, "id", "x"), (3, "id", "y")], "concept_id long, kind string, key string")
     assert [tuple(r) for r in graph.without_support(edges, m).collect()] == [(2, 3)]
+
+
+def test_a_shard_in_the_making_holds_numbers(monkeypatch):
+    class Here:
+        get = staticmethod(lambda: Here)
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(postings, "TaskContext", Here)
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in rng.choice(5000, 400, replace=False)) for _ in range(1500)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(1500), "label": pa.nulls(1500, pa.string()), "text": texts})
+    seen = []
+
+    def shard(*_):
+        seen.append(tracemalloc.get_traced_memory()[0])
+
+    monkeypatch.setattr(postings, "_shard", shard)
+    tracemalloc.start()
+    list(postings._built(postings.words, 10_000, 8)([batch]))
+    tracemalloc.stop()
+    assert seen[0] < 15e6  # 600,000 postings
+    assert postings.SHARD_POSTINGS <= 1_000_000
