@@ -2,191 +2,105 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from lodestore.staging import stage
 from lodestore.streaming import spool
 
 #: What an interception says of its moment; for each the first value by (run, sequence) stands.
 FIELDS = {"at": "at", "session_id": "sessionId", "tool_use_id": "toolUseId", "circle": "circle", "stage_id": "stageId", "rule_ids": "ruleIds", "disposition": "disposition", "delivered_rule_ids": "deliveredRuleIds"}
-LISTS = ("rule_ids", "delivered_rule_ids")
 OUTCOME = ("outcome_at", "outcome_status", "outcome_sha256")
-MOMENT = "moment_id string, version long, opened boolean, fields string, outcome_at string, outcome_status string, outcome_sha256 string, reads map<string,string>, asked boolean, answer string, conflict boolean"
-#: The columns that both states read; a tool use tells of itself in them too, with its id as rule_id and no key.
-TOOL = "key string, kind string, run_id string, seq long, fields string, rule_id string, read_at string, outcome_at string, outcome_status string, outcome_sha256 string, answer string"
+#: What facts are of: a moment or a tool use, its id, and the rule of a read, the answer of an answer or the moment of a tool use's interception.
+FACT = ("of", "id", "what", "name")
 
 
 def keyed(records: DataFrame) -> DataFrame:
-    """Valid records in the columns that the states read; `key` is their moment, null where they name none."""
-    said = F.to_json(F.struct(*[F.col(c).alias(n) for n, c in FIELDS.items()]))
-    t = records.where("status = 'ok'")
-    return t.select(
-        F.col("momentId").alias("key"), "kind", "run_id", "seq", F.when(F.col("kind") == "interception", said).alias("fields"), F.col("ruleId").alias("rule_id"), F.col("readAt").alias("read_at"),
-        F.col("outcomeAt").alias("outcome_at"), F.col("outcomeStatus").alias("outcome_status"), F.col("outcomeSha256").alias("outcome_sha256"), "answer", F.col("toolUseId").alias("tool_use_id"),
+    """Valid records in the columns that the ledger reads; `key` is their moment, null where they name none."""
+    return records.where("status = 'ok'").select(
+        F.col("momentId").alias("key"), "kind", "run_id", "seq", *[F.col(c).alias(n) for n, c in FIELDS.items()], F.col("ruleId").alias("rule_id"), F.col("readAt").alias("read_at"),
+        F.col("outcomeAt").alias("outcome_at"), F.col("outcomeStatus").alias("outcome_status"), F.col("outcomeSha256").alias("outcome_sha256"), "answer",
     )
 
 
-class ToolUses(StatefulProcessor):
-    """What is known of a tool use: the moments that it was intercepted as, and its first outcome, held until there is one.
+def _held() -> dict[str, Column]:
+    """The columns of a fact's state, each a least or greatest value over its records, so that order, repeats and splits change nothing.
 
-    For each moment comes an outcome record once both are known, again if an earlier outcome turns up. A held outcome
-    stands as a loss until its interception comes, so each change of that is told too. Nothing runs out: the other half
-    may always come.
+    Fields and outcome: the first non-null by (run, sequence) and by time. Reads: of each rule the first. Answers: of each the first.
     """
+    said, opens = F.struct("run_id", "seq"), F.col("what") == "interception"
+    first = {n: F.min(F.when(opens & F.col(n).isNotNull(), F.struct("run_id", "seq", F.col(n).alias("v")))) for n in FIELDS}
+    outcome = F.min(F.when(F.col("what") == "outcome", F.struct("outcome_at", "run_id", "seq", "outcome_status", "outcome_sha256")))
+    return first | {"outcome": outcome, "read_at": F.min(F.when(F.col("what") == "read", F.col("read_at"))), "said": F.min(F.when(F.col("what") == "answer", said))}
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.moments = handle.getListState("moments", "moment_id string")
-        self.outcome = handle.getValueState("outcome", "run_id string, seq long, at string, status string, sha256 string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True)
-        known = [m for (m,) in self.moments.get()] if self.moments.exists() else []
-        had = self.outcome.get() if self.outcome.exists() else None
-        new = [m for m in dict.fromkeys(pdf[pdf.kind == "interception"].key) if m not in known]
-        came = [(r.outcome_at, r.run_id, r.seq, r.outcome_status, r.outcome_sha256) for r in pdf[pdf.kind == "outcome"].itertuples()]
-        best = min([*([(had[2], had[0], had[1], had[3], had[4])] if had else []), *came], key=lambda r: r[:3], default=None)
-        if new:
-            self.moments.appendList([(m,) for m in new])
-        changed = best is not None and (had is None or (had[2], had[0], had[1]) != best[:3])
-        if changed:
-            self.outcome.update((best[1], best[2], best[0], best[3], best[4]))
-        told = []
-        if best is not None:
-            told = [(m, "outcome") for m in (known + new if changed else new)]
-            if not known and (new or changed):
-                told.append((None, "loss-closed" if new else "loss"))
-        yield pd.DataFrame([(m, kind, best[1], best[2], None, key[0] if m is None else None, None, best[0], best[3], best[4], None) for m, kind in told], columns=[c.split()[0] for c in TOOL.split(", ")])
-
-    def close(self) -> None:
-        pass
-
-
-class Moments(StatefulProcessor):
-    """What is known of a moment. Every batch that touches it gives its row with a higher version.
-
-    Fields and outcome: the first non-null by (run, sequence) and by time. Reads: of each rule the first; whether it
-    counts and came late is told from rules and outcome when the row is read, so a late outcome moves it.
-    """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.facts = handle.getValueState("facts", "json string")
-        self.reads = handle.getMapState("reads", "rule_id string", "read_at string")
-        self.answers = handle.getListState("answers", "run_id string, seq long, answer string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["run_id", "seq"], kind="stable")
-        held = json.loads(self.facts.get()[0]) if self.facts.exists() else {"version": 0, "opened": False, "asked": False, "fields": {}, "outcome": None}
-        answers = [tuple(a) for a in self.answers.get()] if self.answers.exists() else []
-        for r in pdf.itertuples():
-            if r.kind == "interception":
-                held["opened"] = True
-                for name, v in json.loads(r.fields).items():
-                    have = held["fields"].get(name)
-                    if have is None or [r.run_id, r.seq] < have[0]:
-                        held["fields"][name] = [[r.run_id, r.seq], v]
-            elif r.kind == "read" and r.rule_id is not None and r.read_at is not None:
-                have = self.reads.getValue((r.rule_id,)) if self.reads.containsKey((r.rule_id,)) else None
-                if have is None or r.read_at < have[0]:
-                    self.reads.updateValue((r.rule_id,), (r.read_at,))
-            elif r.kind == "outcome":
-                came = [[r.outcome_at, r.run_id, r.seq], [r.outcome_status, r.outcome_sha256]]
-                if held["outcome"] is None or came[0] < held["outcome"][0]:
-                    held["outcome"] = came
-            elif r.kind == "ask":
-                held["asked"] = True
-            elif r.kind == "answer":
-                answers.append((r.run_id, r.seq, r.answer))
-        first = {}
-        for a in sorted(answers):
-            first.setdefault(a[2], a)
-        if first:
-            self.answers.put(sorted(first.values()))
-        held["version"] += 1
-        self.facts.update((json.dumps(held),))
-        reads = {k[0]: v[0] for k, v in self.reads.iterator()} if self.reads.exists() else {}
-        at, (status, sha) = (held["outcome"][0][0], held["outcome"][1]) if held["outcome"] else (None, (None, None))
-        fields = json.dumps({name: v for name, (_, v) in held["fields"].items()})
-        answer = min(first.values())[2] if first else None
-        yield pd.DataFrame([(key[0], held["version"], held["opened"], fields, at, status, sha, reads, held["asked"], answer, len(first) > 1)], columns=["moment_id", "version", "opened", "fields", *OUTCOME, "reads", "asked", "answer", "conflict"])
-
-    def close(self) -> None:
-        pass
-
-
-_KINDS = ", ".join(f"{n} {'array<string>' if n in LISTS else 'string'}" for n in FIELDS)
+def held(records: DataFrame) -> DataFrame:
+    """What is known of each fact from keyed records: one row for each (of, id, what, name). An interception by tool use is a fact of that too; what a record of another kind says is that there is its moment."""
+    kind, key, tool = F.col("kind"), F.col("key"), F.col("tool_use_id")
+    fact = lambda of, id_, what, name: F.struct(F.lit(of).alias("of"), id_.alias("id"), what.alias("what"), name.alias("name"))
+    none = F.lit(None).cast("string")
+    reads = (kind == "read") & F.col("rule_id").isNotNull() & F.col("read_at").isNotNull()
+    what = F.when(reads, "read").when(kind.isin("interception", "outcome", "ask", "answer"), kind).otherwise("seen")
+    of_moment = F.when(key.isNotNull() & (kind != "run-start"), fact("moment", key, what, F.when(reads, F.col("rule_id")).when(kind == "answer", F.col("answer"))))
+    of_tool = F.when(tool.isNotNull() & (kind == "interception") & key.isNotNull(), fact("tool", tool, F.lit("link"), key)).when(tool.isNotNull() & (kind == "outcome") & key.isNull(), fact("tool", tool, F.lit("outcome"), none))
+    t = records.select("*", F.explode(F.array_compact(F.array(of_moment, of_tool))).alias("__f")).select("*", "__f.*")
+    return t.groupBy(*FACT).agg(*[c.alias(n) for n, c in _held().items()])
 
 
 def _told(rows: DataFrame) -> DataFrame:
-    """Moments as they are read, their fields in the struct __f: reads that count, split by the outcome, and the state."""
-    t = rows.select("*", "__f.*")
+    """Moments as they are read: reads that count, split by the outcome, and the state. A late outcome moves reads."""
     counts = lambda rule: F.col("rule_ids").isNull() | F.array_contains("rule_ids", rule)
     late = lambda at: F.col("outcome_at").isNotNull() & (at > F.col("outcome_at"))
     timely, after = F.map_filter("reads", lambda k, v: counts(k) & ~late(v)), F.map_filter("reads", lambda k, v: counts(k) & late(v))
     state = F.when(~F.col("opened"), "unopened").when(F.col("outcome_at").isNull(), "pending").otherwise("closed")
-    return t.select("moment_id", *FIELDS, *OUTCOME, timely.alias("reads"), after.alias("late_reads"), "asked", "answer", "conflict", state.alias("state"))
+    return rows.select("moment_id", *FIELDS, *OUTCOME, timely.alias("reads"), after.alias("late_reads"), "asked", "answer", "conflict", state.alias("state"))
 
 
-def latest(rows: DataFrame) -> DataFrame:
-    """Of the rows that the stream gave each moment's last, as told."""
-    last = rows.groupBy("moment_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("moment_id", "version")]), "version").alias("r")).select("moment_id", "r.*")
-    return _told(last.withColumn("__f", F.from_json("fields", _KINDS)).drop("fields"))
+def ledger(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Moments as told and losses, (tool_use_id, outcome_at, outcome_status) of outcomes that no interception has met, from facts, each once.
 
-
-def losses(rows: DataFrame) -> DataFrame:
-    """(tool_use_id, outcome_at, outcome_status) of outcomes that no interception has met."""
-    t = rows.where("key is null").groupBy(F.col("rule_id").alias("tool_use_id")).agg(F.max(F.col("kind") == "loss-closed").alias("closed"), F.min(F.struct("outcome_at", "run_id", "seq", "outcome_status")).alias("o"))
-    return t.where(~F.col("closed")).select("tool_use_id", "o.outcome_at", "o.outcome_status")
+    A tool use's first outcome goes to each moment that it was intercepted as.
+    """
+    tools = facts.where("of = 'tool'")
+    results, links = tools.where("what = 'outcome'").select("id", "outcome"), tools.where("what = 'link'").select("id", "name")
+    met = results.join(links, "id").select(F.lit("moment").alias("of"), F.col("name").alias("id"), F.lit("outcome").alias("what"), "outcome")
+    what, name = F.col("what"), F.col("name")
+    answers = what == "answer"
+    reads = F.array_sort(F.collect_list(F.when(what == "read", F.struct("name", "read_at"))))
+    t = facts.where("of = 'moment'").unionByName(met, allowMissingColumns=True).groupBy(F.col("id").alias("moment_id")).agg(
+        *[F.min(n)["v"].alias(n) for n in FIELDS], F.min("outcome").alias("o"), F.map_from_entries(reads).alias("reads"), F.max(what == "interception").alias("opened"), F.max(what == "ask").alias("asked"),
+        F.min(F.when(answers, F.struct("said", "name")))["name"].alias("answer"), (F.count_if(answers & name.isNotNull()) > 1).alias("conflict"),
+    )
+    lost = results.join(links, "id", "left_anti").select(F.col("id").alias("tool_use_id"), "outcome.outcome_at", "outcome.outcome_status")
+    return _told(t.select("*", *[F.col("o")[c].alias(c) for c in OUTCOME])), lost
 
 
 def batch(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The same from all records at once: moments as latest() tells them, and losses."""
-    r = keyed(records).dropDuplicates(["run_id", "seq"])
-    at = F.struct("run_id", "seq")
-    opened = r.where("kind = 'interception' and key is not null")
-    said = opened.select("key", "run_id", "seq", F.from_json("fields", _KINDS).alias("f")).select("key", "run_id", "seq", "f.*")
-    facts = said.groupBy("key").agg(*[F.min(F.when(F.col(n).isNotNull(), F.struct(at.alias("at"), F.col(n).alias("v"))))["v"].alias(n) for n in FIELDS], F.lit(True).alias("opened"))
-    by_tool = r.where("kind = 'outcome' and key is null and tool_use_id is not null").select("tool_use_id", "run_id", "seq", *OUTCOME)
-    tools = opened.where("tool_use_id is not null").select("key", "tool_use_id").distinct()
-    results = r.where("kind = 'outcome' and key is not null").select("key", "run_id", "seq", *OUTCOME).union(by_tool.join(tools, "tool_use_id").select("key", "run_id", "seq", *OUTCOME))
-    result = results.groupBy("key").agg(F.min(F.struct("outcome_at", "run_id", "seq", "outcome_status", "outcome_sha256")).alias("o")).select("key", "o.outcome_at", "o.outcome_status", "o.outcome_sha256")
-    read = r.where("kind = 'read' and key is not null and rule_id is not null and read_at is not null").groupBy("key", "rule_id").agg(F.min("read_at").alias("at"))
-    reads = read.groupBy("key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("rule_id", "at")))).alias("reads"))
-    said_of = r.where("kind in ('ask', 'answer') and key is not null").groupBy("key").agg(F.max(F.col("kind") == "ask").alias("asked"), F.min(F.when(F.col("kind") == "answer", F.struct("run_id", "seq", "answer")))["answer"].alias("answer"), (F.count_distinct(F.when(F.col("kind") == "answer", F.col("answer"))) > 1).alias("conflict"))
-    touched = r.where("key is not null and (kind <> 'run-start')").select("key").distinct()
-    t = touched.join(facts, "key", "left").join(result, "key", "left").join(reads, "key", "left").join(said_of, "key", "left").withColumnRenamed("key", "moment_id")
-    no = F.lit(False)
-    t = t.withColumn("opened", F.coalesce("opened", no)).withColumn("asked", F.coalesce("asked", no)).withColumn("conflict", F.coalesce("conflict", no)).withColumn("reads", F.coalesce("reads", F.create_map().cast("map<string,string>")))
-    lost = by_tool.join(tools, "tool_use_id", "left_anti").groupBy("tool_use_id").agg(F.min(F.struct("outcome_at", "run_id", "seq", "outcome_status")).alias("o")).select("tool_use_id", "o.outcome_at", "o.outcome_status")
-    return _told(t.select("moment_id", "opened", *OUTCOME, "reads", "asked", "answer", "conflict", F.struct(*FIELDS).alias("__f"))), lost
-
-
-def _drain(rows: DataFrame, out: str, state: str) -> None:
-    rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    """The ledger of all records at once: moments and losses."""
+    return ledger(held(stage(keyed(records).dropDuplicates(["run_id", "seq"]), "ledger")))
 
 
 def run(spark: SparkSession, path: str, folder: str, version: int = spool.VERSION) -> tuple[DataFrame, DataFrame]:
     """Bring the ledger in `folder` up to what the spool holds; gives its moments and losses.
 
-    Two stateful steps follow one another, each with its checkpoint and file sink in the folder: tool uses, whose told
-    outcomes the second step reads beside the records that name their moment. States are kept in RocksDB without a
-    time limit. Another folder is another ledger, from the spool's start.
+    Each fact is a state of Spark's streaming aggregation, kept in RocksDB without a time limit, since the other half
+    of a moment may always come. Every batch tells the states that it touched; a later one is never greater in any
+    least value. Another folder is another ledger, from the spool's start.
     """
+
+    def write(rows: DataFrame, where: str) -> dict:
+        rows.write.parquet(where)
+        return {}
+
     name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
+    before, out, state = spark.conf.get(name, None), f"{folder}/facts", f"{folder}/state"
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        records = lambda: keyed(spool.once(spool.read_spool(spark, path, version)))
-        tools = records().where("tool_use_id is not null and (kind = 'interception' and key is not null or kind = 'outcome' and key is null)")
-        _drain(tools.groupBy("tool_use_id").transformWithStateInPandas(ToolUses(), TOOL, "Append", "None"), f"{folder}/tools", f"{folder}/tools-state")
-        direct = records().where("key is not null and kind <> 'run-start'").drop("tool_use_id")
-        joined = spark.readStream.schema(TOOL).parquet(f"{folder}/tools").where("key is not null")
-        moments = direct.unionByName(joined).groupBy("key").transformWithStateInPandas(Moments(), MOMENT, "Append", "None")
-        _drain(moments, f"{folder}/moments", f"{folder}/moments-state")
+        facts = held(keyed(spool.once(spool.read_spool(spark, path, version, f"{state}-cursor"))))
+        stream = facts.writeStream.outputMode("update").foreachBatch(spool.commit_batches(spark, out, state, write))
+        stream.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(name, before) if before else spark.conf.unset(name)
-    return latest(spark.read.schema(MOMENT).parquet(f"{folder}/moments")), losses(spark.read.schema(TOOL).parquet(f"{folder}/tools"))
+    folders = [f"{out}/{c['folder']}" for c in spool.commits(spark, out).values()]
+    told = spark.read.schema(facts.schema).parquet(*folders) if folders else spark.createDataFrame([], facts.schema)
+    return ledger(told.groupBy(*FACT).agg(*[F.min(c).alias(c) for c in told.columns if c not in FACT]))

@@ -4,10 +4,12 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
 from lodestore.operators import evaluation, gates, graph, postings, retrieval
-from lodestore.plans import catalog
+from lodestore.plans import catalog, ledgers
+from lodestore.streaming import moments, spool
 from tests.oracle import same
 from tests.test_postings import corpus, plain
 
@@ -109,3 +111,16 @@ def test_headroom_makes_no_row_for_a_pair(spark, sf, monkeypatch):
     monkeypatch.setattr(retrieval, "best_observations", refuse)
     monkeypatch.setattr(retrieval, "ROW_BLOCK", 16)
     same(spark, sf, catalog.queries()["threshold_headroom"], catalog.oracle_sql()["threshold_headroom"])
+
+
+def test_the_ledger_asks_no_state_from_python(spark, sf, monkeypatch):
+    def refuse(*_, **__):
+        raise AssertionError("a state is asked over a socket")
+
+    monkeypatch.setattr(GroupedData, "transformWithStateInPandas", refuse)
+    same(spark, sf, catalog.queries()["stream_moments"], catalog.oracle_sql()["stream_moments"])
+
+
+def test_the_batch_ledger_parses_its_lines_once(spark, sf):
+    for t in moments.batch(spool.parse(ledgers._spool_lines(spark, sf)).withColumnRenamed("runId", "run_id")):
+        assert "from_json" not in t._jdf.queryExecution().optimizedPlan().toString()
