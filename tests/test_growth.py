@@ -7,8 +7,10 @@ import pyarrow as pa
 from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
+from lodestore.functions.text import lexical_tokens
 from lodestore.operators import evaluation, gates, graph, postings, retrieval
 from lodestore.plans import catalog, ledgers
+from lodestore.sources.tables import read
 from lodestore.streaming import moments, spool
 from tests.oracle import same
 from tests.test_postings import corpus, plain
@@ -124,3 +126,29 @@ def test_the_ledger_asks_no_state_from_python(spark, sf, monkeypatch):
 def test_the_batch_ledger_parses_its_lines_once(spark, sf):
     for t in moments.batch(spool.parse(ledgers._spool_lines(spark, sf)).withColumnRenamed("runId", "run_id")):
         assert "from_json" not in t._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_signals_shuffle_no_row_for_a_hit(spark, sf):
+    (d,) = read(spark, sf, "documents")
+    plan = catalog.queries()["nomination_signals"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
+    texts = d.limit(40).select("doc_id", (F.col("doc_id") % 3).alias("concept_id"), "text")
+    ix = texts.select("doc_id", "concept_id", F.explode(lexical_tokens(F.coalesce("text", F.lit("")))).alias("token")).toPandas()
+    held = {i: set(g.token) for i, g in ix.groupby("doc_id")}
+    concept, df = dict(zip(ix.doc_id, ix.concept_id, strict=True)), ix.groupby("token").concept_id.nunique()
+    w = lambda ts: sum(3 if len(t) >= 8 else 1 for t in ts)
+    rows = texts.toPandas()
+    t = spark.createDataFrame([(int(r.doc_id), int(r.concept_id), w(held.get(r.doc_id, ())), r.text) for r in rows.itertuples()], "doc_id long, concept_id long, weight long, text string")
+    asked = sorted(held)[:4]
+    probes = spark.createDataFrame([(int(q), x) for q in asked for x in held[q]], "query_id long, token string")
+    got = {(r.query_id, r.concept_id): (round(r.lexical, 9), round(r.entities, 9)) for r in postings.signals(t, probes, 3).collect()}
+    want = {}
+    for q in asked:
+        idf = {x: np.log(3 / (1 + df[x])) for x in held[q]}
+        for i in set(held) - {q}:
+            both = held[q] & held[i]
+            if both:
+                new = sum(idf[x] for x in both) / sum(idf.values()), w(both) / w(held[q] | held[i])
+                old = want.get((q, concept[i]), new)
+                want[q, concept[i]] = max(new[0], old[0]), max(new[1], old[1])
+    assert got == {k: (round(a, 9), round(b, 9)) for k, (a, b) in want.items()}
