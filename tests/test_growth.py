@@ -152,3 +152,12 @@ def test_signals_shuffle_no_row_for_a_hit(spark, sf):
                 old = want.get((q, concept[i]), new)
                 want[q, concept[i]] = max(new[0], old[0]), max(new[1], old[1])
     assert got == {k: (round(a, 9), round(b, 9)) for k, (a, b) in want.items()}
+
+
+def test_pointers_are_not_broadcast(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(20)], "src long, dst long")
+    said, path = graph.cycle_verdicts(links, spark.createDataFrame([(5, 2), (2, 5)], "src long, dst long"))
+    assert {(r.src, r.dst): (r.verdict, r.hops) for r in said.collect()} == {(5, 2): ("cycle", 4), (2, 5): ("safe", None)}
+    assert [r.node for r in path.orderBy("place").collect()] == [5, 2, 3, 4, 5]
+    for t in (said, path):
+        assert "BroadcastHashJoin" not in t._jdf.queryExecution().executedPlan().toString()
