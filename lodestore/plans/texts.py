@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestore.functions import text as T
 from lodestore.operators import retrieval
-from lodestore.sources.tables import memberships, read, texts
+from lodestore.sources.tables import dealt, memberships, parts_of, read, texts
 
 DIM = 256
 
@@ -25,7 +25,7 @@ def fnv_hashes(spark, sf):
 def hashing_embedding(spark, sf):
     """Sparse rows (p_partkey, idx, value) of the hashed, signed, unit-length feature vector of each part's name."""
     (p,) = read(spark, sf, "part")
-    f = p.select("p_partkey", F.explode(T.features(F.col("p_name"))).alias("f")).select("p_partkey", "f.weight", T.fnv1a(F.col("f.name")).alias("h"))
+    f = dealt(p, parts_of(p, 40), "p_partkey").select("p_partkey", F.explode(T.features(F.col("p_name"))).alias("f")).select("p_partkey", "f.weight", T.fnv1a(F.col("f.name")).alias("h"))
     v = f.groupBy("p_partkey", (F.col("h") % DIM).cast("int").alias("idx")).agg(F.sum(F.when(F.col("h") % 2 == 0, F.col("weight")).otherwise(-F.col("weight"))).alias("x"))
     norm = v.groupBy("p_partkey").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n"))
     return v.where("x <> 0").join(norm, "p_partkey").select("p_partkey", "idx", F.round(F.col("x") / F.col("n"), 6).alias("value"))

@@ -1,15 +1,18 @@
 """What a query makes on the way grows with its input, not with pairs of its rows."""
 
+import re
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
 from lodestore.functions.text import lexical_tokens
 from lodestore.operators import evaluation, gates, graph, postings, retrieval
 from lodestore.plans import catalog, ledgers
+from lodestore.sources import tables
 from lodestore.sources.tables import read
 from lodestore.streaming import moments, spool
 from tests.oracle import same
@@ -161,3 +164,13 @@ def test_pointers_are_not_broadcast(spark):
     assert [r.node for r in path.orderBy("place").collect()] == [5, 2, 3, 4, 5]
     for t in (said, path):
         assert "BroadcastHashJoin" not in t._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["follow_edges", "undirected_counts", "dangling_edges", "two_hop_reach", "hashing_embedding", "co_occurrence_edges", "unsupported_edges_all", "concept_degrees"])
+def test_a_task_of_a_shuffle_stays_small_as_tables_grow(spark, sf, monkeypatch, name):
+    monkeypatch.setattr(tables, "TASK_ROWS", 300)
+    query = catalog.queries()[name]
+    plan = query(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert max(int(n) for n in re.findall(r"Exchange hashpartitioning\(.*, (\d+)\)", plan)) > 4
+    sql = catalog.oracle_sql()
+    same(spark, sf, query, sql[name] if name in sql else sql["unsupported_edges"].replace(" and o_orderpriority = '5-LOW'", ""))
