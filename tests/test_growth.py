@@ -1,5 +1,6 @@
 """What a query makes on the way grows with its input, not with pairs of its rows."""
 
+import random
 import re
 import tracemalloc
 
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 
+from lodestore.functions import text
 from lodestore.functions.text import lexical_tokens
 from lodestore.operators import evaluation, gates, graph, postings, retrieval
 from lodestore.plans import catalog, ledgers
@@ -174,3 +176,21 @@ def test_a_task_of_a_shuffle_stays_small_as_tables_grow(spark, sf, monkeypatch,
     assert max(int(n) for n in re.findall(r"Exchange hashpartitioning\(.*, (\d+)\)", plan)) > 4
     sql = catalog.oracle_sql()
     same(spark, sf, query, sql[name] if name in sql else sql["unsupported_edges"].replace(" and o_orderpriority = '5-LOW'", ""))
+
+
+def test_entity_patterns_read_marked_runs_once(spark, sf):
+    plan = catalog.queries()["structural_entities"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ya?ml|py|go|rs|toml|css") == 2  # found once, taken out once
+    rng = random.Random(7)
+    pieces = ["a", "b1", "E", "ERR", "E12", "_", ".", "/", "-", " ", "\n", "é", "A", "fooBar", ".ts", ".yml", "x/y", "💥", "中"]
+    rows = [(i, "".join(rng.choice(pieces) for _ in range(rng.randrange(40)))) for i in range(1500)] + [(1500, ""), (1501, "a-b.ts"), (1502, None)]
+    found, rest = text.structural(F.col("t"))
+    t = spark.createDataFrame(rows, "i long, t string").select("i", F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["surface"])).alias("e"), rest.alias("rest"))
+    got = {r.i: (r.e, r.rest) for r in t.collect()}
+    assert got.pop(1502) == (None, None)
+    for i, left in rows[:-1]:
+        e = []
+        for kind, pattern in text.ENTITY_PATTERNS:
+            e += [f"{kind}:{m.group()}" for m in re.finditer(pattern, left, re.ASCII)]
+            left = re.sub(pattern, " ", left, flags=re.ASCII)
+        assert got[i] == (e, left)
