@@ -2,47 +2,48 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestore.functions.text import bound
 from lodestore.staging import stage
 
 BOUNDARY, MOST_TOKENS, MOST_PATTERNS = "\n", 12, 32
 _PARTS = ("&&", "||", ";", "|")
 
 
+#: What a command line consists of, from left to right; what is none of the named groups parts words.
+_LEXEMES = re.compile(
+    r"""[ \t]+|(?P<line>[\r\n])|(?P<part>&&|\|\||[;|])|(?P<plain>(?:[^ \t\r\n;|&\\"'#]|&(?!&))+)|(?P<hash>\#)|\\(?P<joined>\r\n|[\r\n])|\\(?P<escaped>.)|"(?P<double>[^"]*)"?|'(?P<single>[^']*)'?|(?P<last>\\)""", re.DOTALL
+)
+_COMMENT = re.compile(r"[^\n]*")
+
+
 def shell_words(command: str) -> list[str]:
     """Words of a command line in lower case: quotes and backslashes join, separators and line ends are words of their own, comments go."""
     out, word, i, n = [], None, 0, len(command)
-    while i <= n:
-        c = command[i] if i < n else ""
-        part = next((p for p in _PARTS if command.startswith(p, i)), "")
-        if c in ("", " ", "\t", "\n", "\r") or part:
+    while i < n:
+        met = _LEXEMES.match(command, i)
+        kind, i = met.lastgroup, met.end()
+        if kind == "hash" and word is None:
+            i = _COMMENT.match(command, i).end()
+        elif kind not in (None, "line", "part"):
+            if kind != "joined":
+                word = (word or "") + met[kind]
+        else:
             if word is not None:
                 out.append(word.lower())
                 word = None
-            if part:
-                out.append(part)
-            elif c in ("\n", "\r") and c and out[-1:] != [BOUNDARY]:
+            if kind == "part":
+                out.append(met[kind])
+            elif kind and out[-1:] != [BOUNDARY]:
                 out.append(BOUNDARY)
-            i += len(part) or 1
-        elif c == "#" and word is None:
-            end = command.find("\n", i)
-            i = n if end < 0 else end
-        elif c == "\\" and i + 1 < n:
-            follow = command[i + 1 : i + 3]
-            if follow[0] in "\n\r":
-                i += 3 if follow == "\r\n" else 2
-            else:
-                word, i = (word or "") + follow[0], i + 2
-        elif c in "\"'":
-            end = command.find(c, i + 1)
-            end = n if end < 0 else end
-            word, i = (word or "") + command[i + 1 : end], end + 1
-        else:
-            word, i = (word or "") + c, i + 1
+    if word is not None:
+        out.append(word.lower())
     return out
 
 
@@ -66,21 +67,28 @@ def seed_pattern(tokens: Column) -> Column:
     """A pattern from one action's tokens: its longest command (the first of equals) up to its last flag, else two words.
 
     It reaches its first plain word at least and MOST_TOKENS words at most; a command of flags alone gives none.
+    The tokens are gone through once, whatever number of commands they are.
     """
     parts = F.array(*(F.lit(p) for p in (*_PARTS, BOUNDARY)))
-    ends = F.filter(F.sequence(F.lit(0), F.size(tokens)), lambda i: (i == F.size(tokens)) | F.array_contains(parts, F.get(tokens, i)))
-
-    def command(end: Column, k: Column) -> Column:
-        start = F.coalesce(F.get(ends, k - 1) + 1, F.lit(0))
-        return F.slice(tokens, start + 1, end - start)
-
-    commands = F.transform(ends, command)
-    longest = F.array_max(F.transform(commands, lambda c: F.struct(F.size(c).alias("n"), (-F.array_position(commands, c)).alias("at"), c.alias("c"))))["c"]
-    places = lambda of: F.transform(longest, lambda t, i: F.when(of(t), i + 1))
-    flag = lambda t: t.rlike("^-+[^-0-9]")
-    last_flag, first_plain = F.array_max(places(flag)), F.array_min(places(lambda t: ~flag(t)))
-    keep = F.least(F.lit(MOST_TOKENS), F.greatest(F.coalesce(last_flag, F.lit(2)), first_plain))
-    return F.when(first_plain.isNotNull(), F.slice(longest, F.lit(1), keep)).otherwise(F.array().cast("array<string>"))
+
+    def longest(tokens: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(0), F.size(tokens)), lambda i: (i == F.size(tokens)) | F.array_contains(parts, F.get(tokens, i)))
+        state = lambda start, best, n: F.struct(start.alias("start"), best.alias("best"), n.alias("n"))
+
+        def longer(s: Column, end: Column) -> Column:
+            more = end - s["start"] > s["n"]
+            return state(end + 1, F.when(more, s["start"]).otherwise(s["best"]), F.when(more, end - s["start"]).otherwise(s["n"]))
+
+        return F.aggregate(ends, state(F.lit(0), F.lit(0), F.lit(0)), longer, lambda s: F.slice(tokens, s["best"] + 1, s["n"]))
+
+    def kept(command: Column) -> Column:
+        places = lambda of: F.transform(command, lambda t, i: F.when(of(t), i + 1))
+        flag = lambda t: t.rlike("^-+[^-0-9]")
+        last_flag, first_plain = F.array_max(places(flag)), F.array_min(places(lambda t: ~flag(t)))
+        keep = F.least(F.lit(MOST_TOKENS), F.greatest(F.coalesce(last_flag, F.lit(2)), first_plain))
+        return F.when(first_plain.isNotNull(), F.slice(command, F.lit(1), keep)).otherwise(F.array().cast("array<string>"))
+
+    return bound(tokens, lambda t: bound(longest(t), kept))
 
 
 def contains_run(tokens: Column, needle: Column) -> Column:

@@ -194,3 +194,17 @@ def test_entity_patterns_read_marked_runs_once(spark, sf):
             e += [f"{kind}:{m.group()}" for m in re.finditer(pattern, left, re.ASCII)]
             left = re.sub(pattern, " ", left, flags=re.ASCII)
         assert got[i] == (e, left)
+
+
+def test_seeds_go_through_the_tokens_once(spark, sf):
+    plan = catalog.queries()["action_seeds"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sequence(") == 1
+    tokens = [t for i in range(2000) for t in (f"c{i}", "x", "-f", ";")] + ["last", "of", "-v", "-w", "all"]
+    t = spark.createDataFrame([(tokens,)], "t array<string>")
+    assert t.select(gates.seed_pattern(F.col("t")).alias("p")).first().p == ["last", "of", "-v", "-w"]
+
+
+def test_a_quote_that_stays_open_keeps_its_word():
+    assert gates.shell_words("echo 'it is") == ["echo", "it is"]
+    assert gates.shell_words('a;b"') == ["a", ";", "b"]
+    assert gates.shell_words("a & b&c # d'\n\r\n\\\r\n#e\ne\\ f \\") == ["a", "&", "b&c", "\n", "e f", "\\"]
