@@ -208,3 +208,19 @@ def test_a_quote_that_stays_open_keeps_its_word():
     assert gates.shell_words("echo 'it is") == ["echo", "it is"]
     assert gates.shell_words('a;b"') == ["a", ";", "b"]
     assert gates.shell_words("a & b&c # d'\n\r\n\\\r\n#e\ne\\ f \\") == ["a", "&", "b&c", "\n", "e f", "\\"]
+
+
+@pytest.fixture
+def many_partitions(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("name", ["undirected_counts"])
+def test_a_task_stays_small_where_adaptive_execution_joins_partitions(spark, sf, monkeypatch, many_partitions, name):
+    monkeypatch.setattr(tables, "TASK_ROWS", 300)
+    query = catalog.queries()[name]
+    out = query(spark, sf)
+    same(spark, sf, lambda *_: out, catalog.oracle_sql()[name])
+    assert len(re.findall(r"REPARTITION_BY_NUM", out._jdf.queryExecution().executedPlan().toString())) >= 3
