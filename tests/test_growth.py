@@ -217,7 +217,7 @@ def many_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
-@pytest.mark.parametrize("name", ["undirected_counts", "dangling_edges"])
+@pytest.mark.parametrize("name", ["undirected_counts", "dangling_edges", "two_hop_reach"])
 def test_a_task_stays_small_where_adaptive_execution_joins_partitions(spark, sf, monkeypatch, many_partitions, name):
     monkeypatch.setattr(tables, "TASK_ROWS", 300)
     query = catalog.queries()[name]
