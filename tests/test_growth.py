@@ -4,6 +4,7 @@ import random
 import re
 import tracemalloc
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -224,3 +225,15 @@ def test_a_task_stays_small_where_adaptive_execution_joins_partitions(spark, sf,
     out = query(spark, sf)
     same(spark, sf, lambda *_: out, catalog.oracle_sql()[name])
     assert len(re.findall(r"REPARTITION_BY_NUM", out._jdf.queryExecution().executedPlan().toString())) >= 3
+
+
+def test_a_long_circle_has_its_path(spark, tmp_path):
+    n = 1100
+    parts = spark.createDataFrame([(k, -6 * k * pow(13, -1, n) % n) for k in range(1, n + 1)], "p_partkey long, p_size int")  # each part supersedes the next one
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    got = catalog.queries()["proposed_circles"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    want = con.execute(catalog.oracle_sql()["proposed_circles"]).fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert max(r[2] for r in want) > graph.WALK_CAP
