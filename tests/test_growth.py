@@ -237,3 +237,25 @@ def test_a_long_circle_has_its_path(spark, tmp_path):
     want = con.execute(catalog.oracle_sql()["proposed_circles"]).fetchall()
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     assert max(r[2] for r in want) > graph.WALK_CAP
+
+
+@pytest.mark.parametrize("group", [1, 7])
+def test_a_query_is_scored_above_its_floor_only(spark, monkeypatch, group):
+    monkeypatch.setattr(postings, "RANKED_PAIRS", 30)
+    monkeypatch.setattr(postings, "RANKED_WORK", 40)
+    monkeypatch.setattr(postings, "DENSE", 60)
+    texts = corpus()
+    table = spark.createDataFrame([(i, None, t) for i, t in enumerate(texts)], "doc_id long, label string, text string").repartition(3)
+    rng = random.Random(11)
+    queries = {q: sorted({f"w{rng.randrange(1, 300)}" for _ in range(9)} | {"w1"}) for q in range(12)} | {50: ["w1"], 51: ["w1", "w2", "absent"]}
+    probes = spark.createDataFrame([(q, t) for q, ts in queries.items() for t in ts], "query_id long, token string")
+    out = postings.top_bm25(postings.build(table, shard_docs=50, block=4), probes, 5, group=group)
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()  # a shard is a task, however few bytes it has
+    got = {(r.query_id, r.place): (r.doc_id, round(r.score, 5)) for r in out.collect()}
+    want = {}
+    for q, found in plain(texts, queries, len(texts)).items():
+        best = {}
+        for i, x in found:
+            best[i // group] = max(best.get(i // group, 0), x)
+        want |= {(q, n + 1): (g, round(x, 5)) for n, (g, x) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5])}
+    assert got == want
